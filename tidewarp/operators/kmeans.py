@@ -172,3 +172,15 @@ def remove_centre(c: np.ndarray, index: int) -> np.ndarray:
 def fan_out_k(series: DataFrame, ks: list[int]) -> DataFrame:
     """One row per candidate k (parameter-bounded fan-out)."""
     return series.withColumn("k", F.explode(F.array(*[F.lit(int(k)) for k in ks])))
+
+
+def centres_frame(spark, centres: Centres, key_cols: list[str]):
+    """The centre table as a small DataFrame ``(keys..., cluster_id, center)``."""
+    from pyspark.sql import types as T
+
+    fields = [T.StructField(c, T.IntegerType()) for c in key_cols]
+    schema = T.StructType(fields + [T.StructField("cluster_id", T.IntegerType()),
+                                    T.StructField("center", T.ArrayType(T.DoubleType()))])
+    rows = [(*[int(v) for v in key], int(i), [float(x) for x in row])
+            for key, mat in centres.items() for i, row in enumerate(np.asarray(mat))]
+    return spark.createDataFrame(rows, schema)
