@@ -133,15 +133,22 @@ def add_mean_of_centres(c: np.ndarray) -> np.ndarray:
 
 
 def add_random_centre(c: np.ndarray, seed) -> np.ndarray:
-    """Append one repeatable uniform vector."""
+    """Append one repeatable uniform vector (index k of the seed's stream)."""
     c = np.asarray(c, dtype=np.float64)
-    return np.vstack([c, random_centres(1, c.shape[1], seed)])
+    k, length = c.shape
+    return np.vstack([c, [[uniform_py(seed, k, j) for j in range(length)]]])
+
+
+def furthest_score():
+    """Own distance x sum of the distances to the other centres."""
+    others = F.filter("dists", lambda d, i: i != F.col("cluster_id"))
+    return F.col("dist") * F.aggregate(others, F.lit(0.0), lambda a, x: a + x)
 
 
 def furthest_series(assigned: DataFrame, key_cols: list[str], series_col: str = "series_norm") -> dict:
     """Per model, the series maximising own distance x sum of the other
     distances; ties go to the lowest id. One partial/final ``max_by`` job."""
-    score = F.col("dist") * (F.aggregate("dists", F.lit(0.0), lambda a, x: a + x) - F.col("dist"))
+    score = furthest_score()
     rows = (assigned.groupBy(*key_cols)
             .agg(F.max_by(series_col, F.struct(score.alias("s"), (-F.col("id")).alias("i"))).alias("v"))
             .collect())

@@ -106,11 +106,36 @@ def project(df: DataFrame, pc: np.ndarray, series_col: str = "series_norm", out:
     return df.withColumn(out, F.array(*comps))
 
 
-def pca_by_group(df: DataFrame, group_col: str, k: int, series_col: str = "series_norm") -> dict:
-    """One fit per value of ``group_col`` (e.g. per time point). The group
-    count is a run parameter (time points), each fit is distributed."""
-    keys = [r[0] for r in df.select(group_col).distinct().collect()]
-    return {g: pca_fit(df.where(F.col(group_col) == g), k, series_col) for g in keys}
+def pca_by_group(df: DataFrame, group_col: str, k: int, series_col: str = "series_norm",
+                 length: int | None = None) -> dict:
+    """P2 for many populations at once (e.g. one per time point).
+
+    One aggregation job returns, per group, the count, the L sums and the
+    L(L+1)/2 cross-product sums (the Gramian route of the library PCA);
+    the covariance and its eigen-decomposition (L x L) are formed on the
+    driver. Output size is groups x L^2, bounded by the run parameters.
+    """
+    if length is None:
+        length = df.select(F.max(F.size(series_col))).first()[0]
+    x = F.col(series_col)
+    aggs = [F.count(F.lit(1)).alias("n")] + [F.sum(x[i]).alias(f"s{i}") for i in range(length)]
+    aggs += [F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(length) for j in range(i, length)]
+    out = {}
+    for r in df.groupBy(group_col).agg(*aggs).collect():
+        n = r["n"]
+        s = np.array([r[f"s{i}"] for i in range(length)])
+        g = np.zeros((length, length))
+        for i in range(length):
+            for j in range(i, length):
+                g[i, j] = g[j, i] = r[f"g{i}_{j}"]
+        cov = (g - np.outer(s, s) / n) / max(n - 1, 1)
+        vals, vecs = np.linalg.eigh(cov)
+        order = np.argsort(vals)[::-1]
+        vals, vecs = np.clip(vals[order], 0, None), vecs[:, order]
+        total = vals.sum()
+        ev = vals[:k] / total if total > 0 else np.zeros(k)
+        out[r[group_col]] = (_fix_signs(vecs[:, :k]), ev)
+    return out
 
 
 def to_array(df: DataFrame, col: str) -> DataFrame:
