@@ -119,3 +119,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # query modules register themselves on import
 from tidewarp.plans import q_basic  # noqa: E402,F401
 from tidewarp.plans import q_cluster  # noqa: E402,F401
+from tidewarp.plans import q_drift  # noqa: E402,F401
