@@ -11,13 +11,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import base64
+import pickle
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewarp.config import RunConfig
 from tidewarp.functions.vec import uniform_py
+from tidewarp.functions.dtw import dtw_to_centres
 from tidewarp.operators.assign import Centres, assign, key_str, model_key
 
 
@@ -57,6 +62,97 @@ def update_centres(centres: Centres, rows, key_cols: list[str], length: int) ->
     return new
 
 
+_CENTRES_PROP = "tidewarp.kmeans.centres"
+INLINE_CENTRES_BYTES = 256 * 1024
+_DECODED: dict = {}
+
+
+def encode_centres(centres: Centres) -> str:
+    table = {key_str(k): np.asarray(v, dtype=np.float64) for k, v in centres.items()}
+    return base64.b64encode(pickle.dumps(table, protocol=5)).decode("ascii")
+
+
+def _task_centres(fixed: dict | None):
+    """Centre table of the current pass: the closure's, or the one the
+    driver attached to this job as a local property (decoded once per
+    worker and pass)."""
+    if fixed is not None:
+        return fixed
+    from pyspark import TaskContext
+
+    blob = TaskContext.get().getLocalProperty(_CENTRES_PROP)
+    table = _DECODED.get(blob)
+    if table is None:
+        _DECODED.clear()
+        table = _DECODED[blob] = pickle.loads(base64.b64decode(blob))
+    return table
+
+
+def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: int,
+               series_col: str = "series_norm", centres: Centres | None = None) -> DataFrame:
+    """One k-means pass as a map-side combine.
+
+    Each task assigns its rows (DTW against its model's centres, lowest
+    index on ties) and emits one partial row per (model, cluster) it saw:
+    count and L sums. The final ``groupBy`` adds the partials, so at most
+    tasks x models x k small rows cross the shuffle, and only models x k x L
+    numbers reach the driver. With ``centres=None`` the plan is built once
+    per fit and every pass supplies its centres as a job-local property.
+    """
+    fixed = None if centres is None else {key_str(k): np.asarray(v, dtype=np.float64) for k, v in centres.items()}
+    gamma = cfg.gamma if cfg.distance == "soft_dtw" else None
+    band, mode = cfg.band, ("prefix" if cfg.compat and cfg.distance == "dtw" else "full")
+
+    def run(batches):
+        table = _task_centres(fixed)
+        acc: dict = {}
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            lens = pdf["_s"].map(len).to_numpy()
+            frame = pd.DataFrame({"k": pdf["_m"].to_numpy(), "n": lens})
+            for (mk, n), rows in frame.groupby(["k", "n"]).indices.items():
+                C = table.get(mk)
+                if C is None:
+                    continue
+                X = np.stack(pdf["_s"].iloc[rows].to_numpy()).astype(np.float64, copy=False).reshape(len(rows), n)
+                cl = dtw_to_centres(X, C, gamma=gamma, band=band, mode=mode).argmin(axis=1)
+                Xl = X[:, :length] if n >= length else np.pad(X, ((0, 0), (0, length - n)))
+                for c in np.unique(cl):
+                    sel = cl == c
+                    cnt, tot = acc.get((mk, int(c)), (0, np.zeros(length)))
+                    acc[(mk, int(c))] = (cnt + int(sel.sum()), tot + Xl[sel].sum(axis=0))
+        if acc:
+            yield pd.DataFrame({"_m": [k for k, _ in acc], "cluster_id": [c for _, c in acc],
+                                "n": [v[0] for v in acc.values()], "s": [v[1].tolist() for v in acc.values()]})
+
+    part = series.select(model_key(key_cols).alias("_m"), F.col(series_col).alias("_s")).mapInPandas(
+        run, "_m string, cluster_id int, n long, s array<double>")
+    return (part.select("_m", "cluster_id", "n", F.posexplode("s").alias("i", "v"))
+            .groupBy("_m", "cluster_id", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("t")))
+
+
+def _pass_sums(plan_or_none, series, centres: Centres, key_cols, cfg, length, series_col):
+    """Run one pass; returns {(model str, cluster): (n, sums)}."""
+    sc = series.sparkSession.sparkContext
+    blob = encode_centres(centres)
+    if plan_or_none is not None and len(blob) <= INLINE_CENTRES_BYTES:
+        sc.setLocalProperty(_CENTRES_PROP, blob)
+        try:
+            rows = plan_or_none.select("*").collect()
+        finally:
+            sc.setLocalProperty(_CENTRES_PROP, None)
+    else:
+        rows = _pass_plan(series, key_cols, cfg, length, series_col, centres).collect()
+    out: dict = {}
+    for r in rows:
+        key = (r["_m"], r["cluster_id"])
+        n, tot = out.get(key, (0, np.zeros(length)))
+        tot[r["i"]] = r["t"]
+        out[key] = (r["n"], tot)
+    return out
+
+
 def fit(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunConfig,
         series_col: str = "series_norm") -> KMeansFit:
     """C4: iterate until every model's shift < eta or the pass cap.
@@ -74,13 +170,13 @@ def fit(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunConfig,
     shifts: dict = {}
     cap = cfg.max_iter + 1 if cfg.compat else cfg.max_iter
     step = 0
+    plan = _pass_plan(series, key_cols, cfg, length, series_col)
     while active and step < cap:
-        sub = series
-        if len(active) < len(cur):
-            sub = series.where(model_key(key_cols).isin([key_str(k) for k in active]))
         act = {k: cur[k] for k in active}
-        rows = cluster_means(assign(sub, act, key_cols, cfg, series_col), key_cols, length, series_col).collect()
-        new = update_centres(act, rows, key_cols, length)
+        new = {k: np.array(v, dtype=np.float64, copy=True) for k, v in act.items()}
+        by_str = {key_str(k): k for k in act}
+        for (mk, c), (n, tot) in _pass_sums(plan, series, act, key_cols, cfg, length, series_col).items():
+            new[by_str[mk]][c] = tot / n
         for k in list(active):
             shifts[k] = centre_shift(cur[k], new[k])
             passes[k] += 1
