@@ -121,3 +121,4 @@ from tidewarp.plans import q_basic  # noqa: E402,F401
 from tidewarp.plans import q_cluster  # noqa: E402,F401
 from tidewarp.plans import q_drift  # noqa: E402,F401
 from tidewarp.plans import q_select  # noqa: E402,F401
+from tidewarp.plans import q_io  # noqa: E402,F401

@@ -28,9 +28,9 @@ def write_entity(df: DataFrame, path: str) -> None:
      .partitionBy(*PARTITION_COLS).parquet(path))
 
 
-def customer_clustered(assigned: DataFrame) -> DataFrame:
+def customer_clustered(assigned: DataFrame, key_cols=("time_point", "k")) -> DataFrame:
     """Id, cluster and the per-month (norm, raw) pairs."""
-    return assigned.select("time_point", "id", "cluster_id",
+    return assigned.select(*key_cols, "id", "cluster_id",
                            pair_encode("series_norm", "series_raw").alias("pairs"))
 
 
@@ -42,7 +42,8 @@ def clustered_result(result_per_centre: DataFrame, spent_time: int) -> DataFrame
 def write_text_lines(df: DataFrame, text_col: str, path: str, partition_col: str | None = None) -> None:
     w = df.select(*([partition_col] if partition_col else []), F.col(text_col).alias("value")).write.mode("overwrite")
     if partition_col:
-        w = w.partitionBy(partition_col)
+        # replace only the folders this write produces (W10 and W11 share a base)
+        w = w.option("partitionOverwriteMode", "dynamic").partitionBy(partition_col)
     w.text(path)
 
 
