@@ -33,6 +33,7 @@ class KMeansFit:
     passes: dict = field(default_factory=dict)
     shifts: dict = field(default_factory=dict)
     key_cols: list = field(default_factory=list)
+    stats: dict = field(default_factory=dict)
 
 
 def centre_shift(old: np.ndarray, new: np.ndarray) -> float:
@@ -93,15 +94,16 @@ def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: i
     """One k-means pass as a map-side combine.
 
     Each task assigns its rows (DTW against its model's centres, lowest
-    index on ties) and emits one partial row per (model, cluster) it saw:
-    count and L sums. The final ``groupBy`` adds the partials, so at most
-    tasks x models x k small rows cross the shuffle, and only models x k x L
-    numbers reach the driver. With ``centres=None`` the plan is built once
-    per fit and every pass supplies its centres as a job-local property.
+    index on ties) and emits, per (model, cluster) it saw, partial sums in
+    long form ``(_m, cluster_id, slot, v)``: slots 0..L-1 the member sums,
+    then the count, the silhouette sum and count, and the own-distance sum.
+    With ``centres=None`` the plan is built once per fit and every pass
+    supplies its centres as a job-local property.
     """
     fixed = None if centres is None else {key_str(k): np.asarray(v, dtype=np.float64) for k, v in centres.items()}
     gamma = cfg.gamma if cfg.distance == "soft_dtw" else None
     band, mode = cfg.band, ("prefix" if cfg.compat and cfg.distance == "dtw" else "full")
+    compat = cfg.compat
 
     def run(batches):
         table = _task_centres(fixed)
@@ -116,51 +118,105 @@ def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: i
                 if C is None:
                     continue
                 X = np.stack(pdf["_s"].iloc[rows].to_numpy()).astype(np.float64, copy=False).reshape(len(rows), n)
-                cl = dtw_to_centres(X, C, gamma=gamma, band=band, mode=mode).argmin(axis=1)
+                D = dtw_to_centres(X, C, gamma=gamma, band=band, mode=mode)
+                cl = D.argmin(axis=1)
+                idx = np.arange(len(cl))
+                own = D[idx, cl]
+                if D.shape[1] > 1:
+                    Dm = D.copy()
+                    Dm[idx, cl] = np.inf
+                    other = Dm.min(axis=1)
+                    den = np.maximum(own, other)
+                    with np.errstate(invalid="ignore", divide="ignore"):
+                        sil = np.where(den == 0, np.nan if compat else 0.0, (other - own) / den)
+                else:
+                    sil = np.full(len(cl), np.nan)
                 Xl = X[:, :length] if n >= length else np.pad(X, ((0, 0), (0, length - n)))
                 for c in np.unique(cl):
                     sel = cl == c
-                    cnt, tot = acc.get((mk, int(c)), (0, np.zeros(length)))
-                    acc[(mk, int(c))] = (cnt + int(sel.sum()), tot + Xl[sel].sum(axis=0))
+                    sc = sil[sel]
+                    ok = ~np.isnan(sc)
+                    part = np.concatenate([Xl[sel].sum(axis=0),
+                                           [sel.sum(), sc[ok].sum(), ok.sum(), own[sel].sum()]])
+                    key = (mk, int(c))
+                    acc[key] = acc[key] + part if key in acc else part
         if acc:
-            yield pd.DataFrame({"_m": [k for k, _ in acc], "cluster_id": [c for _, c in acc],
-                                "n": [v[0] for v in acc.values()], "s": [v[1].tolist() for v in acc.values()]})
+            m, c, i, v = [], [], [], []
+            for (mk, cc), vec in acc.items():
+                m += [mk] * len(vec)
+                c += [cc] * len(vec)
+                i += list(range(len(vec)))
+                v += vec.tolist()
+            yield pd.DataFrame({"_m": m, "cluster_id": c, "slot": i, "v": v})
 
-    part = series.select(model_key(key_cols).alias("_m"), F.col(series_col).alias("_s")).mapInPandas(
-        run, "_m string, cluster_id int, n long, s array<double>")
-    return (part.select("_m", "cluster_id", "n", F.posexplode("s").alias("i", "v"))
-            .groupBy("_m", "cluster_id", "i").agg(F.sum("n").alias("n"), F.sum("v").alias("t")))
+    return series.select(model_key(key_cols).alias("_m"), F.col(series_col).alias("_s")).mapInPandas(
+        run, "_m string, cluster_id int, slot int, v double")
 
 
-def _pass_sums(plan_or_none, series, centres: Centres, key_cols, cfg, length, series_col):
-    """Run one pass; returns {(model str, cluster): (n, sums)}."""
+DIRECT_PARTIAL_ROWS = 200_000
+
+
+def _pass_sums(plan_or_none, series, centres: Centres, key_cols, cfg, length, series_col, n_parts: int):
+    """Run one pass; returns {(model str, cluster): vector of L + 4 sums}.
+
+    The partial rows number at most tasks x models x k x (L + 4); below a
+    fixed bound they are collected as they are (one stage), above it they
+    are first added up by a ``groupBy`` on the executors.
+    """
     sc = series.sparkSession.sparkContext
     blob = encode_centres(centres)
-    if plan_or_none is not None and len(blob) <= INLINE_CENTRES_BYTES:
+    inline = plan_or_none is not None and len(blob) <= INLINE_CENTRES_BYTES
+    plan = plan_or_none if inline else _pass_plan(series, key_cols, cfg, length, series_col, centres)
+    kmax = max(np.asarray(c).shape[0] for c in centres.values())
+    bound = n_parts * len(centres) * kmax * (length + 4)
+    if bound > DIRECT_PARTIAL_ROWS:
+        plan = plan.groupBy("_m", "cluster_id", "slot").agg(F.sum("v").alias("v"))
+    if inline:
         sc.setLocalProperty(_CENTRES_PROP, blob)
-        try:
-            rows = plan_or_none.select("*").collect()
-        finally:
+    try:
+        rows = plan.select("*").collect()
+    finally:
+        if inline:
             sc.setLocalProperty(_CENTRES_PROP, None)
-    else:
-        rows = _pass_plan(series, key_cols, cfg, length, series_col, centres).collect()
     out: dict = {}
     for r in rows:
         key = (r["_m"], r["cluster_id"])
-        n, tot = out.get(key, (0, np.zeros(length)))
-        tot[r["i"]] = r["t"]
-        out[key] = (r["n"], tot)
+        if key not in out:
+            out[key] = np.zeros(length + 4)
+        out[key][r["slot"]] += r["v"]
+    return out
+
+
+def _stats(sums: dict, by_str: dict, length: int) -> dict:
+    """{model: {cluster: (size, mean silhouette or None, mean distance)}}."""
+    st: dict = {}
+    for (mk, c), vec in sums.items():
+        n, ssum, scnt, dsum = vec[length:length + 4]
+        st.setdefault(by_str[mk], {})[c] = (int(n), (ssum / scnt) if scnt else None, dsum / n if n else None)
+    return st
+
+
+def run_silhouettes(stats: dict, ks: dict | None = None) -> dict:
+    """E3 from pass stats: {model: (sum of cluster silhouettes / k, {cluster: sil})};
+    NULL for k < 2."""
+    out = {}
+    for key, cl in stats.items():
+        k = ks[key] if ks else key[-1]
+        sils = {c: v[1] for c, v in cl.items() if v[1] is not None}
+        out[key] = (sum(sils.values()) / k if (k >= 2 and sils) else None, sils)
     return out
 
 
 def fit(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunConfig,
-        series_col: str = "series_norm") -> KMeansFit:
+        series_col: str = "series_norm", with_stats: bool = True) -> KMeansFit:
     """C4: iterate until every model's shift < eta or the pass cap.
 
     ``series`` should be persisted by the caller (it is read once per pass).
     Default: ``max_iter`` passes, then a final assignment to the final
     centres. Compat: ``max_iter + 1`` passes and assignments to the centres
-    of the last pass (Q3, Q4).
+    of the last pass (Q3, Q4). With ``with_stats`` one more pass over the
+    final centres returns sizes, silhouettes and mean distances (E1, E4)
+    of every model without materialising the assignment.
     """
     length = cfg.series_length
     cur = {k: np.asarray(v, dtype=np.float64) for k, v in init.items()}
@@ -171,12 +227,19 @@ def fit(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunConfig,
     cap = cfg.max_iter + 1 if cfg.compat else cfg.max_iter
     step = 0
     plan = _pass_plan(series, key_cols, cfg, length, series_col)
+    n_parts = series.rdd.getNumPartitions()
+    by_str = {key_str(k): k for k in cur}
+    # exact cycle shortcut: the pass is a deterministic map of the centre
+    # table, so once a model's table repeats, later passes repeat the cycle
+    # and the table at the pass cap is known without running them.
+    hist = {k: [cur[k]] for k in cur}
+    seen = {k: {cur[k].tobytes(): 0} for k in cur}
     while active and step < cap:
         act = {k: cur[k] for k in active}
         new = {k: np.array(v, dtype=np.float64, copy=True) for k, v in act.items()}
-        by_str = {key_str(k): k for k in act}
-        for (mk, c), (n, tot) in _pass_sums(plan, series, act, key_cols, cfg, length, series_col).items():
-            new[by_str[mk]][c] = tot / n
+        for (mk, c), vec in _pass_sums(plan, series, act, key_cols, cfg, length, series_col, n_parts).items():
+            new[by_str[mk]][c] = vec[:length] / vec[length]
+        step += 1
         for k in list(active):
             shifts[k] = centre_shift(cur[k], new[k])
             passes[k] += 1
@@ -184,10 +247,26 @@ def fit(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunConfig,
             cur[k] = new[k]
             if shifts[k] < cfg.eta:
                 active.discard(k)
-        step += 1
+                continue
+            sig = new[k].tobytes()
+            if sig in seen[k]:
+                j = seen[k][sig]
+                period = step - j
+                cur[k] = hist[k][j + (cap - j) % period]
+                prev[k] = hist[k][j + (cap - 1 - j) % period]
+                shifts[k] = centre_shift(prev[k], cur[k])
+                passes[k] = cap
+                active.discard(k)
+                continue
+            seen[k][sig] = step
+            hist[k].append(new[k])
     target = prev if cfg.compat else cur
     assigned = assign(series, target, key_cols, cfg, series_col)
-    return KMeansFit(centres=cur, assignments=assigned, passes=passes, shifts=shifts, key_cols=list(key_cols))
+    result = KMeansFit(centres=cur, assignments=assigned, passes=passes, shifts=shifts, key_cols=list(key_cols))
+    if with_stats:
+        sums = _pass_sums(plan, series, target, key_cols, cfg, length, series_col, n_parts)
+        result.stats = _stats(sums, by_str, length)
+    return result
 
 
 # --------------------------------------------------------------------------

@@ -20,7 +20,6 @@ from pyspark.sql import functions as F
 from tidewarp.config import RunConfig
 from tidewarp.operators import kmeans as km
 from tidewarp.operators.assign import assign
-from tidewarp.operators.quality import run_silhouettes_for
 from tidewarp.session import cut_lineage
 
 KEYS = ["time_point", "k"]
@@ -62,7 +61,7 @@ def sweep(series: DataFrame, cfg: RunConfig) -> tuple[dict, km.KMeansFit]:
     tps = [r[0] for r in series.select("time_point").distinct().collect()]
     sk = cut_lineage(km.fan_out_k(series, ks))
     fit = km.fit(sk, init_centres(series, tps, ks, cfg), KEYS, cfg)
-    res = run_silhouettes_for(fit.assignments, KEYS, compat=cfg.compat)
+    res = km.run_silhouettes(fit.stats)
     best = _best(res, tps)
     out = {tp: Choice(tp, k, fit.centres[(tp, k)], sil, res[(tp, k)][1], "sweep") for tp, (k, sil) in best.items()}
     return out, fit
@@ -98,7 +97,7 @@ def refine(series_tp: DataFrame, tp: int, prev_centres: np.ndarray, cfg: RunConf
     the backward (C7) and forward (C8) searches, then the choice (C15)."""
     K = prev_centres.shape[0]
     keep_fit = km.fit(km.fan_out_k(series_tp, [K]), {(tp, K): prev_centres}, KEYS, cfg)
-    keep_res = run_silhouettes_for(keep_fit.assignments, KEYS, compat=cfg.compat)[(tp, K)]
+    keep_res = km.run_silhouettes(keep_fit.stats)[(tp, K)]
     keep = Choice(tp, K, keep_fit.centres[(tp, K)], keep_res[0], keep_res[1], "keep")
     start = prev_centres if cfg.compat else keep.centres
     # state of each chain: (centres, sil, sil_map, assignments of its model, accepted?)
@@ -117,7 +116,7 @@ def refine(series_tp: DataFrame, tp: int, prev_centres: np.ndarray, cfg: RunConf
             nf = _grow(fwd["c"], cfg.new_centre_method, tp, cfg, fwd["asg"], fwd["map"], step)
             init[(tp, nf.shape[0])] = nf
         fit = km.fit(km.fan_out_k(series_tp, sorted(k for _, k in init)), init, KEYS, cfg)
-        res = run_silhouettes_for(fit.assignments, KEYS, compat=cfg.compat)
+        res = km.run_silhouettes(fit.stats)
         for name, chain, k in (("backward", back, K - step), ("forward", fwd, K + step)):
             if not chain["alive"]:
                 continue
@@ -142,22 +141,32 @@ def refine(series_tp: DataFrame, tp: int, prev_centres: np.ndarray, cfg: RunConf
     return best
 
 
-def warm_run(series: DataFrame, cfg: RunConfig) -> tuple[dict, DataFrame]:
+ROWS_PER_PARTITION = 50_000
+
+
+def warm_run(series: DataFrame, cfg: RunConfig, rows_per_partition: int = ROWS_PER_PARTITION) -> tuple[dict, DataFrame]:
     """C14 over time points from..to: the first by a sweep, every later one
     refined from the previous choice. Returns the choices and one packed
-    final assignment of every chosen model."""
+    final assignment of every chosen model.
+
+    Each time point's rows are materialised once for all of its passes, in
+    ``ceil(rows / rows_per_partition)`` partitions (row counts come from one
+    grouped count), and released when the time point is done.
+    """
     s = cut_lineage(series.where((F.col("time_point") >= cfg.from_tp) & (F.col("time_point") <= cfg.to_tp)))
-    tps = sorted(r[0] for r in s.select("time_point").distinct().collect())
+    counts = dict(s.groupBy("time_point").count().collect())
     choices: dict = {}
     prev = None
-    for tp in tps:
-        s_tp = s.where(F.col("time_point") == tp)
+    for tp in sorted(counts):
+        n_parts = max(1, -(-counts[tp] // rows_per_partition))
+        s_tp = cut_lineage(s.where(F.col("time_point") == tp).coalesce(n_parts))
         if prev is None:
             first, _ = sweep(s_tp, cfg)
             choices[tp] = first[tp]
         else:
             choices[tp] = refine(s_tp, tp, prev.centres, cfg)
         prev = choices[tp]
+        s_tp.unpersist()
     return choices, final_assignment(s, choices, cfg)
 
 
