@@ -27,44 +27,46 @@ MAX_DOUBLE = float(np.finfo(np.float64).max)
 _CELL_BUDGET = 4_000_000  # DP cells held in memory per chunk (32 MB)
 
 
-def _wavefront(cost: np.ndarray, gamma: float | None, band: int | None) -> np.ndarray:
-    """DP table over ``cost`` of shape (n, m, P); returns D of shape (n+1, m+1, P)."""
-    n, m, p = cost.shape
-    D = np.full((n + 1, m + 1, p), np.inf)
-    D[0, 0] = 0.0
+def _wavefront(cost_diag, n: int, m: int, p: int, gamma: float | None, band: int | None,
+               mode: str) -> np.ndarray:
+    """DTW of P pairs by anti-diagonals, keeping only the last two.
+
+    Diagonal d holds the cells (i, d - i), stored by i; the three neighbours
+    of a cell are then contiguous slices of the two previous diagonals:
+    (i-1, j-1) on d-2 and (i-1, j), (i, j-1) on d-1. ``cost_diag(i, j)``
+    returns the local costs of the cells (i, j) as (len(i), P).
+    """
+    inf = np.inf
+    prev2 = np.full((n + 1, p), inf)
+    prev1 = np.full((n + 1, p), inf)
+    prev2[0] = 0.0  # D[0][0]
+    corner = None
     for d in range(2, n + m + 1):
-        i = np.arange(max(1, d - m), min(n, d - 1) + 1)
-        j = d - i
+        lo, hi = max(1, d - m), min(n, d - 1)
         if band is not None:
-            keep = np.abs(i - j) <= band
-            i, j = i[keep], j[keep]
-            if i.size == 0:
-                continue
-        a = D[i - 1, j - 1]
-        b = D[i - 1, j]
-        c = D[i, j - 1]
-        mn = np.minimum(np.minimum(a, b), c)
-        if gamma is None:
-            best = mn
-        else:
-            with np.errstate(invalid="ignore", over="ignore"):
-                s = np.exp((mn - a) / gamma) + np.exp((mn - b) / gamma) + np.exp((mn - c) / gamma)
-                best = np.where(np.isinf(mn), np.inf, mn - gamma * np.log(s))
-        D[i, j] = cost[i - 1, j - 1] + best
-    return D
-
-
-def _read(D: np.ndarray, n: int, m: int, mode: str) -> np.ndarray:
+            lo, hi = max(lo, -(-(d - band) // 2)), min(hi, (d + band) // 2)
+        cur = np.full((n + 1, p), inf)
+        if lo <= hi:
+            a = prev2[lo - 1:hi]
+            b = prev1[lo - 1:hi]
+            c = prev1[lo:hi + 1]
+            mn = np.minimum(np.minimum(a, b), c)
+            if gamma is None:
+                best = mn
+            else:
+                with np.errstate(invalid="ignore", over="ignore"):
+                    sm = np.exp((mn - a) / gamma) + np.exp((mn - b) / gamma) + np.exp((mn - c) / gamma)
+                    best = np.where(np.isinf(mn), inf, mn - gamma * np.log(sm))
+            i = np.arange(lo, hi + 1)
+            cur[lo:hi + 1] = cost_diag(i, d - i) + best
+        if d == n + m - 2 and mode == "prefix":
+            corner = cur[n - 1].copy()
+        prev2, prev1 = prev1, cur
     if mode == "prefix":
         if n < 2 or m < 2:
-            return np.full(D.shape[-1], MAX_DOUBLE)
-        return D[n - 1, m - 1]
-    return D[n, m]
-
-
-def _pair_cost(x: np.ndarray, y: np.ndarray, squared: bool) -> np.ndarray:
-    diff = x.T[:, None, :] - y.T[None, :, :]
-    return diff * diff if squared else np.abs(diff)
+            return np.full(p, MAX_DOUBLE)
+        return corner
+    return prev1[n]
 
 
 def dtw_same_length(X: np.ndarray, Y: np.ndarray, *, gamma: float | None = None, band: int | None = None,
@@ -72,15 +74,16 @@ def dtw_same_length(X: np.ndarray, Y: np.ndarray, *, gamma: float | None = None,
     """Row-wise distances of X[g] and Y[g]; X is (G, n), Y is (G, m)."""
     g, n = X.shape
     m = Y.shape[1]
-    out = np.empty(g)
     if n == 0 or m == 0:
-        out[:] = np.nan
-        return out
-    step = max(1, _CELL_BUDGET // ((n + 1) * (m + 1)))
-    for s in range(0, g, step):
-        cost = _pair_cost(X[s:s + step], Y[s:s + step], gamma is not None)
-        out[s:s + step] = _read(_wavefront(cost, gamma, band), n, m, mode)
-    return out
+        return np.full(g, np.nan)
+    xt, yt = np.ascontiguousarray(X.T), np.ascontiguousarray(Y.T)
+    sq = gamma is not None
+
+    def cost(i, j):
+        diff = xt[i - 1] - yt[j - 1]
+        return diff * diff if sq else np.abs(diff)
+
+    return _wavefront(cost, n, m, g, gamma, band, mode)
 
 
 def dtw_to_centres(X: np.ndarray, C: np.ndarray, *, gamma: float | None = None, band: int | None = None,
@@ -89,12 +92,18 @@ def dtw_to_centres(X: np.ndarray, C: np.ndarray, *, gamma: float | None = None,
     nrows, n = X.shape
     k, m = C.shape
     out = np.empty((nrows, k))
-    step = max(1, _CELL_BUDGET // ((n + 1) * (m + 1) * k))
+    step = max(1, _CELL_BUDGET // (3 * (n + 1) * k))
+    ct = np.ascontiguousarray(C.T)
+    sq = gamma is not None
     for s in range(0, nrows, step):
-        x = X[s:s + step]
-        diff = x.T[:, None, :, None] - C.T[None, :, None, :]  # (n, m, B, K)
-        cost = (diff * diff if gamma is not None else np.abs(diff)).reshape(n, m, -1)
-        out[s:s + step] = _read(_wavefront(cost, gamma, band), n, m, mode).reshape(x.shape[0], k)
+        xt = np.ascontiguousarray(X[s:s + step].T)
+        b = xt.shape[1]
+
+        def cost(i, j, xt=xt, b=b):
+            diff = xt[i - 1][:, :, None] - ct[j - 1][:, None, :]
+            return (diff * diff if sq else np.abs(diff)).reshape(len(i), b * k)
+
+        out[s:s + step] = _wavefront(cost, n, m, b * k, gamma, band, mode).reshape(b, k)
     return out
 
 

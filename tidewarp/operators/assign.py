@@ -12,12 +12,13 @@ over several jobs. Inside a job the table travels with the UDF closure
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewarp.config import RunConfig
+from tidewarp.functions.arrowbatch import list_column, model_groups
 from tidewarp.functions.dtw import dtw_to_centres
 
 CENTRE_BUDGET_BYTES = 64 * 1024 * 1024
@@ -52,28 +53,31 @@ def key_str(key: tuple) -> str:
     return "|".join(str(k) for k in key)
 
 
-def _dists_udf(centres: Centres, key_cols: list[str], cfg: RunConfig):
+def _dists_map(centres: Centres, cfg: RunConfig, schema: T.StructType):
+    """mapInArrow body: append ``dists`` to every row (NULL when the row's
+    model has no centres)."""
     table = {key_str(k): np.asarray(v, dtype=np.float64) for k, v in centres.items()}
     gamma = cfg.gamma if cfg.distance == "soft_dtw" else None
     band = cfg.band
     mode = "prefix" if cfg.compat and cfg.distance == "dtw" else "full"
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def dists(keys: pd.Series, series: pd.Series) -> pd.Series:
-        out = [None] * len(series)
-        lengths = series.map(lambda v: -1 if v is None else len(v))
-        frame = pd.DataFrame({"k": keys.to_numpy(), "n": lengths.to_numpy()})
-        for (k, n), rows in frame.groupby(["k", "n"]).indices.items():
-            C = table.get(k)
-            if C is None or n < 0:
-                continue
-            X = np.stack(series.iloc[rows].to_numpy()).astype(np.float64, copy=False).reshape(len(rows), n)
-            D = dtw_to_centres(X, C, gamma=gamma, band=band, mode=mode)
-            for r, d in zip(rows, D.tolist()):
-                out[r] = d
-        return pd.Series(out)
-
-    return dists
+    def run(batches):
+        for rb in batches:
+            n_rows = rb.num_rows
+            out = [None] * n_rows
+            if n_rows:
+                for mk, n, rows, X in model_groups(rb.column("_mk"), rb.column("_sx")):
+                    C = table.get(mk)
+                    if C is None:
+                        continue
+                    D = dtw_to_centres(X, C, gamma=gamma, band=band, mode=mode)
+                    for r, d in zip(rows, D):
+                        out[r] = d
+            cols = [rb.column(i) for i in range(rb.num_columns) if rb.schema.names[i] not in ("_mk", "_sx")]
+            names = [nm for nm in rb.schema.names if nm not in ("_mk", "_sx")]
+            yield pa.RecordBatch.from_arrays(cols + [list_column(out, n_rows, None)], names=names + ["dists"])
+
+    return run
 
 
 def with_dists(series: DataFrame, centres: Centres, key_cols: list[str], cfg: RunConfig,
@@ -85,7 +89,10 @@ def with_dists(series: DataFrame, centres: Centres, key_cols: list[str], cfg: Ru
         s = series
         if len(chunks) > 1:
             s = s.where(model_key(key_cols).isin([key_str(k) for k in chunk]))
-        parts.append(s.withColumn("dists", _dists_udf(chunk, key_cols, cfg)(model_key(key_cols), F.col(series_col))))
+        s = s.withColumn("_mk", model_key(key_cols)).withColumn("_sx", F.col(series_col))
+        out_schema = T.StructType([f for f in s.schema.fields if f.name not in ("_mk", "_sx")]
+                                  + [T.StructField("dists", T.ArrayType(T.DoubleType()))])
+        parts.append(s.mapInArrow(_dists_map(chunk, cfg, out_schema), out_schema))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

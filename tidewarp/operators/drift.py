@@ -19,18 +19,11 @@ from pyspark.sql import functions as F
 BOUNDED_BROADCAST_ROWS = 1_000_000
 
 
-def _small(df: DataFrame, bound_rows: int) -> DataFrame:
-    """Broadcast hint for a table whose row count is bounded by parameters."""
-    return F.broadcast(df) if bound_rows <= BOUNDED_BROADCAST_ROWS else df
-
-
-def _pair_frame(assigned: DataFrame, lag: int, key_cols: list[str], tp_col: str = "time_point") -> DataFrame:
-    """One row per id present at t, with its cluster at t and at t + lag
-    (NULL when the id is absent later). Equi-join on (id, t) only."""
-    other = [c for c in key_cols if c != tp_col]
-    now = assigned.select(*key_cols, "id", F.col("cluster_id").alias("c_now"))
-    later = assigned.select(*other, "id", (F.col(tp_col) - lag).alias(tp_col), F.col("cluster_id").alias("c_later"))
-    return now.join(later, [*key_cols, "id"], "left")
+def _small(df: DataFrame, bound_rows: int | None) -> DataFrame:
+    """Broadcast hint only for a table whose row count the caller has bounded
+    from the run parameters (e.g. T x k^2); otherwise adaptive execution
+    chooses the join from the measured size at run time."""
+    return F.broadcast(df) if bound_rows is not None and bound_rows <= BOUNDED_BROADCAST_ROWS else df
 
 
 def migration(assigned: DataFrame, key_cols: list[str] = ("time_point",), tp_col: str = "time_point") -> DataFrame:
@@ -58,22 +51,27 @@ def migration(assigned: DataFrame, key_cols: list[str] = ("time_point",), tp_col
 
 
 def companion_ratio(assigned: DataFrame, lag: int, key_cols: list[str] = ("time_point",),
-                    tp_col: str = "time_point", bound_rows: int = BOUNDED_BROADCAST_ROWS) -> DataFrame:
+                    tp_col: str = "time_point", bound_rows: int | None = None) -> DataFrame:
     """J5 core: per id at t, the share of its companions at t (same cluster,
     self included) that share its cluster again at t + lag.
 
     Ids absent at t + lag get a NULL ratio but still count in the
     denominator of the others (alignment by id, Q14). Only time points with
-    a t + lag present in the data are reported.
+    a t + lag present in the data are reported. One id join (now x later);
+    the companion counts come from the assignment itself.
     """
     key_cols = list(key_cols)
-    pf = _pair_frame(assigned, lag, key_cols, tp_col)
-    sizes = pf.groupBy(*key_cols, "c_now").agg(F.count(F.lit(1)).alias("companions"))
-    pairs = (pf.where(F.col("c_later").isNotNull()).groupBy(*key_cols, "c_now", "c_later")
-             .agg(F.count(F.lit(1)).alias("remain")))
+    other = [c for c in key_cols if c != tp_col]
+    # one row per time point (a run parameter): broadcast, never a shuffle on
+    # the few time point keys
     later_tps = assigned.select((F.col(tp_col) - lag).alias(tp_col)).distinct()
-    out = (pf.join(_small(later_tps, bound_rows), tp_col, "left_semi")
-           .join(_small(sizes, bound_rows), [*key_cols, "c_now"])
+    now = (assigned.join(F.broadcast(later_tps), tp_col, "left_semi")
+           .select(*key_cols, "id", F.col("cluster_id").alias("c_now")))
+    later = assigned.select(*other, "id", (F.col(tp_col) - lag).alias(tp_col), F.col("cluster_id").alias("c_later"))
+    pf = now.join(later, [*key_cols, "id"], "left")
+    sizes = now.groupBy(*key_cols, "c_now").agg(F.count(F.lit(1)).alias("companions"))
+    pairs = pf.groupBy(*key_cols, "c_now", "c_later").agg(F.count(F.lit(1)).alias("remain"))
+    out = (pf.join(_small(sizes, bound_rows), [*key_cols, "c_now"])
            .join(_small(pairs, bound_rows), [*key_cols, "c_now", "c_later"], "left")
            .withColumn("ratio", F.when(F.col("c_later").isNull(), F.lit(None).cast("double"))
                        .otherwise(F.col("remain") / F.col("companions")))
@@ -116,13 +114,15 @@ def core_flag(assigned: DataFrame, changed: DataFrame, key_cols: list[str] = ("t
             .withColumn("is_core", F.col("_changed").isNull()).drop("_changed"))
 
 
-def companions_of(assigned: DataFrame, ids: DataFrame, key_cols: list[str] = ("time_point",)) -> DataFrame:
-    """For every (t, id) in ``ids``, the mask of its companions: members
-    of its cluster at t (itself included), as a semi-join on the cluster."""
+def companions_of(assigned: DataFrame, customer_id: int, key_cols: list[str] = ("time_point",)) -> DataFrame:
+    """The companion mask of one customer: at every time point, the
+    members of its cluster (itself included). The customer's cluster per
+    time point is one row per model (broadcast); members are a semi-join on
+    it, so no pairs are formed."""
     key_cols = list(key_cols)
-    clusters = (assigned.join(ids.select(*key_cols, "id"), [*key_cols, "id"], "left_semi")
-                .select(*key_cols, F.col("id").alias("of_id"), "cluster_id"))
-    return assigned.join(clusters, [*key_cols, "cluster_id"]).select(*key_cols, "of_id", "id", "cluster_id")
+    mine = (assigned.where(F.col("id") == customer_id)
+            .select(*key_cols, "cluster_id", F.lit(int(customer_id)).cast("bigint").alias("of_id")))
+    return assigned.join(F.broadcast(mine), [*key_cols, "cluster_id"]).select(*key_cols, "of_id", "id", "cluster_id")
 
 
 def co_membership_counts(assigned: DataFrame, key_cols: list[str] = ("time_point",)) -> DataFrame:

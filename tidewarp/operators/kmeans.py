@@ -15,13 +15,14 @@ import base64
 import pickle
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewarp.config import RunConfig
 from tidewarp.functions.vec import uniform_py
+from tidewarp.functions.arrowbatch import model_groups
 from tidewarp.functions.dtw import dtw_to_centres
 from tidewarp.operators.assign import Centres, assign, key_str, model_key
 
@@ -108,16 +109,13 @@ def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: i
     def run(batches):
         table = _task_centres(fixed)
         acc: dict = {}
-        for pdf in batches:
-            if pdf.empty:
+        for rb in batches:
+            if rb.num_rows == 0:
                 continue
-            lens = pdf["_s"].map(len).to_numpy()
-            frame = pd.DataFrame({"k": pdf["_m"].to_numpy(), "n": lens})
-            for (mk, n), rows in frame.groupby(["k", "n"]).indices.items():
+            for mk, n, rows, X in model_groups(rb.column(0), rb.column(1)):
                 C = table.get(mk)
                 if C is None:
                     continue
-                X = np.stack(pdf["_s"].iloc[rows].to_numpy()).astype(np.float64, copy=False).reshape(len(rows), n)
                 D = dtw_to_centres(X, C, gamma=gamma, band=band, mode=mode)
                 cl = D.argmin(axis=1)
                 idx = np.arange(len(cl))
@@ -147,9 +145,11 @@ def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: i
                 c += [cc] * len(vec)
                 i += list(range(len(vec)))
                 v += vec.tolist()
-            yield pd.DataFrame({"_m": m, "cluster_id": c, "slot": i, "v": v})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(m, pa.string()), pa.array(c, pa.int32()), pa.array(i, pa.int32()), pa.array(v, pa.float64())],
+                names=["_m", "cluster_id", "slot", "v"])
 
-    return series.select(model_key(key_cols).alias("_m"), F.col(series_col).alias("_s")).mapInPandas(
+    return series.select(model_key(key_cols).alias("_m"), F.col(series_col).alias("_s")).mapInArrow(
         run, "_m string, cluster_id int, slot int, v double")
 
 

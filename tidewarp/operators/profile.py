@@ -110,7 +110,8 @@ def nearest_samples(assigned: DataFrame, key_cols: list[str], n: int, series_col
     return dedup.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str = "rank") -> DataFrame:
+def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], name: str = "rank",
+                broadcast_starts: bool = False) -> DataFrame:
     """1-based rank inside each group without a per-group window.
 
     A range-partitioned global sort spreads a hot group over many tasks
@@ -119,7 +120,7 @@ def rank_within(df: DataFrame, group_cols: list[str], order_cols: list[str], nam
     """
     pos = dense_index(df, [*group_cols, *order_cols], "_gpos")
     starts = pos.groupBy(*group_cols).agg(F.min("_gpos").alias("_start"))
-    return (pos.join(starts, group_cols)
+    return (pos.join(F.broadcast(starts) if broadcast_starts else starts, group_cols)
             .withColumn(name, (F.col("_gpos") - F.col("_start") + 1).cast("int"))
             .drop("_gpos", "_start"))
 
@@ -131,10 +132,12 @@ def rank_by_own_mean(assigned: DataFrame, key_cols: list[str], length: int, cfg:
     The mean table (A3) is k x L per model, joined back on the cluster key;
     the distance is computed row-wise, the rank by :func:`rank_within`.
     """
+    # one row per (model, cluster): bounded by models x k, broadcast so a hot
+    # cluster is never a single join partition
     means = cluster_mean_vector(assigned, key_cols, length, series_col, "own_mean")
-    d = assigned.join(means, [*key_cols, "cluster_id"]).withColumn(
+    d = assigned.join(F.broadcast(means), [*key_cols, "cluster_id"]).withColumn(
         "mean_dist", distance_column(F.col(series_col), F.col("own_mean"), cfg.distance, cfg.gamma, cfg.band))
-    return rank_within(d, [*key_cols, "cluster_id"], ["mean_dist", "id"])
+    return rank_within(d, [*key_cols, "cluster_id"], ["mean_dist", "id"], broadcast_starts=True)
 
 
 def first_ranked(ranked: DataFrame, n: int) -> DataFrame:

@@ -169,7 +169,7 @@ def random_centres(q: Sql, keys: str, seed: int, length: int, name: str = "c0")
     seed_expr = f"concat_ws('-', '{seed}', time_point, k)"
     u = uniform01(seed_expr, "c", "j")
     return q.add(name, f"""SELECT time_point, CAST(k AS INTEGER) AS k, CAST(c AS INTEGER) AS cluster_id,
-  list_transform(range(0, {length}), lambda j: {u.replace('concat_ws', 'concat_ws')}) AS center
+  list_transform(range(0, {length}), lambda j: {u}) AS center
 FROM (SELECT time_point, k, unnest(range(0, k)) AS c FROM {keys})""")
 
 

@@ -131,16 +131,16 @@ def _sql_j6():
     q, s, c, a = _oracle_fit()
     return q.render(f"""SELECT o.time_point, o.k, o.id AS of_id, m.id, m.cluster_id
 FROM {a} o JOIN {a} m ON m.time_point = o.time_point AND m.k = o.k AND m.cluster_id = o.cluster_id
-WHERE o.id IN (SELECT CAST(s_suppkey AS BIGINT) FROM supplier WHERE s_nationkey = 0)""")
+WHERE o.id = (SELECT min(CAST(s_suppkey AS BIGINT)) FROM supplier WHERE s_nationkey = 0)""")
 
 
 @register("j6_companion_mask", _sql_j6())
 def j6(spark, sf_dir):
+    """The mask of one customer: the lowest supplier key of nation 0."""
     a = _asg(spark, sf_dir)
-    ids = (read_table(spark, sf_dir, "supplier").where(F.col("s_nationkey") == 0)
-           .select(F.col("s_suppkey").cast("bigint").alias("id")))
-    of = a.join(ids, "id", "left_semi").select(*KEYS, "id")
-    return J.companions_of(a, of, KEYS)
+    who = (read_table(spark, sf_dir, "supplier").where(F.col("s_nationkey") == 0)
+           .agg(F.min(F.col("s_suppkey").cast("bigint"))).first()[0])
+    return J.companions_of(a, who, KEYS)
 
 
 def _sql_j4():
