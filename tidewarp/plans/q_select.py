@@ -14,7 +14,7 @@ from tidewarp.plans.catalog import fx1_fit, r6, register
 
 # Fixed run parameters of the registered searches: k 5..10 and threshold 0.05
 # as in the original runs; eta and the pass cap bounded for a quick check.
-SEARCH_CFG = RunConfig(eta=1e-4, max_iter=20, min_k=5, max_k=10, sil_threshold=0.05, n_samples=50,
+SEARCH_CFG = RunConfig(eta=1e-4, max_iter=10, min_k=5, max_k=10, sil_threshold=0.05, n_samples=50,
                        init="random", seed=42)
 
 _RUNS: dict = {}
