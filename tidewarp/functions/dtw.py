@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_DOUBLE = float(np.finfo(np.float64).max)
-_CELL_BUDGET = 4_000_000  # DP cells held in memory per chunk (32 MB)
+_CELL_BUDGET = 250_000  # DP cells per chunk: the two live diagonals stay in cache (~2 MB)
 
 
 def _wavefront(cost_diag, n: int, m: int, p: int, gamma: float | None, band: int | None,
@@ -37,20 +37,24 @@ def _wavefront(cost_diag, n: int, m: int, p: int, gamma: float | None, band: int
     returns the local costs of the cells (i, j) as (len(i), P).
     """
     inf = np.inf
-    prev2 = np.full((n + 1, p), inf)
-    prev1 = np.full((n + 1, p), inf)
+    bufs = [np.full((n + 1, p), inf) for _ in range(3)]
+    prev2, prev1 = bufs[0], bufs[1]
     prev2[0] = 0.0  # D[0][0]
+    tmp = np.empty((n + 1, p))
     corner = None
     for d in range(2, n + m + 1):
         lo, hi = max(1, d - m), min(n, d - 1)
         if band is not None:
             lo, hi = max(lo, -(-(d - band) // 2)), min(hi, (d + band) // 2)
-        cur = np.full((n + 1, p), inf)
+        cur = bufs[d % 3]
+        cur.fill(inf)
         if lo <= hi:
             a = prev2[lo - 1:hi]
             b = prev1[lo - 1:hi]
             c = prev1[lo:hi + 1]
-            mn = np.minimum(np.minimum(a, b), c)
+            mn = tmp[:hi - lo + 1]
+            np.minimum(a, b, out=mn)
+            np.minimum(mn, c, out=mn)
             if gamma is None:
                 best = mn
             else:
@@ -58,7 +62,7 @@ def _wavefront(cost_diag, n: int, m: int, p: int, gamma: float | None, band: int
                     sm = np.exp((mn - a) / gamma) + np.exp((mn - b) / gamma) + np.exp((mn - c) / gamma)
                     best = np.where(np.isinf(mn), inf, mn - gamma * np.log(sm))
             i = np.arange(lo, hi + 1)
-            cur[lo:hi + 1] = cost_diag(i, d - i) + best
+            np.add(cost_diag(i, d - i), best, out=cur[lo:hi + 1])
         if d == n + m - 2 and mode == "prefix":
             corner = cur[n - 1].copy()
         prev2, prev1 = prev1, cur

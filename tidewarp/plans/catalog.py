@@ -123,3 +123,4 @@ from tidewarp.plans import q_drift  # noqa: E402,F401
 from tidewarp.plans import q_select  # noqa: E402,F401
 from tidewarp.plans import q_io  # noqa: E402,F401
 from tidewarp.plans import q_stream  # noqa: E402,F401
+from tidewarp.plans import q_labels  # noqa: E402,F401

@@ -506,3 +506,54 @@ def p3(spark, sf_dir):
 
 def explained_ok(ev: np.ndarray) -> bool:
     return bool(np.all(ev >= -1e-12) and ev.sum() <= 1 + 1e-9)
+
+
+# ---------------------------------------------------------------- D4, X8, SQL surface
+
+def _sql_d4():
+    q, s, c, a = _oracle_fit()
+    return q.render(f"""SELECT time_point, k, id, CAST(c - 1 AS INTEGER) AS centre, round(d, 6) AS d FROM (
+  SELECT time_point, k, id, unnest(range(1, len(dists) + 1)) AS c, unnest(dists) AS d FROM {a})""")
+
+
+@register("d4_all_distances", _sql_d4())
+def d4(spark, sf_dir):
+    a = _asg(spark, sf_dir)
+    return (a.select("time_point", "k", "id", F.posexplode("dists").alias("centre", "d"))
+            .select("time_point", "k", "id", F.col("centre").cast("int"), r6(F.col("d")).alias("d")))
+
+
+X8_CLUSTER = 0
+
+
+def _sql_x8():
+    q, s, c, a = _oracle_fit()
+    return q.render(f"SELECT time_point, k, id, round({O.lsum('series_norm')}, 6) AS norm_sum FROM {a} "
+                    f"WHERE cluster_id = {X8_CLUSTER}")
+
+
+@register("x8_members_of_cluster", _sql_x8())
+def x8(spark, sf_dir):
+    from tidewarp.operators.reshape import members_of
+
+    m = members_of(_asg(spark, sf_dir), X8_CLUSTER)
+    return m.select("time_point", "k", "id", r6(V.series_sum("series_norm")).alias("norm_sum"))
+
+
+def _sql_dsql():
+    q, s, c, a = _oracle_fit()
+    return q.render(f"""SELECT a.time_point, a.id, round({O.dtw('a.series_norm', 'c.center')}, 6) AS d
+FROM {a} a JOIN {c} c ON a.time_point = c.time_point AND a.k = c.k AND c.cluster_id = 0""")
+
+
+@register("d1_dtw_registered_sql_function", _sql_dsql())
+def dsql(spark, sf_dir):
+    """The SQL surface: ``dtw`` registered as a function and called from SQL."""
+    from tidewarp.functions.dtw import register as register_functions
+
+    fit = _fit(spark, sf_dir)
+    register_functions(spark)
+    fit.assignments.select("time_point", "k", "id", "series_norm").createOrReplaceTempView("tw_assignments")
+    km.centres_frame(spark, fit.centres, KEYS).createOrReplaceTempView("tw_centres")
+    return spark.sql("""SELECT a.time_point, a.id, round(dtw(a.series_norm, c.center), 6) + 0.0 AS d
+FROM tw_assignments a JOIN tw_centres c ON a.time_point = c.time_point AND a.k = c.k AND c.cluster_id = 0""")
