@@ -111,6 +111,28 @@ def dtw_to_centres(X: np.ndarray, C: np.ndarray, *, gamma: float | None = None,
     return out
 
 
+def dtw_to_row_centres(X: np.ndarray, Crow: np.ndarray, *, gamma: float | None = None, band: int | None = None,
+                       mode: str = "full") -> np.ndarray:
+    """Distances of every row of X (B, n) to its own centre table Crow[b]
+    (B, K, m): (B, K). Lets one batch hold rows of many models."""
+    nrows, n = X.shape
+    _, k, m = Crow.shape
+    out = np.empty((nrows, k))
+    step = max(1, _CELL_BUDGET // (3 * (n + 1) * k))
+    sq = gamma is not None
+    for s in range(0, nrows, step):
+        xt = np.ascontiguousarray(X[s:s + step].T)
+        ct = np.ascontiguousarray(Crow[s:s + step].transpose(2, 0, 1))  # (m, b, K)
+        b = xt.shape[1]
+
+        def cost(i, j, xt=xt, ct=ct, b=b):
+            diff = xt[i - 1][:, :, None] - ct[j - 1]
+            return (diff * diff if sq else np.abs(diff)).reshape(len(i), b * k)
+
+        out[s:s + step] = _wavefront(cost, n, m, b * k, gamma, band, mode).reshape(b, k)
+    return out
+
+
 def dtw_many(xs, ys, *, gamma: float | None = None, band: int | None = None, mode: str = "full") -> np.ndarray:
     """Row-wise distances of two sequences of (possibly ragged) series."""
     xs = [None if v is None else np.asarray(v, dtype=np.float64) for v in xs]

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewarp.config import RunConfig
-from tidewarp.functions.arrowbatch import list_column, model_groups
-from tidewarp.functions.dtw import dtw_to_centres
+from tidewarp.functions.arrowbatch import length_groups, list_column, stack_centres
+from tidewarp.functions.dtw import dtw_to_row_centres
 
 CENTRE_BUDGET_BYTES = 64 * 1024 * 1024
 
@@ -66,16 +66,20 @@ def _dists_map(centres: Centres, cfg: RunConfig, schema: T.StructType):
             n_rows = rb.num_rows
             out = [None] * n_rows
             if n_rows:
-                for mk, n, rows, X in model_groups(rb.column("_mk"), rb.column("_sx")):
-                    C = table.get(mk)
-                    if C is None:
+                for n, rows, X, codes, names in length_groups(rb.column("_mk"), rb.column("_sx")):
+                    stack, kval = stack_centres(table, names)
+                    if stack is None:
                         continue
-                    D = dtw_to_centres(X, C, gamma=gamma, band=band, mode=mode)
-                    for r, d in zip(rows, D):
-                        out[r] = d
+                    kr = kval[codes]
+                    use = np.flatnonzero(kr > 0)
+                    if len(use) == 0:
+                        continue
+                    D = dtw_to_row_centres(X[use], stack[codes[use]], gamma=gamma, band=band, mode=mode)
+                    for r, d, kk in zip(rows[use], D, kr[use]):
+                        out[r] = d[:kk]
             cols = [rb.column(i) for i in range(rb.num_columns) if rb.schema.names[i] not in ("_mk", "_sx")]
-            names = [nm for nm in rb.schema.names if nm not in ("_mk", "_sx")]
-            yield pa.RecordBatch.from_arrays(cols + [list_column(out, n_rows, None)], names=names + ["dists"])
+            names_out = [nm for nm in rb.schema.names if nm not in ("_mk", "_sx")]
+            yield pa.RecordBatch.from_arrays(cols + [list_column(out, n_rows, None)], names=names_out + ["dists"])
 
     return run
 

@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from tidewarp.config import RunConfig
 from tidewarp.functions.vec import uniform_py
-from tidewarp.functions.arrowbatch import model_groups
-from tidewarp.functions.dtw import dtw_to_centres
+from tidewarp.functions.arrowbatch import length_groups, stack_centres
+from tidewarp.functions.dtw import dtw_to_row_centres
 from tidewarp.operators.assign import Centres, assign, key_str, model_key
 
 
@@ -112,32 +112,43 @@ def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: i
         for rb in batches:
             if rb.num_rows == 0:
                 continue
-            for mk, n, rows, X in model_groups(rb.column(0), rb.column(1)):
-                C = table.get(mk)
-                if C is None:
+            for n, rows, X, codes, names in length_groups(rb.column(0), rb.column(1)):
+                stack, kval = stack_centres(table, names)
+                if stack is None:
                     continue
-                D = dtw_to_centres(X, C, gamma=gamma, band=band, mode=mode)
+                kr = kval[codes]
+                use = kr > 0
+                if not use.all():
+                    X, codes, kr = X[use], codes[use], kr[use]
+                if len(X) == 0:
+                    continue
+                kmax = stack.shape[1]
+                D = dtw_to_row_centres(X, stack[codes], gamma=gamma, band=band, mode=mode)
+                D[np.arange(kmax)[None, :] >= kr[:, None]] = np.inf  # padding columns
                 cl = D.argmin(axis=1)
                 idx = np.arange(len(cl))
                 own = D[idx, cl]
-                if D.shape[1] > 1:
-                    Dm = D.copy()
-                    Dm[idx, cl] = np.inf
-                    other = Dm.min(axis=1)
-                    den = np.maximum(own, other)
-                    with np.errstate(invalid="ignore", divide="ignore"):
-                        sil = np.where(den == 0, np.nan if compat else 0.0, (other - own) / den)
-                else:
-                    sil = np.full(len(cl), np.nan)
+                Dm = D.copy()
+                Dm[idx, cl] = np.inf
+                other = Dm.min(axis=1)
+                den = np.maximum(own, other)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    sil = np.where(den == 0, np.nan if compat else 0.0, (other - own) / den)
+                sil[kr < 2] = np.nan
                 Xl = X[:, :length] if n >= length else np.pad(X, ((0, 0), (0, length - n)))
-                for c in np.unique(cl):
-                    sel = cl == c
-                    sc = sil[sel]
-                    ok = ~np.isnan(sc)
-                    part = np.concatenate([Xl[sel].sum(axis=0),
-                                           [sel.sum(), sc[ok].sum(), ok.sum(), own[sel].sum()]])
-                    key = (mk, int(c))
-                    acc[key] = acc[key] + part if key in acc else part
+                grp, inv = np.unique(codes.astype(np.int64) * kmax + cl, return_inverse=True)
+                ok = ~np.isnan(sil)
+                g = len(grp)
+                parts = np.empty((g, length + 4))
+                for j in range(length):
+                    parts[:, j] = np.bincount(inv, weights=Xl[:, j], minlength=g)
+                parts[:, length] = np.bincount(inv, minlength=g)
+                parts[:, length + 1] = np.bincount(inv, weights=np.where(ok, sil, 0.0), minlength=g)
+                parts[:, length + 2] = np.bincount(inv, weights=ok.astype(np.float64), minlength=g)
+                parts[:, length + 3] = np.bincount(inv, weights=own, minlength=g)
+                for gi, key_code in enumerate(grp):
+                    key = (names[int(key_code // kmax)], int(key_code % kmax))
+                    acc[key] = acc[key] + parts[gi] if key in acc else parts[gi]
         if acc:
             m, c, i, v = [], [], [], []
             for (mk, cc), vec in acc.items():

@@ -23,8 +23,14 @@ def with_run_columns(df: DataFrame, run_kind: str, new_mean_method: str, balance
 
 
 def write_entity(df: DataFrame, path: str) -> None:
-    """Idempotent partitioned write of one entity table."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    """Idempotent partitioned write of one entity table.
+
+    ``rebalance`` on the partition columns clusters each time point into few
+    files while adaptive execution splits a skewed time point into
+    advisory-sized tasks (no tasks x time points small files, no whole time
+    point in one task).
+    """
+    (df.hint("rebalance", *PARTITION_COLS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(*PARTITION_COLS).parquet(path))
 
 
@@ -40,7 +46,10 @@ def clustered_result(result_per_centre: DataFrame, spent_time: int) -> DataFrame
 
 
 def write_text_lines(df: DataFrame, text_col: str, path: str, partition_col: str | None = None) -> None:
-    w = df.select(*([partition_col] if partition_col else []), F.col(text_col).alias("value")).write.mode("overwrite")
+    out = df.select(*([partition_col] if partition_col else []), F.col(text_col).alias("value"))
+    if partition_col:
+        out = out.hint("rebalance", partition_col)
+    w = out.write.mode("overwrite")
     if partition_col:
         # replace only the folders this write produces (W10 and W11 share a base)
         w = w.option("partitionOverwriteMode", "dynamic").partitionBy(partition_col)
