@@ -74,13 +74,14 @@ ORACLE_CFG = RunConfig(eta=0.0, max_iter=ORACLE_PASSES, min_k=ORACLE_K, max_k=OR
 _FIT_CACHE: dict = {}
 
 
-def fx1_fit(spark: SparkSession, sf_dir: str, ks=(ORACLE_K,), cfg: RunConfig = ORACLE_CFG):
-    """The shared fixed-pass fit over FX-1 (cached per session and input)."""
-    key = (id(spark), sf_dir, tuple(ks), cfg)
+def fx1_fit(spark: SparkSession, sf_dir: str, ks=(ORACLE_K,), cfg: RunConfig = ORACLE_CFG, fixture: str = "fx1"):
+    """The shared fixed-pass fit over a fixture (FX-1 by default), cached per
+    session and input."""
+    key = (id(spark), sf_dir, tuple(ks), cfg, fixture)
     hit = _FIT_CACHE.get(key)
     if hit is not None:
         return hit
-    s = cut_lineage(fixture_series(spark, sf_dir, "fx1", length=cfg.series_length))
+    s = cut_lineage(fixture_series(spark, sf_dir, fixture, length=cfg.series_length))
     sk = cut_lineage(km.fan_out_k(s, list(ks)))
     init = km.lowest_id_centres(s, list(ks))
     fit = km.fit(sk, init, ["time_point", "k"], cfg)
@@ -89,9 +90,9 @@ def fx1_fit(spark: SparkSession, sf_dir: str, ks=(ORACLE_K,), cfg: RunConfig = O
     return s, fit
 
 
-def _oracle_fit(ks=(ORACLE_K,), passes=ORACLE_PASSES):
+def _oracle_fit(ks=(ORACLE_K,), passes=ORACLE_PASSES, fixture: str = "fx1"):
     q = O.Sql()
-    s = O.fixture_series(q, "fx1")
+    s = O.fixture_series(q, fixture)
     sk = O.fan_out_k(q, s, list(ks))
     c0 = O.lowest_id_centres(q, s, list(ks))
     c, a = O.kmeans(q, sk, c0, passes, 12)
@@ -116,6 +117,23 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.count(F.lit(1)).cast("bigint").alias("cluster_size"), r6(F.avg("dist")).alias("mean_distance")))
 
 
+FX3_K = 3
+
+
+def _fx3_sql() -> str:
+    q, s, c, a = _oracle_fit((FX3_K,), ORACLE_PASSES, "fx3")
+    return q.render(f"""SELECT time_point, k, cluster_id, CAST(count(*) AS BIGINT) AS cluster_size,
+  round(avg(dist), 6) AS mean_distance FROM {a} GROUP BY time_point, k, cluster_id""")
+
+
+@register("fx3_user_day_cluster_profile", _fx3_sql())
+def fx3_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX-3 (events, user x day, 16 windows): the flagship on another table."""
+    _, fit = fx1_fit(spark, sf_dir, (FX3_K,), ORACLE_CFG.with_(min_k=FX3_K, max_k=FX3_K), "fx3")
+    return (fit.assignments.groupBy("time_point", "k", "cluster_id")
+            .agg(F.count(F.lit(1)).cast("bigint").alias("cluster_size"), r6(F.avg("dist")).alias("mean_distance")))
+
+
 # query modules register themselves on import
 from tidewarp.plans import q_basic  # noqa: E402,F401
 from tidewarp.plans import q_cluster  # noqa: E402,F401
