@@ -59,6 +59,8 @@ def length_groups(keys: pa.Array, series: pa.Array):
     lens = np.diff(offsets)
     valid = ~np.asarray(series.is_null().to_numpy(zero_copy_only=False), dtype=bool)
     for n in np.unique(lens[valid]):
+        if n == 0:
+            continue  # an empty series has no distance: its row stays NULL
         rows = np.flatnonzero((lens == n) & valid)
         idx = offsets[rows][:, None] + np.arange(int(n))[None, :]
         yield int(n), rows, values[idx], codes[rows], names
@@ -80,3 +82,14 @@ def stack_centres(table: dict, names: list):
             stack[ci, :mt.shape[0]] = mt
             kval[ci] = mt.shape[0]
     return stack, kval
+
+
+def ragged_rows(D: np.ndarray, k: np.ndarray, null: np.ndarray) -> pa.Array:
+    """list<double> column whose row r holds D[r, :k[r]] (NULL where
+    ``null``), built without per-row Python objects."""
+    k = np.where(null, 0, k).astype(np.int32)
+    offsets = np.zeros(len(k) + 1, dtype=np.int32)
+    np.cumsum(k, out=offsets[1:])
+    values = D[np.arange(D.shape[1])[None, :] < k[:, None]] if D.size else np.zeros(0)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, type=pa.float64()),
+                                    mask=pa.array(null) if null.any() else None)

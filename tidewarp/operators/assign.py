@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewarp.config import RunConfig
-from tidewarp.functions.arrowbatch import length_groups, list_column, stack_centres
+from tidewarp.functions.arrowbatch import length_groups, ragged_rows, stack_centres
 from tidewarp.functions.dtw import dtw_to_row_centres
 
 CENTRE_BUDGET_BYTES = 64 * 1024 * 1024
@@ -61,10 +61,13 @@ def _dists_map(centres: Centres, cfg: RunConfig, schema: T.StructType):
     band = cfg.band
     mode = "prefix" if cfg.compat and cfg.distance == "dtw" else "full"
 
+    kmax_all = max((np.asarray(v).shape[0] for v in centres.values()), default=0)
+
     def run(batches):
         for rb in batches:
             n_rows = rb.num_rows
-            out = [None] * n_rows
+            Dfull = np.full((n_rows, kmax_all), np.inf)
+            kk = np.zeros(n_rows, dtype=np.int64)
             if n_rows:
                 for n, rows, X, codes, names in length_groups(rb.column("_mk"), rb.column("_sx")):
                     stack, kval = stack_centres(table, names)
@@ -75,11 +78,11 @@ def _dists_map(centres: Centres, cfg: RunConfig, schema: T.StructType):
                     if len(use) == 0:
                         continue
                     D = dtw_to_row_centres(X[use], stack[codes[use]], gamma=gamma, band=band, mode=mode)
-                    for r, d, kk in zip(rows[use], D, kr[use]):
-                        out[r] = d[:kk]
+                    Dfull[rows[use], :D.shape[1]] = D
+                    kk[rows[use]] = kr[use]
             cols = [rb.column(i) for i in range(rb.num_columns) if rb.schema.names[i] not in ("_mk", "_sx")]
             names_out = [nm for nm in rb.schema.names if nm not in ("_mk", "_sx")]
-            yield pa.RecordBatch.from_arrays(cols + [list_column(out, n_rows, None)], names=names_out + ["dists"])
+            yield pa.RecordBatch.from_arrays(cols + [ragged_rows(Dfull, kk, kk == 0)], names=names_out + ["dists"])
 
     return run
 

@@ -18,7 +18,7 @@ from tidewarp.config import RunConfig
 from tidewarp.operators import kmeans as km
 from tidewarp.plans import oracle as O
 from tidewarp.plans.series import fixture_series
-from tidewarp.session import cut_lineage
+from tidewarp.session import cut_lineage, session_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -77,7 +77,7 @@ _FIT_CACHE: dict = {}
 def fx1_fit(spark: SparkSession, sf_dir: str, ks=(ORACLE_K,), cfg: RunConfig = ORACLE_CFG, fixture: str = "fx1"):
     """The shared fixed-pass fit over a fixture (FX-1 by default), cached per
     session and input."""
-    key = (id(spark), sf_dir, tuple(ks), cfg, fixture)
+    key = (session_key(spark), sf_dir, tuple(ks), cfg, fixture)
     hit = _FIT_CACHE.get(key)
     if hit is not None:
         return hit

@@ -14,7 +14,7 @@ from tidewarp.plans import oracle as O
 from tidewarp.plans.catalog import ORACLE_CFG, ORACLE_K, ORACLE_PASSES, _oracle_fit, fx1_fit, r6, register
 from tidewarp.plans.q_basic import dflat, flat
 from tidewarp.plans.series import fixture_series
-from tidewarp.session import cut_lineage
+from tidewarp.session import cut_lineage, session_key
 
 L = 12
 KEYS = ["time_point", "k"]
@@ -134,7 +134,7 @@ _RANDOM_FITS: dict = {}
 
 
 def random_init_fit(spark, sf_dir):
-    key = (id(spark), sf_dir)
+    key = (session_key(spark), sf_dir)
     if key not in _RANDOM_FITS:
         s, _ = fx1_fit(spark, sf_dir)
         sk = cut_lineage(km.fan_out_k(s, [ORACLE_K]))
@@ -457,7 +457,7 @@ _PCA: dict = {}
 
 
 def pca_per_time_point(spark, sf_dir):
-    key = (id(spark), sf_dir)
+    key = (session_key(spark), sf_dir)
     if key not in _PCA:
         s, _ = fx1_fit(spark, sf_dir)
         _PCA[key] = Q.pca_by_group(s, "time_point", 3)

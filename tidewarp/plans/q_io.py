@@ -17,7 +17,7 @@ from tidewarp.plans.q_basic import X6_N, X6_SEED, dflat, flat
 from tidewarp.plans.q_cluster import K1_N, pca_projection
 from tidewarp.plans.q_drift import _migration_sql
 from tidewarp.plans.runs import save_result
-from tidewarp.session import staging_path
+from tidewarp.session import session_key, staging_path
 from tidewarp.sources import sinks as W
 from tidewarp.sources import text as S
 from tidewarp.sources.tables import FX1, fx1_panel
@@ -30,7 +30,7 @@ _WRITTEN: dict = {}
 
 def window_files(spark, sf_dir) -> str:
     """The FX-1 windows as ``id,v0..v14`` text, one folder per time point."""
-    key = ("w12", id(spark), sf_dir)
+    key = ("w12", session_key(spark), sf_dir)
     if key not in _WRITTEN:
         s, _ = fx1_fit(spark, sf_dir)
         path = staging_path(spark, "windows")
@@ -40,7 +40,7 @@ def window_files(spark, sf_dir) -> str:
 
 
 def saved(spark, sf_dir) -> dict:
-    key = ("save", id(spark), sf_dir)
+    key = ("save", session_key(spark), sf_dir)
     if key not in _WRITTEN:
         _, fit = fx1_fit(spark, sf_dir)
         _WRITTEN[key] = save_result(spark, staging_path(spark, "results"), fit.assignments, fit.centres,
@@ -129,7 +129,7 @@ def x7(spark, sf_dir):
 
 
 def _results_dir(spark, sf_dir) -> str:
-    key = ("w10", id(spark), sf_dir)
+    key = ("w10", session_key(spark), sf_dir)
     if key not in _WRITTEN:
         _, fit = fx1_fit(spark, sf_dir)
         run_sil = Q.run_silhouette(Q.cluster_silhouettes(fit.assignments, KEYS), KEYS)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidewarp.config import RunConfig
 from tidewarp.operators import select as S
 from tidewarp.plans.catalog import fx1_fit, r6, register
+from tidewarp.session import session_key
 
 # Fixed run parameters of the registered searches: k 5..10 and threshold 0.05
 # as in the original runs; eta and the pass cap bounded for a quick check.
@@ -21,7 +22,7 @@ _RUNS: dict = {}
 
 
 def warm(spark, sf_dir, method: str = "mean_of_previous_mean"):
-    key = (id(spark), sf_dir, method)
+    key = (session_key(spark), sf_dir, method)
     if key not in _RUNS:
         s, _ = fx1_fit(spark, sf_dir)
         _RUNS[key] = S.warm_run(s, SEARCH_CFG.with_(warm_start=True, new_centre_method=method))
@@ -29,7 +30,7 @@ def warm(spark, sf_dir, method: str = "mean_of_previous_mean"):
 
 
 def cold(spark, sf_dir):
-    key = (id(spark), sf_dir, "cold")
+    key = (session_key(spark), sf_dir, "cold")
     if key not in _RUNS:
         s, _ = fx1_fit(spark, sf_dir)
         _RUNS[key] = S.cold_run(s, SEARCH_CFG)

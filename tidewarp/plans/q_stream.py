@@ -10,7 +10,7 @@ from tidewarp.operators.assign import assign
 from tidewarp.plans import oracle as O
 from tidewarp.plans.catalog import ORACLE_CFG, _oracle_fit, fx1_fit, r6, register
 from tidewarp.plans.q_basic import dflat, flat
-from tidewarp.session import staging_path
+from tidewarp.session import session_key, staging_path
 from tidewarp.sources.tables import FX1, fx1_panel
 from tidewarp.streaming import stream as T
 
@@ -60,7 +60,7 @@ def t2(spark, sf_dir):
 
 
 def feed(spark, sf_dir) -> str:
-    key = ("feed", id(spark), sf_dir)
+    key = ("feed", session_key(spark), sf_dir)
     if key not in _DONE:
         path = staging_path(spark, "feed")
         T.write_feed(T.encode_messages(dense_panel(spark, sf_dir)), path)
@@ -69,7 +69,7 @@ def feed(spark, sf_dir) -> str:
 
 
 def streamed_windows(spark, sf_dir) -> DataFrame:
-    key = ("windows", id(spark), sf_dir)
+    key = ("windows", session_key(spark), sf_dir)
     if key not in _DONE:
         src = T.read_feed_stream(spark, feed(spark, sf_dir), files_per_trigger=16)
         wins = T.windowed_series(T.decode_messages(src, "message"), WINDOW, L)

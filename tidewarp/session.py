@@ -74,3 +74,9 @@ def cut_lineage(df: DataFrame, reliable: bool = False) -> DataFrame:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def session_key(spark: SparkSession) -> str:
+    """Cache key of a session: its application id (unique per context, unlike
+    ``id()`` which Python may reuse after a session is stopped)."""
+    return f"{spark.sparkContext.applicationId}:{spark.sparkContext.startTime}"
