@@ -184,3 +184,23 @@ def test_changed_threshold_inclusive(spark, lag):
     a = spark.createDataFrame(rows, "time_point int, id long, cluster_id int")
     ch = J.changed_customers(a, lag, 1.0).collect()  # ratio is exactly 1.0: counted as changed
     assert len(ch) == 4
+
+
+def test_compat_quirks(spark):
+    from tidewarp.functions.dtw import dtw_one
+    from tidewarp.operators import select as S
+
+    rows = _random_series(1, 20, 5, seed=4)
+    s = series_df(spark, rows, k=2)
+    init = {(0, 2): km.random_centres(2, 5, "q")}
+    cfg = RunConfig(eta=0.0, max_iter=2, series_length=5, compat=True)
+    fit = km.fit(s, init, KEYS, cfg)
+    assert fit.passes[(0, 2)] == 3  # Q4: max_iter + 1 passes
+    # Q3: assignments are to the centres before the last update; Q1: prefix corner
+    prev_fit = km.fit(s, init, KEYS, cfg.with_(max_iter=1))
+    prev_centres = prev_fit.centres[(0, 2)]
+    for r in fit.assignments.collect():
+        want = min(dtw_one(r["series_norm"], c, mode="prefix") for c in prev_centres)
+        assert math.isclose(r["dist"], want, rel_tol=1e-12, abs_tol=1e-12)
+    assert S._worst({0: 0.9, 1: 0.1}, compat=True) == 0  # Q5: lowest cluster id
+    assert S._worst({0: 0.9, 1: 0.1}, compat=False) == 1
