@@ -9,8 +9,6 @@ numbers per model to the driver. Converged models drop out of later passes.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-
 import base64
 import pickle
 
@@ -27,14 +25,30 @@ from tidewarp.functions.dtw import dtw_to_row_centres
 from tidewarp.operators.assign import Centres, assign, key_str, model_key
 
 
-@dataclass
 class KMeansFit:
-    centres: Centres
-    assignments: DataFrame
-    passes: dict = field(default_factory=dict)
-    shifts: dict = field(default_factory=dict)
-    key_cols: list = field(default_factory=list)
-    stats: dict = field(default_factory=dict)
+    """Result of a fit: final centres, pass counts, shifts, per-model stats
+    (sizes, silhouettes, mean distances) and the final assignment, whose
+    plan is built on first use (search candidates usually never need it)."""
+
+    def __init__(self, centres: Centres, assign_fn, passes: dict, shifts: dict, key_cols: list,
+                 stats: dict | None = None):
+        self.centres = centres
+        self.passes = passes
+        self.shifts = shifts
+        self.key_cols = key_cols
+        self.stats = stats or {}
+        self._assign_fn = assign_fn
+        self._assignments = None
+
+    @property
+    def assignments(self) -> DataFrame:
+        if self._assignments is None:
+            self._assignments = self._assign_fn()
+        return self._assignments
+
+    @assignments.setter
+    def assignments(self, df: DataFrame) -> None:
+        self._assignments = df
 
 
 def centre_shift(old: np.ndarray, new: np.ndarray) -> float:
@@ -272,8 +286,8 @@ def fit(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunConfig,
             seen[k][sig] = step
             hist[k].append(new[k])
     target = prev if cfg.compat else cur
-    assigned = assign(series, target, key_cols, cfg, series_col)
-    result = KMeansFit(centres=cur, assignments=assigned, passes=passes, shifts=shifts, key_cols=list(key_cols))
+    result = KMeansFit(cur, lambda: assign(series, target, key_cols, cfg, series_col), passes, shifts,
+                       list(key_cols))
     if with_stats:
         sums = _pass_sums(plan, series, target, key_cols, cfg, length, series_col, n_parts)
         result.stats = _stats(sums, by_str, length)

@@ -76,10 +76,14 @@ def _worst(sil_map: dict, compat: bool) -> int:
     return min(items, key=lambda cs: (cs[1], cs[0]))[0]
 
 
-def _grow(centres: np.ndarray, method: str, tp: int, cfg: RunConfig, assigned: DataFrame | None,
+def _grow(centres: np.ndarray, method: str, tp: int, cfg: RunConfig, source,
           sil_map: dict, step: int) -> np.ndarray:
-    """One more centre."""
+    """One more centre. ``source`` is (fit, k): the fit whose model k
+    is grown; its assignment is only planned for the data-driven methods."""
     k = centres.shape[0]
+    fit_src, k_src = source
+    assigned = (fit_src.assignments.where(F.col("k") == k_src)
+                if method in ("furthest", "furthest_in_cluster") else None)
     if method == "random":
         return km.add_random_centre(centres, f"{cfg.seed}-{tp}-{k}-add{step}")
     if method == "furthest":
@@ -101,9 +105,9 @@ def refine(series_tp: DataFrame, tp: int, prev_centres: np.ndarray, cfg: RunConf
     keep = Choice(tp, K, keep_fit.centres[(tp, K)], keep_res[0], keep_res[1], "keep")
     start = prev_centres if cfg.compat else keep.centres
     # state of each chain: (centres, sil, sil_map, assignments of its model, accepted?)
-    back = {"c": start, "sil": keep.run_silhouette, "map": keep.cluster_sil, "asg": keep_fit.assignments,
+    back = {"c": start, "sil": keep.run_silhouette, "map": keep.cluster_sil, "asg": (keep_fit, K),
             "alive": K - 1 >= max(cfg.min_k, 2), "acc": None}
-    fwd = {"c": start, "sil": keep.run_silhouette, "map": keep.cluster_sil, "asg": keep_fit.assignments,
+    fwd = {"c": start, "sil": keep.run_silhouette, "map": keep.cluster_sil, "asg": (keep_fit, K),
            "alive": K + 1 <= cfg.max_k, "acc": None}
     step = 1
     steps = []
@@ -126,8 +130,7 @@ def refine(series_tp: DataFrame, tp: int, prev_centres: np.ndarray, cfg: RunConf
             if sil is None or not (sil > base + cfg.sil_threshold):
                 chain["alive"] = False
                 continue
-            asg = fit.assignments.where(F.col("k") == k)
-            chain.update(c=fit.centres[(tp, k)], sil=sil, map=smap, asg=asg,
+            chain.update(c=fit.centres[(tp, k)], sil=sil, map=smap, asg=(fit, k),
                          acc=Choice(tp, k, fit.centres[(tp, k)], sil, smap, name))
             nk = k - 1 if name == "backward" else k + 1
             chain["alive"] = (nk >= max(cfg.min_k, 2)) if name == "backward" else (nk <= cfg.max_k)
