@@ -59,7 +59,9 @@ def sweep(series: DataFrame, cfg: RunConfig) -> tuple[dict, km.KMeansFit]:
     """C6 + C13: every k of min..max for every time point in one packed fit."""
     ks = list(range(cfg.min_k, cfg.max_k + 1))
     tps = [r[0] for r in series.select("time_point").distinct().collect()]
-    sk = cut_lineage(km.fan_out_k(series, ks))
+    # the k fan-out is an explode inside each pass's task over the cached
+    # input: the candidate ks never multiply what is stored
+    sk = km.fan_out_k(series, ks)
     fit = km.fit(sk, init_centres(series, tps, ks, cfg), KEYS, cfg)
     res = km.run_silhouettes(fit.stats)
     best = _best(res, tps)
@@ -147,6 +149,15 @@ def refine(series_tp: DataFrame, tp: int, prev_centres: np.ndarray, cfg: RunConf
 ROWS_PER_PARTITION = 50_000
 
 
+def _run_input(series: DataFrame, cfg: RunConfig) -> DataFrame:
+    """Time points from..to of the input; persisted here only when the caller
+    has not persisted it already (a filter over a cached table scans the
+    cache, no second copy)."""
+    level = series.storageLevel
+    s = series.where((F.col("time_point") >= cfg.from_tp) & (F.col("time_point") <= cfg.to_tp))
+    return s if (level.useMemory or level.useDisk) else cut_lineage(s)
+
+
 def warm_run(series: DataFrame, cfg: RunConfig, rows_per_partition: int = ROWS_PER_PARTITION) -> tuple[dict, DataFrame]:
     """C14 over time points from..to: the first by a sweep, every later one
     refined from the previous choice. Returns the choices and one packed
@@ -156,7 +167,7 @@ def warm_run(series: DataFrame, cfg: RunConfig, rows_per_partition: int = ROWS_P
     ``ceil(rows / rows_per_partition)`` partitions (row counts come from one
     grouped count), and released when the time point is done.
     """
-    s = cut_lineage(series.where((F.col("time_point") >= cfg.from_tp) & (F.col("time_point") <= cfg.to_tp)))
+    s = _run_input(series, cfg)
     counts = dict(s.groupBy("time_point").count().collect())
     choices: dict = {}
     prev = None
@@ -184,7 +195,7 @@ def final_assignment(series: DataFrame, choices: dict, cfg: RunConfig) -> DataFr
 def cold_run(series: DataFrame, cfg: RunConfig) -> tuple[dict, DataFrame]:
     """C13 with C6: independent time points, best k each, one packed fit;
     the chosen models' assignments are a filter of the packed assignment."""
-    s = cut_lineage(series.where((F.col("time_point") >= cfg.from_tp) & (F.col("time_point") <= cfg.to_tp)))
+    s = _run_input(series, cfg)
     choices, fit = sweep(s, cfg)
     spark = s.sparkSession
     chosen = spark.createDataFrame([(int(tp), int(c.k)) for tp, c in choices.items()], "time_point int, k int")

@@ -82,7 +82,7 @@ def fx1_fit(spark: SparkSession, sf_dir: str, ks=(ORACLE_K,), cfg: RunConfig = O
     if hit is not None:
         return hit
     s = cut_lineage(fixture_series(spark, sf_dir, fixture, length=cfg.series_length))
-    sk = cut_lineage(km.fan_out_k(s, list(ks)))
+    sk = km.fan_out_k(s, list(ks))  # explode per pass over the cached base, no cached copy
     init = km.lowest_id_centres(s, list(ks))
     fit = km.fit(sk, init, ["time_point", "k"], cfg)
     fit.assignments = cut_lineage(fit.assignments)

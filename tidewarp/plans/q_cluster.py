@@ -137,7 +137,7 @@ def random_init_fit(spark, sf_dir):
     key = (session_key(spark), sf_dir)
     if key not in _RANDOM_FITS:
         s, _ = fx1_fit(spark, sf_dir)
-        sk = cut_lineage(km.fan_out_k(s, [ORACLE_K]))
+        sk = km.fan_out_k(s, [ORACLE_K])  # explode per pass over the cached base, no cached copy
         tps = [r[0] for r in s.select("time_point").distinct().collect()]
         init = {(tp, ORACLE_K): km.random_centres(ORACLE_K, L, f"{RANDOM_SEED}-{tp}-{ORACLE_K}") for tp in tps}
         _RANDOM_FITS[key] = km.fit(sk, init, KEYS, ORACLE_CFG)
