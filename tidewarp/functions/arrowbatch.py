@@ -7,42 +7,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def model_groups(keys: pa.Array, series: pa.Array):
-    """Yield (model key, series length, row indices, X (rows, length)) for the
-    rows of a batch, grouped by model and by series length."""
-    if isinstance(keys, pa.ChunkedArray):
-        keys = keys.combine_chunks()
-    if isinstance(series, pa.ChunkedArray):
-        series = series.combine_chunks()
-    enc = pc.dictionary_encode(keys)
-    codes = enc.indices.to_numpy(zero_copy_only=False)
-    names = enc.dictionary.to_pylist()
-    offsets = series.offsets.to_numpy()
-    values = series.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    lens = np.diff(offsets)
-    valid = ~np.asarray(series.is_null().to_numpy(zero_copy_only=False), dtype=bool)
-    combo = codes.astype(np.int64) * (int(lens.max(initial=0)) + 1) + lens
-    for key in np.unique(combo[valid]):
-        rows = np.flatnonzero((combo == key) & valid)
-        n = int(lens[rows[0]])
-        idx = offsets[rows][:, None] + np.arange(n)[None, :]
-        yield names[int(codes[rows[0]])], n, rows, values[idx]
-
-
-def list_column(matrix_rows: list, n_rows: int, width_of) -> pa.Array:
-    """A list<double> column from per-row numpy vectors (None where missing)."""
-    lengths = np.array([0 if r is None else len(r) for r in matrix_rows], dtype=np.int32)
-    offsets = np.zeros(n_rows + 1, dtype=np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    flat = np.concatenate([r for r in matrix_rows if r is not None]) if lengths.sum() else np.zeros(0)
-    mask = np.array([r is None for r in matrix_rows])
-    arr = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float64()))
-    if mask.any():
-        arr = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, type=pa.float64()),
-                                       mask=pa.array(mask))
-    return arr
-
-
 def length_groups(keys: pa.Array, series: pa.Array):
     """Yield (series length, row indices, X (rows, length), model codes,
     model names) per series length of a batch: one group can hold rows of

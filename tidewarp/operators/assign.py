@@ -4,7 +4,7 @@ per-row silhouette parts (E1/E2).
 Centres are a driver dict ``{model key tuple: ndarray (k, L)}``. Their size
 is k x L doubles per model, fixed by the run parameters and never by the
 data; it is checked against a budget and, beyond it, the models are split
-over several jobs. Inside a job the table travels with the UDF closure
+over several jobs. Inside a job the table travels with the task closure
 (Spark broadcasts large closures by itself), and every row gets one
 ``dists ARRAY<DOUBLE>`` column: at most k doubles per row, no row blow-up.
 """
