@@ -36,6 +36,7 @@ def build_session(master: str | None = None, app: str = "tidewarp", shuffle_part
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -80,3 +81,31 @@ def session_key(spark: SparkSession) -> str:
     """Cache key of a session: its application id (unique per context, unlike
     ``id()`` which Python may reuse after a session is stopped)."""
     return f"{spark.sparkContext.applicationId}:{spark.sparkContext.startTime}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tidewarp`` importable in every Python worker.
+
+    The package is zipped once per Spark context on the driver and handed to
+    ``addPyFile`` (the programmatic ``--py-files``); Spark's file server then
+    distributes it to each executor, so workers need no shared path.
+    """
+    import zipfile
+
+    sc = spark.sparkContext
+    key = session_key(spark)
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="tidewarp-pyfiles-"), "tidewarp.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg_dir)))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
