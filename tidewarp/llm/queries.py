@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarp.llm import bpe, exact_dedup, html_extract, lm, near_dedup, packing, topk, toxicity, warc
+from tidewarp.llm import bpe, exact_dedup, html_extract, licenses, lm, near_dedup, packing, topk, toxicity, warc
 from tidewarp.llm.common import table
 
 QUERIES: dict = {}
@@ -59,6 +59,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", "predicted")
 
 
+@register("op6_license_scan", licenses.oracle())
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 @register("op7_exact_top_k", """
 WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
