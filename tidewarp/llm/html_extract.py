@@ -81,8 +81,7 @@ def _make(tag: str, attrs: str) -> Node:
         if re.search(r"(?:^|\s)hidden(?:\s|=|/|$)", low) or "display:none" in low.replace(" ", ""):
             skip = True
         content = content or given.get("role", "").lower() == "main" or given.get("itemprop", "").lower() in CONTENT_MARKS
-        mark = sorted(w for w in words)[:4]
-        label = tag + "".join("." + w for w in mark)
+        label = tag + "".join("." + w for w in sorted(set(_WORDS.findall(named[0].lower())))[:4])  # ids differ from page to page
     return Node(tag, label, skip, content)
 
 

@@ -163,7 +163,8 @@ def warc_parse(stream):
 
 
 def _number(text: str | None):
-    return int(text) if text not in (None, "-") else None
+    """A row's number; None for a record that no numbered row made."""
+    return int(text) if text and text.removeprefix("-").isdigit() else None
 
 
 def _rows(content: bytes):
