@@ -62,19 +62,49 @@ def test_messages_round_trip(spark):
     assert got[(3, 2)] == round(3 * 1.23456789 + 2, 4)
 
 
-def test_stream_equals_batch_on_closed_windows(spark):
-    panel = spark.createDataFrame([(i, t, float((i * 3 + t * 7) % 11)) for i in range(1, 4) for t in range(8)],
-                                  "id long, pos int, value double")
-    base = tempfile.mkdtemp(prefix="tw-stream-")
-    T.write_feed(T.encode_messages(panel), base + "/feed")
-    src = T.read_feed_stream(spark, base + "/feed", files_per_trigger=3)
-    wins = T.windowed_series(T.decode_messages(src, "message"), 4, 3)
-    T.run_to_table(wins, base + "/out", base + "/ckpt")
-    got = {(r["time_point"], r["id"]): r["series_full"] for r in spark.read.parquet(base + "/out").collect()}
-    # closed windows: starts 0 .. n_pos - window - 2
-    assert {t for t, _ in got} == {0, 1, 2}
+def _panel(spark, ids, positions):
+    return spark.createDataFrame([(i, t, float((i * 3 + t * 7) % 11)) for i in ids for t in positions], "id long, pos int, value double")
+
+
+def _check_windows(path, spark, ids, n_pos, window=4):
+    rows = spark.read.parquet(path).collect()
+    got = {(r["time_point"], r["id"]): r["series_full"] for r in rows}
+    assert len(rows) == len(got) and set(got) == {(t, i) for t in range(n_pos - window + 1) for i in ids}
     for (t, i), s in got.items():
-        assert s == [float((i * 3 + p * 7) % 11) for p in range(t, t + 4)]
+        assert s == [float((i * 3 + p * 7) % 11) for p in range(t, t + window)]
+
+
+def test_stream_gives_every_window(spark):
+    """Several writing tasks and several id blocks: files arrive in no order of positions."""
+    base = tempfile.mkdtemp(prefix="tw-stream-")
+    msgs = T.encode_messages(_panel(spark, range(1, 8), range(12)), block=3).repartition(6)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        T.write_feed(msgs, base + "/feed")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    src = T.read_feed_stream(spark, base + "/feed", files_per_trigger=5)
+    T.run_to_table(T.windowed_series(T.decode_messages(src, "message"), 4, 3), base + "/out", base + "/ckpt")
+    _check_windows(base + "/out", spark, range(1, 8), 12)
+
+
+def test_stream_goes_on_from_its_checkpoint(spark):
+    base = tempfile.mkdtemp(prefix="tw-restart-")
+
+    def run():
+        src = T.read_feed_stream(spark, base + "/feed", files_per_trigger=2)
+        T.run_to_table(T.windowed_series(T.decode_messages(src, "message"), 4, 3), base + "/out", base + "/ckpt")
+
+    T.write_feed(T.encode_messages(_panel(spark, (1, 2), range(6))), base + "/feed")
+    run()
+    _check_windows(base + "/out", spark, (1, 2), 6)
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        T.write_feed(T.encode_messages(_panel(spark, (1, 2), range(6, 9))), base + "/feed")
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    run()
+    _check_windows(base + "/out", spark, (1, 2), 9)
 
 
 def test_entity_sink_is_idempotent(spark):

@@ -18,6 +18,7 @@ from tidewarp.config import RunConfig
 from tidewarp.operators import kmeans as km
 from tidewarp.plans import oracle as O
 from tidewarp.plans.series import fixture_series
+from tidewarp.sources.tables import positions  # noqa: F401
 from tidewarp.session import cut_lineage, session_key
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

@@ -10,7 +10,7 @@ points of x carrying the previous DP row, the inner one builds the next row
 
 from __future__ import annotations
 
-from tidewarp.sources.tables import FX1, FX2, FX3, PanelSpec
+from tidewarp.sources.tables import FX1, FX2, FX3
 
 INF = "'Infinity'::DOUBLE"
 MAXD = "1.7976931348623157e308"
@@ -89,53 +89,52 @@ def r6(x: str) -> str:
 # fixtures
 # --------------------------------------------------------------------------
 
-def fx1_panel(q: Sql, spec: PanelSpec = FX1, name: str = "panel") -> str:
-    end_year, end_month = 1995 + spec.n_pos // 12, spec.n_pos % 12 + 1
-    return q.add(name, f"""SELECT CAST(l_suppkey AS BIGINT) AS id,
+def fx1_panel(q: Sql, name: str = "panel") -> str:
+    return q.add(name, """SELECT CAST(l_suppkey AS BIGINT) AS id,
   CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INTEGER) AS pos,
   sum(l_extendedprice * (1 - l_discount)) AS value
 FROM lineitem
-WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '{end_year:04d}-{end_month:02d}-01'
-  AND l_suppkey IS NOT NULL
+WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_suppkey IS NOT NULL
 GROUP BY 1, 2""")
 
 
-def fx2_panel(q: Sql, spec: PanelSpec = FX2, name: str = "panel") -> str:
-    end_year, end_q = 1995 + spec.n_pos // 4, spec.n_pos % 4
-    return q.add(name, f"""SELECT CAST(l_partkey AS BIGINT) AS id,
+def fx2_panel(q: Sql, name: str = "panel") -> str:
+    return q.add(name, """SELECT CAST(l_partkey AS BIGINT) AS id,
   CAST((year(l_shipdate) - 1995) * 4 + quarter(l_shipdate) - 1 AS INTEGER) AS pos,
   sum(l_extendedprice * (1 - l_discount)) AS value
 FROM lineitem
-WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_shipdate < TIMESTAMP '{end_year:04d}-{end_q * 3 + 1:02d}-01'
-  AND l_partkey IS NOT NULL
+WHERE l_shipdate >= TIMESTAMP '1995-01-01' AND l_partkey IS NOT NULL
 GROUP BY 1, 2""")
 
 
-def fx3_panel(q: Sql, spec: PanelSpec = FX3, name: str = "panel") -> str:
-    return q.add(name, f"""SELECT CAST(user_id AS BIGINT) AS id,
-  CAST(dayofmonth(ts) - 1 AS INTEGER) AS pos,
+def fx3_panel(q: Sql, name: str = "panel") -> str:
+    return q.add(name, """SELECT CAST(user_id AS BIGINT) AS id,
+  CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INTEGER) AS pos,
   sum(value) AS value
 FROM events
-WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-{spec.n_pos + 1:02d}' AND user_id IS NOT NULL
+WHERE ts >= TIMESTAMP '2024-01-01' AND user_id IS NOT NULL
 GROUP BY 1, 2""")
 
 
 PANEL_SQL = {"fx1": (fx1_panel, FX1), "fx2": (fx2_panel, FX2), "fx3": (fx3_panel, FX3)}
 
 
-def dense(q: Sql, panel: str, n_pos: int, name: str = "dense") -> str:
+def dense(q: Sql, panel: str, name: str = "dense") -> str:
+    """All positions up to the panel's last one."""
     return q.add(name, f"""SELECT i.id, list(coalesce(p.value, 0.0) ORDER BY r.pos) AS series
-FROM (SELECT DISTINCT id FROM {panel} WHERE pos >= 0 AND pos < {n_pos}) i
-CROSS JOIN (SELECT CAST(range AS INTEGER) AS pos FROM range(0, {n_pos})) r
+FROM (SELECT DISTINCT id FROM {panel}) i
+CROSS JOIN (SELECT CAST(unnest(range(0, (SELECT max(pos) + 1 FROM {panel}))) AS INTEGER) AS pos) r
 LEFT JOIN {panel} p ON p.id = i.id AND p.pos = r.pos
 GROUP BY i.id""")
 
 
-def windows(q: Sql, dense_cte: str, window: int, tp_from: int, tp_to: int, length: int,
+def windows(q: Sql, dense_cte: str, window: int, tp_from: int, tp_to: int | None, length: int,
             name: str = "series") -> str:
+    """Windows ``tp_from..tp_to``; without ``tp_to`` all that the series hold."""
+    last = f"(SELECT max(len(series)) - {window - 1} FROM {dense_cte})" if tp_to is None else str(tp_to + 1)
     w = q.add(name + "_w", f"""SELECT CAST(t.tp AS INTEGER) AS time_point, d.id,
   d.series[t.tp + 1 : t.tp + {window}] AS series_full
-FROM {dense_cte} d CROSS JOIN (SELECT range AS tp FROM range({tp_from}, {tp_to + 1})) t""")
+FROM {dense_cte} d CROSS JOIN (SELECT unnest(range({tp_from}, {last})) AS tp) t""")
     r = q.add(name + "_r", f"SELECT *, series_full[1:{length}] AS series_raw FROM {w}")
     return q.add(name, f"SELECT *, {normalise('series_raw')} AS series_norm FROM {r}")
 
@@ -143,10 +142,9 @@ FROM {dense_cte} d CROSS JOIN (SELECT range AS tp FROM range({tp_from}, {tp_to +
 def fixture_series(q: Sql, fixture: str = "fx1", tp_from: int | None = None, tp_to: int | None = None,
                    length: int = 12) -> str:
     fn, spec = PANEL_SQL[fixture]
-    p = fn(q, spec)
-    d = dense(q, p, spec.n_pos)
-    return windows(q, d, spec.window, 0 if tp_from is None else tp_from,
-                   spec.n_windows - 1 if tp_to is None else tp_to, length)
+    p = fn(q)
+    d = dense(q, p)
+    return windows(q, d, spec.window, 0 if tp_from is None else tp_from, tp_to, length)
 
 
 # --------------------------------------------------------------------------

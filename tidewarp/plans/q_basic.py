@@ -12,7 +12,7 @@ from tidewarp.plans import oracle as O
 from tidewarp.plans.catalog import r6, register
 from tidewarp.plans.series import fixture_series
 from tidewarp.session import read_table
-from tidewarp.sources.tables import FX1, fx1_panel
+from tidewarp.sources.tables import fx1_panel, positions
 
 L = 12
 
@@ -47,13 +47,13 @@ def _dpanel():
 
 def _sql_x1():
     q, p = _dpanel()
-    d = O.dense(q, p, FX1.n_pos)
+    d = O.dense(q, p)
     return q.render(dflat(d, ["id"], "series"))
 
 
 @register("x1_transpose_dense_series", _sql_x1())
 def x1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(X.dense_series(fx1_panel(spark, sf_dir), FX1.n_pos), ["id"], "series")
+    return flat(X.dense_series(fx1_panel(spark, sf_dir), positions(spark, sf_dir)), ["id"], "series")
 
 
 def _sql_x2():
@@ -103,14 +103,14 @@ X6_N, X6_SEED = 25, 42
 
 def _sql_x6():
     q, p = _dpanel()
-    d = O.dense(q, p, FX1.n_pos)
+    d = O.dense(q, p)
     u = O.uniform01(f"'{X6_SEED}'", "id", "0")
     return q.render(f"SELECT id FROM {d} ORDER BY {u}, id LIMIT {X6_N}")
 
 
 @register("x6_sample_exact_n", _sql_x6())
 def x6(spark, sf_dir):
-    dense = X.dense_series(fx1_panel(spark, sf_dir), FX1.n_pos)
+    dense = X.dense_series(fx1_panel(spark, sf_dir), positions(spark, sf_dir))
     return X.sample_exact(dense, X6_N, X6_SEED).select("id")
 
 
@@ -162,13 +162,13 @@ def x12(spark, sf_dir):
 
 def _sql_x13h():
     q, p = _dpanel()
-    d = O.dense(q, p, FX1.n_pos)
+    d = O.dense(q, p)
     return q.render(f"SELECT id, round(series[1], 6) AS first_value FROM {d} ORDER BY id LIMIT 5")
 
 
 @register("x13_inspect_head", _sql_x13h())
 def x13h(spark, sf_dir):
-    dense = X.dense_series(fx1_panel(spark, sf_dir), FX1.n_pos)
+    dense = X.dense_series(fx1_panel(spark, sf_dir), positions(spark, sf_dir))
     return X.inspect_head(dense).select("id", r6(F.col("series")[0]).alias("first_value"))
 
 

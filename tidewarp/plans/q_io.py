@@ -20,7 +20,7 @@ from tidewarp.plans.runs import save_result
 from tidewarp.session import session_key, staging_path
 from tidewarp.sources import sinks as W
 from tidewarp.sources import text as S
-from tidewarp.sources.tables import FX1, fx1_panel
+from tidewarp.sources.tables import fx1_panel, positions
 
 L = 12
 KEYS = ["time_point", "k"]
@@ -270,7 +270,7 @@ def w9(spark, sf_dir):
 def _sql_w13():
     q = O.Sql()
     p = O.fx1_panel(q)
-    d = O.dense(q, p, FX1.n_pos)
+    d = O.dense(q, p)
     u = O.uniform01(f"'{X6_SEED}'", "id", "0")
     smp = q.add("smp", f"SELECT id, series FROM {d} ORDER BY {u}, id LIMIT {X6_N}")
     return q.render(f"SELECT id, round({O.lsum('series')}, 6) AS series_sum FROM {smp}")
@@ -278,9 +278,9 @@ def _sql_w13():
 
 @register("w13_sample_files", _sql_w13())
 def w13(spark, sf_dir):
-    dense = X.dense_series(fx1_panel(spark, sf_dir), FX1.n_pos)
+    dense = X.dense_series(fx1_panel(spark, sf_dir), positions(spark, sf_dir))
     path = staging_path(spark, "samples")
     W.write_samples(X.sample_exact(dense, X6_N, X6_SEED), path, "series")
     back = S.parse_vector(spark.read.text(path))
     return back.select(F.col("vector")[0].cast("bigint").alias("id"),
-                       r6(F.aggregate(F.slice("vector", 2, FX1.n_pos), F.lit(0.0), lambda a, x: a + x)).alias("series_sum"))
+                       r6(F.aggregate(F.slice("vector", 2, positions(spark, sf_dir)), F.lit(0.0), lambda a, x: a + x)).alias("series_sum"))

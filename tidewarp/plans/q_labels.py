@@ -18,15 +18,8 @@ from tidewarp.plans import oracle as O
 from tidewarp.plans.catalog import r6, register
 from tidewarp.sources.tables import FX4_DIM, fx4_vectors
 
-MAX_LABELS = 100_000  # centre table bound: labels x dim doubles must stay small
-
-
 def label_centres(vectors, dim: int) -> dict:
-    """Label means as the driver-side centre table of one model, after a
-    size check on the number of labels."""
-    n_labels = vectors.select("label").distinct().count()
-    if n_labels > MAX_LABELS:
-        raise ValueError(f"{n_labels} labels exceed the centre-table bound {MAX_LABELS}")
+    """Label means as the centre table of one model (labels x dim doubles, like any model's k x L)."""
     means = A.cluster_mean_vector(vectors.withColumnRenamed("label", "cluster_id").withColumn("m", F.lit(0)),
                                   ["m"], dim, "series").collect()
     k = max(r["cluster_id"] for r in means) + 1

@@ -11,26 +11,22 @@ from tidewarp.plans import oracle as O
 from tidewarp.plans.catalog import ORACLE_CFG, _oracle_fit, fx1_fit, r6, register
 from tidewarp.plans.q_basic import dflat, flat
 from tidewarp.session import session_key, staging_path
-from tidewarp.sources.tables import FX1, fx1_panel
+from tidewarp.sources.tables import FX1, fx1_panel, positions
 from tidewarp.streaming import stream as T
 
 L, WINDOW = 12, FX1.window
-# The last event (position n_pos - 1) lifts the watermark to position
-# n_pos - 2; append mode emits the windows ending by then, i.e. those
-# starting at 0..n_pos - window - 2. Later windows stay open.
-CLOSED_LAST = FX1.n_pos - WINDOW - 2
 _DONE: dict = {}
 
 
 def dense_panel(spark, sf_dir) -> DataFrame:
-    d = X.dense_series(fx1_panel(spark, sf_dir), FX1.n_pos)
+    d = X.dense_series(fx1_panel(spark, sf_dir), positions(spark, sf_dir))
     return d.select("id", F.posexplode("series").alias("pos", "value"))
 
 
 def _ddense(q, sfx: str = "_m"):
     p = O.fx1_panel(q, name="panel" + sfx)
-    d = O.dense(q, p, FX1.n_pos, name="dense" + sfx)
-    return q.add("long" + sfx, f"""SELECT id, CAST(unnest(range({FX1.n_pos})) AS INTEGER) AS pos, unnest(series) AS value
+    d = O.dense(q, p, name="dense" + sfx)
+    return q.add("long" + sfx, f"""SELECT id, CAST(unnest(range(len(series))) AS INTEGER) AS pos, unnest(series) AS value
 FROM {d}""")
 
 
@@ -84,7 +80,7 @@ def _sql_t4():
     lg = _ddense(q)
     d = q.add("d4", f"SELECT id, list(round_even(value, 4) ORDER BY pos) AS series FROM {lg} GROUP BY id")
     w = q.add("w4", f"""SELECT CAST(t.tp AS INTEGER) AS time_point, d.id, d.series[t.tp + 1 : t.tp + {WINDOW}] AS series_full
-FROM {d} d CROSS JOIN (SELECT range AS tp FROM range(0, {CLOSED_LAST + 1})) t""")
+FROM {d} d CROSS JOIN (SELECT unnest(range(0, (SELECT max(len(series)) - {WINDOW - 1} FROM {d}))) AS tp) t""")
     return q.render(dflat(w, ["time_point", "id"], "series_full"))
 
 
@@ -98,7 +94,7 @@ def _sql_t6():
     lg = _ddense(q)
     d = q.add("d4", f"SELECT id, list(round_even(value, 4) ORDER BY pos) AS series FROM {lg} GROUP BY id")
     w = q.add("w4", f"""SELECT CAST(t.tp AS INTEGER) AS time_point, d.id, d.series[t.tp + 1 : t.tp + {WINDOW}] AS series_full
-FROM {d} d CROSS JOIN (SELECT range AS tp FROM range(0, {CLOSED_LAST + 1})) t""")
+FROM {d} d CROSS JOIN (SELECT unnest(range(0, (SELECT max(len(series)) - {WINDOW - 1} FROM {d}))) AS tp) t""")
     r = q.add("w4r", f"SELECT *, series_full[1:{L}] AS series_raw FROM {w}")
     n = q.add("w4n", f"SELECT *, {O.normalise('series_raw')} AS series_norm, 4 AS k FROM {r}")
     on = O.assign(q, n, c, "online")
@@ -107,11 +103,19 @@ FROM {d} d CROSS JOIN (SELECT range AS tp FROM range(0, {CLOSED_LAST + 1})) t"""
 
 @register("t6_online_assignment", _sql_t6())
 def t6(spark, sf_dir):
-    """Stream windows assigned to the batch model's centres of their time point."""
+    """Every micro-batch of stream windows is assigned, inside the streaming query, to the batch model's centres of its
+    time points."""
     _, fit = fx1_fit(spark, sf_dir)
-    wins = streamed_windows(spark, sf_dir).withColumn("k", F.lit(4))
-    a = assign(wins, fit.centres, ["time_point", "k"], ORACLE_CFG)
-    return a.select("time_point", "id", "cluster_id", r6(F.col("dist")).alias("dist"))
+    src = T.read_feed_stream(spark, feed(spark, sf_dir), files_per_trigger=16)
+    wins = T.windowed_series(T.decode_messages(src, "message"), WINDOW, L)
+    out = staging_path(spark, "online")
+
+    def each(batch):
+        a = assign(batch.withColumn("k", F.lit(4)), fit.centres, ["time_point", "k"], ORACLE_CFG)
+        return a.select("time_point", "id", "cluster_id", "dist")
+
+    T.run_batches(wins, out, staging_path(spark, "online-ckpt"), each)
+    return spark.read.parquet(out).select("time_point", "id", "cluster_id", r6(F.col("dist")).alias("dist"))
 
 
 @register("w14_raw_message_records")

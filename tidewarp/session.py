@@ -41,10 +41,12 @@ def build_session(master: str | None = None, app: str = "tidewarp", shuffle_part
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; set a local one only if unset."""
+    """Return the shared checkpoint folder; a local one is set only where it is unset and the master is local."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get(_CKPT_KEY, None) or sc.getConf().get(_CKPT_KEY, None)
     if not current:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         current = tempfile.mkdtemp(prefix="tidewarp-ckpt-")
         spark.conf.set(_CKPT_KEY, current)
     if not sc.getCheckpointDir():

@@ -13,25 +13,20 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarp.session import read_table
+from tidewarp.session import read_table, session_key
 
 
 @dataclass(frozen=True)
 class PanelSpec:
     name: str
-    n_pos: int  # dense positions 0..n_pos-1
     window: int = 15  # window length (raw L + horizon)
 
-    @property
-    def n_windows(self) -> int:
-        return self.n_pos - self.window + 1
 
-
-# Fixed fixture geometry: months since 1995-01 (59 used -> 45 windows of 15),
-# quarters since 1995-Q1 (28 -> 14 windows), days of 2024-01 (30 -> 16 windows).
-FX1 = PanelSpec("supplier_month", 59)
-FX2 = PanelSpec("part_quarter", 28)
-FX3 = PanelSpec("user_day", 30)
+# months since 1995-01, quarters since 1995-Q1, days since 2024-01-01; how many positions there are is read from the
+# data (``positions``), so a panel holds all rows from its origin on
+FX1 = PanelSpec("supplier_month")
+FX2 = PanelSpec("part_quarter")
+FX3 = PanelSpec("user_day")
 FX4_DIM = 64
 
 
@@ -39,46 +34,44 @@ def _ntz(ts: str):
     return F.expr(f"TIMESTAMP_NTZ'{ts}'")
 
 
-def fx1_panel(spark: SparkSession, sf_dir: str, n_pos: int = FX1.n_pos) -> DataFrame:
-    """FX-1: supplier x month revenue, months since 1995-01."""
+def _revenue_panel(spark: SparkSession, sf_dir: str, key: str, pos) -> DataFrame:
     li = read_table(spark, sf_dir, "lineitem")
-    end_year, end_month = 1995 + n_pos // 12, n_pos % 12 + 1
     return (
-        li.where((F.col("l_shipdate") >= _ntz("1995-01-01 00:00:00"))
-                 & (F.col("l_shipdate") < _ntz(f"{end_year:04d}-{end_month:02d}-01 00:00:00"))
-                 & F.col("l_suppkey").isNotNull())
-        .select(F.col("l_suppkey").cast("bigint").alias("id"),
-                ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("int").alias("pos"),
+        li.where((F.col("l_shipdate") >= _ntz("1995-01-01 00:00:00")) & F.col(key).isNotNull())
+        .select(F.col(key).cast("bigint").alias("id"), pos.cast("int").alias("pos"),
                 (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
         .groupBy("id", "pos").agg(F.sum("v").alias("value"))
     )
 
 
-def fx2_panel(spark: SparkSession, sf_dir: str, n_pos: int = FX2.n_pos) -> DataFrame:
+def _month():
+    return (F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1
+
+
+def _quarter():
+    return (F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate") - 1
+
+
+def _day():
+    return F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date"))
+
+
+def fx1_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX-1: supplier x month revenue, months since 1995-01."""
+    return _revenue_panel(spark, sf_dir, "l_suppkey", _month())
+
+
+def fx2_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """FX-2: part x quarter revenue, quarters since 1995-Q1."""
-    li = read_table(spark, sf_dir, "lineitem")
-    end_year, end_q = 1995 + n_pos // 4, n_pos % 4
-    return (
-        li.where((F.col("l_shipdate") >= _ntz("1995-01-01 00:00:00"))
-                 & (F.col("l_shipdate") < _ntz(f"{end_year:04d}-{end_q * 3 + 1:02d}-01 00:00:00"))
-                 & F.col("l_partkey").isNotNull())
-        .select(F.col("l_partkey").cast("bigint").alias("id"),
-                ((F.year("l_shipdate") - 1995) * 4 + F.quarter("l_shipdate") - 1).cast("int").alias("pos"),
-                (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
-        .groupBy("id", "pos").agg(F.sum("v").alias("value"))
-    )
+    return _revenue_panel(spark, sf_dir, "l_partkey", _quarter())
 
 
-def fx3_panel(spark: SparkSession, sf_dir: str, n_pos: int = FX3.n_pos) -> DataFrame:
-    """FX-3: user x day value sum, days of 2024-01."""
+def fx3_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FX-3: user x day value sum, days since 2024-01-01."""
     ev = read_table(spark, sf_dir, "events")
     return (
-        ev.where((F.col("ts") >= _ntz("2024-01-01 00:00:00"))
-                 & (F.col("ts") < _ntz(f"2024-01-{n_pos + 1:02d} 00:00:00") if n_pos < 31 else F.lit(True))
-                 & F.col("user_id").isNotNull())
-        .select(F.col("user_id").cast("bigint").alias("id"),
-                (F.dayofmonth("ts") - 1).cast("int").alias("pos"),
-                F.col("value").alias("v"))
+        ev.where((F.col("ts") >= _ntz("2024-01-01 00:00:00")) & F.col("user_id").isNotNull())
+        .select(F.col("user_id").cast("bigint").alias("id"), _day().cast("int").alias("pos"), F.col("value").alias("v"))
         .groupBy("id", "pos").agg(F.sum("v").alias("value"))
     )
 
@@ -91,9 +84,22 @@ def fx4_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.transform("embedding", lambda v: v.cast("double")).alias("series"))
 
 
-PANELS = {"fx1": (fx1_panel, FX1), "fx2": (fx2_panel, FX2), "fx3": (fx3_panel, FX3)}
+PANELS = {"fx1": (fx1_panel, FX1, "lineitem", "l_shipdate", "l_suppkey", _month),
+          "fx2": (fx2_panel, FX2, "lineitem", "l_shipdate", "l_partkey", _quarter),
+          "fx3": (fx3_panel, FX3, "events", "ts", "user_id", _day)}
+_POSITIONS: dict = {}
+
+
+def positions(spark: SparkSession, sf_dir: str, fixture: str = "fx1") -> int:
+    """Number of positions of a fixture: that of its last row, plus one. One aggregate over one column, once per input."""
+    key = (session_key(spark), sf_dir, fixture)
+    if key not in _POSITIONS:
+        _, _, table, ts, entity, pos = PANELS[fixture]
+        last = (read_table(spark, sf_dir, table).where(F.col(entity).isNotNull()).agg(F.max(ts).alias(ts)).select(pos()).first()[0])
+        _POSITIONS[key] = 0 if last is None else max(0, last + 1)
+    return _POSITIONS[key]
 
 
 def panel(spark: SparkSession, sf_dir: str, fixture: str = "fx1") -> tuple[DataFrame, PanelSpec]:
-    fn, spec = PANELS[fixture]
+    fn, spec = PANELS[fixture][:2]
     return fn(spark, sf_dir), spec

@@ -3,20 +3,20 @@
 A message carries one time position: first line the position, then
 ``id,value`` lines (values to 4 places). Messages are cut into id blocks of
 at most ``block`` ids, so no message holds an unbounded group. The stream
-decodes them, stamps a synthetic event time (one slide per position),
-keeps a watermark of one slide and builds sliding windows of ``window``
-positions per id (append mode: a window is emitted once the watermark has
-passed its end; open windows are not). Completed windows are normalised
-and assigned to given centres like the batch path.
+decodes them and keeps, per id, the positions that a window still needs (T5);
+a window leaves as soon as its last position is there, whatever the order in
+which files arrive, so a feed written by many tasks loses nothing and the last
+windows leave too. Windows are normalised like the batch path and assigned to given
+centres inside the streaming query (T6).
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewarp.config import STREAM_SLIDE_SECONDS
 from tidewarp.operators.reshape import with_raw_norm
 
 MESSAGE_BLOCK = 10_000
@@ -63,23 +63,39 @@ def read_feed_stream(spark: SparkSession, path: str, files_per_trigger: int = 1)
     return raw.select(F.from_json("value", _MSG).alias("m")).select("m.message")
 
 
-def event_time(time_point_col: str = "time_point", slide_seconds: int = STREAM_SLIDE_SECONDS):
-    return F.timestamp_seconds(F.col(time_point_col).cast("long") * slide_seconds)
+STATE = "pos array<int>, value array<double>, next int"
+WINDOWS = "time_point int, id bigint, series_full array<double>"
 
 
-def windowed_series(decoded: DataFrame, window: int, length: int, slide_seconds: int = STREAM_SLIDE_SECONDS,
-                    watermark_slides: int = 1) -> DataFrame:
-    """T4 + T5: per id, the last ``window`` positions as one series, per
-    sliding window of ``window`` slides. Only complete windows starting at
-    position >= 0 are kept; a group holds at most ``window`` points."""
-    ev = decoded.withColumn("ts", event_time("time_point", slide_seconds))
-    ev = ev.withWatermark("ts", f"{watermark_slides * slide_seconds} seconds")
-    w = F.window("ts", f"{window * slide_seconds} seconds", f"{slide_seconds} seconds")
-    agg = ev.groupBy(w.alias("w"), "id").agg(F.collect_list(F.struct("time_point", "value")).alias("pts"))
-    start = (F.unix_seconds(F.col("w.start")) / slide_seconds).cast("int")
-    out = agg.select(start.alias("time_point"), "id",
-                     F.transform(F.array_sort("pts"), lambda p: p["value"]).alias("series_full"))
-    out = out.where((F.col("time_point") >= 0) & (F.size("series_full") == window))
+def _advance(window: int):
+    """State step of one id: take positions in, give out the windows that are complete."""
+    def step(key, frames, state):
+        held: dict[int, float] = {}
+        start = 0
+        if state.exists:
+            pos, value, start = state.get
+            held = dict(zip(pos, value))
+        for f in frames:
+            held.update((int(p), v) for p, v in zip(f["time_point"], f["value"]) if p >= start)
+        done = []
+        while all(p in held for p in range(start, start + window)):
+            done.append((start, key[0], [held[p] for p in range(start, start + window)]))
+            del held[start]
+            start += 1
+        order = sorted(held)
+        state.update((order, [held[p] for p in order], start))
+        if done:
+            yield pd.DataFrame(done, columns=["time_point", "id", "series_full"])
+
+    return step
+
+
+def windowed_series(decoded: DataFrame, window: int, length: int) -> DataFrame:
+    """T4 + T5: every sliding window of ``window`` positions per id, once each.
+
+    The state of an id is the positions from the next window's start on: ``window`` of them in an ordered feed, and as many
+    more as arrive early. A position that comes twice before its windows left takes its last value."""
+    out = decoded.where("time_point >= 0").groupBy("id").applyInPandasWithState(_advance(window), WINDOWS, STATE, "append", "NoTimeout")
     return with_raw_norm(out, length)
 
 
@@ -94,3 +110,12 @@ def run_to_table(stream_df: DataFrame, path: str, checkpoint: str, mode: str = "
 def with_arrival_time(stream_df: DataFrame) -> DataFrame:
     """Raw message records with their arrival time."""
     return stream_df.withColumn("datetime", F.current_timestamp())
+
+
+def run_batches(stream_df: DataFrame, path: str, checkpoint: str, each) -> None:
+    """T6 + T7: run a streaming query over what is available and write ``each(batch)`` of every micro-batch under
+    ``path/batch=<id>``. A batch that is run again after a restart replaces its own folder."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        each(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    stream_df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
