@@ -39,17 +39,17 @@ def member_lists(assigned: DataFrame, key_cols: list[str], chunk: int = MEMBER_C
 
 def cluster_mean_vector(assigned: DataFrame, key_cols: list[str], length: int,
                         series_col: str = "series_norm", name: str = "center") -> DataFrame:
-    """A3: mean vector per cluster, one ``avg`` per position."""
+    """A3: mean vector per cluster, one ``avg`` per position over the series that have it (null if none)."""
     return (assigned.groupBy(*key_cols, "cluster_id")
-            .agg(*[F.avg(F.col(series_col)[i]).alias(f"_m{i}") for i in range(length)])
+            .agg(*[F.avg(F.get(F.col(series_col), F.lit(i))).alias(f"_m{i}") for i in range(length)])
             .select(*key_cols, "cluster_id", F.array(*[F.col(f"_m{i}") for i in range(length)]).alias(name)))
 
 
 def cluster_total_vector(assigned: DataFrame, key_cols: list[str], length: int,
                          series_col: str = "series_full") -> DataFrame:
-    """A4: element-wise total per cluster over the full series (raw + horizon)."""
+    """A4: element-wise total per cluster over the full series (raw + horizon); shorter series add what they have."""
     return (assigned.groupBy(*key_cols, "cluster_id")
-            .agg(*[F.sum(F.col(series_col)[i]).alias(f"_t{i}") for i in range(length)])
+            .agg(*[F.sum(F.get(F.col(series_col), F.lit(i))).alias(f"_t{i}") for i in range(length)])
             .select(*key_cols, "cluster_id", F.array(*[F.col(f"_t{i}") for i in range(length)]).alias("total")))
 
 

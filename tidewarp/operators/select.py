@@ -105,7 +105,7 @@ def refine(series_tp: DataFrame, tp: int, prev_centres: np.ndarray, cfg: RunConf
     keep_fit = km.fit(km.fan_out_k(series_tp, [K]), {(tp, K): prev_centres}, KEYS, cfg)
     keep_res = km.run_silhouettes(keep_fit.stats)[(tp, K)]
     keep = Choice(tp, K, keep_fit.centres[(tp, K)], keep_res[0], keep_res[1], "keep")
-    start = prev_centres if cfg.compat else keep.centres
+    start = prev_centres  # both searches begin at the previous period's centres
     # state of each chain: (centres, sil, sil_map, assignments of its model, accepted?)
     back = {"c": start, "sil": keep.run_silhouette, "map": keep.cluster_sil, "asg": (keep_fit, K),
             "alive": K - 1 >= max(cfg.min_k, 2), "acc": None}
@@ -137,15 +137,20 @@ def refine(series_tp: DataFrame, tp: int, prev_centres: np.ndarray, cfg: RunConf
             nk = k - 1 if name == "backward" else k + 1
             chain["alive"] = (nk >= max(cfg.min_k, 2)) if name == "backward" else (nk <= cfg.max_k)
         step += 1
-    cands = [(keep.run_silhouette if keep.run_silhouette is not None else -np.inf, 2, keep)]
-    for pr, ch in ((1, back), (0, fwd)):
-        if ch["acc"] is not None:
-            cands.append((ch["acc"].run_silhouette, pr, ch["acc"]))
-    best = max(cands, key=lambda t: (t[0], t[1]))[2]
+    best = _chosen(keep, back["acc"], fwd["acc"])
     best.steps = steps
     return best
 
 
+def _chosen(keep: Choice, backward: Choice | None, forward: Choice | None) -> Choice:
+    """The accepted search with the higher silhouette; if both are equal, or none is accepted, keep."""
+    if backward is not None and forward is not None:
+        if backward.run_silhouette == forward.run_silhouette:
+            return keep
+        return max(backward, forward, key=lambda c: c.run_silhouette)
+    return backward or forward or keep
+
+
 ROWS_PER_PARTITION = 50_000
 
 
@@ -194,12 +199,10 @@ def final_assignment(series: DataFrame, choices: dict, cfg: RunConfig) -> DataFr
 
 def cold_run(series: DataFrame, cfg: RunConfig) -> tuple[dict, DataFrame]:
     """C13 with C6: independent time points, best k each, one packed fit;
-    the chosen models' assignments are a filter of the packed assignment."""
+    one more job assigns each time point to its chosen centres alone."""
     s = _run_input(series, cfg)
-    choices, fit = sweep(s, cfg)
-    spark = s.sparkSession
-    chosen = spark.createDataFrame([(int(tp), int(c.k)) for tp, c in choices.items()], "time_point int, k int")
-    return choices, fit.assignments.join(F.broadcast(chosen), KEYS, "left_semi")
+    choices, _ = sweep(s, cfg)
+    return choices, final_assignment(s, choices, cfg)
 
 
 def choices_frame(spark, choices: dict) -> DataFrame:

@@ -44,6 +44,26 @@ def j1(spark, sf_dir):
             .withColumn("share_of_previous", r6(F.col("share_of_previous"))))
 
 
+def _alternating(a: str) -> str:
+    return f"SELECT time_point, 0 AS k, id, cluster_id FROM {a} WHERE k = CASE WHEN time_point % 2 = 0 THEN 4 ELSE 3 END"
+
+
+def _sql_j1k():
+    q, s, c, a = _oracle_fit((3, 4))
+    m = q.add("alternating", _alternating(a))
+    return q.render(f"SELECT * EXCLUDE (k) FROM ({_migration_sql(m)})")
+
+
+@register("j1_migration_when_k_changes", _sql_j1k())
+def j1k(spark, sf_dir):
+    """J1 over a run whose number of clusters changes from period to period (4, 3, 4, ...)."""
+    a = fx1_fit(spark, sf_dir, (3, 4))[1].assignments
+    a = a.where(F.col("k") == F.when(F.col("time_point") % 2 == 0, 4).otherwise(3)).select("time_point", "id", "cluster_id")
+    m = J.migration(a, ["time_point"])
+    return (m.withColumn("change_proportion", r6(F.col("change_proportion")))
+            .withColumn("share_of_previous", r6(F.col("share_of_previous"))))
+
+
 def _ratio_sql(a: str, lag: int) -> str:
     """Per id at t: share of its cluster-mates at t sharing its cluster at t+lag."""
     return f"""SELECT n.time_point, n.k, {lag} AS lag, n.id, n.cluster_id AS c_now, l.cluster_id AS c_later,

@@ -26,13 +26,15 @@ def save_result(spark: SparkSession, base: str, assigned: DataFrame, centres: di
     """
     key_cols = list(key_cols)
     run = dict(run_kind=cfg.run_kind, new_mean_method=cfg.new_centre_method, balance_length=cfg.series_length)
-    length, full = cfg.series_length, None
+    length = cfg.series_length
+    full = assigned.agg(F.max(F.size("series_full"))).first()[0] or length
     cs = Q.cluster_silhouettes(assigned, key_cols, cfg.compat)
     centres_df = km.centres_frame(spark, centres, key_cols)
+    models = centres_df.select(*key_cols).distinct()  # one row a model
     tables = {
         "customer_clustered": W.customer_clustered(assigned, key_cols),
         "clustered_result": W.clustered_result(A.result_per_centre(centres_df, cs, key_cols), spent_time),
-        "cluster_balances": A.cluster_total_vector(assigned, key_cols, full or length + 3),
+        "cluster_balances": A.cluster_total_vector(assigned, key_cols, full),
         "cluster_statistic": A.cluster_statistic(assigned, key_cols, length),
         "cluster_distance": Q.mean_distance(assigned, key_cols),
         "cluster_samples": A.nearest_samples(assigned, key_cols, cfg.n_samples).select(
@@ -40,8 +42,9 @@ def save_result(spark: SparkSession, base: str, assigned: DataFrame, centres: di
         "cluster_member_count": A.cluster_size(assigned, key_cols),
     }
     if with_monitor:
-        tables["cluster_monitor"] = J.migration(assigned.select(*key_cols, "id", "cluster_id"), key_cols).select(
-            *key_cols, "cluster_previous", "cluster_current", "number_cus", "change_proportion")
+        # consecutive periods are compared whatever the number of clusters of each; k comes along as an attribute
+        tables["cluster_monitor"] = J.migration(assigned.select("time_point", "id", "cluster_id"), ["time_point"]).join(
+            F.broadcast(models), "time_point").select(*key_cols, "cluster_previous", "cluster_current", "number_cus", "change_proportion")
     paths = {}
     for name, df in tables.items():
         path = f"{base.rstrip('/')}/{name}"
