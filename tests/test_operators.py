@@ -14,6 +14,7 @@ from tidewarp.operators import kmeans as km
 from tidewarp.operators import profile as A
 from tidewarp.operators import quality as Q
 from tidewarp.operators import reshape as X
+from tidewarp.operators import select as S
 from tidewarp.operators.assign import assign
 
 KEYS = ["time_point", "k"]
@@ -204,3 +205,27 @@ def test_compat_quirks(spark):
         assert math.isclose(r["dist"], want, rel_tol=1e-12, abs_tol=1e-12)
     assert S._worst({0: 0.9, 1: 0.1}, compat=True) == 0  # Q5: lowest cluster id
     assert S._worst({0: 0.9, 1: 0.1}, compat=False) == 1
+
+
+def test_ragged_series_count_where_they_have_values(spark):
+    rows = [(0, 1, 1, [0.1, 0.2, 0.3]), (0, 1, 2, [0.3, 0.4])]
+    s = spark.createDataFrame(rows, "time_point int, k int, id long, series_norm array<double>")
+    cfg = RunConfig(series_length=3, eta=0.0, max_iter=1)
+    fit = km.fit(s, {(0, 1): np.array([[0.2, 0.2, 0.2]])}, ["time_point", "k"], cfg)
+    assert np.allclose(fit.centres[(0, 1)], [[0.2, 0.3, 0.3]])
+    means = A.cluster_mean_vector(fit.assignments, ["time_point", "k"], 3).collect()
+    assert np.allclose(means[0]["center"], [0.2, 0.3, 0.3])
+
+
+def test_migration_across_a_change_of_k(spark):
+    rows = [(0, 5, 1, 0), (0, 5, 2, 1), (1, 6, 1, 2), (1, 6, 2, 1), (2, 6, 1, 2), (2, 6, 2, 1)]
+    a = spark.createDataFrame(rows, "time_point int, k int, id long, cluster_id int")
+    got = J.migration(a.select("time_point", "id", "cluster_id"), ["time_point"]).collect()
+    assert sorted((r.time_point, r.cluster_previous, r.cluster_current) for r in got) == [(1, 0, 2), (1, 1, 1), (2, 1, 1), (2, 2, 2)]
+
+
+def test_equal_searches_keep():
+    c = {k: S.Choice(0, k, None, sil, {}, kind) for k, sil, kind in ((4, 0.2, "keep"), (3, 0.5, "backward"), (5, 0.5, "forward"))}
+    assert S._chosen(c[4], c[3], c[5]) is c[4] and S._chosen(c[4], c[3], None) is c[3] and S._chosen(c[4], None, None) is c[4]
+    better = S.Choice(0, 5, None, 0.6, {}, "forward")
+    assert S._chosen(c[4], c[3], better) is better

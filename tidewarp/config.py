@@ -20,8 +20,6 @@ DEFAULT_N_SAMPLES = 100
 DEFAULT_SERIES_LENGTH = 12
 DEFAULT_WINDOW = 15
 SOFT_DTW_GAMMA = 0.01
-STREAM_WINDOW_SECONDS = 120
-STREAM_SLIDE_SECONDS = 60
 NEW_CENTRE_METHODS = ("random", "furthest", "furthest_in_cluster", "mean_of_previous_mean")
 
 
@@ -34,7 +32,7 @@ class RunConfig:
     min_k: int = DEFAULT_MIN_K
     max_k: int = DEFAULT_MAX_K
     from_tp: int = 0
-    to_tp: int = 44
+    to_tp: int | None = None  # all that the series hold
     new_centre_method: str = "random"
     sil_threshold: float = DEFAULT_SIL_THRESHOLD
     n_samples: int = DEFAULT_N_SAMPLES

@@ -111,18 +111,18 @@ def dtw_to_centres(X: np.ndarray, C: np.ndarray, *, gamma: float | None = None,
     return out
 
 
-def dtw_to_row_centres(X: np.ndarray, Crow: np.ndarray, *, gamma: float | None = None, band: int | None = None,
-                       mode: str = "full") -> np.ndarray:
-    """Distances of every row of X (B, n) to its own centre table Crow[b]
-    (B, K, m): (B, K). Lets one batch hold rows of many models."""
+def dtw_to_row_centres(X: np.ndarray, stack: np.ndarray, codes: np.ndarray, *, gamma: float | None = None,
+                       band: int | None = None, mode: str = "full") -> np.ndarray:
+    """Distances of every row of X (B, n) to the centre table of its model, stack[codes[b]] (K, m): (B, K). Tables are
+    gathered chunk by chunk, so memory does not grow with the batch."""
     nrows, n = X.shape
-    _, k, m = Crow.shape
+    _, k, m = stack.shape
     out = np.empty((nrows, k))
     step = max(1, _CELL_BUDGET // (3 * (n + 1) * k))
     sq = gamma is not None
     for s in range(0, nrows, step):
         xt = np.ascontiguousarray(X[s:s + step].T)
-        ct = np.ascontiguousarray(Crow[s:s + step].transpose(2, 0, 1))  # (m, b, K)
+        ct = np.ascontiguousarray(stack[codes[s:s + step]].transpose(2, 0, 1))  # (m, b, K)
         b = xt.shape[1]
 
         def cost(i, j, xt=xt, ct=ct, b=b):

@@ -26,10 +26,6 @@ CENTRE_BUDGET_BYTES = 64 * 1024 * 1024
 Centres = dict  # {tuple: np.ndarray (k, L)}
 
 
-def centres_bytes(centres: Centres) -> int:
-    return sum(np.asarray(c).size * 8 for c in centres.values())
-
-
 def split_models(centres: Centres, budget: int = CENTRE_BUDGET_BYTES) -> list[Centres]:
     """Chunks of models whose centre tables each fit the broadcast budget."""
     chunks, cur, size = [], {}, 0
@@ -77,7 +73,7 @@ def _dists_map(centres: Centres, cfg: RunConfig, schema: T.StructType):
                     use = np.flatnonzero(kr > 0)
                     if len(use) == 0:
                         continue
-                    D = dtw_to_row_centres(X[use], stack[codes[use]], gamma=gamma, band=band, mode=mode)
+                    D = dtw_to_row_centres(X[use], stack, codes[use], gamma=gamma, band=band, mode=mode)
                     Dfull[rows[use], :D.shape[1]] = D
                     kk[rows[use]] = kr[use]
             cols = [rb.column(i) for i in range(rb.num_columns) if rb.schema.names[i] not in ("_mk", "_sx")]
@@ -114,9 +110,12 @@ def nearest(dists: Column | str = "dists") -> Column:
 
 def assign(series: DataFrame, centres: Centres, key_cols: list[str], cfg: RunConfig,
            series_col: str = "series_norm") -> DataFrame:
-    """Dists, cluster_id and the own-centre distance ``dist``."""
+    """Dists, cluster_id and the own-centre distance ``dist``. Under soft-DTW the cluster is the nearest by
+    that; ``dists`` and ``dist``, which quality is measured with, are always DTW."""
     a = with_dists(series, centres, key_cols, cfg, series_col)
     a = a.withColumn("cluster_id", nearest("dists"))
+    if cfg.distance == "soft_dtw":
+        a = with_dists(a.drop("dists"), centres, key_cols, cfg.with_(distance="dtw", compat=False), series_col)
     return a.withColumn("dist", F.element_at("dists", F.col("cluster_id") + 1))
 
 

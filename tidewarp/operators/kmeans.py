@@ -2,16 +2,13 @@
 packing of many independent models into one job per pass (C13).
 
 One aggregation job per pass for *all* active models: rows carry their
-model key, get one assignment against that model's centres, and a
-partial + final ``avg(series[i])`` per (model, cluster) returns k x L
-numbers per model to the driver. Converged models drop out of later passes.
+model key, get one assignment against that model's centres, and one wide
+row of sums per (task, model, cluster) is added up on the executors, so
+models x k rows return to the driver. Converged models drop out of later passes.
 """
 
 from __future__ import annotations
 
-import base64
-import pickle
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,72 +53,22 @@ def centre_shift(old: np.ndarray, new: np.ndarray) -> float:
     return float(np.abs(np.asarray(old) - np.asarray(new)).sum())
 
 
-def cluster_means(assigned: DataFrame, key_cols: list[str], length: int,
-                  series_col: str = "series_norm") -> DataFrame:
-    """A3 over the assignment: count and mean vector per (model, cluster).
-
-    One ``avg`` per position keeps the aggregation algebraic (map-side
-    partial, codegen), so a cluster holding a third of the rows costs the
-    same as any other.
-    """
-    aggs = [F.count(F.lit(1)).alias("n")] + [F.avg(F.col(series_col)[i]).alias(f"m{i}") for i in range(length)]
-    return assigned.groupBy(*key_cols, "cluster_id").agg(*aggs)
-
-
-def update_centres(centres: Centres, rows, key_cols: list[str], length: int) -> Centres:
-    """New centre = mean of its members; an empty cluster keeps its centre."""
-    new = {k: np.array(v, dtype=np.float64, copy=True) for k, v in centres.items()}
-    for r in rows:
-        key = tuple(r[c] for c in key_cols)
-        if key in new:
-            new[key][r["cluster_id"]] = [r[f"m{i}"] for i in range(length)]
-    return new
-
-
-_CENTRES_PROP = "tidewarp.kmeans.centres"
-INLINE_CENTRES_BYTES = 256 * 1024
-_DECODED: dict = {}
-
-
-def encode_centres(centres: Centres) -> str:
-    table = {key_str(k): np.asarray(v, dtype=np.float64) for k, v in centres.items()}
-    return base64.b64encode(pickle.dumps(table, protocol=5)).decode("ascii")
-
-
-def _task_centres(fixed: dict | None):
-    """Centre table of the current pass: the closure's, or the one the
-    driver attached to this job as a local property (decoded once per
-    worker and pass)."""
-    if fixed is not None:
-        return fixed
-    from pyspark import TaskContext
-
-    blob = TaskContext.get().getLocalProperty(_CENTRES_PROP)
-    table = _DECODED.get(blob)
-    if table is None:
-        _DECODED.clear()
-        table = _DECODED[blob] = pickle.loads(base64.b64decode(blob))
-    return table
-
-
 def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: int,
-               series_col: str = "series_norm", centres: Centres | None = None) -> DataFrame:
-    """One k-means pass as a map-side combine.
-
-    Each task assigns its rows (DTW against its model's centres, lowest
-    index on ties) and emits, per (model, cluster) it saw, partial sums in
-    long form ``(_m, cluster_id, slot, v)``: slots 0..L-1 the member sums,
-    then the count, the silhouette sum and count, and the own-distance sum.
-    With ``centres=None`` the plan is built once per fit and every pass
-    supplies its centres as a job-local property.
+               series_col: str, centres) -> DataFrame:
+    """One k-means pass as a map-side combine. ``centres``: a broadcast of {model string: (k, L)}.
+
+    Each task assigns its rows (DTW against its model's centres, lowest index on ties) and emits one wide row
+    ``(_m, cluster_id, s0..)`` per (model, cluster) it saw: L member sums, L counts (a shorter series counts where it
+    has values), then size, silhouette sum and count, and own-distance sum. Silhouettes and distances are measured with
+    DTW whatever distance assigns.
     """
-    fixed = None if centres is None else {key_str(k): np.asarray(v, dtype=np.float64) for k, v in centres.items()}
-    gamma = cfg.gamma if cfg.distance == "soft_dtw" else None
-    band, mode = cfg.band, ("prefix" if cfg.compat and cfg.distance == "dtw" else "full")
-    compat = cfg.compat
+    soft = cfg.distance == "soft_dtw"
+    band, mode = cfg.band, ("prefix" if cfg.compat and not soft else "full")
+    gamma, compat = (cfg.gamma if soft else None), cfg.compat
+    width = 2 * length + 4
 
     def run(batches):
-        table = _task_centres(fixed)
+        table = centres.value
         acc: dict = {}
         for rb in batches:
             if rb.num_rows == 0:
@@ -137,9 +84,13 @@ def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: i
                 if len(X) == 0:
                     continue
                 kmax = stack.shape[1]
-                D = dtw_to_row_centres(X, stack[codes], gamma=gamma, band=band, mode=mode)
-                D[np.arange(kmax)[None, :] >= kr[:, None]] = np.inf  # padding columns
+                padding = np.arange(kmax)[None, :] >= kr[:, None]
+                D = dtw_to_row_centres(X, stack, codes, gamma=gamma, band=band, mode=mode)
+                D[padding] = np.inf
                 cl = D.argmin(axis=1)
+                if soft:
+                    D = dtw_to_row_centres(X, stack, codes, band=band)
+                    D[padding] = np.inf
                 idx = np.arange(len(cl))
                 own = D[idx, cl]
                 Dm = D.copy()
@@ -149,74 +100,66 @@ def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: i
                 with np.errstate(invalid="ignore", divide="ignore"):
                     sil = np.where(den == 0, np.nan if compat else 0.0, (other - own) / den)
                 sil[kr < 2] = np.nan
-                Xl = X[:, :length] if n >= length else np.pad(X, ((0, 0), (0, length - n)))
                 grp, inv = np.unique(codes.astype(np.int64) * kmax + cl, return_inverse=True)
                 ok = ~np.isnan(sil)
                 g = len(grp)
-                parts = np.empty((g, length + 4))
-                for j in range(length):
-                    parts[:, j] = np.bincount(inv, weights=Xl[:, j], minlength=g)
-                parts[:, length] = np.bincount(inv, minlength=g)
-                parts[:, length + 1] = np.bincount(inv, weights=np.where(ok, sil, 0.0), minlength=g)
-                parts[:, length + 2] = np.bincount(inv, weights=ok.astype(np.float64), minlength=g)
-                parts[:, length + 3] = np.bincount(inv, weights=own, minlength=g)
+                parts = np.zeros((g, width))
+                size = np.bincount(inv, minlength=g)
+                for j in range(min(n, length)):
+                    parts[:, j] = np.bincount(inv, weights=X[:, j], minlength=g)
+                    parts[:, length + j] = size
+                parts[:, -4] = size
+                parts[:, -3] = np.bincount(inv, weights=np.where(ok, sil, 0.0), minlength=g)
+                parts[:, -2] = np.bincount(inv, weights=ok.astype(np.float64), minlength=g)
+                parts[:, -1] = np.bincount(inv, weights=own, minlength=g)
                 for gi, key_code in enumerate(grp):
                     key = (names[int(key_code // kmax)], int(key_code % kmax))
                     acc[key] = acc[key] + parts[gi] if key in acc else parts[gi]
         if acc:
-            m, c, i, v = [], [], [], []
-            for (mk, cc), vec in acc.items():
-                m += [mk] * len(vec)
-                c += [cc] * len(vec)
-                i += list(range(len(vec)))
-                v += vec.tolist()
+            sums = np.stack(list(acc.values()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(m, pa.string()), pa.array(c, pa.int32()), pa.array(i, pa.int32()), pa.array(v, pa.float64())],
-                names=["_m", "cluster_id", "slot", "v"])
+                [pa.array([m for m, _ in acc], pa.string()), pa.array([c for _, c in acc], pa.int32()), *map(pa.array, sums.T)],
+                names=["_m", "cluster_id", *(f"s{i}" for i in range(width))])
 
     return series.select(model_key(key_cols).alias("_m"), F.col(series_col).alias("_s")).mapInArrow(
-        run, "_m string, cluster_id int, slot int, v double")
+        run, "_m string, cluster_id int, " + ", ".join(f"s{i} double" for i in range(width)))
 
 
-DIRECT_PARTIAL_ROWS = 200_000
+def pass_sums(series: DataFrame, centres: Centres, key_cols: list[str], cfg: RunConfig, length: int,
+              series_col: str = "series_norm") -> dict:
+    """Run one pass; returns {(model string, cluster): vector of 2 L + 4 sums}, added up on the executors: models x k rows
+    reach the driver. The centres travel as a Spark broadcast that ends with the pass."""
+    sent = series.sparkSession.sparkContext.broadcast({key_str(k): np.asarray(v, dtype=np.float64) for k, v in centres.items()})
+    try:
+        plan = _pass_plan(series, key_cols, cfg, length, series_col, sent)
+        sums = [F.sum(c).alias(c) for c in plan.columns[2:]]
+        rows = plan.groupBy("_m", "cluster_id").agg(*sums).toArrow()
+    finally:
+        sent.destroy()
+    vectors = np.column_stack([c.to_numpy() for c in rows.columns[2:]]) if rows.num_rows else np.empty((0, 2 * length + 4))
+    return dict(zip(zip(rows.column("_m").to_pylist(), rows.column("cluster_id").to_pylist()), vectors))
 
 
-def _pass_sums(plan_or_none, series, centres: Centres, key_cols, cfg, length, series_col, n_parts: int):
-    """Run one pass; returns {(model str, cluster): vector of L + 4 sums}.
+def moved_centre(old: np.ndarray, sums: np.ndarray, length: int) -> np.ndarray:
+    """Mean of the members, position by position; a position that no member has keeps its value."""
+    have = sums[length:2 * length] > 0
+    return np.where(have, sums[:length] / np.maximum(sums[length:2 * length], 1), old)
 
-    The partial rows number at most tasks x models x k x (L + 4); below a
-    fixed bound they are collected as they are (one stage), above it they
-    are first added up by a ``groupBy`` on the executors.
-    """
-    sc = series.sparkSession.sparkContext
-    blob = encode_centres(centres)
-    inline = plan_or_none is not None and len(blob) <= INLINE_CENTRES_BYTES
-    plan = plan_or_none if inline else _pass_plan(series, key_cols, cfg, length, series_col, centres)
-    kmax = max(np.asarray(c).shape[0] for c in centres.values())
-    bound = n_parts * len(centres) * kmax * (length + 4)
-    if bound > DIRECT_PARTIAL_ROWS:
-        plan = plan.groupBy("_m", "cluster_id", "slot").agg(F.sum("v").alias("v"))
-    if inline:
-        sc.setLocalProperty(_CENTRES_PROP, blob)
-    try:
-        rows = plan.select("*").collect()
-    finally:
-        if inline:
-            sc.setLocalProperty(_CENTRES_PROP, None)
-    out: dict = {}
-    for r in rows:
-        key = (r["_m"], r["cluster_id"])
-        if key not in out:
-            out[key] = np.zeros(length + 4)
-        out[key][r["slot"]] += r["v"]
-    return out
+
+def update_centres(series: DataFrame, centres: Centres, key_cols: list[str], cfg: RunConfig, series_col: str = "series_norm") -> Centres:
+    """One pass; every centre moves to the mean of its members, an empty cluster keeps its centre."""
+    new = {k: np.array(v, dtype=np.float64, copy=True) for k, v in centres.items()}
+    by_str = {key_str(k): k for k in centres}
+    for (mk, c), vec in pass_sums(series, centres, key_cols, cfg, cfg.series_length, series_col).items():
+        new[by_str[mk]][c] = moved_centre(new[by_str[mk]][c], vec, cfg.series_length)
+    return new
 
 
 def _stats(sums: dict, by_str: dict, length: int) -> dict:
     """{model: {cluster: (size, mean silhouette or None, mean distance)}}."""
     st: dict = {}
     for (mk, c), vec in sums.items():
-        n, ssum, scnt, dsum = vec[length:length + 4]
+        n, ssum, scnt, dsum = vec[-4:]
         st.setdefault(by_str[mk], {})[c] = (int(n), (ssum / scnt) if scnt else None, dsum / n if n else None)
     return st
 
@@ -251,19 +194,9 @@ def fit(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunConfig,
     shifts: dict = {}
     cap = cfg.max_iter + 1 if cfg.compat else cfg.max_iter
     step = 0
-    plan = _pass_plan(series, key_cols, cfg, length, series_col)
-    n_parts = series.rdd.getNumPartitions()
     by_str = {key_str(k): k for k in cur}
-    # exact cycle shortcut: the pass is a deterministic map of the centre
-    # table, so once a model's table repeats, later passes repeat the cycle
-    # and the table at the pass cap is known without running them.
-    hist = {k: [cur[k]] for k in cur}
-    seen = {k: {cur[k].tobytes(): 0} for k in cur}
     while active and step < cap:
-        act = {k: cur[k] for k in active}
-        new = {k: np.array(v, dtype=np.float64, copy=True) for k, v in act.items()}
-        for (mk, c), vec in _pass_sums(plan, series, act, key_cols, cfg, length, series_col, n_parts).items():
-            new[by_str[mk]][c] = vec[:length] / vec[length]
+        new = update_centres(series, {k: cur[k] for k in active}, key_cols, cfg, series_col)
         step += 1
         for k in list(active):
             shifts[k] = centre_shift(cur[k], new[k])
@@ -272,24 +205,11 @@ def fit(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunConfig,
             cur[k] = new[k]
             if shifts[k] < cfg.eta:
                 active.discard(k)
-                continue
-            sig = new[k].tobytes()
-            if sig in seen[k]:
-                j = seen[k][sig]
-                period = step - j
-                cur[k] = hist[k][j + (cap - j) % period]
-                prev[k] = hist[k][j + (cap - 1 - j) % period]
-                shifts[k] = centre_shift(prev[k], cur[k])
-                passes[k] = cap
-                active.discard(k)
-                continue
-            seen[k][sig] = step
-            hist[k].append(new[k])
     target = prev if cfg.compat else cur
     result = KMeansFit(cur, lambda: assign(series, target, key_cols, cfg, series_col), passes, shifts,
                        list(key_cols))
     if with_stats:
-        sums = _pass_sums(plan, series, target, key_cols, cfg, length, series_col, n_parts)
+        sums = pass_sums(series, target, key_cols, cfg, length, series_col)
         result.stats = _stats(sums, by_str, length)
     return result
 

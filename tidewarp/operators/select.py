@@ -159,7 +159,9 @@ def _run_input(series: DataFrame, cfg: RunConfig) -> DataFrame:
     has not persisted it already (a filter over a cached table scans the
     cache, no second copy)."""
     level = series.storageLevel
-    s = series.where((F.col("time_point") >= cfg.from_tp) & (F.col("time_point") <= cfg.to_tp))
+    s = series.where(F.col("time_point") >= cfg.from_tp)
+    if cfg.to_tp is not None:
+        s = s.where(F.col("time_point") <= cfg.to_tp)
     return s if (level.useMemory or level.useDisk) else cut_lineage(s)
 
 

@@ -55,11 +55,31 @@ def c2(spark, sf_dir):
     s, _ = fx1_fit(spark, sf_dir)
     sk = km.fan_out_k(s, [ORACLE_K])
     init = km.lowest_id_centres(s, [ORACLE_K])
-    act = km.cluster_means(km.assign(sk, init, KEYS, ORACLE_CFG), KEYS, L).collect()
-    new = km.update_centres(init, act, KEYS, L)
+    new = km.update_centres(sk, init, KEYS, ORACLE_CFG)
     return flat(km.centres_frame(spark, new, KEYS), ["time_point", "k", "cluster_id"], "center")
 
 
+SOFT_CFG = ORACLE_CFG.with_(distance="soft_dtw", max_iter=1)
+
+
+def _sql_c4_soft():
+    q = O.Sql()
+    s = O.fixture_series(q, "fx1")
+    sk = O.fan_out_k(q, s, [ORACLE_K])
+    c, a = O.kmeans(q, sk, O.lowest_id_centres(q, s, [ORACLE_K]), SOFT_CFG.max_iter, L, SOFT_CFG.gamma)
+    return q.render(f"""SELECT a.time_point, a.k, a.id, a.cluster_id, round({O.dtw('a.series_norm', 'c.center')}, 6) AS dist
+FROM {a} a JOIN {c} c ON c.time_point = a.time_point AND c.k = a.k AND c.cluster_id = a.cluster_id""")
+
+
+@register("c4_soft_dtw_kmeans", _sql_c4_soft())
+def c4_soft(spark, sf_dir):
+    """C1/C4 under soft-DTW: assignment by soft-DTW, distances measured with DTW."""
+    s, _ = fx1_fit(spark, sf_dir)
+    sk = km.fan_out_k(s, [ORACLE_K])
+    fit = km.fit(sk, km.lowest_id_centres(s, [ORACLE_K]), KEYS, SOFT_CFG)
+    return fit.assignments.select("time_point", "k", "id", "cluster_id", r6(F.col("dist")).alias("dist"))
+
+
 def _sql_c3():
     q, s, c, a = _oracle_fit()
     prev, last = f"km_c{ORACLE_PASSES - 1}", f"km_c{ORACLE_PASSES}"

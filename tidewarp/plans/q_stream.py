@@ -118,11 +118,19 @@ def t6(spark, sf_dir):
     return spark.read.parquet(out).select("time_point", "id", "cluster_id", r6(F.col("dist")).alias("dist"))
 
 
-@register("w14_raw_message_records")
+def _sql_w14():
+    q = O.Sql()
+    lg = _ddense(q)
+    return q.render(f"SELECT DISTINCT pos AS time_point, CAST(floor(id / {T.MESSAGE_BLOCK}) AS BIGINT) AS block, true AS has_arrival_time FROM {lg}")
+
+
+@register("w14_raw_message_records", _sql_w14())
 def w14(spark, sf_dir):
     src = T.read_feed_stream(spark, feed(spark, sf_dir), files_per_trigger=8)
     out = staging_path(spark, "raw-messages")
     T.run_to_table(T.with_arrival_time(src), out, staging_path(spark, "raw-ckpt"))
     back = spark.read.parquet(out)
-    return back.select(F.element_at(F.split("message", "\n"), 1).cast("int").alias("time_point"),
+    lines = F.split("message", "\n")
+    return back.select(F.element_at(lines, 1).cast("int").alias("time_point"),
+                       F.floor(F.element_at(F.split(F.element_at(lines, 2), ","), 1).cast("bigint") / T.MESSAGE_BLOCK).cast("bigint").alias("block"),
                        F.col("datetime").isNotNull().alias("has_arrival_time"))

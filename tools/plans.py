@@ -55,7 +55,7 @@ def main():
         ("Dense series + windows: one groupBy(id) of (pos, value) entries, explode of the windows",
          fixture_series(spark, sf, "fx1")),
         ("One k-means pass: Arrow map over the cached series, partial sums, small aggregate",
-         km._pass_plan(sk, keys, RunConfig(), 12).groupBy("_m", "cluster_id", "slot").agg(F.sum("v"))),
+         km._pass_plan(sk, keys, RunConfig(), 12, "series_norm", spark.sparkContext.broadcast({})).groupBy("_m", "cluster_id").agg(F.sum("s0"))),
         ("K1 nearest samples: WindowGroupLimit Partial before the shuffle, Final after",
          A.nearest_samples(a, keys, 5)),
         ("J5 companion stability: time-point set broadcast, one id join, small count tables",
