@@ -9,6 +9,8 @@ models x k rows return to the driver. Converged models drop out of later passes.
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,6 +36,7 @@ class KMeansFit:
         self.shifts = shifts
         self.key_cols = key_cols
         self.stats = stats or {}
+        self.seconds: dict = {}  # task seconds of clustering, by model
         self._assign_fn = assign_fn
         self._assignments = None
 
@@ -59,13 +62,13 @@ def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: i
 
     Each task assigns its rows (DTW against its model's centres, lowest index on ties) and emits one wide row
     ``(_m, cluster_id, s0..)`` per (model, cluster) it saw: L member sums, L counts (a shorter series counts where it
-    has values), then size, silhouette sum and count, and own-distance sum. Silhouettes and distances are measured with
+    has values), then the seconds spent, size, silhouette sum and count, and own-distance sum. Silhouettes and distances are measured with
     DTW whatever distance assigns.
     """
     soft = cfg.distance == "soft_dtw"
     band, mode = cfg.band, ("prefix" if cfg.compat and not soft else "full")
     gamma, compat = (cfg.gamma if soft else None), cfg.compat
-    width = 2 * length + 4
+    width = 2 * length + 5
 
     def run(batches):
         table = centres.value
@@ -84,6 +87,7 @@ def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: i
                 if len(X) == 0:
                     continue
                 kmax = stack.shape[1]
+                began = time.perf_counter()
                 padding = np.arange(kmax)[None, :] >= kr[:, None]
                 D = dtw_to_row_centres(X, stack, codes, gamma=gamma, band=band, mode=mode)
                 D[padding] = np.inf
@@ -108,6 +112,7 @@ def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: i
                 for j in range(min(n, length)):
                     parts[:, j] = np.bincount(inv, weights=X[:, j], minlength=g)
                     parts[:, length + j] = size
+                parts[:, -5] = size * (time.perf_counter() - began) / len(cl)
                 parts[:, -4] = size
                 parts[:, -3] = np.bincount(inv, weights=np.where(ok, sil, 0.0), minlength=g)
                 parts[:, -2] = np.bincount(inv, weights=ok.astype(np.float64), minlength=g)
@@ -127,7 +132,7 @@ def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: i
 
 def pass_sums(series: DataFrame, centres: Centres, key_cols: list[str], cfg: RunConfig, length: int,
               series_col: str = "series_norm") -> dict:
-    """Run one pass; returns {(model string, cluster): vector of 2 L + 4 sums}, added up on the executors: models x k rows
+    """Run one pass; returns {(model string, cluster): vector of 2 L + 5 sums}, added up on the executors: models x k rows
     reach the driver. The centres travel as a Spark broadcast that ends with the pass."""
     sent = series.sparkSession.sparkContext.broadcast({key_str(k): np.asarray(v, dtype=np.float64) for k, v in centres.items()})
     try:
@@ -136,7 +141,7 @@ def pass_sums(series: DataFrame, centres: Centres, key_cols: list[str], cfg: Run
         rows = plan.groupBy("_m", "cluster_id").agg(*sums).toArrow()
     finally:
         sent.destroy()
-    vectors = np.column_stack([c.to_numpy() for c in rows.columns[2:]]) if rows.num_rows else np.empty((0, 2 * length + 4))
+    vectors = np.column_stack([c.to_numpy() for c in rows.columns[2:]]) if rows.num_rows else np.empty((0, 2 * length + 5))
     return dict(zip(zip(rows.column("_m").to_pylist(), rows.column("cluster_id").to_pylist()), vectors))
 
 
@@ -146,12 +151,17 @@ def moved_centre(old: np.ndarray, sums: np.ndarray, length: int) -> np.ndarray:
     return np.where(have, sums[:length] / np.maximum(sums[length:2 * length], 1), old)
 
 
-def update_centres(series: DataFrame, centres: Centres, key_cols: list[str], cfg: RunConfig, series_col: str = "series_norm") -> Centres:
-    """One pass; every centre moves to the mean of its members, an empty cluster keeps its centre."""
+def update_centres(series: DataFrame, centres: Centres, key_cols: list[str], cfg: RunConfig, series_col: str = "series_norm",
+                   seconds: dict | None = None) -> Centres:
+    """One pass; every centre moves to the mean of its members, an empty cluster keeps its centre. ``seconds``
+    takes the task seconds of each model (E5)."""
     new = {k: np.array(v, dtype=np.float64, copy=True) for k, v in centres.items()}
     by_str = {key_str(k): k for k in centres}
     for (mk, c), vec in pass_sums(series, centres, key_cols, cfg, cfg.series_length, series_col).items():
-        new[by_str[mk]][c] = moved_centre(new[by_str[mk]][c], vec, cfg.series_length)
+        key = by_str[mk]
+        new[key][c] = moved_centre(new[key][c], vec, cfg.series_length)
+        if seconds is not None:
+            seconds[key] = seconds.get(key, 0.0) + vec[-5]
     return new
 
 
@@ -195,8 +205,9 @@ def fit(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunConfig,
     cap = cfg.max_iter + 1 if cfg.compat else cfg.max_iter
     step = 0
     by_str = {key_str(k): k for k in cur}
+    seconds: dict = {}
     while active and step < cap:
-        new = update_centres(series, {k: cur[k] for k in active}, key_cols, cfg, series_col)
+        new = update_centres(series, {k: cur[k] for k in active}, key_cols, cfg, series_col, seconds)
         step += 1
         for k in list(active):
             shifts[k] = centre_shift(cur[k], new[k])
@@ -208,6 +219,7 @@ def fit(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunConfig,
     target = prev if cfg.compat else cur
     result = KMeansFit(cur, lambda: assign(series, target, key_cols, cfg, series_col), passes, shifts,
                        list(key_cols))
+    result.seconds = seconds
     if with_stats:
         sums = pass_sums(series, target, key_cols, cfg, length, series_col)
         result.stats = _stats(sums, by_str, length)

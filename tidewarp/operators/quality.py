@@ -6,9 +6,6 @@ no distance is recomputed for silhouettes or mean distances.
 
 from __future__ import annotations
 
-import time
-from contextlib import contextmanager
-
 import numpy as np
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -63,14 +60,6 @@ def mean_distance(assigned: DataFrame, key_cols: list[str]) -> DataFrame:
     return assigned.groupBy(*key_cols, "cluster_id").agg(F.avg("dist").alias("mean_distance"))
 
 
-@contextmanager
-def stopwatch(out: dict, key: str = "spent_time"):
-    """E5: whole seconds spent inside the block."""
-    t0 = time.time()
-    yield out
-    out[key] = int(time.time() - t0)
-
-
 # --------------------------------------------------------------------------
 # PCA
 # --------------------------------------------------------------------------
@@ -98,12 +87,14 @@ def pca_fit(df: DataFrame, k: int = 3, series_col: str = "series_norm"):
     return pc, np.asarray(model.explainedVariance.toArray())
 
 
-def project(df: DataFrame, pc: np.ndarray, series_col: str = "series_norm", out: str = "pca") -> DataFrame:
-    """X . components (no centring, as the library transform does)."""
-    cols = pc.T.tolist()
-    comps = [F.aggregate(F.zip_with(F.col(series_col), F.array(*[F.lit(float(v)) for v in comp]),
-                                    lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v) for comp in cols]
-    return df.withColumn(out, F.array(*comps))
+def project_by_group(df: DataFrame, fits: dict, group_col: str, length: int, k: int, series_col: str = "series_norm") -> DataFrame:
+    """Adds ``pca``, x . the ``k`` components of the row's group (no centring, as the library transform does).
+    ``fits``: what ``pca_by_group`` returns, one row a group (broadcast)."""
+    tbl = df.sparkSession.createDataFrame([(int(g), pc[:, :k].T.flatten().tolist()) for g, (pc, _) in fits.items()],
+                                          f"{group_col} int, _w array<double>")
+    dots = [F.aggregate(F.zip_with(F.col(series_col), F.slice("_w", c * length + 1, length), lambda a, b: a * b),
+                        F.lit(0.0), lambda a, b: a + b) for c in range(k)]
+    return df.join(F.broadcast(tbl), group_col).withColumn("pca", F.array(*dots)).drop("_w")
 
 
 def pca_by_group(df: DataFrame, group_col: str, k: int, series_col: str = "series_norm",

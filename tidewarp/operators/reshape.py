@@ -7,8 +7,6 @@ which are bounded by the number of positions, so no id x position spine
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,24 +64,12 @@ def drop_dead(s: DataFrame, col: str = "series_norm") -> DataFrame:
 
 
 def sample_exact(df: DataFrame, n: int, seed: int, key: str = "id") -> DataFrame:
-    """Exactly ``min(n, count)`` rows without replacement, seeded and
-    independent of partitioning: the ``n`` smallest md5 uniforms of the key.
-
-    A threshold pre-filter keeps the final top-n merge at about n rows
-    instead of n per input partition.
-    """
+    """Exactly ``min(n, count)`` rows of distinct keys without replacement, seeded and independent of partitioning:
+    the ``n`` smallest md5 uniforms of the key. Only keys are ranked (a top-n of a narrow scan); their rows follow by a
+    semi-join."""
     u = uniform01(F.lit(seed), F.col(key), F.lit(0))
-    scored = df.withColumn("_u", u)
-    total = df.count()
-    if total <= n:
-        return scored.drop("_u")
-    q = min(1.0, (n + 6 * math.sqrt(n) + 100) / total)
-    while True:
-        cand = scored.where(F.col("_u") <= q)
-        if q >= 1.0 or cand.count() >= n:
-            break
-        q = min(1.0, q * 2)
-    return cand.orderBy("_u", key).limit(n).drop("_u")
+    chosen = df.select(key, u.alias("_u")).orderBy("_u", key).limit(n).select(key)
+    return df.join(chosen, key, "left_semi")
 
 
 def non_empty_lines(lines: DataFrame, col: str = "value") -> DataFrame:

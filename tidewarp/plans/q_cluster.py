@@ -301,12 +301,10 @@ def e4(spark, sf_dir):
 
 @register("e5_elapsed_seconds")
 def e5(spark, sf_dir):
-    t: dict = {}
-    with Q.stopwatch(t):
-        s = cut_lineage(fixture_series(spark, sf_dir, "fx1"))
-        sk = km.fan_out_k(s, [ORACLE_K])
-        km.fit(sk, km.lowest_id_centres(s, [ORACLE_K]), KEYS, ORACLE_CFG.with_(max_iter=1)).assignments.count()
-    return s.select("time_point").distinct().withColumn("spent_time", F.lit(t["spent_time"]).cast("bigint"))
+    """E5: task seconds of the clustering passes of each time point, as measured inside the passes."""
+    s, _ = fx1_fit(spark, sf_dir)
+    fit = km.fit(km.fan_out_k(s, [ORACLE_K]), km.lowest_id_centres(s, [ORACLE_K]), KEYS, ORACLE_CFG.with_(max_iter=1))
+    return spark.createDataFrame([(int(tp), float(x)) for (tp, _), x in fit.seconds.items()], "time_point int, spent_time double")
 
 
 # ---------------------------------------------------------------- A
@@ -488,13 +486,8 @@ def pca_projection(spark, sf_dir) -> DataFrame:
     """Every series of every time point projected on that time point's
     first two components (sign-fixed, no centring)."""
     s, _ = fx1_fit(spark, sf_dir)
-    fits = pca_per_time_point(spark, sf_dir)
-    tbl = spark.createDataFrame([(int(tp), pc[:, :2].T.flatten().tolist()) for tp, (pc, _) in fits.items()],
-                                "time_point int, w array<double>")
-    j = s.join(F.broadcast(tbl), "time_point")
-    dot = [F.aggregate(F.zip_with("series_norm", F.slice("w", c * L + 1, L), lambda x, y: x * y),
-                       F.lit(0.0), lambda a, b: a + b) for c in range(2)]
-    return j.select("time_point", "id", dot[0].alias("pc1"), dot[1].alias("pc2"))
+    j = Q.project_by_group(s, pca_per_time_point(spark, sf_dir), "time_point", L, 2)
+    return j.select("time_point", "id", F.col("pca")[0].alias("pc1"), F.col("pca")[1].alias("pc2"))
 
 
 @register("p1_pca_transform")
@@ -514,18 +507,9 @@ def p2(spark, sf_dir):
 def p3(spark, sf_dir):
     """K1 samples projected on 2 and 3 components of their time point."""
     samples = A.nearest_samples(_asg(spark, sf_dir), KEYS, K1_N)
-    fits = pca_per_time_point(spark, sf_dir)
-    tbl = spark.createDataFrame([(int(tp), pc.T.flatten().tolist()) for tp, (pc, _) in fits.items()],
-                                "time_point int, w array<double>")
-    j = samples.join(F.broadcast(tbl), "time_point")
-    dot = [F.aggregate(F.zip_with("series_norm", F.slice("w", c * L + 1, L), lambda x, y: x * y),
-                       F.lit(0.0), lambda a, b: a + b) for c in range(3)]
+    j = Q.project_by_group(samples, pca_per_time_point(spark, sf_dir), "time_point", L, 3)
     return j.select(*KEYS, "cluster_id", "rank", "dist", F.col("series_norm").alias("member"),
-                    F.array(dot[0], dot[1]).alias("p2"), F.array(*dot).alias("p3"))
-
-
-def explained_ok(ev: np.ndarray) -> bool:
-    return bool(np.all(ev >= -1e-12) and ev.sum() <= 1 + 1e-9)
+                    F.slice("pca", 1, 2).alias("p2"), F.col("pca").alias("p3"))
 
 
 # ---------------------------------------------------------------- D4, X8, SQL surface

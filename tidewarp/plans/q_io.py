@@ -44,7 +44,7 @@ def saved(spark, sf_dir) -> dict:
     if key not in _WRITTEN:
         _, fit = fx1_fit(spark, sf_dir)
         _WRITTEN[key] = save_result(spark, staging_path(spark, "results"), fit.assignments, fit.centres,
-                                    ORACLE_CFG.with_(n_samples=K1_N))
+                                    ORACLE_CFG.with_(n_samples=K1_N), fit.seconds)
     return _WRITTEN[key]
 
 
@@ -187,7 +187,8 @@ def _sql_w2():
     q, s, c, a = _oracle_fit()
     cs = q.add("csil", f"SELECT time_point, k, cluster_id, avg({O.silhouette_row()}) AS sil FROM {a} GROUP BY ALL")
     return q.render(f"""SELECT 'random' AS run_kind, 'random' AS new_mean_method, 12 AS balance_length,
-  c.time_point, c.k, c.cluster_id, round(coalesce(s.sil, -1.0), 6) AS silhouette, round({O.lsum('c.center')}, 6) AS center_sum
+  c.time_point, c.k, c.cluster_id, round(coalesce(s.sil, -1.0), 6) AS silhouette, round({O.lsum('c.center')}, 6) AS center_sum,
+  true AS has_spent_time
 FROM {c} c LEFT JOIN {cs} s ON c.time_point = s.time_point AND c.k = s.k AND c.cluster_id = s.cluster_id""")
 
 
@@ -195,7 +196,8 @@ FROM {c} c LEFT JOIN {cs} s ON c.time_point = s.time_point AND c.k = s.k AND c.c
 def w2(spark, sf_dir):
     t = _read(spark, sf_dir, "clustered_result")
     return t.select(*RUN_COLS, "time_point", "k", "cluster_id", r6(F.col("silhouette")).alias("silhouette"),
-                    r6(F.aggregate("center", F.lit(0.0), lambda a, x: a + x)).alias("center_sum"))
+                    r6(F.aggregate("center", F.lit(0.0), lambda a, x: a + x)).alias("center_sum"),
+                    (F.col("spent_time") > 0).alias("has_spent_time"))
 
 
 @register("w3_cluster_balances", _run_sql(
@@ -245,7 +247,7 @@ def w6(spark, sf_dir):
 @register("w7_cluster_samples")
 def w7(spark, sf_dir):
     t = _read(spark, sf_dir, "cluster_samples")
-    return t.select(*RUN_COLS, "time_point", "k", "cluster_id", r6(F.col("dist")).alias("dist"), "member")
+    return t.select(*RUN_COLS, "time_point", "k", "cluster_id", r6(F.col("dist")).alias("dist"), "member", "p2", "p3")
 
 
 @register("w8_cluster_member_count", _run_sql(

@@ -17,11 +17,12 @@ TABLES = ("customer_clustered", "clustered_result", "cluster_balances", "cluster
 
 
 def save_result(spark: SparkSession, base: str, assigned: DataFrame, centres: dict, cfg: RunConfig,
-                spent_time: int = 0, key_cols=("time_point", "k"), with_monitor: bool = True) -> dict:
+                seconds: dict | None = None, key_cols=("time_point", "k"), with_monitor: bool = True) -> dict:
     """Write the result tables of one run under ``base/<table>``.
 
     ``assigned`` is the final assignment (with dists); ``centres`` the
-    driver-side centre table of the chosen models. Every table is written
+    driver-side centre table of the chosen models; ``seconds`` the task
+    seconds of each (``KMeansFit.seconds``). Every table is written
     with dynamic partition overwrite, so a re-run replaces its partitions.
     """
     key_cols = list(key_cols)
@@ -30,15 +31,19 @@ def save_result(spark: SparkSession, base: str, assigned: DataFrame, centres: di
     full = assigned.agg(F.max(F.size("series_full"))).first()[0] or length
     cs = Q.cluster_silhouettes(assigned, key_cols, cfg.compat)
     centres_df = km.centres_frame(spark, centres, key_cols)
+    spent = spark.createDataFrame([(*map(int, k), float((seconds or {}).get(k, 0.0))) for k in centres],
+                                  ", ".join(f"{c} int" for c in key_cols) + ", spent_time double")
+    samples = Q.project_by_group(A.nearest_samples(assigned, key_cols, cfg.n_samples), Q.pca_by_group(assigned, "time_point", 3),
+                                 "time_point", length, 3)
     models = centres_df.select(*key_cols).distinct()  # one row a model
     tables = {
         "customer_clustered": W.customer_clustered(assigned, key_cols),
-        "clustered_result": W.clustered_result(A.result_per_centre(centres_df, cs, key_cols), spent_time),
+        "clustered_result": A.result_per_centre(centres_df, cs, key_cols).join(F.broadcast(spent), key_cols),
         "cluster_balances": A.cluster_total_vector(assigned, key_cols, full),
         "cluster_statistic": A.cluster_statistic(assigned, key_cols, length),
         "cluster_distance": Q.mean_distance(assigned, key_cols),
-        "cluster_samples": A.nearest_samples(assigned, key_cols, cfg.n_samples).select(
-            *key_cols, "cluster_id", "dist", F.col("series_norm").alias("member")),
+        "cluster_samples": samples.select(*key_cols, "cluster_id", "dist", F.col("series_norm").alias("member"),
+                                          F.slice("pca", 1, 2).alias("p2"), F.col("pca").alias("p3")),
         "cluster_member_count": A.cluster_size(assigned, key_cols),
     }
     if with_monitor:
@@ -51,6 +56,6 @@ def save_result(spark: SparkSession, base: str, assigned: DataFrame, centres: di
         W.write_entity(W.with_run_columns(df, **run), path)
         paths[name] = path
     members = A.member_lists(assigned, key_cols)
-    W.write_member_text(members, f"{base.rstrip('/')}/cluster_members_text")
+    W.write_member_text(W.with_run_columns(members, **run), f"{base.rstrip('/')}/cluster_members_text")
     paths["cluster_members_text"] = f"{base.rstrip('/')}/cluster_members_text"
     return paths

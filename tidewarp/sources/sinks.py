@@ -40,11 +40,6 @@ def customer_clustered(assigned: DataFrame, key_cols=("time_point", "k")) -> Dat
                            pair_encode("series_norm", "series_raw").alias("pairs"))
 
 
-def clustered_result(result_per_centre: DataFrame, spent_time: int) -> DataFrame:
-    """Per centre its silhouette (-1 when empty), vector and run seconds."""
-    return result_per_centre.withColumn("spent_time", F.lit(int(spent_time)).cast("bigint"))
-
-
 def write_text_lines(df: DataFrame, text_col: str, path: str, partition_col: str | None = None) -> None:
     out = df.select(*([partition_col] if partition_col else []), F.col(text_col).alias("value"))
     if partition_col:
@@ -57,9 +52,10 @@ def write_text_lines(df: DataFrame, text_col: str, path: str, partition_col: str
 
 
 def write_member_text(members: DataFrame, path: str) -> None:
-    """``(cluster,id;id;...)`` lines, one per id block."""
+    """``(cluster,id;id;...)`` lines, one per id block, in a folder per run kind, method, length and time point."""
     line = F.format_string("(%d,%s)", F.col("cluster_id"), F.col("members"))
-    write_text_lines(members.withColumn("_line", line), "_line", path, "time_point")
+    (members.select(*PARTITION_COLS, line.alias("value")).hint("rebalance", *PARTITION_COLS).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITION_COLS).text(path))
 
 
 def write_clustering_result_text(assigned: DataFrame, run_sil: DataFrame, path: str) -> None:
