@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SEGMENT = 1 << 20  # bytes hashed at a time; a segment ends at white space
 _rng = np.random.default_rng(20240101)
@@ -78,7 +79,18 @@ def word_hashes(texts: pa.Array):
 
 def shingle_sets(texts: pa.Array, width: int):
     """The sorted set of ``width``-word shingle hashes of each text, one uint64 array after the other; a text with fewer
-    words has its whole sequence as one shingle, a text without words the empty set."""
+    words has its whole sequence as one shingle, a text without words the empty set. Works on a few megabytes of text
+    at a time, so memory follows the longest text and not the batch."""
+    lengths = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        done = lengths[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(lengths, done + SEGMENT, "right")))
+        yield from _sets(texts.slice(at, to - at), width)
+        at = to
+
+
+def _sets(texts: pa.Array, width: int):
     words, counts = word_hashes(texts)
     ends = np.cumsum(counts)
     total = len(words)
