@@ -8,11 +8,15 @@ k follows the size of a set: a document posts its smallest ``n - ceil(t n) + 1``
 then share a posted value for certain (any one order of all values serves), so the lists lose no link. Work is kept
 linear in three ways:
 
-* Documents with equal sets are one class from the start, so copies never meet in a list.
-* A value on more than ``HOT`` lists' worth of classes (a line or passage that many texts share) moves to the end of the
-  order, and a document posts its next values instead. A document that has too few other values is *bound*; it keeps its hot
-  values, and a hot list compares only pairs with a bound member.
-* A list first links its members to one centre. Only members whose components still differ after that are paired.
+* Documents with equal sets are one class from the start, so copies never meet in a list. A class goes by 64 bits of
+  its 128-bit signature.
+* A value on the lists of more than ``HOT`` classes (a line or passage that many texts share) moves to the end of the
+  order, and a document posts its next values instead; where the values stored do not reach, its whole set is read.
+  A group of near copies thus has each member's own values first and the common ones last.
+* A list pairs two members only if the values after the posted one could still make up the similarity; the list of the
+  first value that two similar sets share always can.
+* A list first links its members to one centre, the one with the fewest values before. Only members whose components still
+  differ after that are paired.
 
 Lists are joined, never collected; the join that meets a hot list has plain exchanges on both sides, which adaptive
 execution splits. Components come from rounds of minimum labels with pointer jumping on staged tables.
@@ -33,11 +37,13 @@ from pyspark.sql import functions as F
 from tidewarp.llm.common import prepare, stage
 from tidewarp.llm.shingles import mix, shingle_sets
 
-HOT = 64  # classes on a list before its value counts as hot
+HOT = 16  # classes on a list before its value counts as hot
 MOST_HOT = 1 << 20  # hot values held by a task (8 MB); HOT doubles until they fit, which never changes a result
 STORED = 128  # values stored of any set, so short documents are stored whole
+SKETCH = 64  # values of the sketch that estimates; their upper 32 bits keep the order
 BROADCAST_ROWS = 1 << 20
-SIGNED = 1 << 63
+FILTER_BITS = 1 << 27  # of the filter of values that may be on several lists (16 MB); a fuller one lets more postings through
+BITMAP_BITS = 32768  # of the bitmaps of bitmap_construct_agg
 
 
 def posted(n: int, num: int, den: int) -> int:
@@ -51,62 +57,133 @@ def _signature(values: np.ndarray) -> bytes:
     return np.array([a.sum(dtype=np.uint64), mix(b).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
-def sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(doc_id, row, n, sig, low): size and signature of each document's set, and its smallest values in order."""
+def sketches(docs: DataFrame, words: int, num: int, den: int, low: bool = False) -> DataFrame:
+    """(doc_id, n, sig): size and signature of each document's set; with ``low`` also its smallest values in order. A
+    column ``key`` of ``docs`` comes along."""
+    keyed = "key" in docs.columns and not low
     def run(batches):
         for b in batches:
-            n, sig, low = [], [], []
+            n, sig, least = [], [], []
             for s in shingle_sets(b.column(1), words):
                 n.append(len(s))
                 sig.append(_signature(s) if len(s) else None)
-                low.append(s[:max(STORED, 2 * posted(len(s), num, den))].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(low, pa.binary())], ["doc_id", "n", "sig", "low"])
+                if low:
+                    least.append(s[:max(STORED, 2 * posted(len(s), num, den))].tobytes())
+            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary())]
+            cols += [pa.array(least, pa.binary())] if low else [b.column(2)] if keyed else []
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "sig", *["low"] * low, *["key"] * keyed])
 
-    made = docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, sig binary, low binary")
-    return stage(made.withColumn("row", F.monotonically_increasing_id()), "near-sketches")
+    return docs.select("doc_id", "text", *["key"] * keyed).mapInArrow(run, "doc_id long, n long, sig binary" + ", low binary" * low + ", key binary" * keyed)
 
 
-def _choose(low: np.ndarray, n: int, need: int, hot: np.ndarray):
-    """(cold values posted, hot values posted, bound) of one stored list."""
-    if len(hot):
-        at = np.searchsorted(hot, low)
-        is_hot = hot[np.minimum(at, len(hot) - 1)] == low
-    else:
-        is_hot = np.zeros(len(low), bool)
-    cold = low[~is_hot]
-    bound = len(cold) < need
-    warm = low[:need][is_hot[:need]]
-    if bound and len(low) == n:  # all its values are known: the end of its order is its first hot values
-        warm = np.union1d(warm, low[is_hot][:need - len(cold)])
-    return cold[:need], warm, bound
+def representatives(docs: DataFrame, rows: DataFrame, by_set: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(cls, n, low) of one document of each class; staged. Copies are left out by their ids, as few rows as there are
+    copies, so the lists of values need not be shuffled."""
+    named = rows.where("n > 0").join(by_set.select("sig", "cls", "low_id"), "sig")
+    copies = stage(named.where("row <> cls and not (doc_id <=> low_id)").select("doc_id", "sig").distinct(), "near-copies")
+    repeated = not named.where("row <> cls and doc_id <=> low_id").limit(1).isEmpty()
+    lists = sketches(docs, words, num, den, low=True).where("n > 0")
+    left = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
+    alone = lists.join(left.select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig")),
+                       F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sig") == F.col("_sig")), "left_anti").select("n", "sig", "low")
+    if repeated:
+        alone = alone.dropDuplicates(["sig"])
+    return stage(alone.withColumn("cls", F.xxhash64("sig")).select("cls", "n", "low"), "near-reps")
 
 
-def _postings(classes: DataFrame, hot: np.ndarray, num: int, den: int, before: np.ndarray | None = None) -> DataFrame:
-    """(v, cls, n, bound, hot). With ``before``, the hot values so far: only cold values not posted under those."""
-    sent = classes.sparkSession.sparkContext.broadcast((hot, before))
+def _filter(values: DataFrame) -> np.ndarray:
+    """Bytes of a bitmap of FILTER_BITS with a bit for each of ``values`` (v); its bitmaps are put together on executors."""
+    slot = F.col("v").bitwiseAND(F.lit(FILTER_BITS - 1).cast("long"))
+    parts = values.select((slot / BITMAP_BITS).cast("long").alias("bucket"), (slot % BITMAP_BITS).alias("at")).groupBy("bucket").agg(F.bitmap_construct_agg("at").alias("bits"))
+    out = np.zeros((FILTER_BITS // BITMAP_BITS, BITMAP_BITS // 8), np.uint8)
+    for bucket, bits in parts.toLocalIterator():
+        out[bucket] = np.frombuffer(bits, np.uint8)
+    return out.reshape(-1)
+
+
+def _order(low: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cold values, hot values) of a stored list."""
+    is_hot = _among(low, hot)
+    return low[~is_hot], low[is_hot]
+
+
+def _choose(low: np.ndarray, n: int, need: int, hot: np.ndarray) -> np.ndarray:
+    """The first ``need`` values in the order of cold before hot. The list must hold as many cold values or the whole set."""
+    cold, warm = _order(low, hot)
+    return cold[:need] if len(cold) >= need else np.concatenate([cold, warm[:need - len(cold)]])
+
+
+def _short(low: np.ndarray, n: int, need: int, hot: np.ndarray) -> bool:
+    """Whether a stored list ends before the values to post."""
+    return len(low) < n and len(_order(low, hot)[0]) < need
+
+
+def _postings(classes: DataFrame, hot: np.ndarray, num: int, den: int, before: np.ndarray | None = None, only: np.ndarray | None = None) -> DataFrame:
+    """(v, cls, n, rank). With ``before``, the hot values so far: only the cold values of sets that post otherwise than under
+    those, all of them for a whole set. With ``only``, a filter: only values that pass it."""
+    sent = classes.sparkSession.sparkContext.broadcast((hot, before, only))
 
     def run(batches):
-        hot, before = sent.value
+        hot, before, only = sent.value
         for b in batches:
-            cls, size = b.column(0).to_numpy(), b.column(1).to_numpy()
-            out = []
-            for c, n, low in zip(cls.tolist(), size.tolist(), b.column(2)):
+            values, ranks, count = [], [], []
+            for n, low in zip(b.column(1).to_pylist(), b.column(2)):
                 low = np.frombuffer(low.as_py(), np.uint64)
                 need = posted(n, num, den)
-                cold, warm, bound = _choose(low, n, need, hot)
+                v = _choose(low, n, need, hot)
                 if before is not None:
-                    cold, warm = np.setdiff1d(cold, _choose(low, n, need, before)[0], assume_unique=True), warm[:0]
-                out.append((np.concatenate([cold, warm]), len(cold), c, n, bound))
-            if not out:
-                continue
-            k = np.array([len(o[0]) for o in out])
-            rep = lambda i, t: np.repeat(np.array([o[i] for o in out], t), k)
-            place = np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), pa.array(rep(2, np.int64)), pa.array(rep(3, np.int32)),
-                 pa.array(rep(4, bool)), pa.array(place >= rep(1, np.int64))], ["v", "cls", "n", "bound", "hot"])
+                    old = _choose(low, n, need, before)
+                    if len(old) == len(v) and (old == v).all():
+                        v = v[:0]
+                    else:
+                        v = np.setdiff1d(_order(low, hot)[0] if len(low) == n else v[~_among(v, hot)], old, assume_unique=True)
+                r = np.arange(len(v))
+                if only is not None:
+                    keep = (only[(v & np.uint64(len(only) * 8 - 1)) >> np.uint64(3)] >> (v & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                    v, r = v[keep], r[keep]
+                values.append(v)
+                ranks.append(r)
+                count.append(len(v))
+            if values:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(values).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), count)),
+                     pa.array(np.repeat(b.column(1).to_numpy(), count)), pa.array(np.concatenate(ranks), pa.int64())], ["v", "cls", "n", "rank"])
+
+    return classes.select("cls", "n", "low").mapInArrow(run, "v long, cls long, n long, rank long")
+
+
+def _short_classes(classes: DataFrame, hot: np.ndarray, num: int, den: int) -> DataFrame:
+    """(cls) of the classes whose stored list is too short."""
+    sent = classes.sparkSession.sparkContext.broadcast(hot)
+
+    def run(batches):
+        for b in batches:
+            keep = [_short(np.frombuffer(low.as_py(), np.uint64), n, posted(n, num, den), sent.value) for n, low in zip(b.column(1).to_pylist(), b.column(2))]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], ["cls"])
+
+    return classes.select("cls", "n", "low").mapInArrow(run, "cls long")
+
+
+def _facts(classes: DataFrame) -> DataFrame:
+    """(cls, n, sketch) of each class; the sketch: the upper halves of its smallest values."""
+    def run(batches):
+        for b in batches:
+            sketch = [(np.frombuffer(low.as_py(), np.uint64)[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for low in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sketch, pa.binary())], ["cls", "n", "sketch"])
+
+    return classes.select("cls", "n", "low").mapInArrow(run, "cls long, n long, sketch binary")
 
-    return classes.select("cls", "n", "low").mapInArrow(run, "v long, cls long, n int, bound boolean, hot boolean")
+
+def _among(v: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array."""
+    if not len(known):
+        return np.zeros(len(v), bool)
+    return known[np.minimum(np.searchsorted(known, v), len(known) - 1)] == v
+
+
+def _column(df: DataFrame) -> np.ndarray:
+    """The sorted values of a bounded one-column table of 64-bit hashes."""
+    return np.sort(df.toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def _hot_values(lists: DataFrame, known: np.ndarray) -> np.ndarray:
@@ -114,25 +191,24 @@ def _hot_values(lists: DataFrame, known: np.ndarray) -> np.ndarray:
     limit = HOT
     while lists.where(F.col("members") > limit).count() > MOST_HOT:
         limit *= 2
-    new = np.array([r[0] for r in lists.where(F.col("members") > limit).select("v").toLocalIterator()], np.int64).view(np.uint64)
-    return np.union1d(known, new)
+    return np.union1d(known, _column(lists.where(F.col("members") > limit).select("v")))
 
 
-def _estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> tuple[float, bool]:
-    """Similarity by the bottom-k sketch of the union, and whether it is exact. Up to the smaller of the two largest
-    values stored, both lists hold all of the union's smallest values."""
-    if len(a) == na and len(b) == nb:
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return both / (na + nb - both), True
-    limit = min([x[-1] for x, n in ((a, na), (b, nb)) if len(x) < n])
-    a, b = a[:np.searchsorted(a, limit, "right")], b[:np.searchsorted(b, limit, "right")]
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / max(1, len(a) + len(b) - both), False
+def _estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> tuple[float, int]:
+    """Similarity by the bottom-k sketch of the union, and its k. Up to the smaller of the two largest values kept, both
+    sketches hold all of the union's smallest values; a set no larger than its sketch is held whole."""
+    ends = [x[-1] for x, n in ((a, na), (b, nb)) if len(x) < n]
+    if ends:
+        limit = min(ends)
+        a, b = a[:np.searchsorted(a, limit, "right")], b[:np.searchsorted(b, limit, "right")]
+    both = len(np.intersect1d(a, b))
+    k = max(1, len(a) + len(b) - both)
+    return both / k, k
 
 
 def _slack(k: int) -> float:
     """Deviation that a sketch of k values exceeds with probability 1e-12 (Hoeffding, sampling without replacement)."""
-    return (27.6 / (2 * max(1, k))) ** 0.5
+    return (27.6 / (2 * k)) ** 0.5
 
 
 def _needed(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -147,33 +223,23 @@ def _both_sides(pairs: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
     return right.join(sets.select(F.col("cls").alias("a"), *(F.col(c).alias(f"{c}_a") for c in cols)), "a")
 
 
-def _links(pairs: DataFrame, classes: DataFrame, full_sets, num: int, den: int) -> DataFrame:
+def _links(pairs: DataFrame, facts: DataFrame, full_sets, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough, staged."""
-    ends = stage(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "near-ends")
-    own = stage(_needed(classes.select("cls", "n", "low"), ends, "cls"), "near-own")
-    joined = _both_sides(pairs, own, "n", "low")
+    joined = _both_sides(pairs, facts, "n", "sketch")
 
     def estimate(batches):
         for b in batches:
-            c = {name: b.column(name) for name in ("a", "b", "n_a", "n_b", "low_a", "low_b")}
-            a, bb, exact = [], [], []
-            for x, y, nx, ny, lx, ly in zip(*(c[k].to_pylist() for k in ("a", "b", "n_a", "n_b")), c["low_a"], c["low_b"]):
-                if min(nx, ny) * den < num * max(nx, ny):
-                    continue
-                vx, vy = np.frombuffer(lx.as_py(), np.uint64), np.frombuffer(ly.as_py(), np.uint64)
-                if len(vx) == nx and len(vy) == ny:
-                    both = len(np.intersect1d(vx, vy, assume_unique=True))
-                    if both * den >= num * (nx + ny - both):
-                        a.append(x), bb.append(y), exact.append(True)
-                elif _estimate(vx, nx, vy, ny)[0] >= num / den - _slack(min(len(vx), len(vy))):
-                    a.append(x), bb.append(y), exact.append(False)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(bb, pa.int64()), pa.array(exact, pa.bool_())], ["a", "b", "exact"])
-
-    likely = stage(joined.mapInArrow(estimate, "a long, b long, exact boolean"), "near-likely")
-    rest = likely.where("not exact").select("a", "b")
-    if rest.isEmpty():
-        return likely.select("a", "b")
-    sets = full_sets(stage(rest.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "near-verify"))
+            keep = []
+            for nx, ny, x, y in zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), b.column("sketch_a"), b.column("sketch_b")):
+                s, k = _estimate(np.frombuffer(x.as_py(), np.uint32), nx, np.frombuffer(y.as_py(), np.uint32), ny)
+                keep.append(s >= num / den - _slack(k))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+
+    likely = stage(joined.mapInArrow(estimate, "a long, b long"), "near-likely")
+    if likely.isEmpty():
+        return likely
+    sets = full_sets(stage(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "near-verify"))
 
     def verify(batches):
         for b in batches:
@@ -185,8 +251,7 @@ def _links(pairs: DataFrame, classes: DataFrame, full_sets, num: int, den: int)
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
 
-    sure = _both_sides(rest, sets, "set").mapInArrow(verify, "a long, b long")
-    return stage(likely.where("exact").select("a", "b").unionByName(sure), "near-links")
+    return stage(_both_sides(likely, sets, "set").mapInArrow(verify, "a long, b long"), "near-links")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -205,31 +270,21 @@ def components(links: DataFrame) -> DataFrame:
 def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, first) per row of ``docs`` (doc_id, text); ``first`` marks exactly one row
     of each component, the one that stays. Documents are linked when den * intersection >= num * union, for
-    ``similarity`` = (num, den)."""
+    ``similarity`` = (num, den). A binary column ``key`` of ``docs`` comes along."""
     spark: SparkSession = docs.sparkSession
     prepare(spark)
     num, den = similarity
-    rows = sketches(docs, words, num, den)
-    # equal sets are one class, named by its smallest row
-    by_set = stage(rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("copies")), "near-classes")
-    classes = stage(rows.select(F.col("row").alias("cls"), "n", "low").join(by_set.select("cls"), "cls", "left_semi"), "near-reps")
-
-    hot = np.empty(0, np.uint64)
-    lists = stage(_postings(classes, hot, num, den).groupBy("v").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "near-lists")
-    grown = _hot_values(lists, hot)
-    while len(grown) > len(hot):
-        more = _postings(classes, grown, num, den, hot).groupBy("v").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") > HOT)
-        hot, grown = grown, _hot_values(stage(more, "near-more"), grown)
-
-    posts = _postings(classes, hot, num, den)
-    lists = stage(posts.groupBy("v").agg(F.count(F.lit(1)).alias("members"), F.min("cls").alias("centre")).where("members > 1").select("v", "centre"), "near-lists")
-    shared = stage(posts.join(lists, "v"), "near-shared")
+    rows = stage(sketches(docs, words, num, den).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    # equal sets are one class
+    by_set = stage(rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low_id")), "near-classes")
+    classes = representatives(docs, rows, by_set, words, num, den)
+    by_set = by_set.select("sig", F.xxhash64("sig").alias("cls"), "low_id")
 
     def full_sets(ids: DataFrame) -> DataFrame:
-        """(cls, set) of the classes in ``ids``, from the whole texts of one row each."""
-        want = stage(_needed(rows.select(F.col("row").alias("cls"), "doc_id", "sig"), ids, "cls").select("cls", "doc_id", "sig"), "near-want")
+        """(cls, set) of the classes in ``ids``, from the whole text of one document each."""
+        want = stage(_needed(by_set, ids, "cls"), "near-want")
         named = F.broadcast(want) if want.count() <= BROADCAST_ROWS else want
-        texts = docs.select("doc_id", "text").join(named.withColumnRenamed("doc_id", "_id"), F.col("doc_id").eqNullSafe(F.col("_id"))).select("cls", "sig", "text")
+        texts = docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("low_id"))).select("cls", "sig", "text")
 
         def run(batches):
             for b in batches:
@@ -242,36 +297,64 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
 
         return stage(texts.mapInArrow(run, "cls long, set binary").dropDuplicates(["cls"]), "near-sets")
 
-    # every list links its members to its smallest class
-    pairs = stage(shared.where("cls <> centre").select(F.col("centre").alias("a"), F.col("cls").alias("b")).distinct(), "near-pairs")
-    links = _links(pairs, classes, full_sets, num, den)
+    def without(ids: DataFrame) -> DataFrame:
+        return classes.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "cls", "left_anti")
+
+    hot = np.empty(0, np.uint64)
+    lists = stage(_postings(classes, hot, num, den).groupBy("v").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "near-lists")
+    shared_values, grown, whole = lists.select("v"), _hot_values(lists, hot), None
+    stored = classes
+    while len(grown) > len(hot):
+        short = stage(_short_classes(stored, grown, num, den), "near-short")
+        if not short.isEmpty():
+            sets = full_sets(short).select("cls", (F.octet_length("set") / 8).cast("long").alias("n"), F.col("set").alias("low"))
+            whole = sets if whole is None else whole.unionByName(sets)
+            stored = without(stage(whole.select("cls"), "near-whole")).unionByName(whole)
+        more = stage(_postings(stored, grown, num, den, hot).groupBy("v").agg(F.count(F.lit(1)).alias("members")), "near-more")
+        shared_values = shared_values.unionByName(more.select("v"))
+        hot, grown = grown, _hot_values(more, grown)
+
+    # most values are on one list alone: only those that may be shared are posted again
+    only = _filter(shared_values)
+    posts = _postings(stored, hot, num, den, only=only)
+    centres = stage(posts.groupBy("v").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rank", "cls", "n")).alias("centre")).where("members > 1")
+                    .select("v", F.col("centre.cls").alias("a"), F.col("centre.n").alias("n_a"), F.col("centre.rank").alias("rank_a")), "near-centres")
+    shared = stage(posts.join(centres, "v"), "near-shared")
+    facts = stage(_needed(_facts(classes), stage(shared.select("cls").distinct(), "near-members"), "cls"), "near-facts")
+
+    # the values from the posted one on must make up the similarity of two members
+    could = lambda x, y: F.least(F.col(f"n{x}") - F.col(f"rank{x}"), F.col(f"n{y}") - F.col(f"rank{y}")) * (num + den) >= (F.col(f"n{x}") + F.col(f"n{y}")) * num
+
+    # every list links its members to its centre
+    pairs = stage(shared.where("cls <> a").where(could("_a", "")).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct(), "near-pairs")
+    links = _links(pairs, facts, full_sets, num, den)
     labels = components(links)
 
     # members of a list that are still apart meet each other
-    parts = stage(shared.select("v", "cls", "n", "bound", "hot").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-parts")
-    split = stage(parts.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("v"), "near-split")
+    parts = stage(shared.select("v", "cls", "n", "rank").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-parts")
+    split = stage(parts.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y and members > 2").select("v"), "near-split")
     open_parts = stage(parts.join(split, "v", "left_semi"), "near-open")
-    x, y = (open_parts.select("v", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "bound", "hot", "comp"))) for s in "ab")
-    met = (x.join(y, "v").where("cls_a < cls_b and comp_a <> comp_b and (bound_a or bound_b or not (hot_a or hot_b))")
-           .where((F.least("n_a", "n_b") * den).cast("long") >= (F.greatest("n_a", "n_b") * num).cast("long"))
+    x, y = (open_parts.select("v", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "rank", "comp"))) for s in "ab")
+    met = (x.join(y, "v").where("cls_a < cls_b and comp_a <> comp_b").where(could("_a", "_b"))
            .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct())
     fresh = stage(stage(met, "near-met").join(pairs, ["a", "b"], "left_anti"), "near-fresh")
     if not fresh.isEmpty():
-        more_links = _links(fresh, classes, full_sets, num, den)
+        more_links = _links(fresh, facts, full_sets, num, den)
         if not more_links.isEmpty():
             labels = components(links.unionByName(more_links))
 
     named = stage(by_set.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-named")
     first = stage(named.groupBy("comp").agg(F.min("low_id").alias("component_id")), "near-first")
     ids = stage(named.select("sig", "comp").join(first, "comp").select("sig", "comp", "component_id"), "near-ids")
-    out = stage(rows.select("doc_id", "row", "n", "sig").join(ids, "sig", "left")
-                .select("doc_id", "row", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                        F.when(F.col("n") == 0, F.col("row")).otherwise(F.col("comp")).alias("comp"), (F.col("n") == 0).alias("bare")), "near-out")
+    key = ["key"] if "key" in docs.columns else []
+    out = stage(rows.join(ids, "sig", "left")
+                .select("doc_id", "row", *key, F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+                        "comp", (F.col("n") == 0).alias("bare")), "near-out")
     # of the rows that carry the smallest id the first one stays; a component without any id keeps its first row
     stays = stage(out.where("not bare and doc_id <=> component_id").groupBy("comp").agg(F.min("row").alias("first_row")), "near-stays")
-    return out.join(stays, "comp", "left").select("doc_id", "row", "n_shingles", "component_id", (F.col("bare") | (F.col("row") == F.col("first_row"))).alias("first"))
+    return out.join(stays, "comp", "left").select("doc_id", "row", *key, "n_shingles", "component_id", (F.col("bare") | (F.col("row") == F.col("first_row"))).alias("first"))
 
 
 def near_dedup(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of ``docs``; kept: the row's id names its component."""
-    return classes_of(docs, words, similarity).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return classes_of(docs.select("doc_id", "text"), words, similarity).select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
