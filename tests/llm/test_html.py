@@ -45,6 +45,29 @@ def test_wrapper_drops_constant_nodes_of_a_host():
     assert H.page_text(site(6), rule) == want(6, False)
 
 
+def induced(pages):
+    tree = None
+    for p in pages:
+        s = H.outline(H.parse(p))
+        tree = s if tree is None else H.merge(tree, s)
+    return H.wrapper(tree)
+
+
+def test_copies_prove_nothing_constant():
+    a = "<h1>Alpha</h1><p>first words</p><ul><li>i<li>j</ul><p>a single p</p><table><tr><td>q</table><pre>code</pre><h3>Head</h3><blockquote>said</blockquote>"
+    text = H.page_text(a)
+    assert [w in text for w in ("a single p", "code", "Head", "said")] == [True] * 4
+    for pages in ([a, a, "<h1>Beta</h1><p>other words"], [a] * 60 + [f"<h1>Gamma {n}</h1><p>other {n}" for n in range(40)]):
+        assert H.page_text(a, induced(pages)) == text
+        assert H.page_text(a, induced(pages[::-1])) == text
+
+
+def test_constant_nodes_of_a_section_on_part_of_a_host():
+    section = [f"<h1>Title {n}</h1><p>words of {n}</p><pre>Boiler</pre>" for n in range(3)]
+    rule = induced(section + [f"<h1>Title {n}</h1><p>words of {n}</p>" for n in range(3, 20)])
+    assert H.page_text(section[0], rule) == "Title 0\n\nwords of 0"
+
+
 def test_tree_matching_aligns_siblings():
     a, b = (H.outline(H.parse(p)) for p in ("<div><h1>x</h1><p>1</p><pre>c</pre></div>", "<div><p>2</p><p>3</p><table><tr><td>q</table><pre>c</pre></div>"))
     assert H._match(a, b) == 4  # root, div, p, pre

@@ -6,7 +6,8 @@ the same on all aligned pages is template; nodes whose text varies are slots. Th
 hold the article: marked ones (article, main) where the aligned tree has them, else the subtree that holds most of the varying
 text. A page's text is the blocks inside those slots, without subtrees whose element, class, id or role marks them as
 navigation, header, footer, sidebar, notice, advert, form, script, style or reader comments.
-Outside marked articles, constant nodes of hosts with three differing pages or more and lists of links are left out too.
+Outside marked articles, nodes with one text on three pages of different content or more, and lists of links, are left out
+too. Copies of a page have the same content, so however many there are, they prove nothing constant.
 
 Every page takes part in its host's wrapper: tasks align the pages they read, and partial wrappers meet in two levels,
 so a host with a third of all pages costs one partial wrapper a task. A wrapper has at most ``NODES`` nodes; rarer ones
@@ -20,6 +21,7 @@ a null page_id is carried along. An empty table gives an empty result; other col
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import pickle
 import re
@@ -33,7 +35,7 @@ from tidewarp.llm.common import prepare, stage
 
 NODES = 2000
 BROADCAST = 32 << 20
-SURE_PAGES = 3  # differing pages that prove a node constant
+SURE_PAGES = 3  # pages of different content that prove a node constant
 
 #: fixed values: element classes of HTML
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr basefont bgsound frame keygen".split())
@@ -152,24 +154,33 @@ def parse(page: str) -> Node:
 # ---------------------------------------------------------------- wrappers
 
 class Slot:
-    """Node of a wrapper: how many pages have it, its own text if constant (else None), characters of own text and of links."""
-    __slots__ = ("label", "pages", "text", "chars", "links", "content", "skip", "children")
+    """Node of a wrapper: how many pages have it, its own text if constant (else None), characters of own text and of links,
+    and the ``SURE_PAGES`` smallest hashes of the contents of pages that have it."""
+    __slots__ = ("label", "pages", "text", "chars", "links", "content", "skip", "contents", "children")
 
     def __init__(self, label, content, skip):
         self.label, self.content, self.skip = label, content, skip
-        self.pages, self.text, self.chars, self.links = 1, 0, 0, 0
+        self.pages, self.text, self.chars, self.links, self.contents = 1, 0, 0, 0, ()
         self.children: list[Slot] = []
 
     def __reduce__(self):
-        return _slot, (self.label, self.content, self.skip, self.pages, self.text, self.chars, self.links, self.children)
+        return _slot, (self.label, self.content, self.skip, self.pages, self.text, self.chars, self.links, self.contents, self.children)
 
+    @property
+    def constant(self) -> bool:
+        return bool(self.text) and len(self.contents) >= SURE_PAGES
 
-def _slot(label, content, skip, pages, text, chars, links, children):
+
+def _slot(label, content, skip, pages, text, chars, links, contents, children):
     s = Slot(label, content, skip)
-    s.pages, s.text, s.chars, s.links, s.children = pages, text, chars, links, children
+    s.pages, s.text, s.chars, s.links, s.contents, s.children = pages, text, chars, links, contents, children
     return s
 
 
+def _union(a: tuple, b: tuple) -> tuple:
+    return a if a == b else tuple(sorted({*a, *b})[:SURE_PAGES])
+
+
 def _own_text(node: Node) -> tuple[str, int]:
     """Text of a node without its block elements, and the characters of it in links."""
     out, links = [], 0
@@ -195,18 +206,30 @@ def _blocks(node: Node):
 
 def outline(node: Node) -> Slot:
     """The tree of a page as a wrapper of one page; runs of siblings with one label are merged."""
+    texts = hashlib.blake2b(digest_size=8)
+    s = _outline(node, texts)
+    contents = (int.from_bytes(texts.digest(), "little"),)
+    todo = [s]
+    while todo:
+        t = todo.pop()
+        t.pages, t.contents = 1, contents
+        todo += t.children
+    return s
+
+
+def _outline(node: Node, texts) -> Slot:
     s = Slot(node.label, node.content, node.skip)
     if node.skip:
         return s
     text, s.links = _own_text(node)
     text = " ".join(text.split())
+    if text:
+        texts.update(text.encode("utf-8", "replace") + b"\n")
     s.text, s.chars = (zlib.crc32(text.encode("utf-8", "replace")) if text else 0), len(text)
     for c in _blocks(node):
-        child = outline(c)
+        child = _outline(c, texts)
         if s.children and s.children[-1].label == child.label:
-            pages = s.children[-1].pages
             s.children[-1] = merge(s.children[-1], child)
-            s.children[-1].pages = pages
         else:
             s.children.append(child)
     return s
@@ -237,6 +260,7 @@ def merge(a: Slot, b: Slot) -> Slot:
     a.text = a.text if a.text == b.text else None
     a.chars += b.chars
     a.links += b.links
+    a.contents = _union(a.contents, b.contents)
     if [c.label for c in a.children] == [c.label for c in b.children]:
         a.children = [merge(x, y) for x, y in zip(a.children, b.children)]
         return a
@@ -276,12 +300,12 @@ def _trim(s: Slot) -> Slot:
     return s
 
 
-def _mass(s: Slot, pages: int) -> float:
-    """Characters of varying text outside links in a subtree."""
+def _mass(s: Slot, marked: bool = False) -> float:
+    """Characters of varying text (in marked nodes, of any text) outside links in a subtree."""
     if s.skip:
         return 0.0
-    own = 0.0 if pages >= SURE_PAGES and s.text is not None and s.pages > 1 else max(0, s.chars - 2 * s.links)
-    return own + sum(_mass(c, pages) for c in s.children)
+    own = 0.0 if s.constant and not marked else max(0, s.chars - 2 * s.links)
+    return own + sum(_mass(c, marked) for c in s.children)
 
 
 def wrapper(s: Slot) -> tuple[frozenset[str], frozenset, bool]:
@@ -298,7 +322,7 @@ def wrapper(s: Slot) -> tuple[frozenset[str], frozenset, bool]:
                 find(c, path)
             if len(marked) == inner or t.label.startswith("article"):  # the innermost marked node; an article holds all of its own
                 del marked[inner:]
-                marked.append((path, _mass(t, 0) > 0))
+                marked.append((path, _mass(t, True) > 0))
             return
         for c in t.children:
             find(c, path)
@@ -308,12 +332,11 @@ def wrapper(s: Slot) -> tuple[frozenset[str], frozenset, bool]:
     if paths:
         return paths, frozenset(), True
     constant = set()
-    differing = s.pages if any(True for _ in _varying(s)) else 1
 
     def collect(t: Slot, path: str):
         path = f"{path}>{t.label}"
         if not t.skip:
-            if differing >= SURE_PAGES and t.text and t.pages > 0.5 * s.pages:
+            if t.constant:
                 constant.add((path, t.text))
             for c in t.children:
                 collect(c, path)
@@ -321,21 +344,13 @@ def wrapper(s: Slot) -> tuple[frozenset[str], frozenset, bool]:
     collect(s, "")
     at, path = s, f">{s.label}"
     while True:
-        whole = _mass(at, differing)
-        best = max(at.children, key=lambda c: _mass(c, differing), default=None)
-        if best is None or not whole or _mass(best, differing) < 0.7 * whole or best.label.split(".")[0] in ("p", "li", "h1", "h2", "h3", "tr", "pre", "blockquote"):
+        whole = _mass(at)
+        best = max(at.children, key=_mass, default=None)
+        if best is None or not whole or _mass(best) < 0.7 * whole or best.label.split(".")[0] in ("p", "li", "h1", "h2", "h3", "tr", "pre", "blockquote"):
             return frozenset([path]), frozenset(constant), False
         at, path = best, f"{path}>{best.label}"
 
 
-def _varying(s: Slot):
-    if not s.skip:
-        if s.text is None:
-            yield s
-        for c in s.children:
-            yield from _varying(c)
-
-
 # ---------------------------------------------------------------- extraction
 
 def _emit(node: Node, out: list[list[str]], in_header: bool = False) -> None:
