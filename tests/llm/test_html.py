@@ -85,6 +85,35 @@ def test_trim_bounds_a_wrapper(monkeypatch):
     assert H._count(tree) <= 10
 
 
+def test_trim_keeps_what_holds_the_article(spark):
+    pairs = "".join(f"<h2>Part {'{0}'} {n}</h2><p>Text {'{0}'} {n}</p>" for n in range(1200))
+    marked = "<html><body><div class=top><h1>The site</h1></div><article>" + pairs + "</article><div>All rights kept</div></body></html>"
+    plain = "<html><body><div class=top><h1>The site</h1></div><div class=text>" + pairs + "</div></body></html>"
+    odd = "<html><body><div class=top><h1>The site {0}</h1></div>{1}<article><p>Text {0}</article></body></html>"
+    letters = "abcdefghij"
+    unlike = "".join(f"<div class={'{0}'}{letters[n // 100 % 10]}{letters[n // 10 % 10]}{letters[n % 10]}x>w</div>" for n in range(1000))
+    rows = []
+    for n in range(4):
+        rows.append((n, "http://marked.example/", marked.format(n), "\n\n".join(f"Part {n} {i}\n\nText {n} {i}" for i in range(1200))))
+        rows.append((10 + n, "http://plain.example/", plain.format(n), "\n\n".join(f"Part {n} {i}\n\nText {n} {i}" for i in range(1200))))
+        rows.append((20 + n, "http://odd.example/", odd.format(n, unlike.format("klmn"[n])), f"Text {n}"))
+    rows.append((30, "http://one.example/", marked.format(9), "\n\n".join(f"Part 9 {i}\n\nText 9 {i}" for i in range(1200))))
+    pages = spark.createDataFrame([r[:3] for r in rows], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in H.main_text(pages).collect()}
+    assert [i for i, _, _, text in rows if got[i] != text] == []
+
+
+def test_a_host_without_slots_in_its_wrapper_has_no_rule(monkeypatch):
+    monkeypatch.setattr(H, "NODES", 10)
+    page = "<div class=head><p>{0}</p></div><div class=body{0}><p>" + "long text {0} " * 9 + "</p></div>"
+    tree = None
+    for c in "abcdefghijklmnop":
+        s = H.outline(H.parse(page.format(c)))
+        tree = H._trim(s if tree is None else H.merge(tree, s))
+    assert H.wrapper(tree) is None
+    assert H.page_text(page.format("q"), H.wrapper(tree)) == " ".join(["long text q"] * 9)
+
+
 def test_edges_on_spark(spark):
     rows = [(i, f"http://h.example/{i}", site(i), "x", 1) for i in range(6)] + [(7, None, site(7), "x", 1), (8, "http://h.example/8", None, "x", 1), (None, "odd", "", "x", 1),
             (0, "http://h.example/0", site(0), "x", 1), (9, "HTTP://u@H.EXAMPLE:80/z", "<p>other layout altogether", "x", 1)]

@@ -10,8 +10,9 @@ Outside marked articles, nodes with one text on three pages of different content
 too. Copies of a page have the same content, so however many there are, they prove nothing constant.
 
 Every page takes part in its host's wrapper: tasks align the pages they read, and partial wrappers meet in two levels,
-so a host with a third of all pages costs one partial wrapper a task. A wrapper has at most ``NODES`` nodes; rarer ones
-beyond count as varying. Wrappers go back to the pages as a broadcast up to ``BROADCAST`` bytes, else by a join
+so a host with a third of all pages costs one partial wrapper a task. A wrapper has at most ``NODES`` nodes: beyond that, equal
+siblings become one, then the rarest nodes without marks are left out and count as varying. Where those hold so much of the text
+that the wrapper cannot name its slots, the host has no rule and each page is judged on its own whole tree. Wrappers go back to the pages as a broadcast up to ``BROADCAST`` bytes, else by a join
 with plain exchanges on both sides, which adaptive execution splits.
 
 Defined results: null or empty html, and a page without article text, give the empty string. A null or unusual url has
@@ -155,25 +156,25 @@ def parse(page: str) -> Node:
 
 class Slot:
     """Node of a wrapper: how many pages have it, its own text if constant (else None), characters of own text and of links,
-    and the ``SURE_PAGES`` smallest hashes of the contents of pages that have it."""
-    __slots__ = ("label", "pages", "text", "chars", "links", "content", "skip", "contents", "children")
+    the ``SURE_PAGES`` smallest hashes of the contents of pages that have it, and the mass of children left out."""
+    __slots__ = ("label", "pages", "text", "chars", "links", "content", "skip", "contents", "lost", "children")
 
     def __init__(self, label, content, skip):
         self.label, self.content, self.skip = label, content, skip
-        self.pages, self.text, self.chars, self.links, self.contents = 1, 0, 0, 0, ()
+        self.pages, self.text, self.chars, self.links, self.contents, self.lost = 1, 0, 0, 0, (), 0
         self.children: list[Slot] = []
 
     def __reduce__(self):
-        return _slot, (self.label, self.content, self.skip, self.pages, self.text, self.chars, self.links, self.contents, self.children)
+        return _slot, (self.label, self.content, self.skip, self.pages, self.text, self.chars, self.links, self.contents, self.lost, self.children)
 
     @property
     def constant(self) -> bool:
         return bool(self.text) and len(self.contents) >= SURE_PAGES
 
 
-def _slot(label, content, skip, pages, text, chars, links, contents, children):
+def _slot(label, content, skip, pages, text, chars, links, contents, lost, children):
     s = Slot(label, content, skip)
-    s.pages, s.text, s.chars, s.links, s.contents, s.children = pages, text, chars, links, contents, children
+    s.pages, s.text, s.chars, s.links, s.contents, s.lost, s.children = pages, text, chars, links, contents, lost, children
     return s
 
 
@@ -261,6 +262,7 @@ def merge(a: Slot, b: Slot) -> Slot:
     a.chars += b.chars
     a.links += b.links
     a.contents = _union(a.contents, b.contents)
+    a.lost += b.lost
     if [c.label for c in a.children] == [c.label for c in b.children]:
         a.children = [merge(x, y) for x, y in zip(a.children, b.children)]
         return a
@@ -285,18 +287,49 @@ def _count(s: Slot) -> int:
     return 1 + sum(map(_count, s.children))
 
 
+def _fold(slots: list[Slot]) -> list[Slot]:
+    """Siblings of one kind as one node, all the way down."""
+    kinds: dict = {}
+    for s in slots:
+        kinds.setdefault((s.label, s.skip, s.content), []).append(s)
+    for first, *others in kinds.values():
+        children = first.children
+        for s in others:
+            first.pages = max(first.pages, s.pages)
+            first.text = first.text if first.text == s.text else None
+            first.chars += s.chars
+            first.links += s.links
+            first.contents = _union(first.contents, s.contents)
+            first.lost += s.lost
+            children = children + s.children
+        first.children = _fold(children)
+    return [same[0] for same in kinds.values()]
+
+
+def _cut(s: Slot, least: int, keep_marked: bool) -> bool:
+    """Leave out the nodes below ``s`` on fewer than ``least`` pages; is ``s`` or a node below it marked and kept?"""
+    marked, kept = s.content and not s.skip and keep_marked, []
+    for c in s.children:
+        inside = _cut(c, least, keep_marked)
+        if inside or c.pages >= least:
+            kept.append(c)
+            marked = marked or inside
+        else:
+            s.lost += _mass(c, True)
+    s.children = kept
+    return marked
+
+
 def _trim(s: Slot) -> Slot:
-    """Hold a wrapper to NODES nodes by leaving out the rarest."""
+    """Hold a wrapper to NODES nodes by folding siblings and leaving out the rarest."""
+    if _count(s) > NODES:
+        s.children = _fold(s.children)
     least = 1
-    while _count(s) > NODES:
+    while _count(s) > NODES and least <= s.pages:
         least *= 2
-
-        def cut(t: Slot):
-            t.children = [c for c in t.children if c.pages >= least]
-            for c in t.children:
-                cut(c)
-
-        cut(s)
+        _cut(s, least, True)
+    if _count(s) > NODES:  # marked nodes alone
+        _cut(s, least, False)
     return s
 
 
@@ -305,11 +338,12 @@ def _mass(s: Slot, marked: bool = False) -> float:
     if s.skip:
         return 0.0
     own = 0.0 if s.constant and not marked else max(0, s.chars - 2 * s.links)
-    return own + sum(_mass(c, marked) for c in s.children)
+    return own + s.lost + sum(_mass(c, marked) for c in s.children)
 
 
-def wrapper(s: Slot) -> tuple[frozenset[str], frozenset, bool]:
-    """(paths of the slots that hold the article, constant (path, text) pairs, whether the slots are marked)."""
+def wrapper(s: Slot) -> tuple[frozenset[str], frozenset, bool] | None:
+    """(paths of the slots that hold the article, constant (path, text) pairs, whether the slots are marked); None where
+    nodes left out may hold the slots."""
     marked: list[tuple[str, bool]] = []
 
     def find(t: Slot, path: str):
@@ -347,6 +381,8 @@ def wrapper(s: Slot) -> tuple[frozenset[str], frozenset, bool]:
         whole = _mass(at)
         best = max(at.children, key=_mass, default=None)
         if best is None or not whole or _mass(best) < 0.7 * whole or best.label.split(".")[0] in ("p", "li", "h1", "h2", "h3", "tr", "pre", "blockquote"):
+            if at.lost > 0.3 * whole:
+                return None
             return frozenset([path]), frozenset(constant), False
         at, path = best, f"{path}>{best.label}"
 
