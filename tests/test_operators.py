@@ -229,3 +229,9 @@ def test_equal_searches_keep():
     assert S._chosen(c[4], c[3], c[5]) is c[4] and S._chosen(c[4], c[3], None) is c[3] and S._chosen(c[4], None, None) is c[4]
     better = S.Choice(0, 5, None, 0.6, {}, "forward")
     assert S._chosen(c[4], c[3], better) is better
+
+
+def test_registered_searches_keep_the_original_pass_limit_and_eta():
+    from tidewarp.plans.q_select import SEARCH_CFG
+
+    assert (SEARCH_CFG.max_iter, SEARCH_CFG.eta, SEARCH_CFG.min_k, SEARCH_CFG.max_k) == (200, 1e-7, 5, 10)

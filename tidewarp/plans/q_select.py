@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidewarp.config import RunConfig
+from tidewarp.config import DEFAULT_ETA, DEFAULT_MAX_ITER, RunConfig
 from tidewarp.operators import select as S
 from tidewarp.plans.catalog import fx1_fit, r6, register
 from tidewarp.session import session_key
 
-# Fixed run parameters of the registered searches: k 5..10 and threshold 0.05
-# as in the original runs; eta and the pass cap bounded for a quick check.
-SEARCH_CFG = RunConfig(eta=1e-4, max_iter=10, min_k=5, max_k=10, sil_threshold=0.05, n_samples=50,
+# Fixed run parameters of the registered searches, as in the original runs: k 5..10, threshold 0.05, 200 passes at
+# most and eta 1e-7, so each model stops on its own convergence.
+SEARCH_CFG = RunConfig(eta=DEFAULT_ETA, max_iter=DEFAULT_MAX_ITER, min_k=5, max_k=10, sil_threshold=0.05, n_samples=50,
                        init="random", seed=42)
 
 _RUNS: dict = {}
