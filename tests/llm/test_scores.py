@@ -18,6 +18,21 @@ def test_fold():
     assert toxicity.fold("w0rthl3ss ІDІ0Т $tupid tra​sh ｉｄｉｏｔ é 2023 5 a+ trash$$$ b") == "worthless idiot stupid trash idiot e 2023 5 a+ trash$$$ b"
 
 
+def test_readings_of_disguised_words():
+    lexicon = toxicity.Lexicon({e: 2.0 for e in ("worthless$", "idiot$", "clown", "loser", "imbecile$", "trash$", "ass$")})
+
+    def found(text):
+        return sorted(e for _, e in lexicon.hits(toxicity.plain(text)).values())
+
+    for text, entry in (("worthle55", "worthless"), ("worthle$$", "worthless"), ("idi07", "idiot"), ("(1d10t)", "idiot"), ("c1own", "clown"), ("1oser", "loser"),
+                        ("w0rth1ess", "worthless"), ("1mbeci1e", "imbecile"), ("trash$$$", "trash"), ("@loser", "loser"), ('"!d!0t!!!"', "idiot"), ("IDІ0Т", "idiot")):
+        assert found(text) == [entry] and found(f"some {text} more") == [entry], text
+    for text in ("assets", "ass3ts", "455", "$455", "x455", "c iown", "ciown", "ioser", "worthiess", "2023 5 a+", "!" * 50000):
+        assert found(text) == [], text
+    assert {"worthless$", "loser$", "idiot$"} <= toxicity._beginnings(toxicity.plain("worthle55 1oser (idi07)"))
+    assert [p for p in lexicon.phrases("you are @loser, man", 9, "loser")] == [("loser", -1, "are"), ("loser", 1, "man")]
+
+
 def toxic_corpus(seed=0, n=1200):
     rng = random.Random(seed)
     calm = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]

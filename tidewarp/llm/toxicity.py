@@ -1,8 +1,10 @@
 """Toxicity scores from a weighted lexicon.
 
 Texts are folded first: lower case, look-alike letters of other alphabets, accents and styled letters become plain
-letters, invisible characters go, and digits or signs that stand for letters inside a word are read as those. One
-Aho-Corasick pass over the whole folded text then finds every entry of the lexicon that begins at the start of a word.
+letters and invisible characters go. Digits or signs can stand for letters anywhere in a word, each for one letter or
+another (1 for i or l), or be noise before or after it. One Aho-Corasick pass over the whole text, in which a sign and the
+letters it may stand for are one, finds every entry of the lexicon that some reading has at the start of a word. The
+lexicon is learned from the words with all signs read alike, with those around a word and without.
 An entry is a whole word or the beginning of words, weighted with the lower confidence limit of its log-odds between
 toxic and clean texts; of the entries at one word the heaviest counts, unless the word stands in an exception phrase
 (a neighbour next to which clean texts use it). Weights add up with diminishing returns for repeats, are set in relation to the length
@@ -23,6 +25,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from functools import lru_cache
 
@@ -47,6 +50,13 @@ LOOK_ALIKES = {
 }
 #: fixed values: digits and signs read as letters inside a word
 DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"}
+#: fixed values: all letters a digit or sign can stand for
+READ = {**DIGITS, "1": "il", "!": "il", "|": "il"}
+_AS_I, _AS_L = ({ord(c): letters[i] for c, letters in READ.items()} for i in (0, -1))
+_SIGNS = "".join(READ)
+_ONE = _AS_I | {ord("l"): "i"}  # a sign and all letters it can stand for become one
+_RUN = re.compile(r"[0134578 9@$!|+]+".replace(" ", ""))
+_DISGUISED = re.compile(r"(?:[^\W\d_]|[0134578 9@$!|+])+".replace(" ", ""))
 _IN_WORD = re.compile(r"(?:(?<=[a-z])|(?<![^\s]))[0134578 9@$!|+]".replace(" ", "") + r"+(?=[a-z])")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -66,17 +76,37 @@ def _table() -> dict[int, str]:
     return table
 
 
-def fold(text: str) -> str:
+def plain(text: str) -> str:
+    """A text with its letters folded, digits and signs as they are."""
     text = text.lower()
-    if not text.isascii():
-        text = text.translate(_table())
+    return text if text.isascii() else text.translate(_table())
+
+
+def fold(text: str) -> str:
+    return _read(plain(text))
+
+
+def _read(text: str) -> str:
+    """The commonest reading of a plain text, character by character."""
     return _IN_WORD.sub(lambda m: "".join(DIGITS[c] for c in m[0]), text)
 
 
+def _words(text: str) -> set[str]:
+    """Words of a plain text; those with digits or signs in all-alike readings, with the signs around them and without."""
+    out = set()
+    for w in set(_DISGUISED.findall(text)):
+        if w.isalpha() or not _RUN.search(w):
+            out.add(w)
+        elif any(map(str.isalpha, w)):
+            for part in {w, w.strip(_SIGNS), w.lstrip(_SIGNS), w.rstrip(_SIGNS)}:
+                out.update((part.translate(_AS_I), part.translate(_AS_L)))
+    return out
+
+
 def _beginnings(text: str) -> set[str]:
-    """Entries that a folded text could bear: beginnings of its words, and whole words with a mark after them."""
+    """Entries that a plain text could bear: beginnings of its words, and whole words with a mark after them."""
     out = set()
-    for w in set(_WORD.findall(text)):
+    for w in _words(text):
         out.update(w[:k] for k in range(LEAST, min(len(w), MOST) + 1))
         out.add(w[:64] + "$")
     return out
@@ -99,29 +129,54 @@ class Lexicon:
         both: dict[str, list] = {}
         for e, w in entries.items():
             both.setdefault(e.rstrip("$"), [0.0, 0.0])[e.endswith("$")] = w
+        alike: dict[str, list] = {}
         for e, (begin, whole) in both.items():
-            self.automaton.add_word(e, (e, begin, whole))
+            alike.setdefault(e.translate(_ONE), []).append((e, begin, whole))
+        for one, same in alike.items():
+            self.automaton.add_word(one, (len(one), same))
         if both:
             self.automaton.make_automaton()
 
     def hits(self, text: str) -> dict[int, tuple[float, str]]:
-        """start of a word in a folded text -> (weight, entry)."""
+        """start of a word in a plain text -> (weight, entry), the heaviest of all readings."""
         best: dict[int, tuple[float, str]] = {}
         if not len(self.automaton):
             return best
-        for end, (e, begin, whole) in self.automaton.iter(text):
-            start = end + 1 - len(e)
-            if start and text[start - 1].isalpha():
+        runs = [m.span() for m in _RUN.finditer(text)]  # of digits and signs
+        starts = [a for a, _ in runs]
+
+        def letter_before(at: int) -> bool:
+            i = bisect_right(starts, at - 1) - 1
+            if i >= 0 and at - 1 < runs[i][1]:
+                at = runs[i][0]
+            return at > 0 and text[at - 1].isalpha()
+
+        def letter_after(at: int) -> bool:
+            i = bisect_right(starts, at) - 1
+            if i >= 0 and at < runs[i][1]:
+                at = runs[i][1]
+            return text[at:at + 1].isalpha()
+
+        for end, (size, same) in self.automaton.iter(text.translate(_ONE)):
+            start = end + 1 - size
+            if letter_before(start):
                 continue
-            w = max(begin, whole) if whole and not text[end + 1:end + 2].isalpha() else begin
-            if w > 0 and (start not in best or w > best[start][0]):
-                best[start] = (w, e)
+            span = text[start:end + 1]
+            for e, begin, whole in same:
+                if span != e and not (all(c == x or x in READ.get(c, "") for c, x in zip(span, e)) and (any(map(str.isalpha, span)) or letter_after(end + 1))):
+                    continue
+                w = max(begin, whole) if whole and not letter_after(end + 1) else begin
+                if w > 0 and (start not in best or w > best[start][0]):
+                    best[start] = (w, e)
         return best
 
     def phrases(self, text: str, start: int, entry: str):
-        """(entry, side, neighbour) of the words before and after the one at ``start``."""
-        before = _WORD.findall(text[max(0, start - 40):start])
-        after = _WORD.findall(text[start:start + 80])
+        """(entry, side, neighbour) of the words before and after the one at ``start`` of a plain text."""
+        first = start
+        while first > max(0, start - 40) and text[first - 1] in READ:
+            first -= 1
+        before = _WORD.findall(_read(text[max(0, start - 40):first]))
+        after = _WORD.findall(_read(text[start:start + 80]))
         return [(entry, -1, w) for w in before[-1:]] + [(entry, 1, w) for w in after[1:2]]
 
     def features(self, text: str) -> list[float]:
@@ -172,12 +227,12 @@ def _rows(docs: DataFrame, schema: str, make):
 
 
 def _count(sample: DataFrame, extract) -> DataFrame:
-    """(e, half, toxic, n): documents of the sample that hold each of the strings extract(folded text) gives."""
+    """(e, half, toxic, n): documents of the sample that hold each of the strings extract(plain text) gives."""
     def make(batches):
         counts: Counter = Counter()
         for b in batches:
             for text, half, toxic in zip(*(b.column(i).to_pylist() for i in range(3))):
-                counts.update((e, half, toxic) for e in extract(fold(text or "")))
+                counts.update((e, half, toxic) for e in extract(plain(text or "")))
         yield [(*k, n) for k, n in counts.items()]
 
     return _rows(sample.select("text", "half", "toxic"), "e string, half int, toxic int, n long", make).groupBy("e", "half", "toxic").agg(F.sum("n").alias("n"))
@@ -238,7 +293,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
     def make(batches):
         others = [Lexicon(of_half[1], exceptions), Lexicon(of_half[0], exceptions)]
         for b in batches:
-            yield [(toxic, *others[half].features(fold(text or ""))) for text, half, toxic in zip(*(b.column(i).to_pylist() for i in range(3)))]
+            yield [(toxic, *others[half].features(plain(text or ""))) for text, half, toxic in zip(*(b.column(i).to_pylist() for i in range(3)))]
 
     got = np.array(_rows(rows.select("text", "half", "toxic"), "y int, a double, b double, c double", make).toPandas())  # `sample` rows at most
     curve = _logistic(got[:, 1:], got[:, 0])
@@ -274,7 +329,7 @@ def scorer(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
         lexicon = Lexicon(entries, exceptions)
 
         def value(text):
-            x = (np.array(lexicon.features(fold(text or ""))) - mean) / scale
+            x = (np.array(lexicon.features(plain(text or ""))) - mean) / scale
             return float(1 / (1 + math.exp(-max(-30.0, min(30.0, beta[0] + x @ beta[1:])))))
 
         return value
