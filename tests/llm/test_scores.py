@@ -6,6 +6,8 @@ import re
 import zlib
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +152,30 @@ def test_lm_edges(spark, monkeypatch, hot, part, slot):
     same(lm.score(spark.createDataFrame(held, "doc_id long, text string")).collect(), [(i, True, len((t or "").split()) + 1, 0, 0, 0.0 + (len((t or "").split()) + 1) * math.log10(1.0), 0.0) for i, t in held])
 
 
+@pytest.mark.parametrize("hot", [2000, 4])
+def test_lm_keeps_words_apart_that_share_32_bits(spark, monkeypatch, hot):
+    tokens = lm._tokens
+
+    def alike(texts):  # the low half of every hash is the same
+        t, n = tokens(texts)
+        return np.where(t == lm.END, t, t | np.uint64(0xFFFFFFFF)), n
+
+    monkeypatch.setattr(lm, "_tokens", alike)
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["a", "b", "c", "d", "e", f"u{rng.randrange(20)}"]) for _ in range(12))) for i in range(60)]
+    docs = pa.table({"part": pa.array([0] * 60, pa.int32()), "doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    words, counts = np.unique(alike(docs.column("text").chunk(0))[0], return_counts=True)
+    asked = lm._requests(docs, 1, words[counts * hot > counts.sum()], 10)
+    told = lm._answers(asked, words[:0])
+    want = collections.Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 10:
+            w = [*t.split(), None]
+            want.update(zip([None, *w], w))
+    by_key = {k: v for k, v in zip(told.column("key").to_pylist(), told.column("value").to_pylist()) if k is not None}
+    assert by_key[lm.N_ONE] == sum(c == 1 for c in want.values()) and by_key[lm.N_TWO] == sum(c == 2 for c in want.values())
+
+
 def test_lm_on_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = lm.score(docs).collect()

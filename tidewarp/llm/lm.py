@@ -14,7 +14,7 @@ part in the order of its request, and a part scores its own documents with the s
 reach. What moves grows with the distinct pairs of each part, however often a hot text, word or passage occurs.
 The pairs after a word with over 1/HOT of all tokens are spread over all slots; at most HOT words are so.
 
-Words and pairs are known by hashes: words by 64 bits, a pair by its first word's and 32 bits of its second's.
+Words and pairs are known by hashes: words by 64 bits, a pair by the 64 bits of both its words.
 
 Defined results: a null or empty text is the end token alone. Repeated rows count and score each on its own. A null
 doc_id is not held out. With no training rows all probabilities are those of the formula with N = V = 0. An empty table
@@ -90,11 +90,10 @@ class _Part:
         bits = slots.bit_length() - 1
         home = (self.words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.words), np.int64)
         self.is_hot = np.isin(self.words, hot)
-        second = self.tokens & np.uint64(0xFFFFFFFF)
-        pair, at = np.unique((before.astype(np.uint64) << np.uint64(32)) | second, return_inverse=True)
+        pair, at = np.unique((before.astype(np.uint64) << np.uint64(32)) | self.word.astype(np.uint64), return_inverse=True)
         pair_own = np.bincount(at, train, len(pair)).astype(np.int64)
-        ctx, second = (pair >> np.uint64(32)).astype(np.int64), (pair & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        slot = np.where(self.is_hot[ctx], second * slots >> 32, home[ctx])
+        ctx, second = (pair >> np.uint64(32)).astype(np.int64), self.words[(pair & np.uint64(0xFFFFFFFF)).astype(np.int64)]
+        slot = np.where(self.is_hot[ctx], (second & np.uint64(0xFFFFFFFF)).astype(np.int64) * slots >> 32, home[ctx])
         entry = (slot << 32) | ctx
         homes = (home << 32) | np.arange(len(self.words))
         self.entries = np.unique(np.concatenate([entry, homes]))
@@ -130,7 +129,7 @@ def _requests(docs: pa.Table, slots: int, hot: np.ndarray, folds: int) -> pa.Tab
     names, edge = np.unique(p.entry_slot, return_index=True)
     edge = np.append(edge, len(p.entries))
     rows = [(part, int(s), p.words[p.entry_word[a:b]].tobytes(), _squeeze(p.entry_own[a:b]), _squeeze(p.size[a:b]),
-             p.second[starts[a]:starts[b]].astype("<u4").tobytes(), _squeeze(p.pair_own[starts[a]:starts[b]])) for s, a, b in zip(names, edge, edge[1:])]
+             p.second[starts[a]:starts[b]].astype("<u8").tobytes(), _squeeze(p.pair_own[starts[a]:starts[b]])) for s, a, b in zip(names, edge, edge[1:])]
     kinds = [pa.int32(), pa.int32(), *[pa.binary()] * 5]
     return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [f.split()[0] for f in REQUEST.split(", ")])
 
@@ -140,11 +139,12 @@ def _answers(asked: pa.Table, hot: np.ndarray) -> pa.Table:
     of pairs seen once and twice and of the types after hot words."""
     heads = [np.frombuffer(x.as_py(), np.uint64) for x in asked.column("heads")]
     sizes = [_spread(x.as_py()) for x in asked.column("size")]
-    second = [np.frombuffer(x.as_py(), "<u4") for x in asked.column("second")]
+    second = [np.frombuffer(x.as_py(), "<u8") for x in asked.column("second")]
     words, at = np.unique(np.concatenate(heads), return_inverse=True)
     total = np.bincount(at, np.concatenate([_spread(x.as_py()) for x in asked.column("own")]), len(words)).astype(np.int64)
     ctx = np.repeat(at, np.concatenate(sizes)).astype(np.uint64)
-    pairs, pair_at = np.unique((ctx << np.uint64(32)) | np.concatenate(second).astype(np.uint64), return_inverse=True)
+    second_at = np.unique(np.concatenate(second), return_inverse=True)[1].astype(np.uint64)  # fewer than 2^32 in a slot
+    pairs, pair_at = np.unique((ctx << np.uint64(32)) | second_at, return_inverse=True)
     pair_total = np.bincount(pair_at, np.concatenate([_spread(x.as_py()) for x in asked.column("pair_own")]), len(pairs)).astype(np.int64)
     seen = pair_total > 0
     types = np.bincount((pairs[seen] >> np.uint64(32)).astype(np.int64), minlength=len(words))
