@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarp.llm import bpe, exact_dedup, html_extract, licenses, lm, near_dedup, packing, topk, toxicity, warc
+from tidewarp.llm import bpe, collocations, exact_dedup, html_extract, langid, licenses, lm, near_dedup, packing, topk, toxicity, warc, whitening
 from tidewarp.llm.common import table
 
 QUERIES: dict = {}
@@ -98,3 +98,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_lm_scoring")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), folds=10)
+
+
+@register("op11_language_id")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"), folds=4, out=2)
+
+
+@register("op12_whitening")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), scale=64.0, shift=1000000, most=16, weights="one")
+
+
+@register("op13_collocations", collocations.oracle())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"), longest=4, support=30, cover=80, first=2000)
