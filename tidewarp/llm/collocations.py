@@ -7,9 +7,10 @@ what is left, sorted as it was, is persisted as R_k. A phrase cannot be more fre
 make a frequent phrase of k + 1 words, and all parts of a frequent phrase are counted.
 
 Where the work is: a row of a persisted relation is a block, all occurrences that begin in BLOCK consecutive words of a run of texts, with
-the few words that follow, which extend phrases but begin none. Blocks are never cut by a file split, so the merge join needs no
-shuffle however long a piece is. Only counts shuffle, one row of a group from up to CHUNK occurrences of a task: a word or passage
-that occurs everywhere costs a row a task. The semi-join probes a bitmap of the frequent groups that is sent to the tasks (at most
+the few words that follow, which extend phrases but begin none; its columns are packed numbers. Blocks are never cut by a file split, so the
+merge join needs no shuffle however long a piece is. Only counts shuffle, one of a group for up to CHUNK occurrences of a task, packed by
+slots of the group hashes that grow in number with the relation: a word or passage that occurs everywhere costs one count a chunk, and a slot
+holds a bounded share. The semi-join probes a bitmap of the frequent groups that is sent to the tasks (at most
 ``MOST_BITS``, by the number of groups); it may let a rare group through, which then fails its own count of the next length, so the
 bitmap changes what is stored and never a result.
 
@@ -28,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,7 +42,8 @@ BLOCK = 256  # words whose occurrences are one row
 CHUNK = 1 << 21  # occurrences grouped at a time
 MOST_BITS = 1 << 29  # of the bitmap of frequent groups: 64 MB
 BITMAP_BITS = 32768  # of the bitmaps of bitmap_construct_agg
-SLICE = 512  # rows of a persisted relation joined at a time
+SLICE = 4096  # rows of a persisted relation joined at a time
+SLOT_WORDS = 1 << 20  # words whose groups make up one slot, about
 
 _MARK = np.zeros(256, bool)
 _MARK[list(MARKS)] = True
@@ -105,38 +108,47 @@ def _strings(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, text: np.nd
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(_FOLD[data[at]]))
 
 
+def _add_up(rows: list[tuple]) -> tuple:
+    """(langs, w, words, counts) with equal words added up."""
+    langs, words = (pa.concat_arrays([r[i] for r in rows]) for i in (0, 2))
+    w, count = (np.concatenate([r[i] for r in rows]) for i in (1, 3))
+    _, first, group = np.unique(w, return_index=True, return_inverse=True)
+    one = pc.and_(pc.equal(langs.take(first[group]), langs), pc.equal(words.take(first[group]), words))
+    if pc.all(one).as_py() is False:  # two words with one id
+        t = pa.table([langs, pa.array(w.view(np.int64)), words, pa.array(count)], ["lang", "w", "word", "c"]).group_by(["lang", "w", "word"]).aggregate([("c", "sum")]).combine_chunks()
+        return t.column("lang").combine_chunks(), t.column("w").to_numpy().view(np.uint64), t.column("word").combine_chunks(), t.column("c_sum").to_numpy()
+    return langs.take(first), w[first], words.take(first), np.bincount(group, count, len(first)).astype(np.int64)
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(lang, w, word, c): occurrences of each word; the row with a null word has all occurrences of its language."""
     names = ["lang", "w", "word", "c"]
 
-    def grouped(rows: list[pa.Table]) -> pa.RecordBatch:
-        t = pa.concat_tables(rows).combine_chunks()
-        t = t.group_by(["lang", "w", "word"]).aggregate([("c", "sum")]).rename_columns(["lang", "w", "word", "c"]).combine_chunks()
-        return pa.RecordBatch.from_arrays([t.column("lang").combine_chunks(), t.column("w").combine_chunks(), t.column("word").combine_chunks().cast(pa.string()), t.column("c").combine_chunks()], names)
+    def batch(rows):
+        langs, w, words, count = rows
+        return pa.RecordBatch.from_arrays([langs, pa.array(w.view(np.int64)), words.cast(pa.string()), pa.array(count)], names)
 
     def run(batches):
-        held, rows = [], 0
+        held, rows, totals = [], 0, {}
         for b in batches:
             for langs, data, ends in _runs(b):
-                seeds = _seeds(langs)
                 h, start, text, _ = _words(data, ends)
-                w, first, count = np.unique(mix(h ^ seeds[text]), return_index=True, return_counts=True)
-                own = np.array(langs, object)
-                for lang in set(langs):
-                    total = int(np.isin(text, np.flatnonzero(own == lang)).sum())
-                    held.append(pa.table([pa.array([lang]), pa.array([0], pa.int64()), pa.array([None], pa.large_string()), pa.array([total], pa.int64())], names))
-                words = _strings(data, ends, start[first], text[first])
-                held.append(pa.table([pa.array(own[text[first]], pa.string()), pa.array(w.view(np.int64)), words, pa.array(count, pa.int64())], names))
+                w, first, count = np.unique(mix(h ^ _seeds(langs)[text]), return_index=True, return_counts=True)
+                for lang, n in zip(langs, np.bincount(text, minlength=len(langs))):
+                    totals[lang] = totals.get(lang, 0) + int(n)
+                held.append((pa.array(langs, pa.string()).take(text[first]), w, _strings(data, ends, start[first], text[first]), count))
                 rows += len(w)
-                if rows > CHUNK // 4:
-                    done = grouped(held)
-                    if done.num_rows > CHUNK // 8:
-                        yield done
+                if rows > CHUNK // 2:
+                    held = [_add_up(held)]
+                    rows = len(held[0][1])
+                    if rows > CHUNK // 4:
+                        yield batch(held[0])
                         held, rows = [], 0
-                    else:
-                        held, rows = [pa.Table.from_batches([done]).set_column(2, "word", done.column(2).cast(pa.large_string()))], done.num_rows
         if held:
-            yield grouped(held)
+            yield batch(_add_up(held))
+        known = list(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(known, pa.string()), pa.array([0] * len(known), pa.int64()), pa.nulls(len(known), pa.string()),
+                                          pa.array([totals[k] for k in known], pa.int64())], names)
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, w long, word string, c long").groupBy("lang", "w", "word").agg(F.sum("c").alias("c"))
 
@@ -157,18 +169,32 @@ def _has(bitmap: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return (bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(rows + 1)).astype(np.int32)), pa.array(values))
+RELATION = "piece binary, pos binary, head binary, word binary"
+
 
+def _packed(values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """One binary value for each stretch of ``values``."""
+    offsets = (ends * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
 
-RELATION = "own int, piece array<int>, pos array<int>, head array<long>, word array<long>"
 
+def _unpacked(column: pa.Array, kind) -> tuple[np.ndarray, np.ndarray]:
+    """(all numbers, numbers of each row) of a column of packed numbers."""
+    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+    if ends[-1] == ends[0]:
+        return np.empty(0, kind), np.zeros(len(column), int)
+    raw = np.frombuffer(column.buffers()[2], np.uint8, int(ends[-1] - ends[0]), int(ends[0]))
+    return raw.view(kind), np.diff(ends) // np.dtype(kind).itemsize
 
-def _blocks(own: np.ndarray, row: np.ndarray, piece: np.ndarray, pos: np.ndarray, head: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
-    """Rows of a relation: the blocks that hold an occurrence."""
-    used, row = np.unique(row, return_inverse=True)
-    lists = [_lists(v, row, len(used)) for v in (piece.astype(np.int32), pos.astype(np.int32), head.view(np.int64), word.view(np.int64))]
-    return pa.RecordBatch.from_arrays([pa.array(own[used].astype(np.int32)), *lists], ["own", "piece", "pos", "head", "word"])
+
+def _blocks(row: np.ndarray, piece: np.ndarray, pos: np.ndarray, head: np.ndarray, word: np.ndarray) -> pa.RecordBatch:
+    """Rows of a relation: the blocks that hold an occurrence. Pieces are numbered within a block, positions counted from its start."""
+    new = np.concatenate([[True], row[1:] != row[:-1]])
+    first = np.flatnonzero(new)
+    ends = np.append(first, len(row))
+    turn = np.cumsum(np.concatenate([[0], (piece[1:] != piece[:-1]) | new[1:]]))
+    piece = turn - np.repeat(turn[first], np.diff(ends))
+    return pa.RecordBatch.from_arrays([_packed(piece.astype("<u2"), ends), _packed(pos.astype("<u2"), ends), _packed(head, ends), _packed(word, ends)], ["piece", "pos", "head", "word"])
 
 
 def occurrences(docs: DataFrame, frequent: np.ndarray, longest: int) -> DataFrame:
@@ -181,28 +207,27 @@ def occurrences(docs: DataFrame, frequent: np.ndarray, longest: int) -> DataFram
             for langs, data, ends in _runs(b):
                 h, _, text, piece = _words(data, ends)
                 w = mix(h ^ _seeds(langs)[text])
-                pos = np.flatnonzero(_has(sent.value, w))
-                block = pos // BLOCK
+                at = np.flatnonzero(_has(sent.value, w))
+                block = at // BLOCK
                 # the first words of a block also follow the block before
-                early = np.flatnonzero((pos % BLOCK < longest - 1) & (block > 0))
-                row, at = np.concatenate([block, block[early] - 1]), np.concatenate([pos, pos[early]])
+                early = np.flatnonzero((at % BLOCK < longest - 1) & (block > 0))
+                row, at = np.concatenate([block, block[early] - 1]), np.concatenate([at, at[early]])
                 order = np.lexsort((at, row))
                 row, at = row[order], at[order]
                 if len(at):
-                    yield _blocks((np.arange(row[-1] + 1) + 1) * BLOCK, row, piece[at], at, w[at], w[at])
+                    yield _blocks(row, piece[at], at - row * BLOCK, w[at], w[at])
 
     return docs.select("lang", "text").mapInArrow(run, RELATION)
 
 
 def _extended(b: pa.RecordBatch):
-    """The merge join of a sorted relation with itself on piece and next position: (own, row, piece, pos, head, word) of the
+    """The merge join of a sorted relation with itself on piece and next position: (row, piece, pos, head, word) of the
     occurrences one word longer. The partner of an occurrence can only be the next one of its block."""
-    own = b.column("own").to_numpy()
-    lists = [b.column(c) for c in ("piece", "pos", "head", "word")]
-    row = np.repeat(np.arange(len(own)), lists[0].value_lengths().to_numpy())
-    piece, pos, head, word = (v.flatten().to_numpy() for v in lists)
-    at = np.flatnonzero((row[1:] == row[:-1]) & (piece[1:] == piece[:-1]) & (pos[1:] == pos[:-1] + 1)) if len(row) else np.empty(0, int)
-    return own, row[at], piece[at], pos[at], head[at].view(np.uint64), word[at + 1].view(np.uint64)
+    piece, sizes = _unpacked(b.column("piece"), "<u2")
+    pos, head, word = (_unpacked(b.column(c), kind)[0] for c, kind in (("pos", "<u2"), ("head", "<u8"), ("word", "<u8")))
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.flatnonzero((row[1:] == row[:-1]) & (piece[1:] == piece[:-1]) & (pos[1:] == pos[:-1] + 1))
+    return row[at], piece[at], pos[at], head[at], word[at + 1]
 
 
 def _group(head: np.ndarray, word: np.ndarray, count: np.ndarray):
@@ -218,35 +243,44 @@ def _group(head: np.ndarray, word: np.ndarray, count: np.ndarray):
 
 def group_counts(relation: DataFrame, support: int) -> DataFrame:
     """(id, head, word, f) of the groups one word longer than those of ``relation`` that occur ``support`` times or more; staged."""
+    slots = power_of_two_at_least(max(32, relation.count() * BLOCK / SLOT_WORDS))
+    bits = slots.bit_length() - 1
+
     def run(batches):
         held, rows = [], 0
 
-        def emit(parts):
-            return pa.RecordBatch.from_arrays([pa.array(parts[0].view(np.int64)), pa.array(parts[1].view(np.int64)), pa.array(parts[2])], ["head", "word", "c"])
+        def emit(head, word, count):
+            slot = (_join_ids(head, word) >> np.uint64(64 - bits)).astype(np.int64)
+            order = np.argsort(slot, kind="stable")
+            used, first = np.unique(slot[order], return_index=True)
+            ends = np.append(first, len(order))
+            return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), _packed(head[order], ends), _packed(word[order], ends), _packed(count[order].astype("<u4"), ends)],
+                                              ["slot", "head", "word", "c"])
 
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
-                part = b.slice(i, SLICE)
-                own, row, _, pos, head, word = _extended(part)
-                mine = pos < own[row]
+                _, _, pos, head, word = _extended(b.slice(i, SLICE))
+                mine = pos < BLOCK
                 held.append((head[mine], word[mine], np.ones(int(mine.sum()), np.int64)))
                 rows += len(held[-1][0])
                 if rows > CHUNK:
                     held = [_group(*map(np.concatenate, zip(*held)))]
                     rows = len(held[0][0])
                     if rows > CHUNK // 2:
-                        yield emit(held[0])
+                        yield emit(*held[0])
                         held, rows = [], 0
         if rows:
-            yield emit(_group(*map(np.concatenate, zip(*held))))
+            yield emit(*_group(*map(np.concatenate, zip(*held))))
 
-    def named(batches):
-        for b in batches:
-            ids = _join_ids(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(ids.view(np.int64)), *b.columns], ["id", "head", "word", "f"])
+    def add_up(t: pa.Table) -> pa.Table:
+        parts = [np.concatenate([np.frombuffer(v.as_py(), kind) for v in t.column(c)]) for c, kind in (("head", "<u8"), ("word", "<u8"), ("c", "<u4"))]
+        head, word, f = _group(*parts)
+        keep = f >= support
+        head, word, f = head[keep], word[keep], f[keep]
+        return pa.table([pa.array(v.view(np.int64)) for v in (_join_ids(head, word), head, word, f)], ["id", "head", "word", "f"])
 
-    counts = relation.mapInArrow(run, "head long, word long, c long").groupBy("head", "word").agg(F.sum("c").alias("f")).where(F.col("f") >= support)
-    return stage(counts.mapInArrow(named, "id long, head long, word long, f long"), "setm-groups")
+    counts = relation.select("piece", "pos", "head", "word").mapInArrow(run, "slot int, head binary, word binary, c binary")
+    return stage(counts.groupBy("slot").applyInArrow(add_up, "id long, head long, word long, f long"), "setm-groups")
 
 
 def extend(relation: DataFrame, groups: DataFrame) -> DataFrame:
@@ -256,11 +290,11 @@ def extend(relation: DataFrame, groups: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             for i in range(0, b.num_rows, SLICE):
-                own, row, piece, pos, head, word = _extended(b.slice(i, SLICE))
+                row, piece, pos, head, word = _extended(b.slice(i, SLICE))
                 ids = _join_ids(head, word)
                 keep = _has(sent.value, ids)
                 if keep.any():
-                    yield _blocks(own, row[keep], piece[keep], pos[keep], ids[keep], word[keep])
+                    yield _blocks(row[keep], piece[keep], pos[keep], ids[keep], word[keep])
 
     return relation.mapInArrow(run, RELATION)
 
