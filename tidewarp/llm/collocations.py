@@ -342,8 +342,11 @@ def mine(docs: DataFrame, longest: int = 4, support: int = 30, cover: int = 80,
               .groupBy("lang", "phrase").agg(F.max("longer").alias("longer")))
     covered = F.expr(f"cast(100 as decimal(20,0)) * longer >= cast({cover} as decimal(20,0)) * a")
     left = lowest.join(inside, ["lang", "phrase"], "left").where(F.col("longer").isNull() | ~covered)
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = left.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= first)
+    # first within 64 leaves of a language, so its last task reads at most 64 x `first` rows
+    best = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    leaves = left.withColumn("leaf", F.pmod(F.xxhash64("phrase"), F.lit(64)))
+    leaves = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "leaf").orderBy(*best))).where(F.col("rank") <= first)
+    ranked = leaves.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*best)).cast("long")).where(F.col("rank") <= first)
     return ranked.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
