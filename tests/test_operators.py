@@ -203,8 +203,8 @@ def test_compat_quirks(spark):
     for r in fit.assignments.collect():
         want = min(dtw_one(r["series_norm"], c, mode="prefix") for c in prev_centres)
         assert math.isclose(r["dist"], want, rel_tol=1e-12, abs_tol=1e-12)
-    assert S._worst({0: 0.9, 1: 0.1}, compat=True) == 0  # Q5: lowest cluster id
-    assert S._worst({0: 0.9, 1: 0.1}, compat=False) == 1
+    assert S.worst_cluster({0: 0.9, 1: 0.1}, compat=True) == 0  # Q5: lowest cluster id
+    assert S.worst_cluster({0: 0.9, 1: 0.1}, compat=False) == 1
 
 
 def test_ragged_series_count_where_they_have_values(spark):
@@ -235,3 +235,128 @@ def test_registered_searches_keep_the_original_pass_limit_and_eta():
     from tidewarp.plans.q_select import SEARCH_CFG
 
     assert (SEARCH_CFG.max_iter, SEARCH_CFG.eta, SEARCH_CFG.min_k, SEARCH_CFG.max_k) == (200, 1e-7, 5, 10)
+
+
+def test_sums_do_not_depend_on_order_or_partitions():
+    from tidewarp.functions import exact
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.random((500, 3)), rng.normal(0, 1e5, (50, 3)), np.zeros((2, 3)), [[1e-300, -1e-17, 0.1]]])
+    group = rng.integers(0, 4, len(x))
+    parts = exact.split(x)
+    want = exact.group_sums(parts, group, 5)
+    order = rng.permutation(len(x))
+    assert np.array_equal(want, exact.group_sums(parts[order], group[order], 5))
+    halves = sum(exact.group_sums(parts[i::2], group[i::2], 5) for i in range(2))
+    assert np.array_equal(want, halves) and not want[4].any()
+    from fractions import Fraction
+    for g in range(4):
+        rows = x[group == g]
+        for j in range(3):
+            total = sum(Fraction(round(Fraction(v) * 2 ** 52)) for v in rows[:, j].tolist())
+            assert exact.whole(want[g, j], want[g, 3 + j]) == total
+            assert exact.quotient(exact.whole(want[g, j], want[g, 3 + j]), len(rows)) == float(total / 2 ** 52 / len(rows))
+
+
+@pytest.mark.parametrize("change", [{}, {"compat": True}, {"distance": "soft_dtw"}, {"band": 2}])
+def test_a_fit_in_one_task_equals_the_fit_pass_by_pass(spark, monkeypatch, change):
+    rng = random.Random(8)
+    rows = [(t, i, [rng.random() for _ in range(6 if i % 7 else 4)]) for t in range(2) for i in range(60)]
+    rows += [(0, 100, [float("nan")] * 6), (1, 101, rows[3][2])]
+    s = km.fan_out_k(series_df(spark, rows), [1, 3, 4])
+    init = {(t, k): km.random_centres(k, 6, f"same-{t}-{k}") for t in range(2) for k in (1, 3, 4)} | {(7, 3): km.random_centres(3, 6, "no rows")}
+    cfg = RunConfig(eta=1e-7, max_iter=9, series_length=6, **change)
+    local = km.fit(s, init, KEYS, cfg)
+    monkeypatch.setattr(km, "LOCAL_ROWS", 0)
+    passes = km.fit(s.repartition(5), init, KEYS, cfg)
+    assert local.passes == passes.passes and local.shifts == passes.shifts and local.stats == passes.stats
+    for key in init:
+        assert np.array_equal(local.centres[key], passes.centres[key])
+    drop = lambda f: sorted((r["time_point"], r["k"], r["id"], r["cluster_id"], r["dist"]) for r in f.assignments.where("id <> 100").collect())
+    assert drop(local) == drop(passes)
+    assert set(local.seconds) == set(passes.seconds) == set(init) - {(7, 3)}
+
+
+def _brute_warm(X, cfg):
+    """The warm run by plain loops: {time point: (k, silhouette, kind, steps)}."""
+    from tidewarp.functions.dtw import dtw_to_centres
+
+    def fitted(x, c):
+        c = np.array(c)
+        for _ in range(cfg.max_iter):
+            a = dtw_to_centres(x, c).argmin(1)
+            new = np.array([[math.fsum(x[a == j, i]) / (a == j).sum() if (a == j).any() else c[j, i] for i in range(x.shape[1])] for j in range(len(c))])
+            moved, c = np.abs(new - c).sum(), new
+            if moved < cfg.eta:
+                break
+        D = dtw_to_centres(x, c)
+        a = D.argmin(1)
+        own = D[np.arange(len(x)), a]
+        rest = D.copy()
+        rest[np.arange(len(x)), a] = np.inf
+        other = rest.min(1)
+        sil = (other - own) / np.maximum(own, other)
+        sils = {j: sil[a == j].mean() for j in range(len(c)) if (a == j).any()}
+        return c, sum(sils.values()) / len(c), sils, (x, a, D)
+
+    def grown(c, state, sils, tp, step):
+        x, a, D = state
+        own = D[np.arange(len(x)), a]
+        if cfg.new_centre_method == "random":
+            return km.add_random_centre(c, f"{cfg.seed}-{tp}-{len(c)}-add{step}")
+        if cfg.new_centre_method == "furthest":
+            return np.vstack([c, x[(own * (D.sum(1) - own)).argmax()]])
+        if cfg.new_centre_method == "furthest_in_cluster":
+            worst = min(sils, key=lambda j: (sils[j], j))
+            return np.vstack([c, x[np.where(a == worst, own, -1).argmax()]])
+        return km.add_mean_of_centres(c)
+
+    out, prev = {}, None
+    for tp in sorted(X):
+        x = X[tp]
+        if prev is None:
+            fits = {k: fitted(x, km.random_centres(k, x.shape[1], f"{cfg.seed}-{tp}-{k}")) for k in range(cfg.min_k, cfg.max_k + 1)}
+            k = max(sorted(fits), key=lambda k: fits[k][1])
+            prev = fits[k][0]
+            out[tp] = (k, fits[k][1], "sweep", [])
+            continue
+        keep = fitted(x, prev)
+        found, steps = {}, []
+        for name, sign in (("backward", -1), ("forward", 1)):
+            c, (_, sil, sils, state), step = prev, keep, 1
+            while cfg.min_k <= len(c) + sign <= cfg.max_k and len(c) + sign >= 2:
+                start = np.delete(c, min(sils, key=lambda j: (sils[j], j)), axis=0) if sign < 0 else grown(c, state, sils, tp, step)
+                new = fitted(x, start)
+                steps.append((step, name, len(start), new[1]))
+                if not new[1] > sil + cfg.sil_threshold:
+                    break
+                (c, sil, sils, state), step = new, step + 1
+                found[name] = (len(c), sil, name, c)
+        b, f = found.get("backward"), found.get("forward")
+        best = (len(prev), keep[1], "keep", keep[0])
+        if b or f:
+            best = b if not f or (b and b[1] > f[1]) else f if not b or f[1] > b[1] else best
+        prev = best[3]
+        out[tp] = (*best[:3], [s[1:] for s in sorted(steps, key=lambda s: s[:2])])
+    return out
+
+
+@pytest.mark.parametrize("method", ["random", "furthest", "furthest_in_cluster", "mean_of_previous_mean"])
+@pytest.mark.parametrize("local", [True, False])
+def test_warm_run_against_plain_loops(spark, monkeypatch, method, local):
+    if not local:
+        monkeypatch.setattr(km, "LOCAL_ROWS", 0)
+    rng = np.random.default_rng(17)
+    shapes = rng.random((4, 5))
+    X = {t: np.clip(shapes[np.arange(24) % (3 + t % 2)] + rng.normal(0, 0.08 + 0.05 * t, (24, 5)), 0, 1) for t in range(3)}
+    s = series_df(spark, [(t, i, x.tolist()) for t, rows in X.items() for i, x in enumerate(rows)])
+    cfg = RunConfig(eta=1e-7, max_iter=200 if local else 6, min_k=2, max_k=6, series_length=5, warm_start=True, new_centre_method=method, sil_threshold=0.02)
+    choices, a = S.warm_run(s, cfg)
+    want = _brute_warm(X, cfg)
+    assert sorted(choices) == sorted(want)
+    for tp, c in choices.items():
+        k, sil, kind, steps = want[tp]
+        assert (c.k, c.kind) == (k, kind) and math.isclose(c.run_silhouette, sil, abs_tol=1e-9)
+        assert [x[:2] for x in c.steps] == [x[:2] for x in steps]
+        assert all(math.isclose(x[2], y[2], abs_tol=1e-9) for x, y in zip(c.steps, steps))
+    assert a.count() == 72

@@ -3,9 +3,7 @@ per-row silhouette parts (E1/E2).
 
 Centres are a driver dict ``{model key tuple: ndarray (k, L)}``. Their size
 is k x L doubles per model, fixed by the run parameters and never by the
-data; it is checked against a budget and, beyond it, the models are split
-over several jobs. Inside a job the table travels with the task closure
-(Spark broadcasts large closures by itself), and every row gets one
+data; the table travels as a Spark broadcast, one copy an executor, and every row gets one
 ``dists ARRAY<DOUBLE>`` column: at most k doubles per row, no row blow-up.
 """
 
@@ -21,26 +19,9 @@ from tidewarp.config import RunConfig
 from tidewarp.functions.arrowbatch import length_groups, ragged_rows, stack_centres
 from tidewarp.functions.dtw import dtw_to_row_centres
 
-CENTRE_BUDGET_BYTES = 64 * 1024 * 1024
-
 Centres = dict  # {tuple: np.ndarray (k, L)}
 
 
-def split_models(centres: Centres, budget: int = CENTRE_BUDGET_BYTES) -> list[Centres]:
-    """Chunks of models whose centre tables each fit the broadcast budget."""
-    chunks, cur, size = [], {}, 0
-    for key, c in centres.items():
-        b = np.asarray(c).size * 8
-        if cur and size + b > budget:
-            chunks.append(cur)
-            cur, size = {}, 0
-        cur[key] = c
-        size += b
-    if cur:
-        chunks.append(cur)
-    return chunks
-
-
 def model_key(key_cols: list[str]) -> Column:
     return F.concat_ws("|", *[F.col(c).cast("string") for c in key_cols])
 
@@ -49,17 +30,15 @@ def key_str(key: tuple) -> str:
     return "|".join(str(k) for k in key)
 
 
-def _dists_map(centres: Centres, cfg: RunConfig, schema: T.StructType):
+def _dists_map(centres, cfg: RunConfig, kmax_all: int):
     """mapInArrow body: append ``dists`` to every row (NULL when the row's
-    model has no centres)."""
-    table = {key_str(k): np.asarray(v, dtype=np.float64) for k, v in centres.items()}
+    model has no centres). ``centres``: a broadcast of {model string: (k, L)}."""
     gamma = cfg.gamma if cfg.distance == "soft_dtw" else None
     band = cfg.band
     mode = "prefix" if cfg.compat and cfg.distance == "dtw" else "full"
 
-    kmax_all = max((np.asarray(v).shape[0] for v in centres.values()), default=0)
-
     def run(batches):
+        table = centres.value
         for rb in batches:
             n_rows = rb.num_rows
             Dfull = np.full((n_rows, kmax_all), np.inf)
@@ -86,20 +65,11 @@ def _dists_map(centres: Centres, cfg: RunConfig, schema: T.StructType):
 def with_dists(series: DataFrame, centres: Centres, key_cols: list[str], cfg: RunConfig,
                series_col: str = "series_norm") -> DataFrame:
     """Add ``dists`` (distance to each centre of the row's model)."""
-    chunks = split_models(centres)
-    parts = []
-    for chunk in chunks:
-        s = series
-        if len(chunks) > 1:
-            s = s.where(model_key(key_cols).isin([key_str(k) for k in chunk]))
-        s = s.withColumn("_mk", model_key(key_cols)).withColumn("_sx", F.col(series_col))
-        out_schema = T.StructType([f for f in s.schema.fields if f.name not in ("_mk", "_sx")]
-                                  + [T.StructField("dists", T.ArrayType(T.DoubleType()))])
-        parts.append(s.mapInArrow(_dists_map(chunk, cfg, out_schema), out_schema))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    s = series.withColumn("_mk", model_key(key_cols)).withColumn("_sx", F.col(series_col))
+    out_schema = T.StructType([f for f in s.schema.fields if f.name not in ("_mk", "_sx")] + [T.StructField("dists", T.ArrayType(T.DoubleType()))])
+    sent = series.sparkSession.sparkContext.broadcast({key_str(k): np.asarray(v, dtype=np.float64) for k, v in centres.items()})
+    kmax = max((np.asarray(v).shape[0] for v in centres.values()), default=0)
+    return s.mapInArrow(_dists_map(sent, cfg, kmax), out_schema)
 
 
 def nearest(dists: Column | str = "dists") -> Column:

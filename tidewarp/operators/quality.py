@@ -35,26 +35,6 @@ def run_silhouette(cluster_sil: DataFrame, key_cols: list[str], k_col: str = "k"
             cluster_sil.groupBy(*key_cols).agg(F.sum("silhouette").alias("sil_sum")))
 
 
-def run_silhouettes_for(assigned: DataFrame, key_cols: list[str], k_of: dict | None = None,
-                        compat: bool = False) -> dict:
-    """E1 + E3 on the driver: {model key: (run silhouette, {cluster: sil})}.
-
-    Returns k numbers per model (bounded by the run parameters).
-    """
-    rows = cluster_silhouettes(assigned, key_cols, compat).collect()
-    out: dict = {}
-    for r in rows:
-        key = tuple(r[c] for c in key_cols)
-        out.setdefault(key, {})[r["cluster_id"]] = r["silhouette"]
-    res = {}
-    for key, sils in out.items():
-        k = k_of[key] if k_of else key[key_cols.index("k")]
-        vals = [v for v in sils.values() if v is not None]
-        total = float(np.sum(vals)) if vals else None
-        res[key] = (None if total is None or k < 2 else total / k, sils)
-    return res
-
-
 def mean_distance(assigned: DataFrame, key_cols: list[str]) -> DataFrame:
     """Mean distance to the own centre per cluster."""
     return assigned.groupBy(*key_cols, "cluster_id").agg(F.avg("dist").alias("mean_distance"))

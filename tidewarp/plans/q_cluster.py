@@ -10,6 +10,7 @@ from tidewarp.functions import vec as V
 from tidewarp.operators import kmeans as km
 from tidewarp.operators import profile as A
 from tidewarp.operators import quality as Q
+from tidewarp.operators import select as S
 from tidewarp.plans import oracle as O
 from tidewarp.plans.catalog import ORACLE_CFG, ORACLE_K, ORACLE_PASSES, _oracle_fit, fx1_fit, r6, register
 from tidewarp.plans.q_basic import dflat, flat
@@ -108,7 +109,7 @@ def c4(spark, sf_dir):
     return flat(km.centres_frame(spark, fit.centres, KEYS), ["time_point", "k", "cluster_id"], "center")
 
 
-SWEEP_KS, SWEEP_PASSES = [2, 3, 4, 5], 2
+SWEEP_KS, SWEEP_PASSES = [5, 6, 7, 8, 9, 10], 2
 
 
 def _sql_c6():
@@ -122,16 +123,9 @@ FROM {a} GROUP BY time_point, k, cluster_id""")
 
 @register("c6_k_sweep_best_silhouette", _sql_c6())
 def c6(spark, sf_dir):
-    cfg = ORACLE_CFG.with_(max_iter=SWEEP_PASSES, min_k=min(SWEEP_KS), max_k=max(SWEEP_KS))
-    _, fit = fx1_fit(spark, sf_dir, tuple(SWEEP_KS), cfg)
-    res = Q.run_silhouettes_for(fit.assignments, KEYS)
-    best: dict = {}
-    for (tp, k), (sil, _) in res.items():
-        if sil is None:
-            continue
-        if tp not in best or sil > best[tp][1]:
-            best[tp] = (k, sil)
-    rows = [(int(tp), int(k), float(s)) for tp, (k, s) in best.items()]
+    s, _ = fx1_fit(spark, sf_dir)
+    choices, _ = S.sweep(s, ORACLE_CFG.with_(max_iter=SWEEP_PASSES, min_k=min(SWEEP_KS), max_k=max(SWEEP_KS)))
+    rows = [(int(tp), int(c.k), float(c.run_silhouette)) for tp, c in choices.items()]
     return spark.createDataFrame(rows, "time_point int, best_k int, run_silhouette double").withColumn(
         "run_silhouette", r6(F.col("run_silhouette")))
 
@@ -201,9 +195,7 @@ FROM {a} GROUP BY time_point, k""")
 
 @register("c10_new_centre_furthest", _sql_c10())
 def c10(spark, sf_dir):
-    a = _asg(spark, sf_dir)
-    return a.groupBy(*KEYS).agg(F.max_by("id", F.struct(km.furthest_score().alias("s"), (-F.col("id")).alias("i")))
-                                .alias("id"))
+    return km.furthest_members(_asg(spark, sf_dir), KEYS).select(*KEYS, "id")
 
 
 def _worst_sql(q, a):
@@ -221,22 +213,12 @@ FROM {a} a JOIN {w} w ON a.time_point = w.time_point AND a.k = w.k AND a.cluster
 GROUP BY a.time_point, a.k, w.worst""")
 
 
-def worst_clusters(assigned: DataFrame, compat: bool = False) -> DataFrame:
-    """Per model the cluster with the lowest silhouette (lowest id on ties;
-    compat: the lowest cluster id, Q5)."""
-    cs = Q.cluster_silhouettes(assigned, KEYS, compat)
-    order = F.struct(F.lit(0).alias("s"), F.col("cluster_id")) if compat else F.struct(F.col("silhouette"),
-                                                                                         F.col("cluster_id"))
-    return cs.groupBy(*KEYS).agg(F.min_by("cluster_id", order).alias("worst_cluster"))
-
-
 @register("c11_new_centre_furthest_in_worst_cluster", _sql_c11())
 def c11(spark, sf_dir):
-    a = _asg(spark, sf_dir)
-    w = worst_clusters(a)
-    m = a.join(F.broadcast(w), KEYS).where(F.col("cluster_id") == F.col("worst_cluster"))
-    return m.groupBy(*KEYS, "worst_cluster").agg(
-        F.max_by("id", F.struct(F.col("dist"), (-F.col("id")).alias("i"))).alias("id"))
+    fit = _fit(spark, sf_dir)
+    worst = {key: S.worst_cluster(sils, False) for key, (_, sils) in km.run_silhouettes(fit.stats).items()}
+    return km.furthest_members_in(fit.assignments, KEYS, worst).join(
+        spark.createDataFrame([(*map(int, key), int(c)) for key, c in worst.items()], "time_point int, k int, worst_cluster int"), KEYS).select(*KEYS, "worst_cluster", "id")
 
 
 def _sql_c12():
