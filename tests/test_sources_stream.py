@@ -107,6 +107,94 @@ def test_stream_goes_on_from_its_checkpoint(spark):
     _check_windows(base + "/out", spark, (1, 2), 9)
 
 
+def _deliver(spark, base, rows, block=3):
+    """Add the messages of ``rows`` (id, pos, value) to the feed as new files."""
+    msgs = T.encode_messages(spark.createDataFrame(rows, "id long, pos int, value double"), block=block)
+    msgs.select("time_point", F.to_json(F.struct("time_point", "block", "message")).alias("value")).write.mode("append").partitionBy("time_point").text(base + "/feed")
+
+
+def _value(i, p):
+    return float((i * 3 + p * 7) % 11)
+
+
+def test_gaps_keep_the_later_windows_and_bound_the_state(spark):
+    """Position 1 of id 2 never comes, id 3 ends early, id 4 begins late; the stream stops and goes on between deliveries."""
+    base = tempfile.mkdtemp(prefix="tw-gaps-")
+    have = {1: set(range(20)), 2: set(range(20)) - {1}, 3: set(range(4)), 4: set(range(9, 20)) - {15}}
+    late = 0
+    for lo, hi in ((0, 8), (8, 14), (14, 20)):
+        _deliver(spark, base, [(i, p, _value(i, p)) for i in have for p in have[i] if lo <= p < hi] + ([(1, 0, 9.0), (2, 1, 9.0)] if lo == 14 else []))
+        src = T.read_feed_stream(spark, base + "/feed", files_per_trigger=100)
+        late += T.run_to_table(T.windowed_series(T.decode_messages(src, "message"), 4, 3, lateness=8), base + "/out", base + "/ckpt")
+    got = {(r.id, r.time_point): r.series_full for r in spark.read.parquet(base + "/out").collect()}
+    want = {(i, s) for i in have for s in range(17) if set(range(s, s + 4)) <= have[i]}
+    assert set(got) == want and spark.read.parquet(base + "/out").count() == len(want)
+    assert all(v == [_value(i, p) for p in range(s, s + 4)] for (i, s), v in got.items())
+    assert late == 2  # position 1 of id 2 and a second position 0 of id 1, both far behind position 13 less 8
+    state = spark.read.format("statestore").load(base + "/ckpt").collect()
+    held = {r.key.id: r.value.groupState.pos for r in state}
+    assert 3 not in held and all(min(p) > 13 - 8 - 4 for p in held.values())  # 13: the newest position before the last delivery
+
+
+def test_gaps_filled_as_in_dense_series(spark):
+    base = tempfile.mkdtemp(prefix="tw-fill-")
+    have = {1: set(range(16)), 2: {0, 3, 4, 5, 6, 9}, 3: {10}}
+    for lo, hi in ((0, 9), (9, 16)):
+        _deliver(spark, base, [(i, p, _value(i, p)) for i in have for p in have[i] if lo <= p < hi])
+        src = T.read_feed_stream(spark, base + "/feed", files_per_trigger=100)
+        T.run_to_table(T.windowed_series(T.decode_messages(src, "message"), 3, 2, lateness=4, fill=0.0), base + "/out", base + "/ckpt")
+    got = {(r.id, r.time_point): r.series_full for r in spark.read.parquet(base + "/out").collect()}
+    closed = 15 - 4  # the last position that can be a gap for certain
+    want = {(i, s) for i in have for s in range(14) if all(p in have[i] or p <= closed for p in range(s, s + 3))}
+    assert set(got) == want
+    assert all(v == [_value(i, p) if p in have[i] else 0.0 for p in range(s, s + 3)] for (i, s), v in got.items())
+
+
+def test_event_windows_drop_and_count_late_events(spark):
+    base = tempfile.mkdtemp(prefix="tw-events-")
+    rows = [[(m, 1.0) for m in range(0, 300, 10)], [(305, 2.0), (250, 4.0), (20, 8.0), (30, 8.0)], [(700, 16.0)]]
+    late = 0
+    for batch in rows:
+        spark.createDataFrame([(m * 60, v) for m, v in batch], "s long, value double").select(F.timestamp_seconds("s").alias("ts"), "value").write.mode("append").parquet(base + "/in")
+        src = spark.readStream.schema("ts timestamp, value double").parquet(base + "/in")
+        late += T.run_to_table(T.event_windows(src, "120 minutes", "60 minutes", "90 minutes"), base + "/out", base + "/ckpt")
+    kept = [(m, v) for batch in rows for m, v in batch if (m, v) not in ((20, 8.0), (30, 8.0))]
+    closed = 700 - 90
+    want = {}
+    for m, v in kept:
+        for start in range((m // 60 - 1) * 60, m + 1, 60):
+            if start <= m < start + 120 <= closed:
+                n, total = want.get(start, (0, 0.0))
+                want[start] = (n + 1, total + v)
+    got = spark.read.parquet(base + "/out").select(F.unix_seconds("window_start").alias("s"), "events", "total").collect()
+    assert {r.s // 60: (r.events, r.total) for r in got} == want and len(got) == len(want)
+    assert late > 0  # the windows of the two late events
+
+
+def test_stream_migration_equals_batch_also_after_a_repeated_batch(spark):
+    from tidewarp.operators import drift as J
+
+    base = tempfile.mkdtemp(prefix="tw-moves-")
+    schema = "time_point int, id long, cluster_id int"
+    rows = [(t, i, (i * 7 + t * t) % 3) for t in range(9) for i in range(20) if (i + t) % 5]
+    for part in (rows[:40], rows[80:100], rows[40:80], rows[100:]):  # not in order of time
+        spark.createDataFrame(part, schema).write.mode("append").parquet(base + "/w1")
+        T.migration_parts(spark, base + "/w1", schema, base + "/w5", base + "/ckpt", files_per_trigger=2)
+    want = sorted(map(tuple, J.migration(spark.createDataFrame(rows, schema)).select("time_point", "cluster_previous", "cluster_current", "number_cus", "change_proportion", "share_of_previous").collect()))
+
+    def table():
+        return sorted(map(tuple, T.migration_table(spark, base + "/w5").select("time_point", "cluster_previous", "cluster_current", "number_cus", "change_proportion", "share_of_previous").collect()))
+
+    assert table() == want
+    # the last batch was written but not committed: it runs again
+    last = max(int(f) for f in os.listdir(base + "/ckpt/commits") if f.isdigit())
+    for name in (str(last), f".{last}.crc"):
+        if os.path.exists(f"{base}/ckpt/commits/{name}"):
+            os.remove(f"{base}/ckpt/commits/{name}")
+    T.migration_parts(spark, base + "/w1", schema, base + "/w5", base + "/ckpt")
+    assert table() == want
+
+
 def test_entity_sink_is_idempotent(spark):
     base = tempfile.mkdtemp(prefix="tw-sink-")
     rows = spark.createDataFrame([(0, 1, 5), (1, 0, 7)], "time_point int, cluster_id int, cluster_count long")

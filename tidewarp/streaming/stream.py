@@ -4,18 +4,22 @@ A message carries one time position: first line the position, then
 ``id,value`` lines (values to 4 places). Messages are cut into id blocks of
 at most ``block`` ids, so no message holds an unbounded group. The stream
 decodes them and keeps, per id, the positions that a window still needs (T5);
-a window leaves as soon as its last position is there, whatever the order in
-which files arrive, so a feed written by many tasks loses nothing and the last
-windows leave too. Windows are normalised like the batch path and assigned to given
-centres inside the streaming query (T6).
+a window leaves as soon as all its positions are there, whatever the order in
+which files arrive. A position is a day of event time; the watermark, some positions behind the newest one of the feed, bounds the
+state and decides about gaps (``windowed_series``). Windows are normalised like the batch path and assigned to given
+centres inside the streaming query (T6); a second query over the assigned rows keeps each id's clusters as state and counts
+migration (W5). Event-time windows of raw events (T4) are ``event_windows``.
 """
 
 from __future__ import annotations
 
+import threading
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tidewarp.operators.reshape import with_raw_norm
 
@@ -44,12 +48,12 @@ def decode_messages(messages: DataFrame, col: str = "value") -> DataFrame:
                        F.element_at(f, 2).try_cast("double").alias("value"))
 
 
-def write_feed(messages: DataFrame, path: str) -> None:
+def write_feed(messages: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The replay feed as files, one folder per time position. The
     messages are written whole (one line may contain newlines), so each is
     stored as one JSON record."""
     messages.select("time_point", F.to_json(F.struct("time_point", "block", "message")).alias("value")) \
-        .write.mode("overwrite").partitionBy("time_point").text(path)
+        .write.mode(mode).partitionBy("time_point").text(path)
 
 
 FEED_SCHEMA = T.StructType([T.StructField("value", T.StringType()), T.StructField("time_point", T.IntegerType())])
@@ -63,48 +67,113 @@ def read_feed_stream(spark: SparkSession, path: str, files_per_trigger: int = 1)
     return raw.select(F.from_json("value", _MSG).alias("m")).select("m.message")
 
 
-STATE = "pos array<int>, value array<double>, next int"
+DAY = 86_400_000  # a position in milliseconds of event time; position 0 is day 1, as the first watermark is day 0
+LATENESS = 120  # positions that a message may come behind the newest one
+STATE = "pos array<int>, value array<double>, done int"
 WINDOWS = "time_point int, id bigint, series_full array<double>"
 
 
-def _advance(window: int):
-    """State step of one id: take positions in, give out the windows that are complete."""
+def _advance(window: int, fill: float | None):
+    """State step of one id: take positions in, give out the windows that become complete by them.
+
+    ``held``: the positions that an open window may need. ``done``: positions up to it are past the watermark, none can come."""
     def step(key, frames, state):
         held: dict[int, float] = {}
-        start = 0
+        done = -1
         if state.exists:
-            pos, value, start = state.get
+            pos, value, done = state.get
             held = dict(zip(pos, value))
-        for f in frames:
-            held.update((int(p), v) for p, v in zip(f["time_point"], f["value"]) if p >= start)
-        done = []
-        while all(p in held for p in range(start, start + window)):
-            done.append((start, key[0], [held[p] for p in range(start, start + window)]))
-            del held[start]
-            start += 1
-        order = sorted(held)
-        state.update((order, [held[p] for p in order], start))
-        if done:
-            yield pd.DataFrame(done, columns=["time_point", "id", "series_full"])
+        fresh = set()
+        if not state.hasTimedOut:
+            for f in frames:
+                for p, v in zip(f["time_point"], f["value"]):
+                    if int(p) not in held:
+                        fresh.add(int(p))
+                    held[int(p)] = v
+        past = state.getCurrentWatermarkMs() // DAY - 1
+        if fill is not None:
+            for p in range(done + 1, past + 1):
+                if p not in held:
+                    held[p] = fill
+                    fresh.add(p)
+        done = max(done, past)
+        starts = sorted({s for p in fresh for s in range(max(0, p - window + 1), p + 1) if all(q in held for q in range(s, s + window))})
+        out = [(s, key[0], [held[q] for q in range(s, s + window)]) for s in starts]
+        held = {p: v for p, v in held.items() if p + window - 1 > done}
+        if held or fill is not None:
+            order = sorted(held)
+            state.update((order, [held[p] for p in order], done))
+            # with a fill value, when the next missing position is past; else when no window can need what is held
+            wake = next(p for p in range(done + 1, done + len(held) + 2) if p not in held) if fill is not None else order[-1] + window - 1
+            state.setTimeoutTimestamp((wake + 1) * DAY - 1)
+        else:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["time_point", "id", "series_full"])
 
     return step
 
 
-def windowed_series(decoded: DataFrame, window: int, length: int) -> DataFrame:
-    """T4 + T5: every sliding window of ``window`` positions per id, once each.
+def windowed_series(decoded: DataFrame, window: int, length: int, lateness: int = LATENESS, fill: float | None = None) -> DataFrame:
+    """T5: every sliding window of ``window`` positions per id, once each, as soon as it is complete.
 
-    The state of an id is the positions from the next window's start on: ``window`` of them in an ordered feed, and as many
-    more as arrive early. A position that comes twice before its windows left takes its last value."""
-    out = decoded.where("time_point >= 0").groupBy("id").applyInPandasWithState(_advance(window), WINDOWS, STATE, "append", "NoTimeout")
+    A position more than ``lateness`` behind the newest one of the earlier batches is late and dropped (``run_to_table`` counts them). A
+    position that has not come by then is a gap: a window with a gap never leaves, all others do; with ``fill``, gaps take that value, from
+    position 0 on, as dense series do. The state of an id, trimmed whenever the id has data, holds no position ``window`` + ``lateness`` or more
+    behind the newest one of the earlier batches, and goes when no window can need it. A position that comes again replaces its value in the windows that have not left."""
+    timed = decoded.where("time_point >= 0").withColumn("at", F.timestamp_seconds((F.col("time_point").cast("long") + 1) * (DAY // 1000)))
+    out = (timed.withWatermark("at", f"{int(lateness)} days").groupBy("id")
+           .applyInPandasWithState(_advance(window, fill), WINDOWS, STATE, "append", "EventTimeTimeout"))
     return with_raw_norm(out, length)
 
 
-def run_to_table(stream_df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
+def event_windows(events: DataFrame, length: str, slide: str, delay: str, by: tuple = ()) -> DataFrame:
+    """T4: sliding event-time windows of a stream of (ts timestamp, value, ``by``): (``by``, window_start, window_end, events, total), in
+    append mode. A window leaves once the watermark, ``delay`` behind the newest event, has passed its end; later events of it are dropped and counted."""
+    grouped = events.withWatermark("ts", delay).groupBy(F.window("ts", length, slide).alias("w"), *by)
+    return grouped.agg(F.count(F.lit(1)).alias("events"), F.sum("value").alias("total")).select(
+        *by, F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "events", "total")
+
+
+class _Late(StreamingQueryListener):
+    """Counts the rows that queries drop as late."""
+
+    def __init__(self):
+        self.rows: dict = {}
+        self.ended: dict = {}
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        p = event.progress
+        self.rows[str(p.runId)] = self.rows.get(str(p.runId), 0) + sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+
+    def onQueryTerminated(self, event):
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+
+def _finish(writer) -> int:
+    """Run a streaming query over what is available; the rows it dropped as late."""
+    late = _Late()
+    spark = SparkSession.active()
+    spark.streams.addListener(late)
+    try:
+        q = writer.trigger(availableNow=True).start()
+        q.awaitTermination()
+        late.ended.setdefault(str(q.runId), threading.Event()).wait(30)  # its progress comes before
+        return late.rows.get(str(q.runId), 0)
+    finally:
+        spark.streams.removeListener(late)
+
+
+def run_to_table(stream_df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> int:
     """Run a streaming query to completion over what is available, with
-    its checkpoint in the shared folder, into a Parquet sink."""
-    q = (stream_df.writeStream.format("parquet").outputMode(mode).option("path", path)
-         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    q.awaitTermination()
+    its checkpoint in the shared folder, into a Parquet sink. Returns the number of rows dropped as late."""
+    return _finish(stream_df.writeStream.format("parquet").outputMode(mode).option("path", path).option("checkpointLocation", checkpoint))
 
 
 def with_arrival_time(stream_df: DataFrame) -> DataFrame:
@@ -112,10 +181,55 @@ def with_arrival_time(stream_df: DataFrame) -> DataFrame:
     return stream_df.withColumn("datetime", F.current_timestamp())
 
 
-def run_batches(stream_df: DataFrame, path: str, checkpoint: str, each) -> None:
+def run_batches(stream_df: DataFrame, path: str, checkpoint: str, each) -> int:
     """T6 + T7: run a streaming query over what is available and write ``each(batch)`` of every micro-batch under
     ``path/batch=<id>``. A batch that is run again after a restart replaces its own folder."""
     def write(batch: DataFrame, batch_id: int) -> None:
         each(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    stream_df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return _finish(stream_df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
+
+
+CLUSTERS = "time_points array<int>, clusters array<int>"
+MOVES = "time_point int, cluster_previous int, cluster_current int"
+
+
+def _moves(key, frames, state):
+    """State step of one id: a row (time point, null, cluster) for each assignment, and (time point, cluster before, cluster) for each two
+    of consecutive time points. Of the time points seen, those with a neighbour still to come are held."""
+    seen: dict[int, int] = {}
+    if state.exists:
+        seen = dict(zip(*state.get))
+    out = []
+    for f in frames:
+        for t, c in sorted(zip(f["time_point"], f["cluster_id"])):
+            t, c = int(t), int(c)
+            if t in seen:
+                continue
+            seen[t] = c
+            out.append((t, None, c))
+            out += [(u, seen[u - 1], seen[u]) for u in (t, t + 1) if u in seen and u - 1 in seen]
+    newest = max(seen, default=0)
+    held = sorted(t for t in seen if t > newest - LATENESS and not (t - 1 in seen and t + 1 in seen))
+    state.update((held, [seen[t] for t in held]))
+    if out:
+        yield pd.DataFrame({"time_point": [r[0] for r in out], "cluster_previous": pd.array([r[1] for r in out], "Int32"), "cluster_current": [r[2] for r in out]})
+
+
+def migration_parts(spark: SparkSession, assigned_path: str, schema, path: str, checkpoint: str, files_per_trigger: int = 16) -> int:
+    """Follow the table of assigned rows (time_point, id, cluster_id) that a streaming query writes (W1), with each id's clusters as
+    state, and add every micro-batch's counts of moves and sizes to ``path`` under its batch id; a repeated batch replaces its own."""
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(assigned_path)
+    moves = rows.select("time_point", "id", "cluster_id").groupBy("id").applyInPandasWithState(_moves, MOVES, CLUSTERS, "append", "NoTimeout")
+    return run_batches(moves, path, checkpoint, lambda b: b.groupBy("time_point", "cluster_previous", "cluster_current").agg(F.count(F.lit(1)).alias("n")))
+
+
+def migration_table(spark: SparkSession, path: str) -> DataFrame:
+    """W5 from the parts of ``migration_parts``: what ``drift.migration`` gives for the same assignments."""
+    parts = spark.read.parquet(path).groupBy("time_point", "cluster_previous", "cluster_current").agg(F.sum("n").alias("n"))
+    moved = parts.where("cluster_previous is not null").withColumnRenamed("n", "number_cus")
+    sizes = parts.where("cluster_previous is null").select("time_point", "cluster_current", F.col("n").alias("_n_cur"))
+    before = sizes.select((F.col("time_point") + 1).alias("time_point"), F.col("cluster_current").alias("cluster_previous"), F.col("_n_cur").alias("_n_prev"))
+    return (moved.join(sizes, ["time_point", "cluster_current"]).join(before, ["time_point", "cluster_previous"])
+            .withColumn("change_proportion", F.col("number_cus") / F.col("_n_cur")).withColumn("share_of_previous", F.col("number_cus") / F.col("_n_prev"))
+            .drop("_n_cur", "_n_prev"))
