@@ -1,6 +1,7 @@
-"""Sums that do not depend on their order: values as multiples of 2^-52, added up as integers.
+"""Sums that do not depend on their order: values as multiples of 2^-104, added up as integers.
 
-A value below 2^26 is split into two integers of its multiple, high * 2^26 + low, both exact in a double; sums of some rows are
+A value below 2^26 is split into four integers of 26 bits with its sign, all exact in a double; a double of at
+least 2^-52 is split without loss, a smaller one to within 2^-105. Sums of some rows are
 exact in doubles, sums of tasks are longs, and the whole sum is a Python integer. Any partitioning gives the same bits.
 """
 
@@ -8,19 +9,24 @@ from __future__ import annotations
 
 import numpy as np
 
-SHIFT, HALF = 52, 26
-LIMIT = float(1 << 26)
+LIMBS, BITS = 4, 26
+SHIFT = LIMBS * BITS
+LIMIT = float(1 << BITS)
 
 
 def split(x: np.ndarray) -> np.ndarray:
-    """(rows, 2 w): the high and the low integers of the columns of ``x`` (rows, w), as doubles."""
-    v = np.rint(np.ldexp(x, SHIFT))
-    high = np.floor(np.ldexp(v, -HALF))
-    return np.concatenate([high, v - np.ldexp(high, HALF)], axis=1)
+    """(rows, LIMBS x w): the integers of the columns of ``x`` (rows, w) as doubles, the highest of all columns first."""
+    rest = np.rint(np.ldexp(x, SHIFT))
+    out = []
+    for i in range(LIMBS - 1, 0, -1):
+        limb = np.trunc(np.ldexp(rest, -BITS * i))
+        rest = rest - np.ldexp(limb, BITS * i)
+        out.append(limb)
+    return np.concatenate([*out, rest], axis=1)
 
 
 def group_sums(parts: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
-    """(groups, 2 w) integer sums of the rows of ``parts`` (what ``split`` gives) by ``group``."""
+    """(groups, LIMBS x w) integer sums of the rows of ``parts`` (what ``split`` gives) by ``group``."""
     out = np.zeros((groups, parts.shape[1]), np.int64)
     top = max(LIMIT, float(np.abs(parts).max(initial=0.0)))
     step = max(1, int(2.0 ** 53 / top) - 1)  # rows whose sum stays below 2^53
@@ -32,10 +38,12 @@ def group_sums(parts: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     return out
 
 
-def whole(high: int, low: int) -> int:
-    return (int(high) << HALF) + int(low)
+def whole(sums) -> list[int]:
+    """The w whole sums of a row of ``group_sums``."""
+    w = len(sums) // LIMBS
+    return [sum(int(sums[b * w + i]) << (BITS * (LIMBS - 1 - b)) for b in range(LIMBS)) for i in range(w)]
 
 
 def quotient(total: int, count: int) -> float:
-    """total / (2^52 count), rounded once."""
+    """total / (2^104 count), rounded once."""
     return total / (count << SHIFT)

@@ -67,7 +67,7 @@ LOCAL_ROWS = 1 << 18  # rows of a model that one task fits: 25 MB of series of 1
 
 
 class ClusterSums(NamedTuple):
-    """Sums over the members of a cluster, as multiples of 2^-52."""
+    """Sums over the members of a cluster, as multiples of 2^-104."""
 
     series: list  # L integers
     counts: list  # members with a value at each position
@@ -104,7 +104,7 @@ def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: i
     """One k-means pass as a map-side combine. ``centres``: a broadcast of {model string: (k, L)}.
 
     Each task assigns its rows (DTW against its model's centres, lowest index on ties) and emits one wide row per (model, cluster)
-    it saw: high and low integers of L member sums, of the silhouettes and of the own distances, the counts of the L positions (a
+    it saw: the integers (``exact.split``) of L member sums, of the silhouettes and of the own distances, the counts of the L positions (a
     shorter series counts where it has values), the size, the rows with a silhouette, and the seconds spent. A series with a null or
     a non-finite value takes no part.
     """
@@ -163,10 +163,10 @@ def _pass_plan(series: DataFrame, key_cols: list[str], cfg: RunConfig, length: i
             yield pa.RecordBatch.from_arrays(
                 [pa.array([m for m, _ in acc], pa.string()), pa.array([c for _, c in acc], pa.int32()), *map(pa.array, numbers.T),
                  pa.array([t for _, t in acc.values()])],
-                names=["_m", "cluster_id", *(f"s{i}" for i in range(3 * w)), "seconds"])
+                names=["_m", "cluster_id", *(f"s{i}" for i in range((exact.LIMBS + 1) * w)), "seconds"])
 
     return series.select(model_key(key_cols).alias("_m"), F.col(series_col).alias("_s")).mapInArrow(
-        run, "_m string, cluster_id int, " + ", ".join(f"s{i} long" for i in range(3 * w)) + ", seconds double")
+        run, "_m string, cluster_id int, " + ", ".join(f"s{i} long" for i in range((exact.LIMBS + 1) * w)) + ", seconds double")
 
 
 def pass_sums(series: DataFrame, centres: Centres, key_cols: list[str], cfg: RunConfig, length: int,
@@ -182,8 +182,7 @@ def pass_sums(series: DataFrame, centres: Centres, key_cols: list[str], cfg: Run
     w = length + 2
     out = {}
     for m, c, *numbers, seconds in zip(*(col.to_pylist() for col in rows.columns)):
-        totals = [exact.whole(numbers[i], numbers[w + i]) for i in range(w)]
-        counts = numbers[2 * w:]
+        totals, counts = exact.whole(numbers[:-w]), numbers[-w:]
         out[m, c] = ClusterSums(totals[:length], counts[:length], counts[length + 1], totals[length], counts[length], totals[length + 1], seconds)
     return out
 
@@ -256,8 +255,8 @@ def _local_fits(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunC
                 sums = exact.group_sums(ints, cl, k)
                 counts[:, :m] += np.bincount(cl, minlength=k)[:, None]
                 for c, row in enumerate(sums.tolist()):
-                    for i in range(m):
-                        totals[c][i] += exact.whole(row[i], row[m + i])
+                    for i, total in enumerate(exact.whole(row)):
+                        totals[c][i] += total
             new = np.array([[exact.quotient(s, n) if n else o for s, n, o in zip(*row)] for row in zip(totals, counts.tolist(), cur.tolist())])
             passes += 1
             shift, prev, cur = centre_shift(cur, new), cur, new
@@ -273,8 +272,8 @@ def _local_fits(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunC
                 ok = ~np.isnan(sil)
                 sums = exact.group_sums(exact.split(np.stack([np.where(ok, sil, 0.0), own], axis=1)), cl, k).tolist()
                 for c, (size, seen) in enumerate(zip(np.bincount(cl, minlength=k).tolist(), np.bincount(cl[ok], minlength=k).tolist())):
-                    add = (size, exact.whole(sums[c][0], sums[c][2]), seen, exact.whole(sums[c][1], sums[c][3]))
-                    rows[c] = [a + b for a, b in zip(rows[c], add)]
+                    sil_sum, dist_sum = exact.whole(sums[c])
+                    rows[c] = [a + b for a, b in zip(rows[c], (size, sil_sum, seen, dist_sum))]
             quality = [_quality(*r) if r[0] else (0, None, None) for r in rows]
         spent = time.perf_counter() - began
         size, sil, dist = zip(*quality)
