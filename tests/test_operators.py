@@ -360,3 +360,50 @@ def test_warm_run_against_plain_loops(spark, monkeypatch, method, local):
         assert [x[:2] for x in c.steps] == [x[:2] for x in steps]
         assert all(math.isclose(x[2], y[2], abs_tol=1e-9) for x, y in zip(c.steps, steps))
     assert a.count() == 72
+
+
+def test_positions_come_from_staged_files(spark):
+    """A partition that is read again, in any order and alone, has the positions it had; ties keep one position each."""
+    df = spark.createDataFrame([(i % 50, i) for i in range(2000)], "v int, id long").repartition(9)
+    pos = X.dense_index(df, ["v"], start=0)
+    whole = sorted(map(tuple, pos.collect()))
+    assert sorted(r[2] for r in whole) == list(range(2000))
+    assert all(a[2] < b[2] for a in whole[:200] for b in whole[-200:])
+    parts = pos.rdd.glom().collect()
+    assert sorted(tuple(r) for p in reversed(parts) for r in p) == whole
+    assert sorted(map(tuple, pos.where("v = 7").collect())) == [r for r in whole if r[0] == 7]
+    assert not spark.sparkContext._jsc.getPersistentRDDs().containsKey(pos.rdd.id())
+    assert X.dense_index(df.limit(0), ["v"]).count() == 0
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 0])
+def test_stability_of_all_lags_from_one_trajectory(spark, monkeypatch, limit):
+    monkeypatch.setattr(J, "BROADCAST_ROWS", limit)
+    rng = random.Random(12)
+    rows = [(t, k, i, rng.randrange(k)) for t in (0, 1, 2, 4, 5) for k in (2, 3) for i in range(25) if rng.random() < 0.85]
+    a = spark.createDataFrame(rows, "time_point int, k int, id long, cluster_id int")
+    got = sorted((r.time_point, r.k, r.lag, r.id, r.c_now, -1 if r.c_later is None else r.c_later, r.remain or 0, r.companions, r.ratio or 0) for r in J.companion_ratios(a, (1, 2, 7), ["time_point", "k"]).collect())
+    by = {}
+    for t, k, i, c in rows:
+        by.setdefault((t, k), {})[i] = c
+    want = []
+    for (t, k), now in by.items():
+        for lag in (1, 2, 7):
+            later = by.get((t + lag, k))
+            for i, c in now.items() if later else ():
+                mates = [j for j in now if now[j] == c]
+                stay = sum(later.get(j) == later[i] for j in mates) if i in later else 0
+                want.append((t, k, lag, i, c, later.get(i, -1), stay, len(mates), stay / len(mates)))
+    assert got == sorted(want)
+    lags = J.changed_over_lags(a, (1, 2), 0.6, ["time_point", "k"])
+    assert lags.count() == sum(J.changed_customers(a, lag, 0.6, ["time_point", "k"]).count() for lag in (1, 2))
+
+
+def test_first_by_own_mean_equals_the_head_of_the_full_rank(spark):
+    a = km.fit(series_df(spark, _random_series(2, 60, 5), k=3), {(t, 3): km.random_centres(3, 5, f"m{t}") for t in range(2)}, KEYS, RunConfig(eta=0.0, max_iter=2, series_length=5)).assignments
+    cfg = RunConfig(series_length=5)
+    few = A.first_by_own_mean(a, KEYS, 5, cfg, 4)
+    whole = A.rank_by_own_mean(a, KEYS, 5, cfg).where("rank <= 4")
+    pick = lambda d: sorted((r.time_point, r.cluster_id, r.rank, r.id) for r in d.collect())
+    assert pick(few) == pick(whole)
+    assert "WindowGroupLimit" in few._jdf.queryExecution().toString()

@@ -35,6 +35,36 @@ def test_wide_matrix(spark):
     assert got[(1, 0)] == 1.0 and got[(3, 2)] == 300.0 and len(got) == 9
 
 
+def test_wide_matrix_with_lines_over_many_splits(spark):
+    """Lines longer than a split, blank lines at all places, ragged and bad fields, files in the order of their paths."""
+    d = tempfile.mkdtemp(prefix="tw-wide-")
+    files = {"a.csv": [[str(i * 10 + j) for j in range(60)] for i in range(5)], "b.csv": [["7"], ["", "x", " 2.5 ", ""], [str(j) for j in range(90)]], "c.csv": [["1", "2"]]}
+    _write(os.path.join(d, "a.csv"), "\n\n" + "\n\n".join(",".join(r) for r in files["a.csv"]) + "\n\n")
+    _write(os.path.join(d, "b.csv"), "\r\n".join(",".join(r) for r in files["b.csv"]))
+    _write(os.path.join(d, "c.csv"), ",".join(files["c.csv"][0]) + "\n")
+    _write(os.path.join(d, "d.csv"), "\n \n")
+    _write(os.path.join(d, "e.csv"), "5,6")
+    rows = [r for f in files.values() for r in f] + [["5", "6"]]
+
+    def number(v):
+        try:
+            return float(v)
+        except ValueError:
+            return None
+
+    want = {(j + 1, i): number(v) for i, r in enumerate(rows) for j, v in enumerate(r)}
+    for split in ("17", "100", "1000000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            got = S.read_wide_matrix(spark, d)
+            rows_got = got.collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert len(rows_got) == len(want) and {(r.id, r.pos): r.value for r in rows_got} == want
+
+
 def test_result_dirs_round_trip(spark):
     base = tempfile.mkdtemp(prefix="tw-res-")
     a = spark.createDataFrame([(0, 2, 0, 7, [0.1, 0.2]), (0, 2, 1, 8, [0.3, 0.4])],

@@ -2,7 +2,7 @@
 
 Two forms of each distance:
 
-* the bulk form: numpy over Arrow batches (``pandas_udf``). The DP runs as an
+* the bulk form: numpy on the buffers of Arrow columns (``arrow_udf``). The DP runs as an
   anti-diagonal wavefront: all cells with ``i + j = d`` are independent, so a
   batch of P pairs costs ``n + m - 1`` vectorised steps instead of ``n * m``
   Python-level ones. Every cell is still ``cost + min(diag, up, left)`` with a
@@ -18,7 +18,8 @@ without their last point, with the largest double for length-1 input.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -133,64 +134,73 @@ def dtw_to_row_centres(X: np.ndarray, stack: np.ndarray, codes: np.ndarray, *, g
     return out
 
 
-def dtw_many(xs, ys, *, gamma: float | None = None, band: int | None = None, mode: str = "full") -> np.ndarray:
-    """Row-wise distances of two sequences of (possibly ragged) series."""
-    xs = [None if v is None else np.asarray(v, dtype=np.float64) for v in xs]
-    ys = [None if v is None else np.asarray(v, dtype=np.float64) for v in ys]
+def _stretches(column: pa.Array):
+    """(all values, start and length of each row's list, rows without a null list) of a list column, on its buffers."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not pa.types.is_list(column.type) or not pa.types.is_float64(column.type.value_type):
+        column = column.cast(pa.list_(pa.float64()))
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(zero_copy_only=False), offsets[:-1].astype(np.int64), np.diff(offsets), column.is_valid().to_numpy(zero_copy_only=False)
+
+
+def dtw_lists(x: pa.Array, y: pa.Array, *, gamma: float | None = None, band: int | None = None, mode: str = "full", rows: np.ndarray | None = None) -> np.ndarray:
+    """Row-wise distances of two list columns of (possibly ragged) series, gathered from their buffers by length; NaN where a
+    series is null or empty. ``rows``: only these."""
+    (xv, xs, xn, xok), (yv, ys, yn, yok) = _stretches(x), _stretches(y)
     out = np.full(len(xs), np.nan)
-    groups: dict[tuple[int, int], list[int]] = {}
-    for r, (x, y) in enumerate(zip(xs, ys)):
-        if x is None or y is None:
-            continue
-        groups.setdefault((len(x), len(y)), []).append(r)
-    for (n, m), rows in groups.items():
-        if n == 0 or m == 0:
-            continue
-        X = np.stack([xs[r] for r in rows])
-        Y = np.stack([ys[r] for r in rows])
-        out[rows] = dtw_same_length(X, Y, gamma=gamma, band=band, mode=mode)
+    use = xok & yok & (xn > 0) & (yn > 0)
+    if rows is not None:
+        use &= rows
+    at = np.flatnonzero(use)
+    sizes, group = np.unique(np.stack([xn[at], yn[at]], axis=1), axis=0, return_inverse=True)
+    for g, (n, m) in enumerate(sizes):
+        own = at[group.reshape(-1) == g]
+        X, Y = xv[xs[own][:, None] + np.arange(n)], yv[ys[own][:, None] + np.arange(m)]
+        out[own] = dtw_same_length(X, Y, gamma=gamma, band=band, mode=mode)
     return out
 
 
 def dtw_one(x, y, **kw) -> float:
-    return float(dtw_many([x], [y], **kw)[0])
+    one = lambda v: pa.array([None if v is None else np.asarray(v, dtype=np.float64)], pa.list_(pa.float64()))
+    return float(dtw_lists(one(x), one(y), **kw)[0])
 
 
 # --------------------------------------------------------------------------
 # Arrow UDFs (SQL-callable after ``register``)
 # --------------------------------------------------------------------------
 
-def _to_series(values: np.ndarray) -> pd.Series:
-    s = pd.Series(values, dtype="float64")
-    return s.where(~np.isnan(values), None) if np.isnan(values).any() else s
+def _column(values: np.ndarray) -> pa.Array:
+    return pa.array(values, mask=np.isnan(values))
 
 
-@F.pandas_udf(T.DoubleType())
-def dtw_udf(x: pd.Series, y: pd.Series) -> pd.Series:
-    return _to_series(dtw_many(x, y))
+def _by_parameter(x: pa.Array, y: pa.Array, parameter: pa.Array, distance) -> pa.Array:
+    """Distances of rows that each name their parameter; the rows of one value run together. A null parameter gives null."""
+    out = np.full(len(x), np.nan)
+    for value in pc.unique(parameter).to_pylist():
+        if value is not None:
+            rows = pc.fill_null(pc.equal(parameter, value), False).to_numpy(zero_copy_only=False)
+            out = np.where(rows, distance(x, y, value, rows), out)
+    return _column(out)
 
 
-@F.pandas_udf(T.DoubleType())
-def dtw_prefix_udf(x: pd.Series, y: pd.Series) -> pd.Series:
-    return _to_series(dtw_many(x, y, mode="prefix"))
+@F.arrow_udf(T.DoubleType())
+def dtw_udf(x: pa.Array, y: pa.Array) -> pa.Array:
+    return _column(dtw_lists(x, y))
 
 
-@F.pandas_udf(T.DoubleType())
-def soft_dtw_udf(x: pd.Series, y: pd.Series, gamma: pd.Series) -> pd.Series:
-    out = np.full(len(x), np.nan)
-    for g in pd.unique(gamma):
-        rows = np.flatnonzero((gamma == g).to_numpy())
-        out[rows] = dtw_many(x.iloc[rows], y.iloc[rows], gamma=float(g))
-    return _to_series(out)
+@F.arrow_udf(T.DoubleType())
+def dtw_prefix_udf(x: pa.Array, y: pa.Array) -> pa.Array:
+    return _column(dtw_lists(x, y, mode="prefix"))
 
 
-@F.pandas_udf(T.DoubleType())
-def dtw_banded_udf(x: pd.Series, y: pd.Series, window: pd.Series) -> pd.Series:
-    out = np.full(len(x), np.nan)
-    for w in pd.unique(window):
-        rows = np.flatnonzero((window == w).to_numpy())
-        out[rows] = dtw_many(x.iloc[rows], y.iloc[rows], band=int(w))
-    return _to_series(out)
+@F.arrow_udf(T.DoubleType())
+def soft_dtw_udf(x: pa.Array, y: pa.Array, gamma: pa.Array) -> pa.Array:
+    return _by_parameter(x, y, gamma, lambda x, y, g, rows: dtw_lists(x, y, gamma=float(g), rows=rows))
+
+
+@F.arrow_udf(T.DoubleType())
+def dtw_banded_udf(x: pa.Array, y: pa.Array, window: pa.Array) -> pa.Array:
+    return _by_parameter(x, y, window, lambda x, y, w, rows: dtw_lists(x, y, band=int(w), rows=rows))
 
 
 def register(spark: SparkSession) -> None:

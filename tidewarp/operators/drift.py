@@ -1,14 +1,13 @@
 """Migration between time points and companion stability.
 
-Co-membership is never materialised as pairs. Companion counts come from
-two partial/final aggregations:
+Co-membership is never materialised as pairs. One shuffle by id gathers each id's trajectory, its cluster at every time point
+(at most T entries); every lag is read from it. Companion counts are
 
-* ``pairs``: ids per (time point, cluster now, cluster later), and
-* ``sizes``: ids per (time point, cluster now),
+* ``remain``: ids per (lag, time point, cluster now, cluster later), and
+* ``companions``: ids per (lag, time point, cluster now),
 
-whose row counts are bounded by T x k^2 and T x k (run parameters, not
-data). They are joined back to the per-id rows, so the work is O(N) and a
-hot cluster is combined map-side like any other.
+combined in the map before they shuffle; their row counts are bounded by lags x T x k^2 (run parameters, not
+data). They are staged and joined back to the ids' rows, so the work is O(N), and no row shuffles by a cluster.
 """
 
 from __future__ import annotations
@@ -16,14 +15,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BOUNDED_BROADCAST_ROWS = 1_000_000
+from tidewarp.session import staged
 
-
-def _small(df: DataFrame, bound_rows: int | None) -> DataFrame:
-    """Broadcast hint only for a table whose row count the caller has bounded
-    from the run parameters (e.g. T x k^2); otherwise adaptive execution
-    chooses the join from the measured size at run time."""
-    return F.broadcast(df) if bound_rows is not None and bound_rows <= BOUNDED_BROADCAST_ROWS else df
+BROADCAST_ROWS = 1_000_000  # counts that are sent to the tasks; more are joined by shuffle
 
 
 def migration(assigned: DataFrame, key_cols: list[str] = ("time_point",), tp_col: str = "time_point") -> DataFrame:
@@ -50,49 +44,51 @@ def migration(assigned: DataFrame, key_cols: list[str] = ("time_point",), tp_col
             .drop("_n_cur", "_n_prev"))
 
 
-def companion_ratio(assigned: DataFrame, lag: int, key_cols: list[str] = ("time_point",),
-                    tp_col: str = "time_point", bound_rows: int | None = None) -> DataFrame:
-    """J5 core: per id at t, the share of its companions at t (same cluster,
+def companion_ratios(assigned: DataFrame, lags, key_cols: list[str] = ("time_point",), tp_col: str = "time_point") -> DataFrame:
+    """J5 core, for all ``lags``: per id at t, the share of its companions at t (same cluster,
     self included) that share its cluster again at t + lag.
 
     Ids absent at t + lag get a NULL ratio but still count in the
     denominator of the others (alignment by id, Q14). Only time points with
-    a t + lag present in the data are reported. One id join (now x later);
-    the companion counts come from the assignment itself.
+    a t + lag present in the data are reported.
     """
     key_cols = list(key_cols)
     other = [c for c in key_cols if c != tp_col]
-    # one row per time point (a run parameter): broadcast, never a shuffle on
-    # the few time point keys
-    later_tps = assigned.select((F.col(tp_col) - lag).alias(tp_col)).distinct()
-    now = (assigned.join(F.broadcast(later_tps), tp_col, "left_semi")
-           .select(*key_cols, "id", F.col("cluster_id").alias("c_now")))
-    later = assigned.select(*other, "id", (F.col(tp_col) - lag).alias(tp_col), F.col("cluster_id").alias("c_later"))
-    pf = now.join(later, [*key_cols, "id"], "left")
-    sizes = now.groupBy(*key_cols, "c_now").agg(F.count(F.lit(1)).alias("companions"))
-    pairs = pf.groupBy(*key_cols, "c_now", "c_later").agg(F.count(F.lit(1)).alias("remain"))
-    out = (pf.join(_small(sizes, bound_rows), [*key_cols, "c_now"])
-           .join(_small(pairs, bound_rows), [*key_cols, "c_now", "c_later"], "left")
-           .withColumn("ratio", F.when(F.col("c_later").isNull(), F.lit(None).cast("double"))
-                       .otherwise(F.col("remain") / F.col("companions")))
-           .withColumn("lag", F.lit(int(lag))))
-    return out.select(*key_cols, "lag", "id", "c_now", "c_later", "remain", "companions", "ratio")
+    entry = F.struct(F.col(tp_col).cast("int").alias("t"), F.col("cluster_id").alias("c"))
+    path = assigned.groupBy(*other, "id").agg(F.map_from_entries(F.collect_list(entry)).alias("path"))
+    steps = path.select(*other, "id", "path", F.explode(F.map_entries("path")).alias("e")).select(
+        *other, "id", "path", F.col("e.key").alias(tp_col), F.col("e.value").alias("c_now"),
+        F.explode(F.array(*[F.lit(int(lag)) for lag in lags])).alias("lag"))
+    rows = steps.select(*key_cols, "lag", "id", "c_now", F.try_element_at("path", F.col(tp_col) + F.col("lag")).alias("c_later"))
+    counts = rows.groupBy(*key_cols, "lag", "c_now", "c_later").agg(F.count(F.lit(1)).alias("n"))
+    periods = assigned.select(F.col(tp_col).cast("int").alias("_t")).distinct()
+    counts = staged(counts.join(periods, F.col(tp_col) + F.col("lag") == F.col("_t"), "left_semi"), "companions")
+    sizes = counts.groupBy(*key_cols, "lag", "c_now").agg(F.sum("n").alias("companions"))
+    known = counts.join(sizes, [*key_cols, "lag", "c_now"]).select(
+        *[F.col(c).alias(f"_{c}") for c in (*key_cols, "lag", "c_now", "c_later")], "companions",
+        F.when(F.col("c_later").isNotNull(), F.col("n")).alias("remain"))
+    known = F.broadcast(known) if counts.count() <= BROADCAST_ROWS else known
+    same = F.col("c_later").eqNullSafe(F.col("_c_later"))
+    for c in (*key_cols, "lag", "c_now"):
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    return rows.join(known, same).select(*key_cols, "lag", "id", "c_now", "c_later", "remain", "companions", (F.col("remain") / F.col("companions")).alias("ratio"))
+
+
+def companion_ratio(assigned: DataFrame, lag: int, key_cols: list[str] = ("time_point",), tp_col: str = "time_point") -> DataFrame:
+    """J5 core for one lag."""
+    return companion_ratios(assigned, [lag], key_cols, tp_col)
 
 
 def changed_customers(assigned: DataFrame, lag: int, threshold: float, key_cols: list[str] = ("time_point",),
                       tp_col: str = "time_point") -> DataFrame:
     """Ids whose ratio is <= threshold (at the threshold counts as changed)."""
-    return companion_ratio(assigned, lag, key_cols, tp_col).where(F.col("ratio") <= threshold)
+    return changed_over_lags(assigned, [lag], threshold, key_cols, tp_col)
 
 
 def changed_over_lags(assigned: DataFrame, lags=(1, 3, 6, 12), threshold: float = 0.8,
                       key_cols: list[str] = ("time_point",), tp_col: str = "time_point") -> DataFrame:
-    """J5 for several lags (a parameter-bounded union)."""
-    parts = [changed_customers(assigned, lag, threshold, key_cols, tp_col) for lag in lags]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """J5 for several lags, from one trajectory shuffle."""
+    return companion_ratios(assigned, lags, key_cols, tp_col).where(F.col("ratio") <= threshold)
 
 
 def change_between(assigned: DataFrame, t_now: int, t_next: int, threshold: float,

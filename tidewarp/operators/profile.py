@@ -96,6 +96,9 @@ def argmax_by(df: DataFrame, group_cols: list[str], value: str, score) -> DataFr
 # ranked members
 # --------------------------------------------------------------------------
 
+LEAVES = 16  # parts of a cluster that are cut to their first members apart
+
+
 def nearest_samples(assigned: DataFrame, key_cols: list[str], n: int, series_col: str = "series_norm") -> DataFrame:
     """K1: the n members nearest to their centre per cluster, identical
     vectors counted once (ascending distance, then lowest id).
@@ -132,17 +135,27 @@ def rank_by_own_mean(assigned: DataFrame, key_cols: list[str], length: int, cfg:
     The mean table (A3) is k x L per model, joined back on the cluster key;
     the distance is computed row-wise, the rank by :func:`rank_within`.
     """
+    d = own_mean_distances(assigned, key_cols, length, cfg, series_col)
+    return rank_within(d, [*key_cols, "cluster_id"], ["mean_dist", "id"], broadcast_starts=True)
+
+
+def own_mean_distances(assigned: DataFrame, key_cols: list[str], length: int, cfg: RunConfig, series_col: str = "series_norm") -> DataFrame:
+    """Each member's distance ``mean_dist`` to its cluster's column mean."""
     # one row per (model, cluster): bounded by models x k, broadcast so a hot
     # cluster is never a single join partition
     means = cluster_mean_vector(assigned, key_cols, length, series_col, "own_mean")
-    d = assigned.join(F.broadcast(means), [*key_cols, "cluster_id"]).withColumn(
+    return assigned.join(F.broadcast(means), [*key_cols, "cluster_id"]).withColumn(
         "mean_dist", distance_column(F.col(series_col), F.col("own_mean"), cfg.distance, cfg.gamma, cfg.band))
-    return rank_within(d, [*key_cols, "cluster_id"], ["mean_dist", "id"], broadcast_starts=True)
 
 
-def first_ranked(ranked: DataFrame, n: int) -> DataFrame:
-    """K3: the first n of K2 per cluster (map-side group limit)."""
-    return ranked.where(F.col("rank") <= n)
+def first_by_own_mean(assigned: DataFrame, key_cols: list[str], length: int, cfg: RunConfig, n: int, series_col: str = "series_norm") -> DataFrame:
+    """K3: the first ``n`` of K2 per cluster without ranking the rest. A task sends at most n members of a cluster and leaf, a leaf
+    at most n of a cluster: two window group limits, so the last task of a cluster reads n x LEAVES rows whatever its size."""
+    d = own_mean_distances(assigned, key_cols, length, cfg, series_col)
+    group = [*key_cols, "cluster_id"]
+    leaves = d.withColumn("_leaf", F.pmod(F.xxhash64("id"), F.lit(LEAVES)))
+    leaves = leaves.withColumn("rank", F.row_number().over(Window.partitionBy(*group, "_leaf").orderBy("mean_dist", "id"))).where(F.col("rank") <= n)
+    return leaves.drop("_leaf").withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy("mean_dist", "id")).cast("int")).where(F.col("rank") <= n)
 
 
 def every_sixth(df: DataFrame, tp_col: str = "time_point") -> DataFrame:

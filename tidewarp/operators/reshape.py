@@ -7,11 +7,10 @@ which are bounded by the number of positions, so no id x position spine
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tidewarp.session import staging_path
 from tidewarp.functions.vec import minmax_normalise, series_sum, uniform01
 
 
@@ -98,31 +97,21 @@ def round4(col) -> F.Column:
 def dense_index(df: DataFrame, order_cols: list[str], name: str = "row_pos", start: int = 1) -> DataFrame:
     """X11: consecutive positions ``start..`` along ``order_cols``, distributed.
 
-    Range-partition and sort, count rows per partition (one small job),
-    turn the counts into offsets on the driver (one number per partition)
-    and add local positions with an Arrow map. No single-task window.
+    Range-partition, sort and stage the rows once; the files' names are in the order of the partitions. Counts (one number
+    a file) and positions (a row's place in its file) both come from the staged files, so a task that is run again, or an
+    executor that is lost, cannot move rows, and nothing stays persisted. No single-task window.
     """
-    ranged = df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols)
-    ranged = ranged.withColumn("_pid", F.spark_partition_id()).persist()
-    counts = dict(ranged.groupBy("_pid").count().collect())
-    offsets, acc = {}, start
-    for pid in sorted(counts):
-        offsets[pid] = acc
-        acc += counts[pid]
-    schema = T.StructType(ranged.schema.fields + [T.StructField(name, T.LongType(), False)])
-
-    def add_pos(batches):
-        seen: dict[int, int] = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            pid = int(pdf["_pid"].iloc[0])
-            base = offsets[pid] + seen.get(pid, 0)
-            pdf[name] = pd.RangeIndex(base, base + len(pdf)).to_numpy()
-            seen[pid] = seen.get(pid, 0) + len(pdf)
-            yield pdf
-
-    return ranged.mapInPandas(add_pos, schema).drop("_pid")
+    path = staging_path(df.sparkSession, "positions")
+    df.repartitionByRange(*order_cols).sortWithinPartitions(*order_cols).write.parquet(path)
+    rows = df.sparkSession.read.schema(df.schema).parquet(path).select(
+        "*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    counts = sorted(rows.groupBy("_file").count().collect())
+    offsets, at = [], start
+    for file, n in counts:
+        offsets.append((file, at))
+        at += n
+    offsets = df.sparkSession.createDataFrame(offsets, "_file string, _first long")  # a row a partition
+    return rows.join(F.broadcast(offsets), "_file").withColumn(name, F.col("_first") + F.col("_row")).drop("_file", "_row", "_first")
 
 
 def month_projection(panel: DataFrame, t: int, n_cols: int | None = None) -> DataFrame:

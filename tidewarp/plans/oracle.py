@@ -21,15 +21,19 @@ class Sql:
 
     def __init__(self):
         self.ctes: list[tuple[str, str]] = []
+        self.stored: set[str] = set()
 
-    def add(self, name: str, body: str) -> str:
+    def add(self, name: str, body: str, stored: bool = False) -> str:
+        """Append a CTE; ``stored`` ones are computed once and kept, so that no expression of theirs is repeated."""
         self.ctes.append((name, body))
+        if stored:
+            self.stored.add(name)
         return name
 
     def render(self, final: str) -> str:
         if not self.ctes:
             return final
-        parts = ",\n".join(f"{n} AS (\n{b}\n)" for n, b in self.ctes)
+        parts = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in self.stored else ''}(\n{b}\n)" for n, b in self.ctes)
         return f"WITH {parts}\n{final}"
 
 

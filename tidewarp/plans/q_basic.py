@@ -12,7 +12,7 @@ from tidewarp.plans import oracle as O
 from tidewarp.plans.catalog import r6, register
 from tidewarp.plans.series import fixture_series
 from tidewarp.session import read_table
-from tidewarp.sources.tables import fx1_panel, positions
+from tidewarp.sources.tables import fx1_panel, fx3_panel, positions
 
 L = 12
 
@@ -88,14 +88,28 @@ def x4(spark, sf_dir):
     return flat(s, ["time_point", "id"], "horizon")
 
 
+# pairs of days of FX-3: about one in a hundred is without any event, a dead series
+DAYS = 2
+
+
+def _day_pairs(spark, sf_dir):
+    n = positions(spark, sf_dir, "fx3")
+    return X.sliding_windows(X.dense_series(fx3_panel(spark, sf_dir), n), DAYS, 0, n - DAYS, DAYS)
+
+
+def _dday_pairs():
+    q = O.Sql()
+    return q, O.windows(q, O.dense(q, O.fx3_panel(q)), DAYS, 0, None, DAYS)
+
+
 def _sql_x5():
-    q, s = _dseries()
+    q, s = _dday_pairs()
     return q.render(f"SELECT time_point, id FROM {s} WHERE {O.lsum('series_norm')} <> 0")
 
 
 @register("x5_drop_dead_series", _sql_x5())
 def x5(spark, sf_dir):
-    return X.drop_dead(_series(spark, sf_dir)).select("time_point", "id")
+    return X.drop_dead(_day_pairs(spark, sf_dir)).select("time_point", "id")
 
 
 X6_N, X6_SEED = 25, 42
@@ -262,17 +276,19 @@ def f789(spark, sf_dir):
 
 
 def _sql_f10():
-    q, s = _dseries()
-    return q.render(f"""SELECT time_point, id, series_raw = series_full[1:len(series_raw)] AS raw_is_prefix,
-  series_norm[1:3] = series_norm[1:3] AND series_raw[2:12] = series_full[1:11] AS shifted_equal FROM {s}""")
+    q, s = _dday_pairs()
+    return q.render(f"""SELECT a.time_point, a.id, a.series_full[2:2] = b.series_full[1:1] AS goes_on, a.series_full[1:1] = b.series_full[1:1] AS same_start
+FROM {s} a JOIN {s} b ON b.id = a.id AND b.time_point = a.time_point + 1""")
 
 
 @register("f10_prefix_equal", _sql_f10())
 def f10(spark, sf_dir):
-    return _series(spark, sf_dir).select(
-        "time_point", "id", V.prefix_equal("series_raw", "series_full").alias("raw_is_prefix"),
-        (V.prefix_equal(F.slice("series_norm", 1, 3), "series_norm")
-         & V.prefix_equal(F.slice("series_raw", 2, 11), "series_full")).alias("shifted_equal"))
+    """Parts of a pair of days against the pair that begins a day later: its second day always, its first one now and then."""
+    s = _day_pairs(spark, sf_dir)
+    later = s.select((F.col("time_point") - 1).alias("time_point"), "id", F.col("series_full").alias("later"))
+    return s.join(later, ["time_point", "id"]).select(
+        "time_point", "id", V.prefix_equal(F.slice("series_full", 2, 1), "later").alias("goes_on"),
+        V.prefix_equal(F.slice("series_full", 1, 1), "later").alias("same_start"))
 
 
 def _sql_f1112():
@@ -365,7 +381,7 @@ def _pairs(spark, sf_dir):
 def _dpairs():
     q, s = _dseries()
     p = q.add("pairs", f"""SELECT a.time_point, a.id, a.series_norm AS x, b.series_norm AS y
-FROM {s} a JOIN {s} b ON b.id = a.id AND b.time_point = a.time_point + 1""")
+FROM {s} a JOIN {s} b ON b.id = a.id AND b.time_point = a.time_point + 1""", stored=True)
     return q, p
 
 

@@ -440,7 +440,7 @@ K3_N = 3
 
 @register("k3_first_ranked_with_series", _sql_k2(K3_N))
 def k3(spark, sf_dir):
-    r = A.first_ranked(A.rank_by_own_mean(_asg(spark, sf_dir), KEYS, L, ORACLE_CFG), K3_N)
+    r = A.first_by_own_mean(_asg(spark, sf_dir), KEYS, L, ORACLE_CFG, K3_N)
     return r.select(*KEYS, "cluster_id", "id", "rank", V.series_to_text("id", "series_norm", 6).alias("line"))
 
 

@@ -20,7 +20,7 @@ from tidewarp.plans.runs import save_result
 from tidewarp.session import session_key, staging_path
 from tidewarp.sources import sinks as W
 from tidewarp.sources import text as S
-from tidewarp.sources.tables import fx1_panel, positions
+from tidewarp.sources.tables import fx1_panel, fx3_panel, positions
 
 L = 12
 KEYS = ["time_point", "k"]
@@ -70,20 +70,52 @@ def s1(spark, sf_dir):
     return flat(S.load_time_point(spark, path, L, S1_TP), ["time_point", "id"], "series_full")
 
 
+# Lines of four days of FX-3 a user: a day without a row leaves its field out (a ragged line), but the second one writes "n/a" (a bad
+# line); four days without any row are a blank line.
+DAYS, DAYS_RAW = 4, 3
+
+
+def day_lines(spark, sf_dir) -> str:
+    key = ("days", session_key(spark), sf_dir)
+    if key not in _WRITTEN:
+        n = positions(spark, sf_dir, "fx3")
+        users = fx3_panel(spark, sf_dir).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("m"))
+        starts = users.select("id", "m", F.explode(F.sequence(F.lit(0), F.lit(n - DAYS))).alias("time_point"))
+        cells = [F.try_element_at("m", F.col("time_point") + i).cast("string") for i in range(DAYS)]
+        cells[1] = F.coalesce(cells[1], F.lit("n/a"))
+        line = F.when(F.exists(F.array(*[F.col("time_point") + i for i in range(DAYS)]), lambda p: F.map_contains_key("m", p)),
+                      F.concat_ws(",", F.col("id").cast("string"), *cells)).otherwise("")
+        path = staging_path(spark, "day-lines")
+        W.write_text_lines(starts.select("time_point", line.alias("_line")), "_line", path, "time_point")
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+def _dday_lines():
+    q = O.Sql()
+    p = O.fx3_panel(q)
+    m = q.add("m", f"SELECT id, map(list(pos), list(value)) AS m FROM {p} GROUP BY id")
+    c = q.add("cells", f"""SELECT id, CAST(t AS INTEGER) AS time_point, [m[CAST(t + i AS INTEGER)] FOR i IN range({DAYS})] AS c
+FROM {m}, (SELECT unnest(range(0, (SELECT max(pos) + 2 - {DAYS} FROM {p}))) AS t)""")
+    return q, q.add("lines", f"SELECT id, time_point, c[2] IS NULL AS bad, list_filter(c, lambda x: x IS NOT NULL) AS v FROM {c} WHERE len(list_filter(c, lambda x: x IS NOT NULL)) > 0")
+
+
 def _sql_s2():
-    q, s = _dseries()
-    return q.render(f"""SELECT time_point, id, CAST(len(series_full) AS INTEGER) AS n_full,
-  round({O.lsum('series_raw')}, 6) AS raw_sum, round({O.lsum('series_norm')}, 6) AS norm_sum FROM {s}""")
+    q, w = _dday_lines()
+    r = q.add("r", f"SELECT *, v[1:{DAYS_RAW}] AS raw FROM {w}")
+    n = q.add("n", f"SELECT *, {O.normalise('raw')} AS norm FROM {r}")
+    return q.render(f"""SELECT time_point, id, bad, CAST(len(v) + CAST(bad AS INTEGER) AS INTEGER) AS n_full,
+  CASE WHEN NOT bad THEN round({O.lsum('raw')}, 6) END AS raw_sum, CASE WHEN NOT bad THEN round({O.lsum('norm')}, 6) END AS norm_sum FROM {n}""")
 
 
 @register("s2_parse_line_to_series", _sql_s2())
 def s2(spark, sf_dir):
-    base = window_files(spark, sf_dir)
-    lines = spark.read.option("basePath", base).text(base)
-    p = S.parse_series(X.non_empty_lines(lines), L).where(~F.col("bad"))
-    return p.select(F.col("time_point").cast("int"), "id", F.size("series_full").cast("int").alias("n_full"),
-                    r6(F.aggregate("series_raw", F.lit(0.0), lambda a, x: a + x)).alias("raw_sum"),
-                    r6(F.aggregate("series_norm", F.lit(0.0), lambda a, x: a + x)).alias("norm_sum"))
+    """Full, ragged and bad lines, blank ones left out."""
+    base = day_lines(spark, sf_dir)
+    p = S.parse_series(X.non_empty_lines(spark.read.option("basePath", base).text(base)), DAYS_RAW)
+    total = lambda c: F.when(~F.col("bad"), r6(F.aggregate(c, F.lit(0.0), lambda a, x: a + x)))
+    return p.select(F.col("time_point").cast("int"), "id", "bad", F.size("series_full").cast("int").alias("n_full"),
+                    total("series_raw").alias("raw_sum"), total("series_norm").alias("norm_sum"))
 
 
 def _sql_s3():
@@ -116,14 +148,22 @@ def s4(spark, sf_dir):
 
 
 def _sql_x7():
-    q, s = _dseries()
-    return q.render(f"SELECT time_point, CAST(count(*) AS BIGINT) AS n_lines FROM {s} GROUP BY time_point")
+    q = O.Sql()
+    p = O.fx3_panel(q)
+    return q.render(f"SELECT pos AS time_point, CAST(count(*) AS BIGINT) AS n_lines FROM {p} GROUP BY pos")
 
 
 @register("x7_non_empty_lines", _sql_x7())
 def x7(spark, sf_dir):
-    base = window_files(spark, sf_dir)
-    lines = X.non_empty_lines(spark.read.option("basePath", base).text(base))
+    """A line a user and day of FX-3, blank on the days without a row."""
+    n = positions(spark, sf_dir, "fx3")
+    users = fx3_panel(spark, sf_dir).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("pos", "value"))).alias("m"))
+    days = users.select("id", "m", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("time_point"))
+    value = F.try_element_at("m", F.col("time_point"))
+    line = F.when(value.isNull(), "").otherwise(F.concat_ws(",", F.col("id").cast("string"), value.cast("string")))
+    path = staging_path(spark, "one-day-lines")
+    W.write_text_lines(days.select("time_point", line.alias("_line")), "_line", path, "time_point")
+    lines = X.non_empty_lines(spark.read.option("basePath", path).text(path))
     return lines.groupBy(F.col("time_point").cast("int").alias("time_point")).agg(
         F.count(F.lit(1)).cast("bigint").alias("n_lines"))
 

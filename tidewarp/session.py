@@ -75,6 +75,13 @@ def cut_lineage(df: DataFrame, reliable: bool = False) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` under the shared checkpoint folder and read it back: what follows starts from files every executor can reach."""
+    path = staging_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

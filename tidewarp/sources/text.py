@@ -9,11 +9,13 @@ file names via ``_metadata.file_path``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewarp.functions.vec import minmax_normalise
 from tidewarp.operators.reshape import non_empty_lines
+from tidewarp.session import staged
 
 
 def _fields(col: str = "value"):
@@ -82,22 +84,61 @@ def load_time_point_range(spark: SparkSession, base: str, tp_from: int, tp_to: i
                                          "series_norm")
 
 
+WIDE_CELLS = "file string, block long, row long, col long, value string"
+
+
+def _wide_cells(batches):
+    """Fields of a wide matrix in the order of its bytes -> WIDE_CELLS: ``row`` counts the line starts seen in the block, ``col`` the fields
+    since the last one, or since the block's start. Blank lines, which are one blank field, are no line.
+
+    A record ends at a comma, so a line break is inside one: what precedes it is the last field of a line, what follows it begins the next.
+    A blank first line is left out here; the blank after a file's last line break is one field, left out by the caller."""
+    file = block = None
+    rows = cols = 0
+    for b in batches:
+        out = []
+        for f, at, value in zip(*(c.to_pylist() for c in b.columns)):
+            if (f, at) != (file, block):
+                file, block, rows, cols = f, at, 0, 0
+            parts = [p.strip() for p in value.split("\n")]
+            first, ends = at == 0 and rows == 0, len(parts) - 1
+            for i, p in enumerate(parts):
+                if not p and (0 < i < ends or (i == 0 and first and ends)):
+                    continue
+                if i > 0 or (first and rows == 0):
+                    rows, cols = rows + 1, 0
+                out.append((file, block, rows, cols, p))
+                cols += 1
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()))],
+                                         ["file", "block", "row", "col", "value"])
+
+
 def read_wide_matrix(spark: SparkSession, path: str) -> DataFrame:
     """S5 (+X1, X11): a headerless matrix, rows = time positions, columns =
     entities, to the long panel ``(id, pos, value)``; ids are the 1-based
-    column positions.
+    column positions, positions follow the files in the order of their paths.
 
-    The row order is the file order: ``monotonically_increasing_id`` is
-    increasing along a file; the positions are ranked over the few row keys
-    (one per time position). Note the format itself puts every entity of a
-    position on one line; prefer the long panel for large inputs.
+    The comma is the record separator, so a file is split by bytes like any text and a line may lie in many tasks. A task numbers the
+    fields of its byte ranges; what lines and fields precede a range is added up over the ranges (a row each) and joined back.
     """
-    lines = non_empty_lines(spark.read.text(path)).withColumn("_rk", F.monotonically_increasing_id())
-    keys = sorted(r[0] for r in lines.select("_rk").collect())
-    pos_of = spark.createDataFrame([(k, i) for i, k in enumerate(keys)], "_rk long, pos int")
-    cells = lines.join(F.broadcast(pos_of), "_rk").select("pos", F.posexplode(F.split("value", ",")).alias("col", "v"))
-    return cells.select((F.col("col") + 1).cast("bigint").alias("id"), "pos",
-                        F.trim("v").try_cast("double").alias("value"))
+    meta = F.col("_metadata")
+    fields = spark.read.option("lineSep", ",").text(path).select(meta["file_path"].alias("file"), meta["file_block_start"].alias("block"), "value")
+    cells = staged(fields.mapInArrow(_wide_cells, WIDE_CELLS), "wide-cells")
+    order = Window.orderBy("file", "block")  # one row a byte range
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = cells.groupBy("file", "block").agg(F.max(F.struct("row", "col", "value")).alias("last"))
+    # the blank after the last line break of a file
+    ends = ~F.coalesce(F.lead("file").over(order) == F.col("file"), F.lit(False)) & (F.col("last.value") == "") & (F.col("last.col") == 0)
+    ranges = ranges.withColumn("blank", F.when(ends, F.col("last.row")))
+    ranges = ranges.withColumn("rows", F.coalesce(F.sum(F.col("last.row") - F.col("blank").isNotNull().cast("long")).over(before), F.lit(0)))
+    # fields since the last line start before a range: all of the ranges since the one that holds it, from that start on
+    ranges = ranges.withColumn("seen", F.sum(F.col("last.col") + 1).over(order))
+    mark = F.when(F.col("last.row") > 0, F.col("seen") - F.col("last.col") - 1)
+    ranges = ranges.withColumn("cols", F.coalesce(F.lag("seen").over(order) - F.last(mark, ignorenulls=True).over(before), F.lit(0)))
+    base = staged(ranges.select(F.col("file").alias("_f"), F.col("block").alias("_b"), "rows", "cols", "blank"), "wide-ranges")
+    own = cells.join(base, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b"))).where("not (blank <=> row and col = 0)")
+    col = F.col("col") + F.when(F.col("row") == 0, F.col("cols")).otherwise(0)
+    return own.select((col + 1).cast("bigint").alias("id"), (F.col("rows") + F.col("row") - 1).cast("int").alias("pos"), F.col("value").try_cast("double").alias("value"))
 
 
 def read_clustering_results(spark: SparkSession, base: str) -> DataFrame:
