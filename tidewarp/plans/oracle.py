@@ -22,6 +22,7 @@ class Sql:
     def __init__(self):
         self.ctes: list[tuple[str, str]] = []
         self.stored: set[str] = set()
+        self.recursive = False
 
     def add(self, name: str, body: str, stored: bool = False) -> str:
         """Append a CTE; ``stored`` ones are computed once and kept, so that no expression of theirs is repeated."""
@@ -34,7 +35,7 @@ class Sql:
         if not self.ctes:
             return final
         parts = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in self.stored else ''}(\n{b}\n)" for n, b in self.ctes)
-        return f"WITH {parts}\n{final}"
+        return f"WITH {'RECURSIVE ' if self.recursive else ''}{parts}\n{final}"
 
 
 # --------------------------------------------------------------------------
@@ -228,3 +229,50 @@ def silhouette_row(dists: str = "dists", cluster: str = "cluster_id") -> str:
     b = f"list_min(list_filter({dists}, lambda d, i: i - 1 <> {cluster}))"
     return (f"(CASE WHEN len({dists}) < 2 THEN NULL WHEN greatest({a}, {b}) = 0 THEN 0.0 "
             f"ELSE ({b} - {a}) / greatest({a}, {b}) END)")
+
+
+# --------------------------------------------------------------------------
+# PCA by cyclic Jacobi rotations
+# --------------------------------------------------------------------------
+
+JACOBI_SWEEPS = 10
+
+
+def pca(q: Sql, series: str, length: int, k: int, name: str = "pca") -> str:
+    """(time_point, component, pc, explained) of the ``k`` first components of each time point's ``series_norm``, sign-fixed as
+    ``quality.pca_by_group`` does. The eigenvectors of the covariance come from cyclic Jacobi rotations, one per step of a recursion."""
+    n = length * length
+    pairs = [(i, j) for i in range(length) for j in range(i + 1, length)]
+    cov = q.add(name + "_cov", f"""SELECT time_point, [{", ".join(f"covar_samp(series_norm[{i + 1}], series_norm[{j + 1}])" for i in range(length) for j in range(length))}] AS a
+FROM {series} GROUP BY time_point""", stored=True)
+    column = lambda m: (f"list_transform(range(0, {n}), lambda i: CASE WHEN i % {length} = p THEN c * {m}[i + 1] - s * {m}[i + q - p + 1] "
+                        f"WHEN i % {length} = q THEN s * {m}[i - q + p + 1] + c * {m}[i + 1] ELSE {m}[i + 1] END)")
+    row = (f"list_transform(range(0, {n}), lambda i: CASE WHEN i // {length} = p THEN c * b[i + 1] - s * b[i + (q - p) * {length} + 1] "
+           f"WHEN i // {length} = q THEN s * b[i - (q - p) * {length} + 1] + c * b[i + 1] ELSE b[i + 1] END)")
+    eye = [1.0 if i == j else 0.0 for i in range(length) for j in range(length)]
+    q.recursive = True
+    rotated = q.add(name + "_jacobi", f"""SELECT time_point, 0 AS step, a, {eye}::DOUBLE[] AS v FROM {cov}
+UNION ALL
+SELECT time_point, step + 1, {row}, {column("v")} FROM (SELECT *, {column("a")} AS b FROM (SELECT *, 1 / sqrt(t * t + 1) AS c, t / sqrt(t * t + 1) AS s FROM (
+  SELECT *, CASE WHEN a[p * {length} + q + 1] = 0 THEN 0.0 ELSE (CASE WHEN th >= 0 THEN 1 ELSE -1 END) / (abs(th) + sqrt(th * th + 1)) END AS t FROM (
+  SELECT *, (a[q * {length} + q + 1] - a[p * {length} + p + 1]) / (2 * a[p * {length} + q + 1]) AS th FROM (
+  SELECT *, {[i for i, _ in pairs]}[step % {len(pairs)} + 1] AS p, {[j for _, j in pairs]}[step % {len(pairs)} + 1] AS q
+  FROM {name}_jacobi WHERE step < {JACOBI_SWEEPS * len(pairs)})))))""")
+    vectors = q.add(name + "_vectors", f"""SELECT time_point, greatest(a[j * {length} + j + 1], 0.0) AS e, [v[i * {length} + j + 1] FOR i IN range({length})] AS x
+FROM (SELECT *, unnest(range(0, {length})) AS j FROM {rotated} WHERE step = {JACOBI_SWEEPS * len(pairs)})""")
+    ranked = q.add(name + "_ranked", f"""SELECT time_point, CAST(row_number() OVER (PARTITION BY time_point ORDER BY e DESC) - 1 AS INTEGER) AS component,
+  e / sum(e) OVER (PARTITION BY time_point) AS explained,
+  CASE WHEN x[list_position(list_transform(x, lambda y: abs(y)), list_max(list_transform(x, lambda y: abs(y))))] < 0 THEN list_transform(x, lambda y: -y) ELSE x END AS pc
+FROM {vectors}""", stored=True)
+    return q.add(name, f"SELECT * FROM {ranked} WHERE component < {k}")
+
+
+def dot(x: str, y: str) -> str:
+    return f"list_reduce(list_transform(list_zip({x}, {y}), lambda t: t[1] * t[2]), lambda s, v: s + v, 0.0::DOUBLE)"
+
+
+def projected(q: Sql, rows: str, components: str, columns: str, k: int, name: str = "projected") -> str:
+    """``columns`` of ``rows`` (time_point, series_norm, ...) and pc1.. of the ``k`` components of the row's time point."""
+    wide = q.add(name + "_wide", f"SELECT time_point, {', '.join(f'any_value(pc) FILTER (WHERE component = {i}) AS w{i}' for i in range(k))} FROM {components} GROUP BY time_point")
+    return q.add(name, f"""SELECT {columns}, {', '.join(f"round({dot('r.series_norm', f'w.w{i}')}, 6) AS pc{i + 1}" for i in range(k))}
+FROM {rows} r JOIN {wide} w ON w.time_point = r.time_point""")

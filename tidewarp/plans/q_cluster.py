@@ -472,26 +472,56 @@ def pca_projection(spark, sf_dir) -> DataFrame:
     return j.select("time_point", "id", F.col("pca")[0].alias("pc1"), F.col("pca")[1].alias("pc2"))
 
 
-@register("p1_pca_transform")
+def _sql_pca(columns: str = "r.time_point, r.id", k: int = 2):
+    q = O.Sql()
+    s = O.fixture_series(q, "fx1")
+    return q.render(f"SELECT * FROM {O.projected(q, s, O.pca(q, s, L, 3), columns, k)}")
+
+
+@register("p1_pca_transform", _sql_pca())
 def p1(spark, sf_dir):
-    return pca_projection(spark, sf_dir)
+    return pca_projection(spark, sf_dir).select("time_point", "id", r6(F.col("pc1")).alias("pc1"), r6(F.col("pc2")).alias("pc2"))
 
 
-@register("p2_pca_fit_components")
+def _sql_p2():
+    q = O.Sql()
+    c = O.pca(q, O.fixture_series(q, "fx1"), L, 3)
+    return q.render(f"""SELECT time_point, component, CAST(unnest(range({L})) AS INTEGER) AS pos, round(unnest(pc), 6) AS loading, round(explained, 6) AS explained FROM {c}""")
+
+
+@register("p2_pca_fit_components", _sql_p2())
 def p2(spark, sf_dir):
     fits = pca_per_time_point(spark, sf_dir)
     rows = [(int(tp), int(c), int(p), float(pc[p, c]), float(ev[c]))
             for tp, (pc, ev) in fits.items() for c in range(pc.shape[1]) for p in range(pc.shape[0])]
-    return spark.createDataFrame(rows, "time_point int, component int, pos int, loading double, explained double")
+    df = spark.createDataFrame(rows, "time_point int, component int, pos int, loading double, explained double")
+    return df.withColumn("loading", r6(F.col("loading"))).withColumn("explained", r6(F.col("explained")))
+
+
+MEMBER_SQL = "array_to_string(list_transform(r.series_norm, lambda v: printf('%.6f', v)), ',') AS member"
+
+
+def member_text(col):
+    return F.array_join(F.transform(col, lambda v: F.format_string("%.6f", v)), ",")
+
+
+def _sql_samples(prefix: str = ""):
+    q, s, c, a = _oracle_fit()
+    d = q.add("dd", f"""SELECT time_point, k, cluster_id, series_norm, min(dist) AS dist, min(id) AS id
+FROM {a} GROUP BY time_point, k, cluster_id, series_norm""")
+    r = q.add("samples", f"""SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY time_point, k, cluster_id ORDER BY dist, id) AS INTEGER) AS rank
+FROM {d}) WHERE rank <= {K1_N}""")
+    columns = f"{prefix}r.time_point, r.k, r.cluster_id, {'' if prefix else 'r.rank, '}round(r.dist, 6) AS dist, {MEMBER_SQL}"
+    return q.render(f"SELECT * FROM {O.projected(q, r, O.pca(q, s, L, 3), columns, 3)}")
 
 
-@register("p3_w7_project_samples")
+@register("p3_w7_project_samples", _sql_samples())
 def p3(spark, sf_dir):
-    """K1 samples projected on 2 and 3 components of their time point."""
+    """K1 samples projected on the components of their time point."""
     samples = A.nearest_samples(_asg(spark, sf_dir), KEYS, K1_N)
     j = Q.project_by_group(samples, pca_per_time_point(spark, sf_dir), "time_point", L, 3)
-    return j.select(*KEYS, "cluster_id", "rank", "dist", F.col("series_norm").alias("member"),
-                    F.slice("pca", 1, 2).alias("p2"), F.col("pca").alias("p3"))
+    return j.select(*KEYS, "cluster_id", F.col("rank").cast("int"), r6(F.col("dist")).alias("dist"), member_text("series_norm").alias("member"),
+                    *[r6(F.col("pca")[i]).alias(f"pc{i + 1}") for i in range(3)])
 
 
 # ---------------------------------------------------------------- D4, X8, SQL surface

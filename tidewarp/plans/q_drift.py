@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewarp.operators import drift as J
+from tidewarp.plans import oracle as O
 from tidewarp.plans.catalog import _oracle_fit, fx1_fit, r6, register
 from tidewarp.plans.q_cluster import pca_projection
 from tidewarp.session import read_table
@@ -174,7 +175,14 @@ def j4(spark, sf_dir):
     return J.co_membership_counts(_asg(spark, sf_dir), KEYS)
 
 
-@register("j2_attach_pca")
+def _sql_j2():
+    q, s, c, a = _oracle_fit()
+    rows = q.add("rows", f"SELECT time_point, k, id, cluster_id, series_norm FROM {a}")
+    return q.render(f"SELECT * FROM {O.projected(q, rows, O.pca(q, s, 12, 3), 'r.time_point, r.k, r.id, r.cluster_id', 2)}")
+
+
+@register("j2_attach_pca", _sql_j2())
 def j2(spark, sf_dir):
     a = fx1_fit(spark, sf_dir)[1].assignments.select("time_point", "k", "id", "cluster_id")
-    return J.attach_pca(a, pca_projection(spark, sf_dir), ["time_point"])
+    out = J.attach_pca(a, pca_projection(spark, sf_dir), ["time_point"])
+    return out.withColumn("pc1", r6(F.col("pc1"))).withColumn("pc2", r6(F.col("pc2")))

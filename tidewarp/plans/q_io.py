@@ -14,7 +14,7 @@ from tidewarp.operators import quality as Q
 from tidewarp.plans import oracle as O
 from tidewarp.plans.catalog import ORACLE_CFG, _oracle_fit, fx1_fit, r6, register
 from tidewarp.plans.q_basic import X6_N, X6_SEED, dflat, flat
-from tidewarp.plans.q_cluster import K1_N, pca_projection
+from tidewarp.plans.q_cluster import K1_N, _sql_pca, _sql_samples, member_text, pca_projection
 from tidewarp.plans.q_drift import _migration_sql
 from tidewarp.plans.runs import save_result
 from tidewarp.session import session_key, staging_path
@@ -196,9 +196,10 @@ def s6(spark, sf_dir):
                     r6(F.aggregate("series_norm", F.lit(0.0), lambda a, x: a + x)).alias("norm_sum"))
 
 
-@register("s8_w11_read_pca_results")
+@register("s8_w11_read_pca_results", _sql_pca())
 def s8(spark, sf_dir):
-    return S.read_pca_results(spark, _results_dir(spark, sf_dir))
+    back = S.read_pca_results(spark, _results_dir(spark, sf_dir))
+    return back.withColumn("pc1", r6(F.col("pc1"))).withColumn("pc2", r6(F.col("pc2")))
 
 
 # ---------------------------------------------------------------- entity sinks
@@ -284,10 +285,12 @@ def w6(spark, sf_dir):
     return t.select(*RUN_COLS, "time_point", "k", "cluster_id", r6(F.col("mean_distance")).alias("mean_distance"))
 
 
-@register("w7_cluster_samples")
+@register("w7_cluster_samples", _sql_samples("'random' AS run_kind, 'random' AS new_mean_method, 12 AS balance_length, "))
 def w7(spark, sf_dir):
-    t = _read(spark, sf_dir, "cluster_samples")
-    return t.select(*RUN_COLS, "time_point", "k", "cluster_id", r6(F.col("dist")).alias("dist"), "member", "p2", "p3")
+    """The saved samples; the first two coordinates are those of both projections."""
+    t = _read(spark, sf_dir, "cluster_samples").where("p2 = slice(p3, 1, 2)")
+    return t.select(*RUN_COLS, "time_point", "k", "cluster_id", r6(F.col("dist")).alias("dist"), member_text("member").alias("member"),
+                    *[r6(F.col("p3")[i]).alias(f"pc{i + 1}") for i in range(3)])
 
 
 @register("w8_cluster_member_count", _run_sql(
