@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +43,7 @@ MOST_HOT = 1 << 20  # hot values held by a task (8 MB); HOT doubles until they f
 STORED = 128  # values stored of any set, so short documents are stored whole
 SKETCH = 64  # values of the sketch that estimates; their upper 32 bits keep the order
 BROADCAST_ROWS = 1 << 20
+MANY = 1000  # a set of more than a MANY-th of all rows is not joined by its signature
 FILTER_BITS = 1 << 27  # of the filter of values that may be on several lists (16 MB); a fuller one lets more postings through
 BITMAP_BITS = 32768  # of the bitmaps of bitmap_construct_agg
 
@@ -57,38 +59,43 @@ def _signature(values: np.ndarray) -> bytes:
     return np.array([a.sum(dtype=np.uint64), mix(b).sum(dtype=np.uint64)], np.uint64).tobytes()
 
 
-def sketches(docs: DataFrame, words: int, num: int, den: int, low: bool = False) -> DataFrame:
-    """(doc_id, n, sig): size and signature of each document's set; with ``low`` also its smallest values in order. A
-    column ``key`` of ``docs`` comes along."""
-    keyed = "key" in docs.columns and not low
+def sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """(doc_id, n, sig, low): size, signature and smallest values, in order, of each document's set. A column ``key`` of ``docs``
+    comes along."""
+    key = ["key"] * ("key" in docs.columns)
+
     def run(batches):
         for b in batches:
             n, sig, least = [], [], []
             for s in shingle_sets(b.column(1), words):
                 n.append(len(s))
                 sig.append(_signature(s) if len(s) else None)
-                if low:
-                    least.append(s[:max(STORED, 2 * posted(len(s), num, den))].tobytes())
-            cols = [b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary())]
-            cols += [pa.array(least, pa.binary())] if low else [b.column(2)] if keyed else []
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "n", "sig", *["low"] * low, *["key"] * keyed])
-
-    return docs.select("doc_id", "text", *["key"] * keyed).mapInArrow(run, "doc_id long, n long, sig binary" + ", low binary" * low + ", key binary" * keyed)
-
-
-def representatives(docs: DataFrame, rows: DataFrame, by_set: DataFrame, words: int, num: int, den: int) -> DataFrame:
-    """(cls, n, low) of one document of each class; staged. Copies are left out by their ids, as few rows as there are
-    copies, so the lists of values need not be shuffled."""
-    named = rows.where("n > 0").join(by_set.select("sig", "cls", "low_id"), "sig")
-    copies = stage(named.where("row <> cls and not (doc_id <=> low_id)").select("doc_id", "sig").distinct(), "near-copies")
-    repeated = not named.where("row <> cls and doc_id <=> low_id").limit(1).isEmpty()
-    lists = sketches(docs, words, num, den, low=True).where("n > 0")
-    left = F.broadcast(copies) if copies.count() <= BROADCAST_ROWS else copies
-    alone = lists.join(left.select(F.col("doc_id").alias("_id"), F.col("sig").alias("_sig")),
-                       F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("sig") == F.col("_sig")), "left_anti").select("n", "sig", "low")
-    if repeated:
-        alone = alone.dropDuplicates(["sig"])
-    return stage(alone.withColumn("cls", F.xxhash64("sig")).select("cls", "n", "low"), "near-reps")
+                least.append(s[:max(STORED, 2 * posted(len(s), num, den))].tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(least, pa.binary()), *b.columns[2:]],
+                                             ["doc_id", "n", "sig", "low", *key])
+
+    return docs.select("doc_id", "text", *key).mapInArrow(run, "doc_id long, n long, sig binary, low binary" + ", key binary" * len(key))
+
+
+def _by_signature(rows: DataFrame, by_set: DataFrame, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``by_set`` (sig, copies, ...) on sig. A set that more than one row in MANY has is sent to the tasks, so a large
+    group of copies loads no task; at most MANY sets are so. The others are joined."""
+    many = F.col("copies") * MANY > total
+    hot = stage(by_set.where(many).drop("copies"), "near-hot-sets")
+    out = rows.join(F.broadcast(hot), "sig")
+    rest = rows.join(F.broadcast(hot.select("sig")), "sig", "left_anti")
+    return out.unionByName(rest.join(by_set.where(~many).drop("copies"), "sig", how))
+
+
+def representatives(rows: DataFrame, by_set: DataFrame, total: int) -> DataFrame:
+    """(cls, n, low) of one row of each class. Copies are left out by their row numbers, as few rows as there are
+    copies: sent to the tasks up to BROADCAST_ROWS, so that the lists of values neither shuffle nor are written again."""
+    named = _by_signature(rows.where("n > 0").select("row", "sig"), by_set.select("sig", "copies", "cls"), total)
+    copies = stage(named.where("row <> cls").select("row"), "near-copies")
+    few = copies.count() <= BROADCAST_ROWS
+    alone = rows.where("n > 0").select("row", "n", "sig", "low").join(F.broadcast(copies) if few else copies, "row", "left_anti")
+    alone = alone.select(F.xxhash64("sig").alias("cls"), "n", "low")
+    return alone if few else stage(alone, "near-reps")
 
 
 def _filter(values: DataFrame) -> np.ndarray:
@@ -101,65 +108,91 @@ def _filter(values: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
-def _order(low: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cold values, hot values) of a stored list."""
-    is_hot = _among(low, hot)
-    return low[~is_hot], low[is_hot]
-
-
-def _choose(low: np.ndarray, n: int, need: int, hot: np.ndarray) -> np.ndarray:
-    """The first ``need`` values in the order of cold before hot. The list must hold as many cold values or the whole set."""
-    cold, warm = _order(low, hot)
-    return cold[:need] if len(cold) >= need else np.concatenate([cold, warm[:need - len(cold)]])
-
-
-def _short(low: np.ndarray, n: int, need: int, hot: np.ndarray) -> bool:
-    """Whether a stored list ends before the values to post."""
-    return len(low) < n and len(_order(low, hot)[0]) < need
+class _Lists:
+    """The stored lists of a run of classes as one array, and what they post under sets of hot values."""
+
+    def __init__(self, cls, n, low: pa.Array, num: int, den: int):
+        self.cls, self.n = cls, n
+        ends = np.frombuffer(low.buffers()[1], np.int32, len(low) + 1, low.offset * 4).astype(np.int64)
+        self.values = np.frombuffer(low.buffers()[2], np.uint8, int(ends[-1] - ends[0]), int(ends[0])).view(np.uint64) if ends[-1] > ends[0] else np.empty(0, np.uint64)
+        self.size = np.diff(ends) // 8
+        self.first = np.cumsum(self.size) - self.size
+        self.row = np.repeat(np.arange(len(n)), self.size)
+        self.need = posted(n, num, den)
+
+    def _nth(self, mask: np.ndarray) -> np.ndarray:
+        """For each value how many before it in its list are in ``mask``."""
+        before = np.concatenate([[0], np.cumsum(mask)])
+        return before[:-1] - before[self.first][self.row]
+
+    def count(self, mask: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, mask, len(self.n)).astype(np.int64)
+
+    def choose(self, hot: np.ndarray):
+        """(posted, place in the order, cold) of each value: a list posts its first ``need`` values, cold before hot. It must hold as many
+        cold values, or the whole set."""
+        warm = _among(self.values, hot)
+        cold = self.count(~warm)
+        place = np.where(warm, cold[self.row] + self._nth(warm), self._nth(~warm))
+        return place < self.need[self.row], place, ~warm
+
+    def short(self, hot: np.ndarray) -> np.ndarray:
+        """Whether a stored list ends before the values to post."""
+        return (self.size < self.n) & (self.count(~_among(self.values, hot)) < self.need)
+
+
+def _runs(batches, num: int, den: int, fresh: np.ndarray | None = None):
+    """_Lists of some 2 million values at a time of batches (cls, n, low); with ``fresh``, of the lists that hold one of these values alone."""
+    for b in batches:
+        ends = np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < b.num_rows:
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 24), "right")))
+            part = b.slice(at, to - at)
+            lists = _Lists(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2), num, den)
+            if fresh is not None:
+                own = lists.count(_among(lists.values, fresh)) > 0
+                part = part.filter(pa.array(own))
+                lists = _Lists(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2), num, den) if len(part) else None
+            if lists is not None:
+                yield lists
+            at = to
 
 
 def _postings(classes: DataFrame, hot: np.ndarray, num: int, den: int, before: np.ndarray | None = None, only: np.ndarray | None = None) -> DataFrame:
     """(v, cls, n, rank). With ``before``, the hot values so far: only the cold values of sets that post otherwise than under
-    those, all of them for a whole set. With ``only``, a filter: only values that pass it."""
-    sent = classes.sparkSession.sparkContext.broadcast((hot, before, only))
+    those, all of them for a whole set; a list without a new hot value posts as before. With ``only``, a filter: only values that pass it."""
+    fresh = None if before is None else np.setdiff1d(hot, before, assume_unique=True)
+    sent = classes.sparkSession.sparkContext.broadcast((hot, before, only, fresh))
 
     def run(batches):
-        hot, before, only = sent.value
-        for b in batches:
-            values, ranks, count = [], [], []
-            for n, low in zip(b.column(1).to_pylist(), b.column(2)):
-                low = np.frombuffer(low.as_py(), np.uint64)
-                need = posted(n, num, den)
-                v = _choose(low, n, need, hot)
-                if before is not None:
-                    old = _choose(low, n, need, before)
-                    if len(old) == len(v) and (old == v).all():
-                        v = v[:0]
-                    else:
-                        v = np.setdiff1d(_order(low, hot)[0] if len(low) == n else v[~_among(v, hot)], old, assume_unique=True)
-                r = np.arange(len(v))
-                if only is not None:
-                    keep = (only[(v & np.uint64(len(only) * 8 - 1)) >> np.uint64(3)] >> (v & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                    v, r = v[keep], r[keep]
-                values.append(v)
-                ranks.append(r)
-                count.append(len(v))
-            if values:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(values).view(np.int64)), pa.array(np.repeat(b.column(0).to_numpy(), count)),
-                     pa.array(np.repeat(b.column(1).to_numpy(), count)), pa.array(np.concatenate(ranks), pa.int64())], ["v", "cls", "n", "rank"])
+        hot, before, only, fresh = sent.value
+        for lists in _runs(batches, num, den, fresh):
+            take, place, cold = lists.choose(hot)
+            if before is not None:
+                old, old_place, _ = lists.choose(before)
+                changed = lists.count((take != old) | (take & (place != old_place))) > 0
+                whole = (lists.size == lists.n)[lists.row]
+                take = changed[lists.row] & cold & ~old & (whole | take)
+            if only is not None:
+                v = lists.values
+                take = take & ((only[(v & np.uint64(len(only) * 8 - 1)) >> np.uint64(3)] >> (v & np.uint64(7)).astype(np.uint8)) & 1 > 0)
+            at = np.flatnonzero(take)
+            row = lists.row[at]
+            yield pa.RecordBatch.from_arrays([pa.array(lists.values[at].view(np.int64)), pa.array(lists.cls[row]), pa.array(lists.n[row]), pa.array(place[at], pa.int64())],
+                                             ["v", "cls", "n", "rank"])
 
     return classes.select("cls", "n", "low").mapInArrow(run, "v long, cls long, n long, rank long")
 
 
-def _short_classes(classes: DataFrame, hot: np.ndarray, num: int, den: int) -> DataFrame:
-    """(cls) of the classes whose stored list is too short."""
-    sent = classes.sparkSession.sparkContext.broadcast(hot)
+def _short_classes(classes: DataFrame, hot: np.ndarray, before: np.ndarray, num: int, den: int) -> DataFrame:
+    """(cls) of the classes whose stored list is too short under ``hot``; under ``before`` none was."""
+    sent = classes.sparkSession.sparkContext.broadcast((hot, np.setdiff1d(hot, before, assume_unique=True)))
 
     def run(batches):
-        for b in batches:
-            keep = [_short(np.frombuffer(low.as_py(), np.uint64), n, posted(n, num, den), sent.value) for n, low in zip(b.column(1).to_pylist(), b.column(2))]
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(keep, pa.bool_()))], ["cls"])
+        hot, fresh = sent.value
+        for lists in _runs(batches, num, den, fresh):
+            yield pa.RecordBatch.from_arrays([pa.array(lists.cls[lists.short(hot)])], ["cls"])
 
     return classes.select("cls", "n", "low").mapInArrow(run, "cls long")
 
@@ -254,17 +287,52 @@ def _links(pairs: DataFrame, facts: DataFrame, full_sets, num: int, den: int) ->
     return stage(_both_sides(likely, sets, "set").mapInArrow(verify, "a long, b long"), "near-links")
 
 
+def _named(links: DataFrame, labels: DataFrame) -> DataFrame:
+    """``links`` (a, b) with the components ``a_comp`` and ``b_comp`` of their ends; a class without a label is its own."""
+    for c in "ab":
+        name = labels.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_comp"))
+        links = links.join(name, c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
+    return links
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs whose ends are not in one component."""
+    return _named(pairs, labels).where("a_comp <> b_comp").select("a", "b")
+
+
+def _with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``labels`` (cls, comp) joined by further ``links``; staged."""
+    if links.isEmpty():
+        return labels
+    named = stage(_named(links, labels), "near-named-links")
+    to = components(named.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))).select(F.col("cls").alias("comp"), F.col("comp").alias("end"))
+    ends = named.select(F.explode(F.array(*[F.struct(F.col(c).alias("cls"), F.col(f"{c}_comp").alias("comp")) for c in "ab"])).alias("e")).select("e.cls", "e.comp").distinct()
+    every = labels.unionByName(ends.join(labels.select("cls"), "cls", "left_anti"))
+    return stage(every.join(to, "comp", "left").select("cls", F.coalesce("end", "comp").alias("comp")), "near-labels")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(cls, comp): the smallest class reachable over ``links`` (a, b), for the classes that have links; staged."""
-    edges = stage(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-edges")
-    labels = stage(edges.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("m")).select("cls", F.least("cls", "m").alias("comp")), "cc-labels")
-    while True:
-        heard = (edges.join(labels, F.col("b") == F.col("cls")).groupBy(F.col("a").alias("cls")).agg(F.min("comp").alias("heard")))
-        told = stage(labels.join(heard, "cls").select("cls", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp")), "cc-told")
-        jump = told.select(F.col("cls").alias("comp"), F.col("comp").alias("next"))
-        labels = stage(told.join(jump, "comp").select("cls", "old", F.col("next").alias("comp")), "cc-labels")
-        if labels.where("old <> comp").isEmpty():
-            return labels.select("cls", "comp")
+    """(cls, comp): the smallest class reachable over ``links`` (a, b), for the classes that have links; staged.
+
+    Every node goes to its smallest neighbour or stays, chains are shortened to their ends by doubling, and the links between the ends
+    make the next, smaller round; the stars that most links form are done in one."""
+    edges = stage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "cc-edges")
+    labels = None
+    while labels is None or not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = stage(both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("m")).select("cls", F.least("cls", "m").alias("comp")), "cc-ends")
+        while True:
+            jump = ends.select(F.col("cls").alias("comp"), F.col("comp").alias("next"))
+            told = stage(ends.join(jump, "comp").select("cls", "comp", "next"), "cc-told")
+            ends = told.select("cls", F.col("next").alias("comp"))
+            if told.where("comp <> next").isEmpty():
+                break
+        to = ends.select(F.col("cls").alias("comp"), F.col("comp").alias("end"))
+        labels = ends if labels is None else stage(labels.join(to, "comp", "left").select("cls", F.coalesce("end", "comp").alias("comp")), "cc-labels")
+        x, y = (ends.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_end")) for c in "ab")
+        moved = edges.join(x, "a").join(y, "b").where("a_end <> b_end")
+        edges = stage(moved.select(F.least("a_end", "b_end").alias("a"), F.greatest("a_end", "b_end").alias("b")).distinct(), "cc-edges")
+    return labels
 
 
 def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -275,10 +343,11 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
     prepare(spark)
     num, den = similarity
     rows = stage(sketches(docs, words, num, den).withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    total = rows.count()
     # equal sets are one class
-    by_set = stage(rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low_id")), "near-classes")
-    classes = representatives(docs, rows, by_set, words, num, den)
-    by_set = by_set.select("sig", F.xxhash64("sig").alias("cls"), "low_id")
+    by_set = stage(rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("copies")), "near-classes")
+    classes = representatives(rows, by_set, total)
+    by_set = by_set.select("sig", F.xxhash64("sig").alias("cls"), "low_id", "copies")
 
     def full_sets(ids: DataFrame) -> DataFrame:
         """(cls, set) of the classes in ``ids``, from the whole text of one document each."""
@@ -305,7 +374,7 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
     shared_values, grown, whole = lists.select("v"), _hot_values(lists, hot), None
     stored = classes
     while len(grown) > len(hot):
-        short = stage(_short_classes(stored, grown, num, den), "near-short")
+        short = stage(_short_classes(stored, grown, hot, num, den), "near-short")
         if not short.isEmpty():
             sets = full_sets(short).select("cls", (F.octet_length("set") / 8).cast("long").alias("n"), F.col("set").alias("low"))
             whole = sets if whole is None else whole.unionByName(sets)
@@ -325,10 +394,16 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
     # the values from the posted one on must make up the similarity of two members
     could = lambda x, y: F.least(F.col(f"n{x}") - F.col(f"rank{x}"), F.col(f"n{y}") - F.col(f"rank{y}")) * (num + den) >= (F.col(f"n{x}") + F.col(f"n{y}")) * num
 
-    # every list links its members to its centre
-    pairs = stage(shared.where("cls <> a").where(could("_a", "")).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct(), "near-pairs")
-    links = _links(pairs, facts, full_sets, num, den)
-    labels = components(links)
+    # every list links its members to its centre: each class first to the centre it shares most values with, then, where the two
+    # are still apart, to its other centres
+    met = stage(shared.where("cls <> a").where(could("_a", "")).groupBy("cls", "a").agg(F.count(F.lit(1)).alias("values")), "near-met-centres")
+    best = met.groupBy("cls").agg(F.max(F.struct("values", (-F.col("a")).alias("a"), F.col("a").alias("centre"))).alias("m")).select("cls", F.col("m.centre").alias("a"))
+    ordered = lambda d: d.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
+    first_pairs, pairs = stage(ordered(best), "near-first-pairs"), stage(ordered(met), "near-pairs")
+    labels = components(_links(first_pairs, facts, full_sets, num, den))
+    others = stage(_apart(pairs.join(first_pairs, ["a", "b"], "left_anti"), labels), "near-other-pairs")
+    if not others.isEmpty():
+        labels = _with_links(labels, _links(others, facts, full_sets, num, den))
 
     # members of a list that are still apart meet each other
     parts = stage(shared.select("v", "cls", "n", "rank").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-parts")
@@ -339,15 +414,15 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
            .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct())
     fresh = stage(stage(met, "near-met").join(pairs, ["a", "b"], "left_anti"), "near-fresh")
     if not fresh.isEmpty():
-        more_links = _links(fresh, facts, full_sets, num, den)
-        if not more_links.isEmpty():
-            labels = components(links.unionByName(more_links))
+        labels = _with_links(labels, _links(fresh, facts, full_sets, num, den))
 
     named = stage(by_set.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-named")
     first = stage(named.groupBy("comp").agg(F.min("low_id").alias("component_id")), "near-first")
-    ids = stage(named.select("sig", "comp").join(first, "comp").select("sig", "comp", "component_id"), "near-ids")
+    ids = stage(named.select("sig", "comp", "copies").join(first, "comp").select("sig", "comp", "component_id", "copies"), "near-ids")
     key = ["key"] if "key" in docs.columns else []
-    out = stage(rows.join(ids, "sig", "left")
+    narrow = rows.select("doc_id", "row", *key, "n", "sig")
+    bare = narrow.where("n = 0").withColumn("comp", F.lit(None).cast("long")).withColumn("component_id", F.lit(None).cast("long"))
+    out = stage(_by_signature(narrow.where("n > 0"), ids, total).unionByName(bare)
                 .select("doc_id", "row", *key, F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
                         "comp", (F.col("n") == 0).alias("bare")), "near-out")
     # of the rows that carry the smallest id the first one stays; a component without any id keeps its first row
