@@ -104,3 +104,16 @@ def test_whole_table(spark, theirs):
     assert {k: (r.n_tokens, r.ids_sha256) for k, r in got.items()} == {k: (len(v), hashlib.sha256(struct.pack(f"<{len(v)}I", *v)).hexdigest()) for k, v in want.items()}
     totals = {r.doc_id: r.n for r in packing.pack(docs, PATH, with_ids=False).groupBy("doc_id").sum("length").withColumnRenamed("sum(length)", "n").collect()}
     assert totals == {k: len(v) + 1 for k, v in want.items()}
+
+
+def test_long_runs_of_white_space_pack_whole(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = Tokenizer.from_file(path)
+    whole.no_truncation()
+    texts = [" " * 2_000_000 + "a", "x" + "\n" * 300_000, "\t \u00a0" * 50_000 + "b c", " " * 4095 + "a", " " * 4096 + "a", "a" + " " * 5000]
+    encode = packing.encoder(path)
+    for text in texts:
+        assert encode(text).tolist() == whole.encode(text, add_special_tokens=False).ids
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in packing.pack(docs, path, with_ids=False).groupBy("doc_id").agg({"length": "sum"}).collect():
+        assert r[1] == len(encode(texts[r.doc_id])) + 1
