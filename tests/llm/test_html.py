@@ -133,3 +133,41 @@ def test_table_against_its_layout(spark):
         blocks = re.split(r"</?(?:p|h1)>", re.search(r"<article>(.*?)</article>", r.html, re.S)[1])
         plain = (" ".join(html.unescape(re.sub(r"</?b>", "", b).replace("<br>", " ")).split()) for b in blocks)
         assert got[r.page_id] == "\n\n".join(b for b in plain if b)
+
+
+def test_deep_nesting_and_tags_without_end():
+    import time
+
+    began = time.time()
+    for n in (600, 5000, 100_000):
+        assert H.page_text("<div>" * n + "text" + "</div>" * n + "<p>more") == "text\n\nmore"
+        assert H.page_text("<b>" * n + "text" + "</b>" * n) == "text"
+        assert H.page_text("<div>" * n + "<nav>menu</nav>one<p>two<b>bold</b></p>three</div>four") == "one\n\ntwobold\n\nthree\n\nfour"
+        assert H.page_text("<ul><li>" * n + "item") == "item"
+        assert H.page_text("<section>" * n + "x" + "</article>" * n) == "x"
+    assert H.page_text("<p>a</p>" + "<div <" * 20_000) == "a\n\n" + "<div <" * 20_000
+    assert H.page_text("<p>a <!-- open " + "<b" * 20_000) == "a"
+    assert H.page_text("<p>a" + "<a href='x" * 20_000 + "b").startswith("a")
+    assert time.time() - began < 60
+
+
+def test_pages_of_many_blocks_align_in_reasonable_time():
+    import time
+
+    def page(n):
+        return f"<html><body><div class=top>Site</div><div id=c>" + "".join(f"<h3>Head {n} {i}</h3><p>Para {n} {i} of the text</p>" for i in range(20_000)) + "</div></body></html>"
+
+    began = time.time()
+    pages = [page(n) for n in range(3)]
+    rule = induced(pages)
+    text = H.page_text(pages[1], rule)
+    assert text.endswith("Head 1 19999\n\nPara 1 19999 of the text") and text.count("\n\n") >= 39_999
+    assert time.time() - began < 60
+
+
+def test_deep_page_does_not_spoil_its_host(spark):
+    deep = "<div>" * 20_000 + "deep text"
+    rows = [(i, f"http://h.example/{i}", site(i)) for i in range(5)] + [(9, "http://h.example/9", deep), (10, "http://d.example/1", deep), (11, "http://d.example/2", "<b>" * 3000 + "x")]
+    got = {r.page_id: r.text for r in H.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[10] == "deep text" and got[11] == "x" and "deep text" in got[9]
+    assert all(f"Title {'abcdefgh'[i]} & more" in got[i] for i in range(5))

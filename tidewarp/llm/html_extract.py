@@ -15,7 +15,9 @@ siblings become one, then the rarest nodes without marks are left out and count
 that the wrapper cannot name its slots, the host has no rule and each page is judged on its own whole tree. Wrappers go back to the pages as a broadcast up to ``BROADCAST`` bytes, else by a join
 with plain exchanges on both sides, which adaptive execution splits.
 
-Defined results: null or empty html, and a page without article text, give the empty string. A null or unusual url has
+Defined results: elements nested deeper than ``DEPTH`` add their text, as blocks of their own, to the one at that depth, and are left out
+where they are marked so; their labels and article marks do not count. Where a node has over ``KINDS`` children, siblings of one kind are one node of the wrapper.
+Tags that never end are text. Null or empty html, and a page without article text, give the empty string. A null or unusual url has
 the empty host. A page whose host's slots are missing from it is judged on its own tree. Repeated rows are each extracted;
 a null page_id is carried along. An empty table gives an empty result; other columns are not read.
 """
@@ -27,6 +29,7 @@ import html as entities
 import pickle
 import re
 import zlib
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -35,6 +38,8 @@ from pyspark.sql import functions as F
 from tidewarp.llm.common import prepare, stage
 
 NODES = 2000
+DEPTH = 150  # of a tree; deeper elements are dissolved
+KINDS = 64  # children of a wrapper's node before siblings of one kind are folded; an alignment costs its square at most
 BROADCAST = 32 << 20
 SURE_PAGES = 3  # pages of different content that prove a node constant
 
@@ -88,16 +93,56 @@ def _make(tag: str, attrs: str) -> Node:
     return Node(tag, label, skip, content)
 
 
+class _Open:
+    """The open elements of a page under way, and how many there are of each tag."""
+
+    def __init__(self):
+        self.root = Node("#", "#", False, False)
+        self.stack = [self.root]
+        self.open: dict[str, int] = {}
+
+    def add(self, child) -> None:
+        self.stack[-1].children.append(child)
+
+    def start(self, node: Node) -> None:
+        """Open ``node``. Beyond DEPTH its children go to the node at that depth, or nowhere if it is skipped."""
+        if len(self.stack) > DEPTH:
+            holder = self.stack[-1].children
+            if node.tag in BLOCK:
+                holder.append(Node("hr", "hr", False, False))
+            if not node.skip:
+                node.children = holder
+        else:
+            self.add(node)
+        self.stack.append(node)
+        self.open[node.tag] = self.open.get(node.tag, 0) + 1
+
+    def close(self, i: int) -> None:
+        """End the elements from the ``i``th on."""
+        for node in self.stack[i:]:
+            self.open[node.tag] -= 1
+        if len(self.stack) > DEPTH + 1 and any(n.tag in BLOCK for n in self.stack[max(i, DEPTH + 1):]):
+            self.stack[max(i, DEPTH + 1) - 1].children.append(Node("hr", "hr", False, False))
+        del self.stack[i:]
+
+    def has(self, tags) -> bool:
+        return any(self.open.get(t) for t in tags)
+
+
 def parse(page: str) -> Node:
     """The tree of a page. Inline elements are dissolved into their text; links stay, to tell lists of links."""
-    root = Node("#", "#", False, False)
-    stack = [root]
+    tree = _Open()
+    stack = tree.stack
     at = 0
     size = len(page)
-    for m in iter(lambda: _TOKEN.search(page, at), None):
+    end_of_tags = page.rfind(">")
+    while at <= end_of_tags:
+        m = _TOKEN.search(page, at)
+        if m is None:
+            break
         if m.start() > at:
             text = page[at:m.start()]
-            stack[-1].children.append(entities.unescape(text) if "&" in text else text)
+            tree.add(entities.unescape(text) if "&" in text else text)
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -106,50 +151,59 @@ def parse(page: str) -> Node:
         if m[1]:
             if tag in VOID:
                 if tag == "br":
-                    stack[-1].children.append(" ")
+                    tree.add(" ")
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if tag not in BLOCK and stack[i].tag in BLOCK:
-                    break
+            if tree.has((tag,)):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag == tag:
+                        tree.close(i)
+                        break
+                    if tag not in BLOCK and stack[i].tag in BLOCK:
+                        break
             continue
         if tag in VOID:
             if tag == "br":
-                stack[-1].children.append(" ")
+                tree.add(" ")
             elif tag == "hr":
-                stack[-1].children.append(Node("hr", "hr", False, False))
+                tree.add(Node("hr", "hr", False, False))
             continue
-        if tag in CLOSES_P:
+        if tag in CLOSES_P and tree.has("p"):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    tree.close(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
         if tag in ENDS:
             ended, inside = ENDS[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in inside:
-                    break
-                if stack[i].tag in ended:
-                    del stack[i:]
-                    break
+            if tree.has(ended):
+                for i in range(len(stack) - 1, 0, -1):
+                    if stack[i].tag in inside:
+                        break
+                    if stack[i].tag in ended:
+                        tree.close(i)
+                        break
         node = _make(tag, m[3])
-        stack[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I).search(page, at)
+            tree.add(node)
+            end = _raw_end(tag).search(page, at)
             if tag in ("title", "textarea"):
                 node.children.append(entities.unescape(page[at:end.start() if end else size]))
             at = end.end() if end else size
-        elif not m[3].endswith("/") or tag not in ("svg", "path", "use"):
-            stack.append(node)
-        if at >= size:
-            break
+        elif m[3].endswith("/") and tag in ("svg", "path", "use"):
+            tree.add(node)
+        else:
+            tree.start(node)
     if at < size:
-        stack[-1].children.append(entities.unescape(page[at:]))
-    return root
+        rest = page[at:]
+        comment = rest.find("<!--")  # one that never ends
+        tree.add(entities.unescape(rest if comment < 0 else rest[:comment]))
+    return tree.root
+
+
+@lru_cache(maxsize=64)
+def _raw_end(tag: str):
+    return re.compile(f"</{re.escape(tag)}(?=[\\s/>])[^>]*>", re.I)
 
 
 # ---------------------------------------------------------------- wrappers
@@ -233,6 +287,13 @@ def _outline(node: Node, texts) -> Slot:
             s.children[-1] = merge(s.children[-1], child)
         else:
             s.children.append(child)
+    return _bounded(s)
+
+
+def _bounded(s: Slot) -> Slot:
+    """Fold the children of ``s`` by kind where there are over KINDS."""
+    if len(s.children) > KINDS:
+        s.children = _fold(s.children)
     return s
 
 
@@ -280,7 +341,7 @@ def merge(a: Slot, b: Slot) -> Slot:
             j -= 1
             out.append(b.children[j])
     a.children = out[::-1]
-    return a
+    return _bounded(a)
 
 
 def _count(s: Slot) -> int:
