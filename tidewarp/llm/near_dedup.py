@@ -142,12 +142,12 @@ class _Lists:
 
 
 def _runs(batches, num: int, den: int, fresh: np.ndarray | None = None):
-    """_Lists of some 2 million values at a time of batches (cls, n, low); with ``fresh``, of the lists that hold one of these values alone."""
+    """_Lists of some hundred thousand values at a time of batches (cls, n, low); with ``fresh``, of the lists that hold one of these values alone."""
     for b in batches:
         ends = np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < b.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 24), "right")))
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), "right")))
             part = b.slice(at, to - at)
             lists = _Lists(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2), num, den)
             if fresh is not None:
@@ -295,11 +295,6 @@ def _named(links: DataFrame, labels: DataFrame) -> DataFrame:
     return links
 
 
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs whose ends are not in one component."""
-    return _named(pairs, labels).where("a_comp <> b_comp").select("a", "b")
-
-
 def _with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
     """The components ``labels`` (cls, comp) joined by further ``links``; staged."""
     if links.isEmpty():
@@ -394,16 +389,9 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
     # the values from the posted one on must make up the similarity of two members
     could = lambda x, y: F.least(F.col(f"n{x}") - F.col(f"rank{x}"), F.col(f"n{y}") - F.col(f"rank{y}")) * (num + den) >= (F.col(f"n{x}") + F.col(f"n{y}")) * num
 
-    # every list links its members to its centre: each class first to the centre it shares most values with, then, where the two
-    # are still apart, to its other centres
-    met = stage(shared.where("cls <> a").where(could("_a", "")).groupBy("cls", "a").agg(F.count(F.lit(1)).alias("values")), "near-met-centres")
-    best = met.groupBy("cls").agg(F.max(F.struct("values", (-F.col("a")).alias("a"), F.col("a").alias("centre"))).alias("m")).select("cls", F.col("m.centre").alias("a"))
-    ordered = lambda d: d.select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct()
-    first_pairs, pairs = stage(ordered(best), "near-first-pairs"), stage(ordered(met), "near-pairs")
-    labels = components(_links(first_pairs, facts, full_sets, num, den))
-    others = stage(_apart(pairs.join(first_pairs, ["a", "b"], "left_anti"), labels), "near-other-pairs")
-    if not others.isEmpty():
-        labels = _with_links(labels, _links(others, facts, full_sets, num, den))
+    # every list links its members to its centre
+    pairs = stage(shared.where("cls <> a").where(could("_a", "")).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct(), "near-pairs")
+    labels = components(_links(pairs, facts, full_sets, num, den))
 
     # members of a list that are still apart meet each other
     parts = stage(shared.select("v", "cls", "n", "rank").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-parts")
