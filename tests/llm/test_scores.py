@@ -142,6 +142,7 @@ def test_lm_edges(spark, monkeypatch, hot, part, slot):
     monkeypatch.setattr(lm, "HOT", hot)
     monkeypatch.setattr(lm, "PART_BYTES", part)
     monkeypatch.setattr(lm, "SLOT_TEXT", slot)
+    monkeypatch.setattr(lm, "TASKS", 24)
     rng = random.Random(4)
     rows = [(i, " ".join(rng.choice(["The", "of", "a", "b", "c", "d", "e", f"u{rng.randrange(40)}"]) for _ in range(rng.choice([0, 1, 5, 30])))) for i in range(90)]
     rows += [(200, None), (201, ""), (202, " \n"), (None, "the of a"), (3, rows[3][1]), (203, "the " * 20000)]
@@ -163,9 +164,10 @@ def test_lm_keeps_words_apart_that_share_32_bits(spark, monkeypatch, hot):
     monkeypatch.setattr(lm, "_tokens", alike)
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(["a", "b", "c", "d", "e", f"u{rng.randrange(20)}"]) for _ in range(12))) for i in range(60)]
-    docs = pa.table({"part": pa.array([0] * 60, pa.int32()), "doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows]})
+    docs = pa.table({"part": pa.array([0] * 60, pa.int32()), "doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": [t for _, t in rows], "copies": pa.array([1] * 60, pa.int64())})
     words, counts = np.unique(alike(docs.column("text").chunk(0))[0], return_counts=True)
-    asked = lm._requests(docs, 1, words[counts * hot > counts.sum()], 10)
+    hot = words[counts * hot > counts.sum()]
+    asked = lm._requests(docs, lm.Slots(1, hot, np.ones(len(hot), np.int64)), 10)
     told = lm._answers(asked, words[:0])
     want = collections.Counter()
     for i, t in rows:
@@ -176,6 +178,36 @@ def test_lm_keeps_words_apart_that_share_32_bits(spark, monkeypatch, hot):
     assert by_key[lm.N_ONE] == sum(c == 1 for c in want.values()) and by_key[lm.N_TWO] == sum(c == 2 for c in want.values())
 
 
+def test_lm_repeated_rows(spark):
+    rows = [(i % 7, f"a b c {i % 7} d") for i in range(40)] + [(3, None), (3, None), (None, "a b"), (None, "a b"), (None, None), (10, "b a b")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    same(lm.score(docs).collect(), lm_brute(rows))
+
+
+def test_lm_collapse_compares_rows():
+    batch = lambda keys: pa.RecordBatch.from_arrays([pa.array([0] * 6, pa.int32()), pa.array(keys, pa.int64()), pa.array([1, 1, 2, None, None, 1]), pa.array(["a", "a", "a", "a", "a", None])], ["part", "key", "doc_id", "text"])
+    for keys in ([5] * 6, [5, 5, 6, 7, 7, 8]):  # rows that share a key stay apart unless equal
+        got = [r for b in lm._collapse([batch(keys)]) for r in b.to_pylist()]
+        whole = collections.Counter()
+        for r in got:
+            whole[r["doc_id"], r["text"]] += r["copies"]
+        assert whole == {(1, "a"): 2, (2, "a"): 1, (None, "a"): 2, (1, None): 1}
+
+
+def test_lm_spreads_words_by_their_tokens(spark):
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 1 << 63, 500, np.int64)
+    every = np.maximum(1, 1_000_000 // np.arange(1, 501))
+    counts = spark.createDataFrame([(int(w), int(e)) for w, e in zip(words, every)], "w long, every long")
+    for text_bytes in (1, 1 << 34):
+        slots = lm.layout(counts, int(every.sum()), text_bytes)
+        home, is_hot, spread = slots.of(words.view(np.uint64))
+        share = every / every.sum()
+        assert (is_hot == (share > 1 / (lm.SHARE * slots.n))).all() and (spread[~is_hot] == 1).all()
+        assert (share / spread <= 1 / (lm.SHARE * slots.n) + share / slots.n).all() and spread.max() <= slots.n
+        assert (spread <= 2 * share * lm.SHARE * slots.n + 1).all()
+
+
 def test_lm_on_the_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = lm.score(docs).collect()
