@@ -72,3 +72,16 @@ def test_convert_files(spark, tmp_path):
     rows = warc.read(spark, str(tmp_path / "out")).collect()
     assert sorted((r.url, bytes(r.payload)) for r in rows) == sorted((f"http://h/{i}", b"body %d" % i) for i in range(5) for _ in range(2))
     assert {r.record_type for r in rows} == {"response"}
+
+
+def test_files_are_bounded_by_bytes(monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    record = lambda i, n: warc.from_arc({"URL": f"http://h/{i}", "IP-address": "-", "Archive-date": "20240101", "Content-type": "text/html", "content": b"x" * n}, i)
+    sizes = [10, 20, 0, 9000, 5, 1500, 1500, 7]
+    files = [b.column(0)[0].as_py() + b"\n" for b in warc._files((record(i, n) for i, n in enumerate(sizes)), "pages")]
+    parsed = [list(warc.warc_parse(io.BytesIO(f))) for f in files]
+    assert all(p[0][0]["warc-type"] == "warcinfo" and len(p) > 1 for p in parsed)
+    assert [int(f["warc-source-row"]) for p in parsed for f, _ in p[1:]] == list(range(len(sizes)))
+    assert [len(b) for p in parsed for _, b in p[1:]] == sizes
+    assert all(len(f) <= 3000 or len(p) == 2 for f, p in zip(files, parsed)) and len(files) > 3
+    assert not list(warc._files(iter([]), "pages"))

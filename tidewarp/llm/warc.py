@@ -7,8 +7,9 @@ writes the same bytes), ISO timestamps, record types, block and payload digests.
 
 Payloads that occur before become revisit records. Which record is the response is found on (id, SHA-1) pairs alone;
 the payloads themselves are never grouped, so a page copied to a third of all rows costs no skew. The archives are
-written by Spark's own writer (one gzip stream a task, committed atomically) below the shared folder and read back from
-there as whole files of at most ``FILE_RECORDS`` records, which bounds a file; a reader streams through one record at a time.
+written by Spark's own writer (committed atomically) below the shared folder, each file one gzip stream that opens with
+a warcinfo record and holds ``FILE_BYTES`` of records at most, or one longer record. They are read back from there as whole
+files; a reader, of ARC as of WARC, unpacks and holds one record at a time.
 
 Defined results: a null html is the empty payload; empty payloads equal one another; a null url is written as
 ``urn:page:<page_id>``. Of equal payloads the smallest page_id is the response; null ids are last, and where all ids are
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from tidewarp.llm.common import prepare, stage
 from tidewarp.session import staging_path
 
-FILE_RECORDS = 2000
+FILE_BYTES = 16 << 20
 SPACE_UUID = uuid.uuid5(uuid.NAMESPACE_URL, "urn:archive-records")
 #: fixed values: the header fields of the two ARC versions, as their version blocks spell them
 ARC_FIELDS = {
@@ -167,11 +168,15 @@ def _number(text: str | None):
     return int(text) if text and text.removeprefix("-").isdigit() else None
 
 
+def _unpacked(content: bytes):
+    """A stream over an archive, gzipped or plain."""
+    raw = io.BytesIO(content)
+    return io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if content[:2] == b"\x1f\x8b" else raw
+
+
 def _rows(content: bytes):
     """Rows of RECORD of one archive, gzipped or plain."""
-    raw = io.BytesIO(content)
-    stream = io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20) if content[:2] == b"\x1f\x8b" else raw
-    for fields, block in warc_parse(stream):
+    for fields, block in warc_parse(_unpacked(content)):
         kind = fields["warc-type"]
         if kind not in ("response", "revisit"):
             continue
@@ -220,22 +225,33 @@ def convert_arc(spark: SparkSession, arc_path: str, out: str) -> None:
     def run(batches):
         for b in batches:
             for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                raw = content.as_py()
-                raw = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
-                for i, record in enumerate(arc_parse(io.BytesIO(raw))):
-                    yield _lines([from_arc(record, f"{name}#{i}")])
+                for i, record in enumerate(arc_parse(_unpacked(content.as_py()))):
+                    yield from_arc(record, f"{name}#{i}")
+
+    _write(spark.read.format("binaryFile").load(arc_path).select("path", "content").mapInArrow(lambda batches: _files(run(batches), "archive"), "file binary"), out)
 
-    _write(spark.read.format("binaryFile").load(arc_path).select("path", "content").mapInArrow(run, "record binary"), out)
 
+def _files(records, name: str):
+    """The records of a task as the contents of files, one a row."""
+    def whole():
+        # the writer ends a file with the line feed that its last byte lacks here
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["file"])
 
-def _lines(records: list[bytes]) -> pa.RecordBatch:
-    # the writer ends each record with the line feed that its last two bytes lack here
-    return pa.RecordBatch.from_arrays([pa.array([r[:-1] for r in records], pa.binary())], ["record"])
+    info = warc_info(name)
+    held, size = [info], len(info)
+    for record in records:
+        if len(held) > 1 and size + len(record) > FILE_BYTES:
+            yield whole()
+            held, size = [info], len(info)
+        held.append(record)
+        size += len(record)
+    if len(held) > 1:
+        yield whole()
 
 
-def _write(records: DataFrame, out: str) -> None:
-    (records.select(F.col("record").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\n")
-     .option("maxRecordsPerFile", FILE_RECORDS).text(out))
+def _write(files: DataFrame, out: str) -> None:
+    (files.select(F.col("file").cast("string").alias("value")).write.option("compression", "gzip").option("lineSep", "\n")
+     .option("maxRecordsPerFile", 1).text(out))
 
 
 def revisits(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -258,13 +274,10 @@ def write_pages(pages: DataFrame, out: str, least_bytes: int = 0) -> None:
     rows = rows.join(again, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")), "left").select("page_id", "url", "html", "refers_to")
 
     def run(batches):
-        named = False
         for b in batches:
             ids, urls, refers = (b.column(i).to_pylist() for i in (0, 1, 3))
             for lo in range(0, b.num_rows, 64):
                 own = range(lo, min(lo + 64, b.num_rows))
-                records: list[bytes] = [] if named else [warc_info("pages")]
-                named = True
                 for version in (1, 2):
                     part = [i for i in own if 1 + (ids[i] or 0) % 2 == version]
                     arc = [arc_head(version)]
@@ -272,10 +285,10 @@ def write_pages(pages: DataFrame, out: str, least_bytes: int = 0) -> None:
                         body = (b.column(2)[i].as_py() or "").encode()
                         head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(body)}\r\n\r\n".encode()
                         arc.append(arc_record(version, urls[i] or f"urn:page:{ids[i]}", head + body))
-                    records += [from_arc(r, ids[i], refers[i]) for i, r in zip(part, arc_parse(io.BytesIO(b"".join(arc))))]
-                yield _lines(records)
+                    for i, r in zip(part, arc_parse(io.BytesIO(b"".join(arc)))):
+                        yield from_arc(r, ids[i], refers[i])
 
-    _write(rows.mapInArrow(run, "record binary"), out)
+    _write(rows.mapInArrow(lambda batches: _files(run(batches), "pages"), "file binary"), out)
 
 
 def archive(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
