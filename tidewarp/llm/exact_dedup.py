@@ -6,8 +6,10 @@ later steps read those few bytes a row.
 Pass 1 counts, in a filter of m slots with two hash functions, how many rows hit each slot, pre-aggregated before the
 shuffle, and keeps the slots hit at least twice as 4 KB bitmaps. Pass 2 probes every row: a hash that repeats finds both
 its slots set, so a row with an unset slot is alone and passes straight through. Only the other rows shuffle and are
-compared by their 256-bit hash. m follows the number of rows up to ``max_filter_bits`` (2 MB by default, which bounds
-the broadcast); a fuller filter lets more rows through to the exact step and never changes a result.
+compared by their 256-bit hash. m follows the number of rows up to ``max_filter_bits`` (32 MB by default, which bounds
+the broadcast); a fuller filter lets more rows through to the exact step and never changes a result. With n rows of their
+own an unrepeated row gets through with probability (1 - exp(-2 n / m))^2: 1 in 90 at 15 million rows, 1 in 10 at 50 million,
+nearly all beyond 500 million.
 
 A group may hold a third of all rows: it is one row after partial aggregation, and the join that hands its keep_id back
 has plain exchanges on both sides, which adaptive execution splits.
@@ -60,7 +62,7 @@ def _probe(keyed: DataFrame, bitmaps: DataFrame, m: int, seed: int) -> DataFrame
             .drop("_at", "_bucket", "bits"))
 
 
-def groups(docs: DataFrame, bits_per_row: int = 32, max_filter_bits: int = 1 << 24) -> DataFrame:
+def groups(docs: DataFrame, bits_per_row: int = 32, max_filter_bits: int = 1 << 28) -> DataFrame:
     """(doc_id, row, sha, keep_id, group_size, kept) for every row of ``docs`` (doc_id, text)."""
     prepare(docs.sparkSession)
     keyed = keys(docs)
