@@ -114,3 +114,28 @@ def test_near_on_the_table(spark):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     got = near_dedup.near_dedup(docs).collect()
     assert sorted(near_brute(rows, 5, 80, 100)) == sorted((r.doc_id, r.n_shingles, r.component_id) for r in got)
+
+
+def test_rows_repeated_over_tasks_link_once(spark, monkeypatch):
+    """Repeated rows with near copies: every task that holds the row gives its set, one of them is used."""
+    monkeypatch.setattr(near_dedup, "HOT", 2)
+    monkeypatch.setattr(near_dedup, "STORED", 4)
+    words = [f"w{i}" for i in range(60)]
+    near = [(10 + i, " ".join([*words[:-1], f"end{i}"])) for i in range(6)]
+    rows = [(1, " ".join(words))] * 40 + near + [(30, "some other words that no text shares")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    got = near_dedup.near_dedup(docs, 3, (85, 100)).collect()
+    assert len(got) == len(rows)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((d, n, c) for d, n, c in near_brute(rows, 3, 85, 100))
+
+
+def test_a_low_estimate_is_as_rare_as_said():
+    """_possible drops s = x / k only where the exact binomial tail at the similarity is under 1e-12."""
+    import math
+    for t in (0.8, 0.85):
+        for k in (1, 8, 64, 100, 128):
+            tail = 0.0
+            for x in range(k + 1):
+                tail += math.comb(k, x) * t ** x * (1 - t) ** (k - x)
+                assert near_dedup._possible(x / k, k, t) or tail <= 1e-12 * 1.05
+            assert near_dedup._possible(t, k, t) and near_dedup._possible(1.0, k, t)

@@ -29,6 +29,8 @@ not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -239,9 +241,13 @@ def _estimate(a: np.ndarray, na: int, b: np.ndarray, nb: int) -> tuple[float, in
     return both / k, k
 
 
-def _slack(k: int) -> float:
-    """Deviation that a sketch of k values exceeds with probability 1e-12 (Hoeffding, sampling without replacement)."""
-    return (27.6 / (2 * k)) ** 0.5
+def _possible(s: float, k: int, t: float) -> bool:
+    """Whether a sketch of k values may show s where the similarity is t: a lower s than this allows has probability under 1e-12 (the
+    bound of Chernoff and Hoeffding by relative entropy, which holds for sampling without replacement)."""
+    if s >= t:
+        return True
+    apart = (1 - s) * math.log((1 - s) / (1 - t)) + (s * math.log(s / t) if s > 0 else 0.0)
+    return k * apart <= 27.6
 
 
 def _needed(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -250,39 +256,42 @@ def _needed(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
 
 
 def _both_sides(pairs: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
-    """``pairs`` (a, b) with ``cols`` of ``sets`` (cls, ...) for a and for b. The rows that come out of the first join
-    are staged, so the second one has plain exchanges too."""
-    right = stage(pairs.join(sets.select(F.col("cls").alias("b"), *(F.col(c).alias(f"{c}_b") for c in cols)), "b"), "near-right")
-    return right.join(sets.select(F.col("cls").alias("a"), *(F.col(c).alias(f"{c}_a") for c in cols)), "a")
+    """``pairs`` (leaf, hub) with ``cols`` of ``sets`` (cls, ...) for both ends. Each side of ``sets`` holds only the ends it meets, so a hub's
+    row moves once beside those of its leaves. The rows that come out of the first join are staged, so the second one has plain exchanges too."""
+    def of(end: str) -> DataFrame:
+        met = _needed(sets, stage(pairs.select(F.col(end).alias("cls")).distinct(), "near-ends"), "cls")
+        return met.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in cols))
+
+    return stage(pairs.join(of("leaf"), "leaf"), "near-leaves").join(of("hub"), "hub")
 
 
 def _links(pairs: DataFrame, facts: DataFrame, full_sets, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full sets are similar enough, staged."""
+    """The pairs (leaf, hub) of classes whose full sets are similar enough, staged as (a, b)."""
     joined = _both_sides(pairs, facts, "n", "sketch")
+    t = num / den
 
     def estimate(batches):
         for b in batches:
             keep = []
-            for nx, ny, x, y in zip(b.column("n_a").to_pylist(), b.column("n_b").to_pylist(), b.column("sketch_a"), b.column("sketch_b")):
-                s, k = _estimate(np.frombuffer(x.as_py(), np.uint32), nx, np.frombuffer(y.as_py(), np.uint32), ny)
-                keep.append(s >= num / den - _slack(k))
+            for nx, ny, x, y in zip(b.column("n_leaf").to_pylist(), b.column("n_hub").to_pylist(), b.column("sketch_leaf"), b.column("sketch_hub")):
+                keep.append(_possible(*_estimate(np.frombuffer(x.as_py(), np.uint32), nx, np.frombuffer(y.as_py(), np.uint32), ny), t))
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column("leaf").filter(keep), b.column("hub").filter(keep)], ["leaf", "hub"])
 
-    likely = stage(joined.mapInArrow(estimate, "a long, b long"), "near-likely")
+    likely = stage(joined.mapInArrow(estimate, "leaf long, hub long"), "near-likely")
     if likely.isEmpty():
-        return likely
-    sets = full_sets(stage(likely.select(F.explode(F.array("a", "b")).alias("cls")).distinct(), "near-verify"))
+        return likely.toDF("a", "b")
+    sets = full_sets(stage(likely.select(F.explode(F.array("leaf", "hub")).alias("cls")).distinct(), "near-verify"))
 
     def verify(batches):
         for b in batches:
             keep = []
-            for x, y in zip(b.column("set_a"), b.column("set_b")):
+            for x, y in zip(b.column("set_leaf"), b.column("set_hub")):
                 vx, vy = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
                 both = len(np.intersect1d(vx, vy, assume_unique=True))
                 keep.append(both * den >= num * (len(vx) + len(vy) - both))
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(keep), b.column("b").filter(keep)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column("leaf").filter(keep), b.column("hub").filter(keep)], ["a", "b"])
 
     return stage(_both_sides(likely, sets, "set").mapInArrow(verify, "a long, b long"), "near-links")
 
@@ -351,15 +360,23 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
         texts = docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("low_id"))).select("cls", "sig", "text")
 
         def run(batches):
+            done = set()  # classes of this task: repeated rows give one set a task
             for b in batches:
                 cls, sets = [], []
                 for c, sig, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), words)):
-                    if len(s) and _signature(s) == sig:
+                    if c not in done and len(s) and _signature(s) == sig:
+                        done.add(c)
                         cls.append(c)
                         sets.append(s.tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(sets, pa.binary())], ["cls", "set"])
 
-        return stage(texts.mapInArrow(run, "cls long, set binary").dropDuplicates(["cls"]), "near-sets")
+        # rows repeated over tasks leave one set a class, told by place, so that no set moves for it
+        sets = stage(texts.mapInArrow(run, "cls long, set binary").withColumn("at", F.monotonically_increasing_id()), "near-sets")
+        again = stage(sets.groupBy("cls").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("cls", "first"), "near-again")
+        if again.isEmpty():
+            return sets.select("cls", "set")
+        first = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
+        return stage(sets.join(first, "cls", "left").where("first is null or at = first").select("cls", "set"), "near-once")
 
     def without(ids: DataFrame) -> DataFrame:
         return classes.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "cls", "left_anti")
@@ -390,8 +407,8 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
     could = lambda x, y: F.least(F.col(f"n{x}") - F.col(f"rank{x}"), F.col(f"n{y}") - F.col(f"rank{y}")) * (num + den) >= (F.col(f"n{x}") + F.col(f"n{y}")) * num
 
     # every list links its members to its centre
-    pairs = stage(shared.where("cls <> a").where(could("_a", "")).select(F.least("a", "cls").alias("a"), F.greatest("a", "cls").alias("b")).distinct(), "near-pairs")
-    labels = components(_links(pairs, facts, full_sets, num, den))
+    pairs = stage(shared.where("cls <> a").where(could("_a", "")).groupBy(F.least("a", "cls").alias("x"), F.greatest("a", "cls").alias("y")).agg(F.min("a").alias("hub")), "near-pairs")
+    labels = components(_links(pairs.select((F.col("x").bitwiseXOR(F.col("y")).bitwiseXOR(F.col("hub"))).alias("leaf"), "hub"), facts, full_sets, num, den))
 
     # members of a list that are still apart meet each other
     parts = stage(shared.select("v", "cls", "n", "rank").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-parts")
@@ -399,8 +416,8 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
     open_parts = stage(parts.join(split, "v", "left_semi"), "near-open")
     x, y = (open_parts.select("v", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "rank", "comp"))) for s in "ab")
     met = (x.join(y, "v").where("cls_a < cls_b and comp_a <> comp_b").where(could("_a", "_b"))
-           .select(F.col("cls_a").alias("a"), F.col("cls_b").alias("b")).distinct())
-    fresh = stage(stage(met, "near-met").join(pairs, ["a", "b"], "left_anti"), "near-fresh")
+           .select(F.col("cls_a").alias("x"), F.col("cls_b").alias("y")).distinct())
+    fresh = stage(stage(met, "near-met").join(pairs, ["x", "y"], "left_anti").select(F.col("x").alias("leaf"), F.col("y").alias("hub")), "near-fresh")
     if not fresh.isEmpty():
         labels = _with_links(labels, _links(fresh, facts, full_sets, num, den))
 
