@@ -40,9 +40,10 @@ def encode_messages(panel: DataFrame, block: int = MESSAGE_BLOCK) -> DataFrame:
 
 def decode_messages(messages: DataFrame, col: str = "value") -> DataFrame:
     """Message text -> ``(time_point, id, value)`` rows."""
-    parts = F.split(F.col(col), "\n")
-    rows = messages.select(F.element_at(parts, 1).cast("int").alias("time_point"),
-                           F.explode(F.slice(parts, 2, F.size(parts))).alias("line"))
+    parts = messages.select(F.split(F.col(col), "\n").alias("parts"))
+    # the position leaves the message before its lines do: behind the explode, each line would carry the whole message and split it again
+    whole = parts.select(F.element_at("parts", 1).cast("int").alias("time_point"), F.slice("parts", 2, F.size("parts")).alias("lines"))
+    rows = whole.select("time_point", F.explode("lines").alias("line"))
     f = F.split("line", ",")
     return rows.select("time_point", F.element_at(f, 1).cast("bigint").alias("id"),
                        F.element_at(f, 2).try_cast("double").alias("value"))
