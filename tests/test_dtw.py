@@ -110,3 +110,22 @@ def test_centres_equal_pairwise():
 def test_length_one_and_unequal():
     assert dtw_one([1.0], [3.0]) == 2.0
     assert dtw_one([1.0, 2.0, 3.0], [1.0, 3.0]) == dtw_one([1.0, 3.0], [1.0, 2.0, 3.0])
+
+
+def test_pairs_run_in_chunks_of_bounded_memory():
+    """The diagonals of a chunk are held, not those of all pairs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    X, Y, C = rng.random((200_000, 12)), rng.random((200_000, 12)), rng.random((3, 12))
+    tracemalloc.start()
+    try:
+        pairs = D.dtw_same_length(X, Y)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 20_000_000
+    near = D.dtw_to_centres(X, C)
+    for i in (0, 7_999, 8_000, 199_999):
+        assert pairs[i] == D.dtw_one(X[i], Y[i])
+        assert near[i].tolist() == [D.dtw_one(X[i], c) for c in C]
