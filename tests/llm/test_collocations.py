@@ -83,6 +83,37 @@ def test_groups_with_one_id(monkeypatch):
     assert sorted(zip(h.tolist(), w.tolist(), c.tolist())) == [(1, 2, 1), (1, 5, 2), (2, 4, 1), (4, 2, 1)]
 
 
+def test_grouping_holds_little_beyond_its_rows():
+    """Adding up took 2.5 times the size of the rows beside them, and a batch of a relation 51 MB."""
+    import tracemalloc
+
+    import numpy as np
+
+    n = 1 << 18
+    rng = np.random.default_rng(5)
+    head, word = rng.integers(0, 1 << 9, (2, n)).astype(np.uint64)
+    ones = np.ones(n, np.int64)
+    tracemalloc.start()
+    h, w, c = collocations._group(head, word, ones)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert c.sum() == n and len(set(zip(h.tolist(), w.tolist()))) == len(h) == len(np.unique(head * np.uint64(512) + word))
+    assert most < 2 * (head.nbytes + word.nbytes + ones.nbytes)
+    assert collocations.BLOCK * 20 * 10_000 < 16 << 20  # bytes of a batch of 10,000 rows of a relation
+
+
+def test_equal_words_of_two_batches_are_one():
+    import numpy as np
+    import pyarrow as pa
+
+    rows = [(pa.array(["en", "de"]), np.array([7, 3], np.uint64), pa.array(["x", "y"], pa.large_string()), np.array([2, 1])),
+            (pa.array(["en", "en"]), np.array([7, 3], np.uint64), pa.array(["x", "z"], pa.large_string()), np.array([5, 4]))]
+    langs, w, words, count = collocations._add_up(rows[:1] + [(c[0][:1], c[1][:1], c[2][:1], c[3][:1]) for c in rows[1:]])
+    assert list(zip(langs.to_pylist(), w.tolist(), words.to_pylist(), count.tolist())) == [("de", 3, "y", 1), ("en", 7, "x", 7)]
+    langs, w, words, count = collocations._add_up(rows)  # one id, two words
+    assert sorted(zip(langs.to_pylist(), w.tolist(), words.to_pylist(), count.tolist())) == [("de", 3, "y", 1), ("en", 3, "z", 4), ("en", 7, "x", 7)]
+
+
 def test_table_against_sql(spark):
     import duckdb
 

@@ -38,11 +38,11 @@ from tidewarp.llm.shingles import SEGMENT, _segment_words, mix
 
 UNKNOWN = "und"
 MARKS = b".,;:!?\n\x0b\x0c\r"  # end a piece; words end there and at space and tab
-BLOCK = 256  # words whose occurrences are one row
-CHUNK = 1 << 21  # occurrences grouped at a time
+BLOCK = 64  # words whose occurrences are one row; 10,000 rows, an Arrow batch, have 13 MB
+CHUNK = 1 << 20  # groups added up at a time
 MOST_BITS = 1 << 29  # of the bitmap of frequent groups: 64 MB
 BITMAP_BITS = 32768  # of the bitmaps of bitmap_construct_agg
-SLICE = 4096  # rows of a persisted relation joined at a time
+SLICE = 2048  # rows of a persisted relation joined and grouped at a time
 SLOT_WORDS = 1 << 20  # words whose groups make up one slot, about
 
 _MARK = np.zeros(256, bool)
@@ -108,16 +108,30 @@ def _strings(data: np.ndarray, ends: np.ndarray, starts: np.ndarray, text: np.nd
     return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(_FOLD[data[at]]))
 
 
+def _runs_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): the order that sorts ``ids``, and which of the sorted ids differ from the one before."""
+    order = np.argsort(ids)
+    ids = ids[order]
+    new = np.ones(len(ids), bool)
+    np.not_equal(ids[1:], ids[:-1], out=new[1:])
+    return order, new
+
+
 def _add_up(rows: list[tuple]) -> tuple:
-    """(langs, w, words, counts) with equal words added up."""
+    """(langs, w, words, counts) with equal words added up. Empties ``rows``."""
     langs, words = (pa.concat_arrays([r[i] for r in rows]) for i in (0, 2))
     w, count = (np.concatenate([r[i] for r in rows]) for i in (1, 3))
-    _, first, group = np.unique(w, return_index=True, return_inverse=True)
-    one = pc.and_(pc.equal(langs.take(first[group]), langs), pc.equal(words.take(first[group]), words))
-    if pc.all(one).as_py() is False:  # two words with one id
+    rows.clear()
+    order, new = _runs_of(w)
+    again = np.flatnonzero(~new)
+    mine, before = pa.array(order[again]), pa.array(order[again - 1])
+    if not all(pc.all(pc.equal(c.take(mine), c.take(before)), min_count=0).as_py() for c in (langs, words)):  # two words with one id
         t = pa.table([langs, pa.array(w.view(np.int64)), words, pa.array(count)], ["lang", "w", "word", "c"]).group_by(["lang", "w", "word"]).aggregate([("c", "sum")]).combine_chunks()
         return t.column("lang").combine_chunks(), t.column("w").to_numpy().view(np.uint64), t.column("word").combine_chunks(), t.column("c_sum").to_numpy()
-    return langs.take(first), w[first], words.take(first), np.bincount(group, count, len(first)).astype(np.int64)
+    first = np.flatnonzero(new)
+    count = np.add.reduceat(count[order], first)
+    first = order[first]
+    return langs.take(first), w[first], words.take(first), count.astype(np.int64)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -138,10 +152,10 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     totals[lang] = totals.get(lang, 0) + int(n)
                 held.append((pa.array(langs, pa.string()).take(text[first]), w, _strings(data, ends, start[first], text[first]), count))
                 rows += len(w)
-                if rows > CHUNK // 2:
+                if rows > CHUNK:
                     held = [_add_up(held)]
                     rows = len(held[0][1])
-                    if rows > CHUNK // 4:
+                    if rows > CHUNK // 2:
                         yield batch(held[0])
                         held, rows = [], 0
         if held:
@@ -230,15 +244,24 @@ def _extended(b: pa.RecordBatch):
     return row[at], piece[at], pos[at], head[at], word[at + 1]
 
 
+def _joined(parts: list[tuple]) -> list[np.ndarray]:
+    """The columns of ``parts`` put together; empties ``parts``, so they are not held twice while grouped."""
+    columns = [np.concatenate(c) for c in zip(*parts)]
+    parts.clear()
+    return columns
+
+
 def _group(head: np.ndarray, word: np.ndarray, count: np.ndarray):
     """(head, word, count) with equal groups added up."""
-    _, first, group = np.unique(_join_ids(head, word), return_index=True, return_inverse=True)
-    if (head[first][group] != head).any() or (word[first][group] != word).any():  # two groups with one id
+    order, new = _runs_of(_join_ids(head, word))
+    differs = lambda: (head[order][1:] != head[order][:-1]) | (word[order][1:] != word[order][:-1])
+    if (differs() & ~new[1:]).any():  # two groups with one id
         order = np.lexsort((word, head))
-        new = np.concatenate([[True], (head[order][1:] != head[order][:-1]) | (word[order][1:] != word[order][:-1])])
-        first, group = order[new], np.empty(len(order), int)
-        group[order] = np.cumsum(new) - 1
-    return head[first], word[first], np.bincount(group, count, len(first)).astype(np.int64)
+        new[1:] = differs()
+    first = np.flatnonzero(new)
+    count = np.add.reduceat(count[order], first)
+    first = order[first]
+    return head[first], word[first], count.astype(np.int64)
 
 
 def group_counts(relation: DataFrame, support: int) -> DataFrame:
@@ -261,19 +284,19 @@ def group_counts(relation: DataFrame, support: int) -> DataFrame:
             for i in range(0, b.num_rows, SLICE):
                 _, _, pos, head, word = _extended(b.slice(i, SLICE))
                 mine = pos < BLOCK
-                held.append((head[mine], word[mine], np.ones(int(mine.sum()), np.int64)))
+                held.append(_group(head[mine], word[mine], np.ones(int(mine.sum()), np.int64)))
                 rows += len(held[-1][0])
                 if rows > CHUNK:
-                    held = [_group(*map(np.concatenate, zip(*held)))]
+                    held = [_group(*_joined(held))]
                     rows = len(held[0][0])
                     if rows > CHUNK // 2:
                         yield emit(*held[0])
                         held, rows = [], 0
         if rows:
-            yield emit(*_group(*map(np.concatenate, zip(*held))))
+            yield emit(*_group(*_joined(held)))
 
     def add_up(t: pa.Table) -> pa.Table:
-        parts = [np.concatenate([np.frombuffer(v.as_py(), kind) for v in t.column(c)]) for c, kind in (("head", "<u8"), ("word", "<u8"), ("c", "<u4"))]
+        parts = [np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in t.column(c)]) for c, kind in (("head", "<u8"), ("word", "<u8"), ("c", "<u4"))]
         head, word, f = _group(*parts)
         keep = f >= support
         head, word, f = head[keep], word[keep], f[keep]
