@@ -129,6 +129,36 @@ def test_rows_repeated_over_tasks_link_once(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((d, n, c) for d, n, c in near_brute(rows, 3, 85, 100))
 
 
+def test_small_tables_are_sent_and_take_few_tasks(spark, monkeypatch):
+    """With many shuffle partitions small grouped tables were as many tasks and files, and every join of labels or pairs shuffled both sides."""
+    whole, files, sorted_joins = near_dedup.stage, {}, set()
+
+    def stage(df, name):
+        out = whole(df, name)
+        files[name] = max(files.get(name, 0), len(out.inputFiles()))
+        if "SortMergeJoin" in df._jdf.queryExecution().executedPlan().toString():
+            sorted_joins.add(name)
+        return out
+
+    monkeypatch.setattr(near_dedup, "stage", stage)
+    monkeypatch.setattr(near_dedup, "HOT", 4)
+    held = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in held}
+    rows = corpus(7, shared_line=True, n=60)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = near_dedup.near_dedup(docs, 3, (85, 100)).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(str, near_brute(rows, 3, 85, 100))) == sorted(str((r.doc_id, r.n_shingles, r.component_id)) for r in got)
+    grouped = {"near-classes", "near-lists", "near-centres", "near-members", "near-pairs", "cc-edges", "cc-ends", "near-first", "near-stays"}
+    assert grouped <= set(files) and max(files[n] for n in grouped) <= near_dedup.LEAST_TASKS
+    assert not sorted_joins & {"cc-told", "near-leaves", "near-parts", "near-named", "near-named-links"}
+
+
 def test_a_low_estimate_is_as_rare_as_said():
     """_possible drops s = x / k only where the exact binomial tail at the similarity is under 1e-12."""
     import math

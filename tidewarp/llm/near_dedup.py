@@ -45,6 +45,8 @@ MOST_HOT = 1 << 20  # hot values held by a task (8 MB); HOT doubles until they f
 STORED = 128  # values stored of any set, so short documents are stored whole
 SKETCH = 64  # values of the sketch that estimates; their upper 32 bits keep the order
 BROADCAST_ROWS = 1 << 20
+TASK_ROWS = 1 << 16  # rows behind a task of a grouped table
+LEAST_TASKS = 16
 MANY = 1000  # a set of more than a MANY-th of all rows is not joined by its signature
 FILTER_BITS = 1 << 27  # of the filter of values that may be on several lists (16 MB); a fuller one lets more postings through
 BITMAP_BITS = 32768  # of the bitmaps of bitmap_construct_agg
@@ -79,6 +81,16 @@ def sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return docs.select("doc_id", "text", *key).mapInArrow(run, "doc_id long, n long, sig binary, low binary" + ", key binary" * len(key))
 
 
+def _tasks(rows: int) -> int:
+    return max(LEAST_TASKS, rows // TASK_ROWS)
+
+
+def _stage_few(df: DataFrame, rows: int, name: str) -> DataFrame:
+    """``df``, grouped from about ``rows`` rows, staged by as many tasks as these ask for: where a shuffle has far more partitions than that, each
+    of them does not become a task and a file."""
+    return stage(df.coalesce(_tasks(rows)), name)
+
+
 def _by_signature(rows: DataFrame, by_set: DataFrame, total: int, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``by_set`` (sig, copies, ...) on sig. A set that more than one row in MANY has is sent to the tasks, so a large
     group of copies loads no task; at most MANY sets are so. The others are joined."""
@@ -93,7 +105,7 @@ def representatives(rows: DataFrame, by_set: DataFrame, total: int) -> DataFrame
     """(cls, n, low) of one row of each class. Copies are left out by their row numbers, as few rows as there are
     copies: sent to the tasks up to BROADCAST_ROWS, so that the lists of values neither shuffle nor are written again."""
     named = _by_signature(rows.where("n > 0").select("row", "sig"), by_set.select("sig", "copies", "cls"), total)
-    copies = stage(named.where("row <> cls").select("row"), "near-copies")
+    copies = _stage_few(named.where("row <> cls").select("row"), total, "near-copies")
     few = copies.count() <= BROADCAST_ROWS
     alone = rows.where("n > 0").select("row", "n", "sig", "low").join(F.broadcast(copies) if few else copies, "row", "left_anti")
     alone = alone.select(F.xxhash64("sig").alias("cls"), "n", "low")
@@ -255,14 +267,25 @@ def _needed(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return table.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, key, "left_semi")
 
 
+def _sent(table: DataFrame) -> DataFrame:
+    """The staged ``table`` of few columns of numbers, to be sent to the tasks by a join if it has no more than BROADCAST_ROWS."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def _both_sides(pairs: DataFrame, sets: DataFrame, *cols: str) -> DataFrame:
-    """``pairs`` (leaf, hub) with ``cols`` of ``sets`` (cls, ...) for both ends. Each side of ``sets`` holds only the ends it meets, so a hub's
-    row moves once beside those of its leaves. The rows that come out of the first join are staged, so the second one has plain exchanges too."""
+    """``pairs`` (leaf, hub) with ``cols`` of ``sets`` (cls, ...) for both ends. Up to BROADCAST_ROWS pairs go to the leaves' rows, which so move
+    only once, to their hubs; more are joined. Each side that moves holds only the ends it meets, so a hub's row moves once beside those of its
+    leaves. The rows that come out of the first join are staged, so the second one has plain exchanges too."""
+    def named(sets: DataFrame, end: str) -> DataFrame:
+        return sets.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in cols))
+
     def of(end: str) -> DataFrame:
-        met = _needed(sets, stage(pairs.select(F.col(end).alias("cls")).distinct(), "near-ends"), "cls")
-        return met.select(F.col("cls").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in cols))
+        return named(_needed(sets, _stage_few(pairs.select(F.col(end).alias("cls")).distinct(), rows, "near-ends"), "cls"), end)
 
-    return stage(pairs.join(of("leaf"), "leaf"), "near-leaves").join(of("hub"), "hub")
+    rows = pairs.count()
+    few = rows <= BROADCAST_ROWS
+    leaves = named(sets, "leaf").join(F.broadcast(pairs), "leaf") if few else pairs.join(of("leaf"), "leaf")
+    return stage(leaves, "near-leaves").join(of("hub"), "hub")
 
 
 def _links(pairs: DataFrame, facts: DataFrame, full_sets, num: int, den: int) -> DataFrame:
@@ -279,9 +302,10 @@ def _links(pairs: DataFrame, facts: DataFrame, full_sets, num: int, den: int) ->
             yield pa.RecordBatch.from_arrays([b.column("leaf").filter(keep), b.column("hub").filter(keep)], ["leaf", "hub"])
 
     likely = stage(joined.mapInArrow(estimate, "leaf long, hub long"), "near-likely")
-    if likely.isEmpty():
+    ends = 2 * likely.count()
+    if not ends:
         return likely.toDF("a", "b")
-    sets = full_sets(stage(likely.select(F.explode(F.array("leaf", "hub")).alias("cls")).distinct(), "near-verify"))
+    sets = full_sets(_stage_few(likely.select(F.explode(F.array("leaf", "hub")).alias("cls")).distinct(), ends, "near-verify"))
 
     def verify(batches):
         for b in batches:
@@ -298,6 +322,7 @@ def _links(pairs: DataFrame, facts: DataFrame, full_sets, num: int, den: int) ->
 
 def _named(links: DataFrame, labels: DataFrame) -> DataFrame:
     """``links`` (a, b) with the components ``a_comp`` and ``b_comp`` of their ends; a class without a label is its own."""
+    labels = _sent(labels)
     for c in "ab":
         name = labels.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_comp"))
         links = links.join(name, c, "left").withColumn(f"{c}_comp", F.coalesce(f"{c}_comp", c))
@@ -309,9 +334,9 @@ def _with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
     if links.isEmpty():
         return labels
     named = stage(_named(links, labels), "near-named-links")
-    to = components(named.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b"))).select(F.col("cls").alias("comp"), F.col("comp").alias("end"))
+    to = _sent(components(named.select(F.col("a_comp").alias("a"), F.col("b_comp").alias("b")))).select(F.col("cls").alias("comp"), F.col("comp").alias("end"))
     ends = named.select(F.explode(F.array(*[F.struct(F.col(c).alias("cls"), F.col(f"{c}_comp").alias("comp")) for c in "ab"])).alias("e")).select("e.cls", "e.comp").distinct()
-    every = labels.unionByName(ends.join(labels.select("cls"), "cls", "left_anti"))
+    every = labels.unionByName(ends.join(_sent(labels).select("cls"), "cls", "left_anti"))
     return stage(every.join(to, "comp", "left").select("cls", F.coalesce("end", "comp").alias("comp")), "near-labels")
 
 
@@ -320,22 +345,23 @@ def components(links: DataFrame) -> DataFrame:
 
     Every node goes to its smallest neighbour or stays, chains are shortened to their ends by doubling, and the links between the ends
     make the next, smaller round; the stars that most links form are done in one."""
-    edges = stage(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "cc-edges")
+    edges = _stage_few(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), links.count(), "cc-edges")
     labels = None
-    while labels is None or not edges.isEmpty():
+    while (rows := edges.count()) or labels is None:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        ends = stage(both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("m")).select("cls", F.least("cls", "m").alias("comp")), "cc-ends")
+        ends = _stage_few(both.groupBy(F.col("a").alias("cls")).agg(F.min("b").alias("m")).select("cls", F.least("cls", "m").alias("comp")), 2 * rows, "cc-ends")
         while True:
-            jump = ends.select(F.col("cls").alias("comp"), F.col("comp").alias("next"))
+            jump = _sent(ends).select(F.col("cls").alias("comp"), F.col("comp").alias("next"))
             told = stage(ends.join(jump, "comp").select("cls", "comp", "next"), "cc-told")
             ends = told.select("cls", F.col("next").alias("comp"))
             if told.where("comp <> next").isEmpty():
                 break
-        to = ends.select(F.col("cls").alias("comp"), F.col("comp").alias("end"))
+        known = _sent(ends)
+        to = known.select(F.col("cls").alias("comp"), F.col("comp").alias("end"))
         labels = ends if labels is None else stage(labels.join(to, "comp", "left").select("cls", F.coalesce("end", "comp").alias("comp")), "cc-labels")
-        x, y = (ends.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_end")) for c in "ab")
+        x, y = (known.select(F.col("cls").alias(c), F.col("comp").alias(f"{c}_end")) for c in "ab")
         moved = edges.join(x, "a").join(y, "b").where("a_end <> b_end")
-        edges = stage(moved.select(F.least("a_end", "b_end").alias("a"), F.greatest("a_end", "b_end").alias("b")).distinct(), "cc-edges")
+        edges = _stage_few(moved.select(F.least("a_end", "b_end").alias("a"), F.greatest("a_end", "b_end").alias("b")).distinct(), rows, "cc-edges")
     return labels
 
 
@@ -347,16 +373,18 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
     prepare(spark)
     num, den = similarity
     rows = stage(sketches(docs, words, num, den).withColumn("row", F.monotonically_increasing_id()), "near-rows")
-    total = rows.count()
+    total, shingles = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    postings = shingles * (den - num) // den
     # equal sets are one class
-    by_set = stage(rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("copies")), "near-classes")
+    by_set = _stage_few(rows.where("n > 0").groupBy("sig").agg(F.min("row").alias("cls"), F.min("doc_id").alias("low_id"), F.count(F.lit(1)).alias("copies")), total, "near-classes")
     classes = representatives(rows, by_set, total)
     by_set = by_set.select("sig", F.xxhash64("sig").alias("cls"), "low_id", "copies")
 
     def full_sets(ids: DataFrame) -> DataFrame:
         """(cls, set) of the classes in ``ids``, from the whole text of one document each."""
         want = stage(_needed(by_set, ids, "cls"), "near-want")
-        named = F.broadcast(want) if want.count() <= BROADCAST_ROWS else want
+        wanted = want.count()
+        named = F.broadcast(want) if wanted <= BROADCAST_ROWS else want
         texts = docs.select("doc_id", "text").join(named, F.col("doc_id").eqNullSafe(F.col("low_id"))).select("cls", "sig", "text")
 
         def run(batches):
@@ -372,7 +400,7 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
 
         # rows repeated over tasks leave one set a class, told by place, so that no set moves for it
         sets = stage(texts.mapInArrow(run, "cls long, set binary").withColumn("at", F.monotonically_increasing_id()), "near-sets")
-        again = stage(sets.groupBy("cls").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("cls", "first"), "near-again")
+        again = _stage_few(sets.groupBy("cls").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows")).where("rows > 1").select("cls", "first"), wanted, "near-again")
         if again.isEmpty():
             return sets.select("cls", "set")
         first = F.broadcast(again) if again.count() <= BROADCAST_ROWS else again
@@ -382,7 +410,7 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
         return classes.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "cls", "left_anti")
 
     hot = np.empty(0, np.uint64)
-    lists = stage(_postings(classes, hot, num, den).groupBy("v").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), "near-lists")
+    lists = _stage_few(_postings(classes, hot, num, den).groupBy("v").agg(F.count(F.lit(1)).alias("members")).where("members > 1"), postings, "near-lists")
     shared_values, grown, whole = lists.select("v"), _hot_values(lists, hot), None
     stored = classes
     while len(grown) > len(hot):
@@ -391,28 +419,28 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
             sets = full_sets(short).select("cls", (F.octet_length("set") / 8).cast("long").alias("n"), F.col("set").alias("low"))
             whole = sets if whole is None else whole.unionByName(sets)
             stored = without(stage(whole.select("cls"), "near-whole")).unionByName(whole)
-        more = stage(_postings(stored, grown, num, den, hot).groupBy("v").agg(F.count(F.lit(1)).alias("members")), "near-more")
+        more = _stage_few(_postings(stored, grown, num, den, hot).groupBy("v").agg(F.count(F.lit(1)).alias("members")), postings, "near-more")
         shared_values = shared_values.unionByName(more.select("v"))
         hot, grown = grown, _hot_values(more, grown)
 
     # most values are on one list alone: only those that may be shared are posted again
     only = _filter(shared_values)
     posts = _postings(stored, hot, num, den, only=only)
-    centres = stage(posts.groupBy("v").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rank", "cls", "n")).alias("centre")).where("members > 1")
-                    .select("v", F.col("centre.cls").alias("a"), F.col("centre.n").alias("n_a"), F.col("centre.rank").alias("rank_a")), "near-centres")
+    centres = _stage_few(posts.groupBy("v").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("rank", "cls", "n")).alias("centre")).where("members > 1")
+                    .select("v", F.col("centre.cls").alias("a"), F.col("centre.n").alias("n_a"), F.col("centre.rank").alias("rank_a")), postings, "near-centres")
     shared = stage(posts.join(centres, "v"), "near-shared")
-    facts = stage(_needed(_facts(classes), stage(shared.select("cls").distinct(), "near-members"), "cls"), "near-facts")
+    facts = stage(_needed(_facts(classes), _stage_few(shared.select("cls").distinct(), postings, "near-members"), "cls"), "near-facts")
 
     # the values from the posted one on must make up the similarity of two members
     could = lambda x, y: F.least(F.col(f"n{x}") - F.col(f"rank{x}"), F.col(f"n{y}") - F.col(f"rank{y}")) * (num + den) >= (F.col(f"n{x}") + F.col(f"n{y}")) * num
 
     # every list links its members to its centre
-    pairs = stage(shared.where("cls <> a").where(could("_a", "")).groupBy(F.least("a", "cls").alias("x"), F.greatest("a", "cls").alias("y")).agg(F.min("a").alias("hub")), "near-pairs")
+    pairs = _stage_few(shared.where("cls <> a").where(could("_a", "")).groupBy(F.least("a", "cls").alias("x"), F.greatest("a", "cls").alias("y")).agg(F.min("a").alias("hub")), postings, "near-pairs")
     labels = components(_links(pairs.select((F.col("x").bitwiseXOR(F.col("y")).bitwiseXOR(F.col("hub"))).alias("leaf"), "hub"), facts, full_sets, num, den))
 
     # members of a list that are still apart meet each other
-    parts = stage(shared.select("v", "cls", "n", "rank").join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-parts")
-    split = stage(parts.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y and members > 2").select("v"), "near-split")
+    parts = stage(shared.select("v", "cls", "n", "rank").join(_sent(labels), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-parts")
+    split = _stage_few(parts.groupBy("v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("members")).where("x <> y and members > 2").select("v"), postings, "near-split")
     open_parts = stage(parts.join(split, "v", "left_semi"), "near-open")
     x, y = (open_parts.select("v", *(F.col(c).alias(f"{c}_{s}") for c in ("cls", "n", "rank", "comp"))) for s in "ab")
     met = (x.join(y, "v").where("cls_a < cls_b and comp_a <> comp_b").where(could("_a", "_b"))
@@ -421,8 +449,8 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
     if not fresh.isEmpty():
         labels = _with_links(labels, _links(fresh, facts, full_sets, num, den))
 
-    named = stage(by_set.join(labels, "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-named")
-    first = stage(named.groupBy("comp").agg(F.min("low_id").alias("component_id")), "near-first")
+    named = stage(by_set.join(_sent(labels), "cls", "left").withColumn("comp", F.coalesce("comp", "cls")), "near-named")
+    first = _stage_few(named.groupBy("comp").agg(F.min("low_id").alias("component_id")), total, "near-first")
     ids = stage(named.select("sig", "comp", "copies").join(first, "comp").select("sig", "comp", "component_id", "copies"), "near-ids")
     key = ["key"] if "key" in docs.columns else []
     narrow = rows.select("doc_id", "row", *key, "n", "sig")
@@ -431,7 +459,7 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
                 .select("doc_id", "row", *key, F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
                         "comp", (F.col("n") == 0).alias("bare")), "near-out")
     # of the rows that carry the smallest id the first one stays; a component without any id keeps its first row
-    stays = stage(out.where("not bare and doc_id <=> component_id").groupBy("comp").agg(F.min("row").alias("first_row")), "near-stays")
+    stays = _stage_few(out.where("not bare and doc_id <=> component_id").groupBy("comp").agg(F.min("row").alias("first_row")), total, "near-stays")
     return out.join(stays, "comp", "left").select("doc_id", "row", *key, "n_shingles", "component_id", (F.col("bare") | (F.col("row") == F.col("first_row"))).alias("first"))
 
 
