@@ -102,6 +102,35 @@ def test_grouping_holds_little_beyond_its_rows():
     assert collocations.BLOCK * 20 * 10_000 < 16 << 20  # bytes of a batch of 10,000 rows of a relation
 
 
+def test_workers_hold_little_at_a_time(spark):
+    """Words and groups were added up a million at a time, and a megabyte of text was hashed with 30 bytes beside each of its own."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    run = {}
+
+    class Docs:
+        select = groupBy = lambda self, *a: self
+        agg = lambda self, *a: self
+
+        def mapInArrow(self, f, schema):
+            run["f"] = f
+            return self
+
+    collocations.word_counts(Docs())
+    rng = random.Random(4)
+    texts = [" ".join(f"w{rng.randrange(1 << 30)}" for _ in range(400)) for _ in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["en"] * len(texts)), pa.array(texts)], ["lang", "text"])
+    tracemalloc.start()
+    got = sum(int(b.column("c").to_numpy()[b.column("word").is_valid().to_numpy(zero_copy_only=False)].sum()) for b in run["f"](iter([batch])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == 400 * len(texts)
+    assert most < 40 << 20, most >> 20
+
+
 def test_equal_words_of_two_batches_are_one():
     import numpy as np
     import pyarrow as pa

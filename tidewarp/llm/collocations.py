@@ -39,11 +39,11 @@ from tidewarp.llm.shingles import SEGMENT, _segment_words, mix
 UNKNOWN = "und"
 MARKS = b".,;:!?\n\x0b\x0c\r"  # end a piece; words end there and at space and tab
 BLOCK = 64  # words whose occurrences are one row; 10,000 rows, an Arrow batch, have 13 MB
-CHUNK = 1 << 20  # groups added up at a time
+CHUNK = 1 << 19  # groups added up at a time
 MOST_BITS = 1 << 29  # of the bitmap of frequent groups: 64 MB
 BITMAP_BITS = 32768  # of the bitmaps of bitmap_construct_agg
 SLICE = 2048  # rows of a persisted relation joined and grouped at a time
-SLOT_WORDS = 1 << 20  # words whose groups make up one slot, about
+SLOT_WORDS = 1 << 19  # words whose groups make up one slot, about
 
 _MARK = np.zeros(256, bool)
 _MARK[list(MARKS)] = True
@@ -155,7 +155,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 if rows > CHUNK:
                     held = [_add_up(held)]
                     rows = len(held[0][1])
-                    if rows > CHUNK // 2:
+                    if rows > CHUNK * 3 // 4:
                         yield batch(held[0])
                         held, rows = [], 0
         if held:
@@ -289,7 +289,7 @@ def group_counts(relation: DataFrame, support: int) -> DataFrame:
                 if rows > CHUNK:
                     held = [_group(*_joined(held))]
                     rows = len(held[0][0])
-                    if rows > CHUNK // 2:
+                    if rows > CHUNK * 3 // 4:
                         yield emit(*held[0])
                         held, rows = [], 0
         if rows:

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT = 1 << 20  # bytes hashed at a time; a segment ends at white space
+SEGMENT = 1 << 18  # bytes hashed at a time, for which some 30 bytes each are held; a segment ends at white space
 _rng = np.random.default_rng(20240101)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PLACE = _rng.integers(1, 1 << 63, 1 << 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
