@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewarp.llm import exact_dedup, near_dedup, packing, toxicity
-from tidewarp.llm.common import prepare, stage, table
+from tidewarp.llm.common import prepare, sliced, stage, table
 from tidewarp.llm.queries import tokenizer
 
 #: words of a shingle and similarity of the near-duplicate stage
@@ -33,7 +33,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     def run(batches):
         value = judge()
-        for b in batches:
+        for b in sliced(batches):
             yield b.filter(pa.array([value(t.as_py()) < THRESHOLD for t in b.column(at)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -1,6 +1,7 @@
 """The pipeline against a brute-force version of its stages, and the registered SQL."""
 import collections
 import zlib
+from unittest.mock import MagicMock
 
 import duckdb
 import pytest
@@ -94,3 +95,34 @@ def test_contract_of_op5_and_op10(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == int(r.score >= 0.7) for r in out)
     out = queries.QUERIES["op10_lm_scoring"](spark, SF).collect()
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 10 == 0) for r in out)
+
+
+def test_tasks_return_small_batches():
+    """Packing, sketches and full sets were returned a whole Arrow batch of 10,000 rows at a time."""
+    import public_tokenizers
+    import pyarrow as pa
+
+    from tidewarp.llm import near_dedup, packing
+
+    run = []
+
+    class Docs:
+        columns = ["doc_id", "text"]
+        sparkSession = None
+        select = withColumn = lambda self, *a: self
+
+        def mapInArrow(self, f, schema):
+            run.append(f)
+            return self
+
+    near_dedup.sketches(Docs(), 5, 80, 100)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "prepare", lambda spark: None)
+        m.setattr(packing, "F", MagicMock())
+        packing.pack(Docs(), public_tokenizers.path("byte_bpe_50k.json"), with_ids=False)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array([f"some words of text {i}" for i in range(5000)])], ["doc_id", "text"])
+    for f in run:
+        got = list(f(iter([batch])))
+        ids = [i for b in got for i in b.column("doc_id").to_pylist()]
+        assert list(dict.fromkeys(ids)) == list(range(5000))
+        assert max(len(set(b.column("doc_id").to_pylist())) for b in got) <= 1024

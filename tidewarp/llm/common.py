@@ -34,8 +34,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read_table(spark, sf_dir, name)
 
 
+def sliced(batches, rows: int = 1024):
+    """The rows of Arrow batches, ``rows`` at a time, so that what a task makes of them never has the size of a whole batch."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def power_of_two_at_least(x: float) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1.0, x))))
 
 
-__all__ = ["SPACES", "WORD", "prepare", "stage", "table", "power_of_two_at_least"]
+__all__ = ["SPACES", "WORD", "prepare", "sliced", "stage", "table", "power_of_two_at_least"]

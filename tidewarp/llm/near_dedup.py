@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewarp.llm.common import prepare, stage
+from tidewarp.llm.common import prepare, sliced, stage
 from tidewarp.llm.shingles import mix, shingle_sets
 
 HOT = 16  # classes on a list before its value counts as hot
@@ -69,7 +69,7 @@ def sketches(docs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     key = ["key"] * ("key" in docs.columns)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             n, sig, least = [], [], []
             for s in shingle_sets(b.column(1), words):
                 n.append(len(s))
@@ -156,12 +156,12 @@ class _Lists:
 
 
 def _runs(batches, num: int, den: int, fresh: np.ndarray | None = None):
-    """_Lists of some hundred thousand values at a time of batches (cls, n, low); with ``fresh``, of the lists that hold one of these values alone."""
+    """_Lists of some ten thousand values at a time of batches (cls, n, low); with ``fresh``, of the lists that hold one of these values alone."""
     for b in batches:
         ends = np.cumsum(pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < b.num_rows:
-            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 21), "right")))
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 19), "right")))
             part = b.slice(at, to - at)
             lists = _Lists(part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2), num, den)
             if fresh is not None:
@@ -389,7 +389,7 @@ def classes_of(docs: DataFrame, words: int = 5, similarity: tuple[int, int] = (8
 
         def run(batches):
             done = set()  # classes of this task: repeated rows give one set a task
-            for b in batches:
+            for b in sliced(batches):
                 cls, sets = [], []
                 for c, sig, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shingle_sets(b.column(2), words)):
                     if c not in done and len(s) and _signature(s) == sig:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewarp.llm.bpe import PRE_TOKENS
-from tidewarp.llm.common import prepare
+from tidewarp.llm.common import prepare, sliced
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -72,7 +72,7 @@ def pack(docs: DataFrame, tokenizer: str, max_len: int = 1024, closing_id: int =
 
     def run(batches):
         encode = encoder(tokenizer)
-        for b in batches:
+        for b in sliced(batches):
             ids_of = b.column(0).to_pylist()
             col: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "crc", "tokens")}
             kept: list[np.ndarray] = []
