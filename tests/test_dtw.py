@@ -130,3 +130,38 @@ def test_pairs_run_in_chunks_of_bounded_memory():
     for i in (0, 7_999, 8_000, 199_999):
         assert pairs[i] == D.dtw_one(X[i], Y[i])
         assert near[i].tolist() == [D.dtw_one(X[i], c) for c in C]
+
+
+def test_sql_form_by_diagonals_equals_the_interpreted_one(spark):
+    """Cells as compiled columns: the very values of ``dtw_sql``, also for other lengths, nulls and odd numbers."""
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.random(4).tolist(), rng.random(4).tolist()) for i in range(40)]
+    rows += [(40, [0.0] * 4, [0.0] * 4), (41, [1.0, 2.0, 3.0], [1.0, 3.0]), (42, None, [1.0] * 4), (43, [1.0] * 4, None), (44, [], [1.0] * 4),
+             (45, [1.0, None, 2.0, 3.0], [1.0] * 4), (46, [1.0, math.nan, 2.0, 3.0], [1.0] * 4), (47, [math.inf] * 4, [1.0] * 4),
+             (48, [1.0] * 5, [1.0] * 4), (49, [5e8] * 4, [-5e8] * 4), (49, [5e8] * 4, [-5e8] * 4)]
+    df = spark.createDataFrame(rows, "`a b` int, x array<double>, y array<double>")
+    for gamma in (None, 0.01):
+        got, want = ([(r[0], repr(r[3])) for r in f.orderBy("a b").collect()]
+                     for f in (D.with_dtw(df, "x", "y", "d", 4, gamma), df.withColumn("d", D.dtw_expr("x", "y", gamma))))
+        assert got == want
+        assert all(math.isclose(float(v), naive(x, y, gamma), abs_tol=1e-9) for (_, v), (_, x, y) in zip(got[:42], rows, strict=False))
+    one = D.with_dtw(df.selectExpr("slice(x, 1, 1) x", "array(2D) y"), "x", "y", "d", 1).where("size(x) = 1").collect()
+    assert all(r["d"] == (None if r["x"][0] is None else abs(r["x"][0] - 2)) or math.isnan(r["d"]) for r in one)
+
+
+def test_sql_twins_compile_their_cells(spark, tmp_path):
+    """No cell is interpreted for series of the fixtures' length, and no projection of cells is fused with the next."""
+    import datetime
+
+    import __spark_entry__ as E
+
+    day = lambda m: datetime.datetime(1995 + m // 12, m % 12 + 1, 5)
+    rows = [(s, float(100 + (m * 7 + s) % 11), 0.1, day(m)) for s in (1, 2) for m in range(18)]
+    schema = "l_suppkey long, l_extendedprice double, l_discount double, l_shipdate timestamp_ntz"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "lineitem.parquet"))
+    for name, other in (("d2_soft_dtw_sql_twin", "d2_soft_dtw"), ("d1_dtw_sql_twin", "d1_dtw")):
+        df = E.queries()[name](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+        cells = [line for line in plan if "Project" in line and "transform(_dtw_fits" in line]
+        assert len(cells) > 2 * 12 - 4 and not any("*(" in line for line in cells)
+        assert sorted(df.collect()) == sorted(E.queries()[other](spark, str(tmp_path)).collect()) and df.count() == 2 * 3
