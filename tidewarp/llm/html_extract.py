@@ -474,14 +474,21 @@ def _emit(node: Node, out: list[list[str]], in_header: bool = False) -> None:
             _emit(c, out, in_header)
 
 
-def _link_list(node: Node) -> bool:
-    chars = links = 0
-    todo = [node]
-    while todo:
-        n = todo.pop()
-        text, inside = _own_text(n)
-        chars, links = chars + len(text.strip()), links + inside
-        todo += [c for c in _blocks(n) if not c.skip]
+def _link_mass(node: Node, known: dict[int, tuple[int, int]]) -> tuple[int, int]:
+    """Characters below a node and those of them in links; ``known`` keeps them by node."""
+    if id(node) not in known:
+        text, links = _own_text(node)
+        chars = len(text.strip())
+        for c in _blocks(node):
+            if not c.skip:
+                more, inside = _link_mass(c, known)
+                chars, links = chars + more, links + inside
+        known[id(node)] = chars, links
+    return known[id(node)]
+
+
+def _link_list(node: Node, known: dict[int, tuple[int, int]]) -> bool:
+    chars, links = _link_mass(node, known)
     return chars > 0 and links > 0.6 * chars
 
 
@@ -490,6 +497,7 @@ def extract(root: Node, rule) -> str | None:
     paths, constant, marked = rule
     out: list[list[str]] = [[]]
     found = False
+    known: dict[int, tuple[int, int]] = {}  # a subtree is asked about before any of it is pruned
 
     def prune(node: Node, path: str) -> None:
         for c in list(_blocks(node)):
@@ -497,7 +505,7 @@ def extract(root: Node, rule) -> str | None:
             if c.skip:
                 continue
             text = " ".join(_own_text(c)[0].split())
-            if (text and (here, zlib.crc32(text.encode("utf-8", "replace"))) in constant) or (c.tag in ("ul", "ol", "div", "table", "dl") and _link_list(c)):
+            if (text and (here, zlib.crc32(text.encode("utf-8", "replace"))) in constant) or (c.tag in ("ul", "ol", "div", "table", "dl") and _link_list(c, known)):
                 c.skip = True
             else:
                 prune(c, here)
