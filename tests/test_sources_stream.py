@@ -188,6 +188,101 @@ def test_gaps_filled_as_in_dense_series(spark):
     assert all(v == [_value(i, p) if p in have[i] else 0.0 for p in range(s, s + 3)] for (i, s), v in got.items())
 
 
+def test_feed_has_one_file_a_position(spark):
+    """However many tasks and id blocks the messages come from: a micro-batch takes files and visits the state of all their ids."""
+    base = tempfile.mkdtemp(prefix="tw-files-")
+    T.write_feed(T.encode_messages(_panel(spark, range(1, 40), range(5)), block=3).repartition(6), base + "/feed")
+    files = [(d, f) for d, _, names in os.walk(base + "/feed") for f in names if f.startswith("part-")]
+    assert sorted(d.rsplit("=", 1)[1] for d, _ in files) == [str(t) for t in range(5)]
+
+
+class _State:
+    """A group's state outside Spark."""
+
+    def __init__(self):
+        self.get, self.exists, self.hasTimedOut, self.wake, self.mark = None, False, False, None, 0
+
+    def update(self, value):
+        self.get, self.exists = value, True
+
+    def remove(self):
+        self.get, self.exists, self.wake = None, False, None
+
+    def getCurrentWatermarkMs(self):
+        return self.mark
+
+    def setTimeoutTimestamp(self, at):
+        assert at >= self.mark
+        self.wake = at
+
+
+def _run_step(step, state, rows, mark, columns):
+    import pandas as pd
+
+    state.mark, state.hasTimedOut = mark, not rows
+    half = len(rows) // 2
+    frames = [pd.DataFrame(part, columns=columns) for part in (rows[:half], rows[half:]) if part]
+    state.wake = None
+    return [tuple(r) for df in step((0,), iter(frames), state) for r in df.itertuples(index=False)]
+
+
+def test_a_block_of_ids_is_one_state_that_gives_what_each_id_alone_would():
+    """Random deliveries with gaps, repeats and late rows; ids that end and ids that begin late. Windows by a plain loop over each id."""
+    import random
+
+    import numpy as np
+
+    for seed, fill in ((1, None), (2, 0.0), (3, None), (4, 7.0)):
+        rnd, window, lateness = random.Random(seed), 3, 6
+        step, state, mark, newest = T._advance(window, fill), _State(), 0, 0
+        plain: dict = {}  # id: [values by position, windows that have left]
+        for batch in range(25):
+            rows = [(i, p, float(rnd.randrange(100))) for i in range(6) for p in range(max(0, 2 * batch - 4), 2 * batch + 2) if rnd.random() < 0.6 and (i != 3 or batch < 8) and (i != 4 or batch > 9)]
+            rnd.shuffle(rows)
+            rows += rows[:2] if batch % 3 else []
+            rows = [r for r in rows if (r[1] + 1) * T.DAY > mark]
+            past = mark // T.DAY - 1
+            if not rows and not (state.wake is not None and mark > state.wake):
+                continue
+            want = []
+            for i, p, v in rows:
+                plain.setdefault(i, ({}, set()))[0][p] = v
+            for i, (values, left) in plain.items():
+                if fill is not None:
+                    for p in range(past + 1):
+                        values.setdefault(p, fill)
+                for s in range(max(values) + 1):
+                    if s not in left and all(q in values for q in range(s, s + window)):
+                        left.add(s)
+                        want.append((s, i, [values[q] for q in range(s, s + window)]))
+            got = [(s, i, list(v)) for s, i, v in _run_step(step, state, rows, mark, ["of_id", "time_point", "value"])]
+            assert sorted(got) == sorted(want)
+            if fill is None and state.exists:
+                pos, ids, have, _, done = state.get
+                ids = np.frombuffer(ids, np.int64)
+                have = np.frombuffer(have, bool).reshape(len(ids), len(pos))
+                assert min(pos) > done - window + 1 and have.any(axis=1).all()
+                assert batch < 18 or 3 not in ids  # the id that ended is held no longer
+            newest = max([newest, *(p for _, p, _ in rows)])
+            mark = max(mark, (newest + 1 - lateness) * T.DAY)
+
+
+def test_a_block_of_ids_counts_the_moves_of_each():
+    import random
+
+    rnd = random.Random(5)
+    rows = [(i, t, rnd.randrange(4)) for i in range(7) for t in range(30) if rnd.random() < 0.8]
+    want = [(t, None, c) for _, t, c in rows]
+    at = {(i, t): c for i, t, c in rows}
+    want += [(t, at[i, t - 1], c) for (i, t), c in at.items() if (i, t - 1) in at]
+    rnd.shuffle(rows)
+    state, got = _State(), []
+    for part in (rows[:50], rows[50:60], rows[60:]):
+        got += _run_step(T._moves, state, part, 0, ["of_id", "time_point", "cluster_id"])
+    plain = lambda r: tuple(-1 if x is None or x != x else int(x) for x in ((r[0], None, r[2]) if str(r[1]) == "<NA>" else r))
+    assert sorted(map(plain, got)) == sorted(map(plain, want))
+
+
 def test_event_windows_drop_and_count_late_events(spark):
     base = tempfile.mkdtemp(prefix="tw-events-")
     rows = [[(m, 1.0) for m in range(0, 300, 10)], [(305, 2.0), (250, 4.0), (20, 8.0), (30, 8.0)], [(700, 16.0)]]

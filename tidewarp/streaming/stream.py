@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import threading
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,9 +53,10 @@ def decode_messages(messages: DataFrame, col: str = "value") -> DataFrame:
 def write_feed(messages: DataFrame, path: str, mode: str = "overwrite") -> None:
     """The replay feed as files, one folder per time position. The
     messages are written whole (one line may contain newlines), so each is
-    stored as one JSON record."""
-    messages.select("time_point", F.to_json(F.struct("time_point", "block", "message")).alias("value")) \
-        .write.mode(mode).partitionBy("time_point").text(path)
+    stored as one JSON record. A position's messages go to one file, or to several of the advisory partition size where adaptive execution
+    finds them larger: micro-batches take files, and each one visits the state of every id in its files."""
+    records = messages.select("time_point", F.to_json(F.struct("time_point", "block", "message")).alias("value"))
+    records.hint("rebalance", "time_point").write.mode(mode).partitionBy("time_point").text(path)
 
 
 FEED_SCHEMA = T.StructType([T.StructField("value", T.StringType()), T.StructField("time_point", T.IntegerType())])
@@ -70,47 +72,83 @@ def read_feed_stream(spark: SparkSession, path: str, files_per_trigger: int = 1)
 
 DAY = 86_400_000  # a position in milliseconds of event time; position 0 is day 1, as the first watermark is day 0
 LATENESS = 120  # positions that a message may come behind the newest one
-STATE = "pos array<int>, value array<double>, done int"
+BLOCK_BITS = 8  # ids that share all but so many low bits are one state block: a call for each id would cost more than its work
+STATE = "pos array<int>, ids binary, have binary, value binary, done int"
 WINDOWS = "time_point int, id bigint, series_full array<double>"
 
 
+def _by_block(rows: DataFrame):
+    """``rows`` grouped by block: ``id`` becomes the lowest id that may be in the block, ``of_id`` is the id itself."""
+    return rows.withColumn("of_id", F.col("id")).withColumn("id", F.shiftleft(F.shiftright("id", BLOCK_BITS), BLOCK_BITS)).groupBy("id")
+
+
+def _rows_of(frames, timed_out: bool, *cols: str) -> list[np.ndarray]:
+    """The columns of all frames of a group, and the number of the frame of each row."""
+    frames = [] if timed_out else list(frames)
+    number = np.repeat(np.arange(len(frames)), [len(f) for f in frames])
+    return [np.concatenate([f[c].to_numpy() for f in frames]) if frames else np.zeros(0, np.int64) for c in cols] + [number]
+
+
+def _placed(part: np.ndarray, rows: tuple, cols: tuple, empty) -> np.ndarray:
+    """``part`` as a matrix of more rows and columns; ``rows``, ``cols``: (its names, all names)."""
+    out = np.full((len(rows[1]), len(cols[1])), empty, part.dtype)
+    out[np.ix_(np.searchsorted(rows[1], rows[0]), np.searchsorted(cols[1], cols[0]))] = part
+    return out
+
+
 def _advance(window: int, fill: float | None):
-    """State step of one id: take positions in, give out the windows that become complete by them.
+    """State step of a block of ids: take positions in, give out the windows that become complete by them.
 
-    ``held``: the positions that an open window may need. ``done``: positions up to it are past the watermark, none can come."""
+    ``have``, ``value``: ids x positions that an open window may need. ``done``: positions up to it are past the watermark, none can come."""
     def step(key, frames, state):
-        held: dict[int, float] = {}
-        done = -1
+        had, pos, done = np.zeros(0, np.int64), np.zeros(0, np.int64), -1
+        have, value = np.zeros((0, 0), bool), np.zeros((0, 0))
         if state.exists:
-            pos, value, done = state.get
-            held = dict(zip(pos, value))
-        fresh = set()
-        if not state.hasTimedOut:
-            for f in frames:
-                for p, v in zip(f["time_point"], f["value"]):
-                    if int(p) not in held:
-                        fresh.add(int(p))
-                    held[int(p)] = v
+            pos, had, have, value, done = state.get
+            pos, had = np.array(pos, np.int64), np.frombuffer(had, np.int64)
+            have, value = (np.frombuffer(b, t).reshape(len(had), len(pos)) for b, t in ((have, bool), (value, np.float64)))
+        of, at, given, _ = _rows_of(frames, state.hasTimedOut, "of_id", "time_point", "value")
         past = state.getCurrentWatermarkMs() // DAY - 1
+        ids = np.union1d(had, of)
+        settled = np.full(len(ids), -1)  # the positions of an id that are not missing any more
+        settled[np.searchsorted(ids, had)] = done
+        gaps = np.arange(settled.min(initial=past) + 1, past + 1) if fill is not None else pos
+        cols = np.union1d(np.union1d(pos, at), gaps).astype(np.int64)
+        have, value = _placed(have, (had, ids), (pos, cols), False), _placed(value, (had, ids), (pos, cols), np.nan)
+        before = have.copy()
+        place = np.searchsorted(ids, of) * len(cols) + np.searchsorted(cols, at)
+        place, last = np.unique(place[::-1], return_index=True)  # of a position that comes again the last value
+        have.flat[place], value.flat[place] = True, given[::-1][last]
         if fill is not None:
-            for p in range(done + 1, past + 1):
-                if p not in held:
-                    held[p] = fill
-                    fresh.add(p)
+            missing = ~have & (cols[None, :] <= past) & (cols[None, :] > settled[:, None])
+            value[missing], have = fill, have | missing
         done = max(done, past)
-        starts = sorted({s for p in fresh for s in range(max(0, p - window + 1), p + 1) if all(q in held for q in range(s, s + window))})
-        out = [(s, key[0], [held[q] for q in range(s, s + window)]) for s in starts]
-        held = {p: v for p, v in held.items() if p + window - 1 > done}
-        if held or fill is not None:
-            order = sorted(held)
-            state.update((order, [held[p] for p in order], done))
-            # with a fill value, when the next missing position is past; else when no window can need what is held
-            wake = next(p for p in range(done + 1, done + len(held) + 2) if p not in held) if fill is not None else order[-1] + window - 1
-            state.setTimeoutTimestamp((wake + 1) * DAY - 1)
-        else:
+        if len(cols) >= window:
+            def within(mask):
+                total = np.zeros((len(ids), len(cols) + 1), np.int64)
+                np.cumsum(mask, axis=1, out=total[:, 1:])
+                return total[:, window:] - total[:, :-window]
+
+            whole = (within(have) == window) & (within(have & ~before) > 0) & (cols[window - 1:] - cols[:len(cols) - window + 1] == window - 1)
+            row, start = np.nonzero(whole)
+            if len(row):
+                series = np.lib.stride_tricks.sliding_window_view(value, window, axis=1)[row, start]
+                yield pd.DataFrame({"time_point": cols[start], "id": ids[row], "series_full": list(series)})
+        have = have & (cols > done - window + 1)  # no window can need the others
+        row = have.any(axis=1) | (fill is not None)
+        col = have[row].any(axis=0)
+        ids, cols, have, value = ids[row], cols[col], have[np.ix_(row, col)], value[np.ix_(row, col)]
+        if not len(ids):
             state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["time_point", "id", "series_full"])
+            return
+        state.update((cols.tolist(), ids.tobytes(), have.tobytes(), value.tobytes(), int(done)))
+        if fill is not None:  # when the next missing position of an id is past
+            ahead = cols > done
+            run = have[:, ahead][:, cols[ahead] == done + 1 + np.arange(ahead.sum())]
+            wake = done + 1 + int(np.logical_and.accumulate(run, axis=1).sum(axis=1).min())
+        else:  # when no window can need what is held of an id
+            wake = int(cols[len(cols) - 1 - have[:, ::-1].argmax(axis=1)].min()) + window - 1
+        state.setTimeoutTimestamp((wake + 1) * DAY - 1)
 
     return step
 
@@ -120,10 +158,11 @@ def windowed_series(decoded: DataFrame, window: int, length: int, lateness: int
 
     A position more than ``lateness`` behind the newest one of the earlier batches is late and dropped (``run_to_table`` counts them). A
     position that has not come by then is a gap: a window with a gap never leaves, all others do; with ``fill``, gaps take that value, from
-    position 0 on, as dense series do. The state of an id, trimmed whenever the id has data, holds no position ``window`` + ``lateness`` or more
-    behind the newest one of the earlier batches, and goes when no window can need it. A position that comes again replaces its value in the windows that have not left."""
+    position 0 on, as dense series do. The state of an id, trimmed whenever its block has data, holds no position ``window`` + ``lateness`` or more
+    behind the newest one of the earlier batches, and goes when no window can need it. A position that comes again replaces its value in the windows that have not left.
+    The state of up to 2^BLOCK_BITS neighbouring ids is one block, keyed by its lowest possible id."""
     timed = decoded.where("time_point >= 0").withColumn("at", F.timestamp_seconds((F.col("time_point").cast("long") + 1) * (DAY // 1000)))
-    out = (timed.withWatermark("at", f"{int(lateness)} days").groupBy("id")
+    out = (_by_block(timed.withWatermark("at", f"{int(lateness)} days"))
            .applyInPandasWithState(_advance(window, fill), WINDOWS, STATE, "append", "EventTimeTimeout"))
     return with_raw_norm(out, length)
 
@@ -191,37 +230,51 @@ def run_batches(stream_df: DataFrame, path: str, checkpoint: str, each) -> int:
     return _finish(stream_df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint))
 
 
-CLUSTERS = "time_points array<int>, clusters array<int>"
+CLUSTERS = "time_points array<int>, ids binary, have binary, clusters binary"
 MOVES = "time_point int, cluster_previous int, cluster_current int"
 
 
 def _moves(key, frames, state):
-    """State step of one id: a row (time point, null, cluster) for each assignment, and (time point, cluster before, cluster) for each two
-    of consecutive time points. Of the time points seen, those with a neighbour still to come are held."""
-    seen: dict[int, int] = {}
+    """State step of a block of ids: a row (time point, null, cluster) for each assignment, and (time point, cluster before, cluster) for each
+    two of consecutive time points. Of the time points seen of an id, those with a neighbour still to come are held."""
+    had, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    have, clusters = np.zeros((0, 0), bool), np.zeros((0, 0), np.int64)
     if state.exists:
-        seen = dict(zip(*state.get))
-    out = []
-    for f in frames:
-        for t, c in sorted(zip(f["time_point"], f["cluster_id"])):
-            t, c = int(t), int(c)
-            if t in seen:
-                continue
-            seen[t] = c
-            out.append((t, None, c))
-            out += [(u, seen[u - 1], seen[u]) for u in (t, t + 1) if u in seen and u - 1 in seen]
-    newest = max(seen, default=0)
-    held = sorted(t for t in seen if t > newest - LATENESS and not (t - 1 in seen and t + 1 in seen))
-    state.update((held, [seen[t] for t in held]))
-    if out:
-        yield pd.DataFrame({"time_point": [r[0] for r in out], "cluster_previous": pd.array([r[1] for r in out], "Int32"), "cluster_current": [r[2] for r in out]})
+        times, had, have, clusters = state.get
+        times, had = np.array(times, np.int64), np.frombuffer(had, np.int64)
+        have, clusters = (np.frombuffer(b, t).reshape(len(had), len(times)) for b, t in ((have, bool), (clusters, np.int64)))
+    of, at, given, number = _rows_of(frames, False, "of_id", "time_point", "cluster_id")
+    if not np.isfinite(given).all():
+        raise ValueError("an assignment without a cluster")
+    ids, cols = np.union1d(had, of), np.union1d(times, at)
+    have, clusters = _placed(have, (had, ids), (times, cols), False), _placed(clusters, (had, ids), (times, cols), 0)
+    place = np.searchsorted(ids, of) * len(cols) + np.searchsorted(cols, at)
+    order = np.lexsort((given, number, place))  # of an assignment that comes again the first counts, of one frame's the lowest
+    place, first = np.unique(place[order], return_index=True)
+    new = ~have.flat[place]
+    place, given = place[new], given[order][first][new].astype(np.int64)
+    fresh = np.zeros_like(have)
+    fresh.flat[place], have.flat[place], clusters.flat[place] = True, True, given
+    next_to = np.diff(cols) == 1
+    both = have[:, :-1] & have[:, 1:] & next_to
+    row, col = np.nonzero(both & (fresh[:, :-1] | fresh[:, 1:]))
+    before, now, sizes = clusters[row, col], clusters[row, col + 1], len(given)
+    inner = np.zeros_like(have)
+    inner[:, 1:-1] = both[:, :-1] & both[:, 1:]
+    newest = cols[len(cols) - 1 - have[:, ::-1].argmax(axis=1)]
+    held = have & ~inner & (cols[None, :] > newest[:, None] - LATENESS)
+    used = held.any(axis=0)
+    state.update((cols[used].tolist(), ids.tobytes(), held[:, used].tobytes(), clusters[:, used].tobytes()))
+    if sizes:
+        previous = pd.arrays.IntegerArray(np.concatenate([np.zeros(sizes, np.int32), before.astype(np.int32)]), np.arange(sizes + len(row)) < sizes)
+        yield pd.DataFrame({"time_point": np.concatenate([cols[place % len(cols)], cols[col + 1]]), "cluster_previous": previous, "cluster_current": np.concatenate([given, now])})
 
 
 def migration_parts(spark: SparkSession, assigned_path: str, schema, path: str, checkpoint: str, files_per_trigger: int = 16) -> int:
     """Follow the table of assigned rows (time_point, id, cluster_id) that a streaming query writes (W1), with each id's clusters as
-    state, and add every micro-batch's counts of moves and sizes to ``path`` under its batch id; a repeated batch replaces its own."""
+    state (a block of ids a row), and add every micro-batch's counts of moves and sizes to ``path`` under its batch id; a repeated batch replaces its own."""
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(assigned_path)
-    moves = rows.select("time_point", "id", "cluster_id").groupBy("id").applyInPandasWithState(_moves, MOVES, CLUSTERS, "append", "NoTimeout")
+    moves = _by_block(rows.select("time_point", F.col("id").cast("bigint"), "cluster_id")).applyInPandasWithState(_moves, MOVES, CLUSTERS, "append", "NoTimeout")
     return run_batches(moves, path, checkpoint, lambda b: b.groupBy("time_point", "cluster_previous", "cluster_current").agg(F.count(F.lit(1)).alias("n")))
 
 
