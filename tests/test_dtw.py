@@ -165,3 +165,32 @@ def test_sql_twins_compile_their_cells(spark, tmp_path):
         cells = [line for line in plan if "Project" in line and "transform(_dtw_fits" in line]
         assert len(cells) > 2 * 12 - 4 and not any("*(" in line for line in cells)
         assert sorted(df.collect()) == sorted(E.queries()[other](spark, str(tmp_path)).collect()) and df.count() == 2 * 3
+
+
+def test_nearest_centre_on_the_grid_is_the_nearest_by_exact_distances(monkeypatch):
+    """Ties, near ties, ragged lengths, wide and tiny ranges, constant series, centres outside the range of the rows, chunks."""
+    rng = np.random.default_rng(3)
+    for n, m, k, scale in ((12, 12, 5, 1.0), (12, 12, 10, 1.0), (5, 12, 4, 1e9), (12, 5, 3, 1e-12), (1, 1, 3, 1.0), (1, 12, 2, 1.0), (40, 40, 3, 1.0), (200, 200, 2, 1.0), (12, 12, 1, 1.0), (6, 6, 300, 1.0)):
+        X = rng.random((700, n)) * scale
+        C = rng.random((k, m)) * scale
+        C[-1] = C[0]  # an exact tie: the lowest index
+        if k > 2:
+            C[1] = C[0] + 1e-13 * scale  # a difference that no grid shows
+        monkeypatch.setattr(D, "_GRID_ROWS", 300)
+        near = D.NearestCentres(X)
+        for move in (0.0, 0.1, -3.0, 50.0):
+            assert (near(C + move * scale) == dtw_to_centres(X, C + move * scale).argmin(axis=1)).all()
+    X = np.repeat(rng.random((5, 1)), 12, axis=1)
+    assert (D.NearestCentres(X)(X[:3]) == dtw_to_centres(X, X[:3]).argmin(axis=1)).all()
+    assert (D.NearestCentres(np.zeros((4, 12)))(np.zeros((2, 12))) == 0).all() and D.NearestCentres(np.zeros((0, 3)))(np.zeros((2, 3))).shape == (0,)
+
+
+def test_a_pass_of_a_fit_needs_few_exact_distances(monkeypatch):
+    """Only rows that the grid leaves open get exact distances, to the centres left open."""
+    rng = np.random.default_rng(4)
+    X, C = rng.random((3000, 12)), rng.random((6, 12))
+    pairs = []
+    whole = D.dtw_same_length
+    monkeypatch.setattr(D, "dtw_same_length", lambda X, Y, **kw: pairs.append(len(X)) or whole(X, Y, **kw))
+    D.NearestCentres(X)(C)
+    assert sum(pairs) < 0.1 * len(X) * len(C)

@@ -27,7 +27,7 @@ from tidewarp.config import RunConfig
 from tidewarp.functions import exact
 from tidewarp.functions.vec import uniform_py
 from tidewarp.functions.arrowbatch import length_groups, stack_centres
-from tidewarp.functions.dtw import dtw_to_centres, dtw_to_row_centres
+from tidewarp.functions.dtw import NearestCentres, dtw_to_centres, dtw_to_row_centres
 from tidewarp.operators.assign import Centres, assign, key_str, model_key
 
 
@@ -229,6 +229,7 @@ def _local_fits(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunC
     band, mode = cfg.band, ("prefix" if cfg.compat and not soft else "full")
     length, cap = cfg.series_length, cfg.max_iter + (1 if cfg.compat else 0)
     eta, compat, gamma = cfg.eta, cfg.compat, cfg.gamma
+    on_grid = not soft and band is None and mode == "full"
     sent = series.sparkSession.sparkContext.broadcast({key_str(k): np.asarray(v, dtype=np.float64) for k, v in init.items()})
 
     def run(key, t):
@@ -236,27 +237,39 @@ def _local_fits(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunC
         name = key[0].as_py()
         cur = sent.value[name]
         k = len(cur)
-        parts = []  # (series, their integers, positions that count) by length
+        parts = []  # (series, positions that count, grid of the series, clusters of the last pass) by length
         for n, _, X, _, _ in length_groups(t.column("_m"), t.column("_s")):
             X = X[np.isfinite(X).all(axis=1)]
             if len(X):
                 m = min(n, length)
-                parts.append((X, exact.split(X[:, :m]), m))
+                parts.append([X, m, NearestCentres(X) if on_grid else None, np.full(len(X), -1)])
 
         def near(X, C):
             return _assigned(X, lambda X, by_soft: dtw_to_centres(X, C, gamma=gamma if by_soft else None, band=band, mode=mode), k, k, soft)
 
+        totals, counts = [[0] * length for _ in range(k)], np.zeros((k, length), np.int64)
+
+        def move(X, m, old, new):
+            """Take the rows X out of the sums of their clusters (-1: they had none) and add them to others; the sums are integers, so nothing is lost."""
+            ints = exact.split(X[:, :m])
+            for clusters, sign in ((old, -1), (new, 1)):
+                use = clusters >= 0
+                if use.any():
+                    counts[:, :m] += sign * np.bincount(clusters[use], minlength=k)[:, None]
+                    for c, row in enumerate(exact.group_sums(ints if use.all() else ints[use], clusters[use], k).tolist()):
+                        for i, total in enumerate(exact.whole(row)):
+                            totals[c][i] += sign * total
+
         prev, shift, passes = cur, 0.0, 0
         while passes < cap:
-            totals, counts = [[0] * length for _ in range(k)], np.zeros((k, length), np.int64)
-            for X, ints, m in parts:
-                D = dtw_to_centres(X, cur, gamma=gamma if soft else None, band=band, mode=mode)
-                cl = D.argmin(axis=1)
-                sums = exact.group_sums(ints, cl, k)
-                counts[:, :m] += np.bincount(cl, minlength=k)[:, None]
-                for c, row in enumerate(sums.tolist()):
-                    for i, total in enumerate(exact.whole(row)):
-                        totals[c][i] += total
+            for part in parts:
+                X, m, grid, last = part
+                cl = dtw_to_centres(X, cur, gamma=gamma if soft else None, band=band, mode=mode).argmin(axis=1) if grid is None else grid(cur)
+                moved = np.flatnonzero(cl != last)
+                for at in range(0, len(moved), 1 << 14):
+                    some = moved[at:at + (1 << 14)]
+                    move(X[some], m, last[some], cl[some])
+                part[3] = cl
             new = np.array([[exact.quotient(s, n) if n else o for s, n, o in zip(*row)] for row in zip(totals, counts.tolist(), cur.tolist())])
             passes += 1
             shift, prev, cur = centre_shift(cur, new), cur, new
@@ -266,7 +279,7 @@ def _local_fits(series: DataFrame, init: Centres, key_cols: list[str], cfg: RunC
         quality = [(None, None, None)] * k
         if with_stats:
             rows = [[0, 0, 0, 0] for _ in range(k)]
-            for X, _, _ in parts:
+            for X, *_ in parts:
                 cl, own, other = near(X, target)
                 sil = _measures(own, other, np.full(len(X), k), compat)
                 ok = ~np.isnan(sil)
