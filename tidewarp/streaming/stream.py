@@ -3,7 +3,7 @@
 A message carries one time position: first line the position, then
 ``id,value`` lines (values to 4 places). Messages are cut into id blocks of
 at most ``block`` ids, so no message holds an unbounded group. The stream
-decodes them and keeps, per id, the positions that a window still needs (T5);
+decodes them and keeps, per id, the positions that a window still needs (T5), the ids in blocks;
 a window leaves as soon as all its positions are there, whatever the order in
 which files arrive. A position is a day of event time; the watermark, some positions behind the newest one of the feed, bounds the
 state and decides about gaps (``windowed_series``). Windows are normalised like the batch path and assigned to given
